@@ -87,3 +87,37 @@ def dense_cosine(a, b, digits: int = 6) -> Column:
     na = F.sqrt(F.aggregate(ad, F.lit(0.0), lambda s, x: s + x * x))
     nb = F.sqrt(F.aggregate(bd, F.lit(0.0), lambda s, x: s + x * x))
     return cosine_from_dot(dot, na, nb, digits)
+
+
+def adjacent_cosine(store: DataFrame, doc: str, line: str, text: str,
+                    num_features: int = NUM_FEATURES) -> DataFrame:
+    """(doc, line, next_line, similarity): cosine of each line with the next
+    stored line of the same document.  Every join and window is keyed by the
+    document, so a store hash-partitioned by ``doc`` needs no further shuffle.
+    """
+    vec = vectors(store.select(doc, line, text), [doc, line], text, num_features)
+    w = Window.partitionBy(doc).orderBy(line)
+    pairs = (store.select(doc, line, F.lead(line).over(w).alias("next_line"))
+                  .filter(F.col("next_line").isNotNull()))
+    a = vec.select(doc, line, "feature", F.col("tf").alias("_ta"))
+    b = vec.select(doc, F.col(line).alias("next_line"), "feature", F.col("tf").alias("_tb"))
+    shared = (pairs.join(a, [doc, line]).join(b, [doc, "next_line", "feature"])
+                   .groupBy(doc, line, "next_line")
+                   .agg(F.sum(F.col("_ta") * F.col("_tb")).alias("_dot")))
+    norms = vec.groupBy(doc, line).agg(F.max("norm").alias("_n"))
+    nb = norms.select(doc, F.col(line).alias("next_line"), F.col("_n").alias("_nb"))
+    na = norms.select(doc, line, F.col("_n").alias("_na"))
+    out = (pairs.join(shared, [doc, line, "next_line"], "left")
+                .join(na, [doc, line], "left").join(nb, [doc, "next_line"], "left"))
+    return out.select(doc, line, "next_line",
+                      cosine_from_dot(F.coalesce("_dot", F.lit(0.0)),
+                                      F.coalesce("_na", F.lit(0.0)),
+                                      F.coalesce("_nb", F.lit(0.0))).alias("similarity"))
+
+
+def next_row_dense_cosine(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, next_id, similarity): each vector against the vector with id + 1."""
+    a = df.select(F.col(id_col), F.col(vec_col).alias("_a"))
+    b = df.select((F.col(id_col) - 1).alias(id_col), F.col(id_col).alias("next_id"),
+                  F.col(vec_col).alias("_b"))
+    return a.join(b, id_col).select(id_col, "next_id", dense_cosine("_a", "_b").alias("similarity"))

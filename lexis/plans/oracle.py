@@ -118,3 +118,183 @@ ORACLE["generate_response"] = (
 
 ORACLE["answer_queries"] = (f"WITH {LINES},\n{STORE},\n{DVEC},\n{QVEC},\n{SCORES},\n{RANKED},\n"
                             + answer_sql("ranked"))
+
+
+# --------------------------------------------------------------------------
+# Sources
+# --------------------------------------------------------------------------
+
+from lexis.functions import text as T  # noqa: E402
+from lexis.plans import registry as REG  # noqa: E402
+from lexis.sources import files as SF  # noqa: E402
+
+ORACLE["line_documents"] = f"WITH {LINES}\nSELECT doc_id, line_no, line FROM lines"
+
+ORACLE["total_documents"] = f"""SELECT CAST(sum(len({S.split_lines('text', T.UNIVERSAL_NEWLINE)})) AS BIGINT)
+  AS total_documents, CAST(count(*) AS BIGINT) AS files FROM documents"""
+
+
+def _ext_case(col: str) -> str:
+    whens = " ".join(f"WHEN {S.q(k)} THEN {S.q(v)}" for k, v in SF.EXT_BY_LANG.items())
+    return f"(CASE {col} {whens} ELSE '.bin' END)"
+
+
+ORACLE["whole_file_text"] = """SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, text,
+  CAST(length(text) AS BIGINT) AS n_chars FROM documents"""
+
+ORACLE["assemble_pages"] = """SELECT conv_id AS doc, string_agg(text || chr(10), '' ORDER BY turn) AS text
+FROM conversations GROUP BY conv_id"""
+
+ORACLE["route_files"] = f"""WITH f AS (
+  SELECT source || '/' || CAST(doc_id AS VARCHAR) || {_ext_case('lang')} AS path FROM documents
+), n AS (
+  SELECT path, string_split(path, '/')[-1] AS name FROM f
+), k AS (
+  SELECT path, name, CASE WHEN suffix(name, '.pdf') THEN 'pdf'
+                          WHEN suffix(name, '.txt') THEN 'txt' END AS kind FROM n
+)
+SELECT path, name, kind,
+  CASE WHEN kind = 'pdf' THEN {S.q(SF.PROCESSED_PREFIX)} || regexp_replace(name, '\\.[^.]*$', '') || '.txt'
+       ELSE {S.q(SF.PROCESSED_PREFIX)} || name END AS output_filename
+FROM k WHERE kind IS NOT NULL"""
+
+# --------------------------------------------------------------------------
+# Cleaning
+# --------------------------------------------------------------------------
+
+
+def _lit(s: str) -> str:
+    """SQL expression for a Python string that may hold control characters."""
+    parts = []
+    buf = ""
+    for ch in s:
+        if ord(ch) < 0x20 or 0x7f <= ord(ch) < 0xa0:
+            if buf:
+                parts.append(S.q(buf))
+                buf = ""
+            parts.append(f"chr({ord(ch)})")
+        else:
+            buf += ch
+    if buf:
+        parts.append(S.q(buf))
+    return "(" + " || ".join(parts or ["''"]) + ")"
+
+
+DIRTY = f"""dirty AS (
+  SELECT doc_id, lang, {_lit(REG.INJECT_HEAD)} || replace(text, chr(10), {_lit(REG.INJECT_TAIL + chr(10))})
+         || {_lit(chr(10) + REG.INJECT_LINE)} AS text
+  FROM documents
+)"""
+
+DIRTY_LINES = f"""dlines AS (
+  SELECT doc_id, CAST(unnest(range(len(parts))) AS BIGINT) AS line_no, unnest(parts) AS line
+  FROM (SELECT doc_id, {S.split_lines('text')} AS parts FROM dirty)
+)"""
+
+ORACLE["utf8_report"] = f"""WITH {DIRTY}
+SELECT doc_id, lang <> 'de' AS valid,
+       CASE WHEN lang = 'de' THEN text || chr(65533) ELSE text END AS text FROM dirty"""
+
+ORACLE["clean_lines"] = f"""WITH {DIRTY}, {DIRTY_LINES}
+SELECT doc_id, line_no, line FROM (
+  SELECT doc_id, line_no, {S.clean_line('line')} AS line FROM dlines) WHERE line <> ''"""
+
+ORACLE["cleaning_outcome"] = f"""WITH {DIRTY},
+rawl AS (
+  SELECT doc_id, lang, unnest({S.split_lines("CASE WHEN lang = 'de' THEN text || chr(65533) ELSE text END",
+                                            T.UNIVERSAL_NEWLINE)}) AS line FROM dirty
+)
+SELECT true AS success, CAST(count(*) AS BIGINT) AS total_lines,
+  CAST(count(*) FILTER (WHERE lang = 'de' AND contains(line, chr(65533))) AS BIGINT) AS problematic_lines,
+  CAST(count(*) FILTER (WHERE {S.clean_line('line')} <> '') AS BIGINT) AS cleaned_lines,
+  'documents.txt.clean' AS output_file, CAST(NULL AS VARCHAR) AS error
+FROM rawl"""
+
+CONV_PAGES = """cpages AS (
+  SELECT conv_id AS doc, string_agg(text || chr(10) || CAST(turn AS VARCHAR) || chr(10), '' ORDER BY turn) AS text
+  FROM conversations GROUP BY conv_id
+)"""
+
+ORACLE["strip_page_numbers"] = f"""WITH {CONV_PAGES}
+SELECT doc, {S.strip_page_numbers('text')} AS text FROM cpages"""
+
+M = T.CHAPTER_MARKER
+ORACLE["strip_headers"] = f"""WITH h AS (
+  SELECT doc_id, {S.q(M + ' ')} || CAST(doc_id AS VARCHAR) || chr(10)
+         || replace(text, chr(10), chr(10) || {S.q('x ' + M + ' y')} || chr(10))
+         || chr(10) || {S.q(M + ' fim')} AS text FROM documents
+)
+SELECT doc_id, {S.strip_headers('text')} AS text FROM h"""
+
+ORACLE["strip_urls"] = f"""WITH u AS (
+  SELECT 'doc' AS src, doc_id AS id, text FROM documents
+  UNION ALL
+  SELECT 'page' AS src, page_id AS id, 'see ' || url || ' and ' || url || chr(9) || 'done' AS text FROM pages
+)
+SELECT src, id, {S.strip_urls('text')} AS text FROM u"""
+
+ORACLE["strip_symbols"] = f"SELECT doc_id, {S.strip_symbols('text')} AS text FROM documents"
+ORACLE["collapse_ws"] = f"SELECT doc_id, {S.collapse_ws('text')} AS text FROM documents"
+
+ORACLE["clean_text"] = f"""WITH m AS (
+  SELECT doc_id, {S.q(M + ' ')} || CAST(doc_id AS VARCHAR) || chr(10)
+         || replace(text, chr(10), chr(10) || '7' || chr(10))
+         || chr(10) || CAST(n_chars AS VARCHAR) || chr(10) || 'see http://x.example.org/d/'
+         || CAST(doc_id AS VARCHAR) || '?q=1, ok' AS text FROM documents
+)
+SELECT doc_id, {S.clean_text('text')} AS text FROM m"""
+
+# --------------------------------------------------------------------------
+# Tokenisation and vectors
+# --------------------------------------------------------------------------
+
+ORACLE["preprocess_text"] = f"SELECT doc_id, {S.preprocess_text('text')} AS text FROM documents"
+
+ORACLE["process_batch"] = f"WITH {LINES},\n{STORE}\nSELECT doc_id, line_no, content FROM store"
+
+ORACLE["term_tokens"] = f"""SELECT doc_id, CAST(unnest(range(len(toks))) AS BIGINT) AS pos, unnest(toks) AS term
+FROM (SELECT doc_id, {S.term_tokens('text')} AS toks FROM documents)"""
+
+ORACLE["term_frequency"] = f"""SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf
+FROM (SELECT doc_id, unnest({S.term_tokens('text')}) AS term FROM documents) GROUP BY ALL"""
+
+HASHED = f"""h AS (
+  SELECT doc_id, {S.feature_bucket('term')} AS feature, CAST(count(*) AS DOUBLE) AS tf
+  FROM (SELECT doc_id, unnest({S.term_tokens('text')}) AS term FROM documents) GROUP BY ALL
+)"""
+
+ORACLE["hashed_tf"] = f"WITH {HASHED}\nSELECT doc_id, feature, tf FROM h"
+
+ORACLE["tf_l2"] = f"""WITH {HASHED},
+n AS (SELECT *, sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)) AS norm FROM h)
+SELECT doc_id, feature, round(CASE WHEN norm > 0 THEN tf / norm ELSE 0.0 END, 6) AS weight FROM n"""
+
+ORACLE["cosine_terms"] = f"""WITH {LINES},\n{STORE},\n{DVEC},
+pairs AS (
+  SELECT * FROM (SELECT doc_id, line_no, lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS next_line
+                 FROM store) WHERE next_line IS NOT NULL
+),
+shared AS (
+  SELECT p.doc_id, p.line_no, p.next_line, sum(a.tf * b.tf) AS dot
+  FROM pairs p JOIN dvec a ON a.doc_id = p.doc_id AND a.line_no = p.line_no
+  JOIN dvec b ON b.doc_id = p.doc_id AND b.line_no = p.next_line AND b.feature = a.feature
+  GROUP BY ALL
+),
+norms AS (SELECT doc_id, line_no, max(norm) AS n FROM dvec GROUP BY ALL)
+SELECT p.doc_id, p.line_no, p.next_line,
+  {S.cosine('coalesce(s.dot, 0.0)', 'coalesce(na.n, 0.0)', 'coalesce(nb.n, 0.0)')} AS similarity
+FROM pairs p
+LEFT JOIN shared s ON s.doc_id = p.doc_id AND s.line_no = p.line_no AND s.next_line = p.next_line
+LEFT JOIN norms na ON na.doc_id = p.doc_id AND na.line_no = p.line_no
+LEFT JOIN norms nb ON nb.doc_id = p.doc_id AND nb.line_no = p.next_line"""
+
+DENSE_COS = """round(CASE WHEN sqrt(list_sum(list_transform(a, lambda x: x * x)))
+                      * sqrt(list_sum(list_transform(b, lambda x: x * x))) > 0
+  THEN list_sum(list_transform(list_zip(a, b), lambda p: p[1] * p[2]))
+       / (sqrt(list_sum(list_transform(a, lambda x: x * x)))
+          * sqrt(list_sum(list_transform(b, lambda x: x * x))))
+  ELSE 0.0 END, 6)"""
+
+ORACLE["cosine_dense"] = f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT x.vec_id, y.vec_id AS next_id, x.v AS a, y.v AS b FROM e x JOIN e y ON y.vec_id = x.vec_id + 1)
+SELECT vec_id, next_id, {DENSE_COS} AS similarity FROM p"""

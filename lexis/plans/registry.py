@@ -93,3 +93,208 @@ def answer_queries_df(spark, sf_dir) -> DataFrame:
 
 
 register("answer_queries")(answer_queries_df)
+
+
+# ---------------------------------------------------------------------------
+# Sources (S4-S8)
+# ---------------------------------------------------------------------------
+
+from lexis.functions import text as TX  # noqa: E402
+from lexis.operators import cleaning as C  # noqa: E402
+from lexis.operators.store import line_documents, process_lines  # noqa: E402
+from lexis.sources import files as SF  # noqa: E402
+
+
+@register("line_documents")
+def q_line_documents(spark, sf_dir):
+    return line_documents(_t(spark, sf_dir, "documents"))
+
+
+@register("total_documents")
+def q_total_documents(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    return docs.agg(F.sum(TX.count_lines("text")).cast("bigint").alias("total_documents"),
+                    F.count(F.lit(1)).cast("bigint").alias("files"))
+
+
+@register("whole_file_text")
+def q_whole_file_text(spark, sf_dir):
+    return SF.as_text_files(_t(spark, sf_dir, "documents"))
+
+
+@register("assemble_pages")
+def q_assemble_pages(spark, sf_dir):
+    pages = _t(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc"), F.col("turn").alias("page"), "text")
+    return SF.assemble_pages(pages)
+
+
+@register("route_files")
+def q_route_files(spark, sf_dir):
+    return SF.route_files(SF.as_text_files(_t(spark, sf_dir, "documents"), SF.EXT_BY_LANG))
+
+
+# ---------------------------------------------------------------------------
+# Cleaning (C1-C13).  The fixture holds no controls, URLs, headers or page
+# numbers, so each query injects them with an expression the oracle repeats.
+# ---------------------------------------------------------------------------
+
+INJECT_HEAD = "\x07 \u200b"                # bell, space, zero-width space
+INJECT_TAIL = "\u00ad\x01 \x1f\u3000"     # soft hyphen, SOH, whitespace run
+INJECT_LINE = "\x07\x08"                   # a line that cleans to nothing
+
+
+def _dirty_documents(spark, sf_dir) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    return docs.select("doc_id", "lang", F.concat(
+        F.lit(INJECT_HEAD), F.regexp_replace("text", "\n", F.lit(INJECT_TAIL + "\n")),
+        F.lit("\n" + INJECT_LINE)).alias("text"))
+
+
+def _raw_documents(spark, sf_dir) -> DataFrame:
+    """Documents as bytes; German ones end in an invalid byte."""
+    docs = _dirty_documents(spark, sf_dir)
+    bad = F.when(F.col("lang") == "de", F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+    return docs.select("doc_id", F.concat(F.encode("text", "UTF-8"), bad).alias("raw"))
+
+
+@register("utf8_report")
+def q_utf8_report(spark, sf_dir):
+    raw = _raw_documents(spark, sf_dir)
+    return raw.select("doc_id", C.utf8_valid("raw").alias("valid"),
+                      C.decode_utf8("raw").alias("text"))
+
+
+@register("clean_lines")
+def q_clean_lines(spark, sf_dir):
+    lines = line_documents(_dirty_documents(spark, sf_dir))
+    return C.clean_lines(lines)
+
+
+@register("cleaning_outcome")
+def q_cleaning_outcome(spark, sf_dir):
+    lines = C.raw_lines(_raw_documents(spark, sf_dir), "doc_id", "raw")
+    return C.cleaning_outcome(lines, "documents.txt.clean")
+
+
+def _conversation_pages(spark, sf_dir) -> DataFrame:
+    """Each conversation assembled with its turn number as a page-number line."""
+    conv = _t(spark, sf_dir, "conversations")
+    pages = conv.select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"),
+                        F.concat("text", F.lit("\n"), F.col("turn").cast("string"),
+                                 F.lit("\n")).alias("text"))
+    return SF.assemble_pages(pages, sep="")
+
+
+@register("strip_page_numbers")
+def q_strip_page_numbers(spark, sf_dir):
+    pages = _conversation_pages(spark, sf_dir)
+    return pages.select("doc", TX.strip_page_numbers("text").alias("text"))
+
+
+def _with_headers(spark, sf_dir) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.concat(
+        F.lit(TX.CHAPTER_MARKER + " "), F.col("doc_id").cast("string"), F.lit("\n"),
+        F.regexp_replace("text", "\n", F.lit("\nx " + TX.CHAPTER_MARKER + " y\n")),
+        F.lit("\n" + TX.CHAPTER_MARKER + " fim")).alias("text"))
+
+
+@register("strip_headers")
+def q_strip_headers(spark, sf_dir):
+    return _with_headers(spark, sf_dir).select("doc_id", TX.strip_headers("text").alias("text"))
+
+
+def _with_urls(spark, sf_dir) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select(F.lit("doc").alias("src"),
+                                                  F.col("doc_id").alias("id"), "text")
+    pages = _t(spark, sf_dir, "pages").select(
+        F.lit("page").alias("src"), F.col("page_id").alias("id"),
+        F.concat(F.lit("see "), F.col("url"), F.lit(" and "), F.col("url"),
+                 F.lit("\tdone")).alias("text"))
+    return docs.unionByName(pages)
+
+
+@register("strip_urls")
+def q_strip_urls(spark, sf_dir):
+    return _with_urls(spark, sf_dir).select("src", "id", TX.strip_urls("text").alias("text"))
+
+
+@register("strip_symbols")
+def q_strip_symbols(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", TX.strip_symbols("text").alias("text"))
+
+
+@register("collapse_ws")
+def q_collapse_ws(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", TX.collapse_ws("text").alias("text"))
+
+
+def _messy_documents(spark, sf_dir) -> DataFrame:
+    """Headers, page numbers and URLs injected around every document."""
+    docs = _t(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.concat(
+        F.lit(TX.CHAPTER_MARKER + " "), F.col("doc_id").cast("string"), F.lit("\n"),
+        F.regexp_replace("text", "\n", F.lit("\n7\n")),
+        F.lit("\n"), F.col("n_chars").cast("string"), F.lit("\nsee http://x.example.org/d/"),
+        F.col("doc_id").cast("string"), F.lit("?q=1, ok")).alias("text"))
+
+
+@register("clean_text")
+def q_clean_text(spark, sf_dir):
+    return _messy_documents(spark, sf_dir).select("doc_id", TX.clean_text("text").alias("text"))
+
+
+# ---------------------------------------------------------------------------
+# Tokenisation (T1-T4) and vectors (V1-V5)
+# ---------------------------------------------------------------------------
+
+from lexis.operators import vectorize as V  # noqa: E402
+
+
+@register("preprocess_text")
+def q_preprocess_text(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", TX.preprocess_text("text").alias("text"))
+
+
+@register("process_batch")
+def q_process_batch(spark, sf_dir):
+    return process_lines(line_documents(_t(spark, sf_dir, "documents")))
+
+
+@register("term_tokens")
+def q_term_tokens(spark, sf_dir):
+    return V.explode_terms(_t(spark, sf_dir, "documents"), ["doc_id"], "text")
+
+
+@register("term_frequency")
+def q_term_frequency(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    return V.term_frequency(docs, ["doc_id"], "text")
+
+
+@register("hashed_tf")
+def q_hashed_tf(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    return V.hashed_tf(docs, ["doc_id"], "text")
+
+
+@register("tf_l2")
+def q_tf_l2(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    vec = V.l2_normalize(V.vectors(docs, ["doc_id"], "text"))
+    return vec.select("doc_id", "feature", F.round("weight", 6).alias("weight"))
+
+
+@register("cosine_terms")
+def q_cosine_terms(spark, sf_dir):
+    """Cosine between each stored line and the next line of its document."""
+    store = _store(spark, sf_dir)
+    return V.adjacent_cosine(store, "doc_id", "line_no", "content")
+
+
+@register("cosine_dense")
+def q_cosine_dense(spark, sf_dir):
+    """Cosine between each embedding and the one with the next id."""
+    emb = _t(spark, sf_dir, "embeddings")
+    return V.next_row_dense_cosine(emb, "vec_id", "embedding")
