@@ -298,3 +298,67 @@ DENSE_COS = """round(CASE WHEN sqrt(list_sum(list_transform(a, lambda x: x * x))
 ORACLE["cosine_dense"] = f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 p AS (SELECT x.vec_id, y.vec_id AS next_id, x.v AS a, y.v AS b FROM e x JOIN e y ON y.vec_id = x.vec_id + 1)
 SELECT vec_id, next_id, {DENSE_COS} AS similarity FROM p"""
+
+
+# --------------------------------------------------------------------------
+# Web pages
+# --------------------------------------------------------------------------
+
+from lexis.functions import html as H  # noqa: E402
+
+ORACLE["page_text"] = f"SELECT page_id, url, {S.body_text('html')} AS text FROM pages WHERE {S.has_body('html')}"
+
+ORACLE["pages_without_body"] = f"""WITH p AS (
+  SELECT page_id, url, CASE WHEN starts_with(url, 'http://')
+    THEN regexp_replace(html, '(?i)</?body[^>]*>', '', 'g') ELSE html END AS html FROM pages
+)
+SELECT page_id, url FROM p WHERE NOT {S.has_body('html')}"""
+
+ORACLE["page_title"] = f"SELECT page_id, {S.page_title('html')} AS title FROM pages"
+ORACLE["page_filename"] = f"SELECT page_id, {S.page_filename('html')} AS file_name FROM pages"
+
+
+def _links_sql(base_expr: str) -> str:
+    return f"""links AS (
+  SELECT page_id, url, CAST(unnest(range(len(h))) AS BIGINT) AS pos, unnest(h) AS href,
+         {base_expr} AS base
+  FROM (SELECT page_id, url, {S.anchor_hrefs('html')} AS h FROM pages WHERE {S.has_body('html')})
+),
+rlinks AS (SELECT page_id, url, pos, href, {S.resolve_url('base', 'href')} AS link FROM links)"""
+
+
+ORACLE["page_links"] = f"WITH {_links_sql(S.q(H.BASE_URL))}\nSELECT page_id, pos, href, link FROM rlinks"
+ORACLE["page_links_by_page"] = f"WITH {_links_sql('url')}\nSELECT page_id, pos, href, link FROM rlinks"
+
+INTERNAL = f"""{_links_sql('url')},
+internal AS (SELECT * FROM rlinks WHERE starts_with(link, {S.site_root('url')}))"""
+
+ORACLE["internal_links"] = f"WITH {INTERNAL}\nSELECT page_id, pos, href, link FROM internal"
+
+ORACLE["visitable_urls"] = f"SELECT DISTINCT url FROM pages WHERE NOT {S.has_fragment('url')}"
+
+ORACLE["crawl_frontier"] = f"""WITH {INTERNAL}
+SELECT DISTINCT link AS url FROM internal
+WHERE NOT {S.has_fragment('link')} AND link NOT IN (SELECT url FROM pages)"""
+
+ORACLE["crawl_reachable"] = f"""WITH RECURSIVE {INTERNAL},
+edges AS (SELECT DISTINCT url AS src, link AS dst FROM internal WHERE NOT {S.has_fragment('link')}),
+reach(url) AS (
+  SELECT url FROM pages WHERE NOT {S.has_fragment('url')}
+  UNION
+  SELECT e.dst FROM reach r JOIN edges e ON e.src = r.url
+)
+SELECT url FROM reach"""
+
+PAGE_DOCS = f"""pd AS (
+  SELECT page_id, url, {S.page_filename('html')} AS file_name, {S.page_title('html')} AS title,
+         {S.q('URL: ')} || url || chr(10) || chr(10) || {S.body_text('html')} AS content
+  FROM pages WHERE {S.has_body('html')}
+)"""
+
+ORACLE["page_documents"] = f"""WITH {PAGE_DOCS}
+SELECT file_name, arg_max(url, page_id) AS url, arg_max(content, page_id) AS content
+FROM pd WHERE title IS NOT NULL GROUP BY file_name"""
+
+ORACLE["crawl_report"] = f"""WITH {PAGE_DOCS}
+SELECT file_name, CAST(count(*) AS BIGINT) AS pages_written FROM pd WHERE title IS NOT NULL GROUP BY file_name"""

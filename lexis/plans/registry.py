@@ -298,3 +298,86 @@ def q_cosine_dense(spark, sf_dir):
     """Cosine between each embedding and the one with the next id."""
     emb = _t(spark, sf_dir, "embeddings")
     return V.next_row_dense_cosine(emb, "vec_id", "embedding")
+
+
+# ---------------------------------------------------------------------------
+# Web pages (W1-W11, S12)
+# ---------------------------------------------------------------------------
+
+from lexis.functions import html as HT  # noqa: E402
+from lexis.operators import web as W  # noqa: E402
+from lexis.session import checkpoint_root  # noqa: E402
+
+
+@register("page_text")
+def q_page_text(spark, sf_dir):
+    return W.page_text(_t(spark, sf_dir, "pages"))
+
+
+def _pages_some_without_body(spark, sf_dir) -> DataFrame:
+    """Plain-http pages lose their <body> tags (so they have no body)."""
+    pages = _t(spark, sf_dir, "pages")
+    stripped = F.regexp_replace("html", r"(?i)</?body[^>]*>", "")
+    return pages.select("page_id", "url", F.when(F.col("url").startswith("http://"), stripped)
+                        .otherwise(F.col("html")).alias("html"))
+
+
+@register("pages_without_body")
+def q_pages_without_body(spark, sf_dir):
+    return W.pages_without_body(_pages_some_without_body(spark, sf_dir))
+
+
+@register("page_title")
+def q_page_title(spark, sf_dir):
+    return W.page_titles(_t(spark, sf_dir, "pages")).select("page_id", "title")
+
+
+@register("page_filename")
+def q_page_filename(spark, sf_dir):
+    return W.page_titles(_t(spark, sf_dir, "pages")).select("page_id", "file_name")
+
+
+@register("page_links")
+def q_page_links(spark, sf_dir):
+    return W.page_links(_t(spark, sf_dir, "pages"))
+
+
+@register("page_links_by_page")
+def q_page_links_by_page(spark, sf_dir):
+    return W.page_links(_t(spark, sf_dir, "pages"), base=None)
+
+
+@register("internal_links")
+def q_internal_links(spark, sf_dir):
+    return W.internal_links(_t(spark, sf_dir, "pages"), base=None)
+
+
+@register("visitable_urls")
+def q_visitable_urls(spark, sf_dir):
+    return W.visitable_urls(_t(spark, sf_dir, "pages"))
+
+
+@register("crawl_frontier")
+def q_crawl_frontier(spark, sf_dir):
+    return W.crawl_frontier(_t(spark, sf_dir, "pages"), base=None)
+
+
+@register("crawl_reachable")
+def q_crawl_reachable(spark, sf_dir):
+    """Closure over page -> link edges from every fragment-free stored page."""
+    pages = _t(spark, sf_dir, "pages")
+    checkpoint_root(spark)
+    seeds = W.visitable_urls(pages)
+    reached = W.crawl_reachable(W.link_edges(pages, base=None), seeds,
+                                checkpoint=lambda df: df.checkpoint(eager=True))
+    return reached.select("url")
+
+
+@register("page_documents")
+def q_page_documents(spark, sf_dir):
+    return W.page_documents(_t(spark, sf_dir, "pages"))
+
+
+@register("crawl_report")
+def q_crawl_report(spark, sf_dir):
+    return W.crawl_report(_t(spark, sf_dir, "pages"))

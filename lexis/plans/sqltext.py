@@ -95,3 +95,100 @@ def feature_bucket(expr: str, num_features: int = 1 << 18) -> str:
 
 def cosine(dot: str, na: str, nb: str, digits: int = 6) -> str:
     return f"round(CASE WHEN ({na}) * ({nb}) > 0 THEN ({dot}) / (({na}) * ({nb})) ELSE 0.0 END, {digits})"
+
+
+# ---------------------------------------------------------------------------
+# HTML (mirrors lexis.functions.html)
+# ---------------------------------------------------------------------------
+
+from lexis.functions import html as H  # noqa: E402
+
+
+def decode_entities(expr: str) -> str:
+    e = expr
+    for ent, ch in H.ENTITIES:
+        e = f"replace({e}, {q(ent)}, {q(ch)})"
+    return e
+
+
+def drop_script_style(expr: str) -> str:
+    return rr(rr(expr, H.SCRIPT_STYLE, "<x>"), H.COMMENT, "<x>")
+
+
+def has_body(expr: str) -> str:
+    return f"regexp_matches({expr}, {q(H.BODY_OPEN)})"
+
+
+def body_html(expr: str) -> str:
+    inner = f"regexp_extract({drop_script_style(expr)}, {q(H.BODY)}, 1)"
+    return rr(inner, H.BODY_CLOSE_REST, "")
+
+
+def body_text(expr: str) -> str:
+    nodes = f"string_split_regex({body_html(expr)}, {q(H.TAG)})"
+    nodes = f"list_transform({nodes}, lambda n: {rr(decode_entities('n'), T.STRIP, '')})"
+    return f"array_to_string(list_filter({nodes}, lambda n: n <> ''), chr(10))"
+
+
+def page_title(expr: str) -> str:
+    t = decode_entities(f"regexp_extract({expr}, {q(H.TITLE)}, 1)")
+    return (f"(CASE WHEN NOT regexp_matches({expr}, {q(H.TITLE_OPEN)}) THEN {q(H.DEFAULT_TITLE)} "
+            f"WHEN {t} = '' THEN NULL ELSE {t} END)")
+
+
+def sanitize_filename(expr: str) -> str:
+    return strip(f"replace({rr(expr, H.FILENAME_BAD, '')}, ' ', '_')")
+
+
+def page_filename(expr: str) -> str:
+    return f"({sanitize_filename(page_title(expr))} || '.txt')"
+
+
+def anchor_hrefs(expr: str) -> str:
+    tags = f"regexp_extract_all({body_html(expr)}, {q(H.ANCHOR)}, 0)"
+    tags = f"list_filter({tags}, lambda t: regexp_matches(t, {q(H.HAS_HREF)}))"
+    val = (f"CASE WHEN regexp_matches(t, {q(H.HREF_DQ)}) THEN regexp_extract(t, {q(H.HREF_DQ)}, 1) "
+           f"WHEN regexp_matches(t, {q(H.HREF_SQ)}) THEN regexp_extract(t, {q(H.HREF_SQ)}, 1) "
+           f"ELSE regexp_extract(t, {q(H.HREF_UQ)}, 1) END")
+    return f"list_transform({tags}, lambda t: {decode_entities(val)})"
+
+
+def _remove_dots(segs: str) -> str:
+    folded = (f"list_reduce({segs}, lambda acc, s: CASE WHEN s = '..' THEN acc[1:len(acc)-1] "
+              f"WHEN s = '.' THEN acc ELSE list_append(acc, s) END, []::VARCHAR[])")
+    folded = (f"(CASE WHEN {segs}[-1] IN ('.', '..') THEN list_append({folded}, '') "
+              f"ELSE {folded} END)")
+    path = f"array_to_string({folded}, '/')"
+    return (f"(CASE WHEN {path} = '' THEN '/' WHEN NOT starts_with({path}, '/') "
+            f"THEN '/' || {path} ELSE {path} END)")
+
+
+def resolve_url(base: str, href: str) -> str:
+    b, h = base, href
+    site = f"regexp_extract({b}, {q(H.SITE)}, 1)"
+    scheme = f"regexp_extract({b}, {q('^([a-zA-Z][a-zA-Z0-9+.-]*):')}, 1)"
+    b_nofrag = f"regexp_replace({b}, '#.*$', '')"
+    b_noquery = f"regexp_replace({b_nofrag}, {q(chr(92) + '?.*$')}, '')"
+    b_path = f"regexp_extract({b}, {q(H.URL_PATH)}, 1)"
+    h_path = f"regexp_extract({h}, {q(H.REF_PATH)}, 1)"
+    h_rest = f"substr({h}, length({h_path}) + 1)"
+    b_parts0 = f"string_split({b_path}, '/')"
+    b_parts = (f"(CASE WHEN {b_parts0}[-1] <> '' THEN {b_parts0}[1:len({b_parts0})-1] "
+               f"ELSE {b_parts0} END)")
+    rel0 = f"list_concat({b_parts}, string_split({h_path}, '/'))"
+    rel = f"list_filter({rel0}, lambda x, i: i = 1 OR i = len({rel0}) OR x <> '')"
+    return (f"(CASE WHEN {h} = '' THEN {b} "
+            f"WHEN regexp_matches({h}, {q(H.SCHEME)}) THEN {h} "
+            f"WHEN starts_with({h}, '//') THEN {scheme} || ':' || {h} "
+            f"WHEN starts_with({h}, '#') THEN {b_nofrag} || {h} "
+            f"WHEN starts_with({h}, '?') THEN {b_noquery} || {h} "
+            f"WHEN starts_with({h}, '/') THEN {site} || {_remove_dots(f'string_split({h_path}, {q(chr(47))})')} || {h_rest} "
+            f"ELSE {site} || {_remove_dots(rel)} || {h_rest} END)")
+
+
+def site_root(expr: str) -> str:
+    return f"(regexp_extract({expr}, {q(H.SITE)}, 1) || '/')"
+
+
+def has_fragment(expr: str) -> str:
+    return f"regexp_matches({expr}, {q(H.FRAGMENT)})"
