@@ -288,12 +288,14 @@ LEFT JOIN shared s ON s.doc_id = p.doc_id AND s.line_no = p.line_no AND s.next_l
 LEFT JOIN norms na ON na.doc_id = p.doc_id AND na.line_no = p.line_no
 LEFT JOIN norms nb ON nb.doc_id = p.doc_id AND nb.line_no = p.next_line"""
 
-DENSE_COS = """round(CASE WHEN sqrt(list_sum(list_transform(a, lambda x: x * x)))
-                      * sqrt(list_sum(list_transform(b, lambda x: x * x))) > 0
-  THEN list_sum(list_transform(list_zip(a, b), lambda p: p[1] * p[2]))
-       / (sqrt(list_sum(list_transform(a, lambda x: x * x)))
-          * sqrt(list_sum(list_transform(b, lambda x: x * x))))
-  ELSE 0.0 END, 6)"""
+def dense_cos(a: str, b: str) -> str:
+    na = f"sqrt(list_sum(list_transform({a}, lambda x: x * x)))"
+    nb = f"sqrt(list_sum(list_transform({b}, lambda x: x * x)))"
+    dot = f"list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2]))"
+    return f"round(CASE WHEN {na} * {nb} > 0 THEN {dot} / ({na} * {nb}) ELSE 0.0 END, 6)"
+
+
+DENSE_COS = dense_cos("a", "b")
 
 ORACLE["cosine_dense"] = f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 p AS (SELECT x.vec_id, y.vec_id AS next_id, x.v AS a, y.v AS b FROM e x JOIN e y ON y.vec_id = x.vec_id + 1)
@@ -362,3 +364,62 @@ FROM pd WHERE title IS NOT NULL GROUP BY file_name"""
 
 ORACLE["crawl_report"] = f"""WITH {PAGE_DOCS}
 SELECT file_name, CAST(count(*) AS BIGINT) AS pages_written FROM pd WHERE title IS NOT NULL GROUP BY file_name"""
+
+
+# --------------------------------------------------------------------------
+# Clustering
+# --------------------------------------------------------------------------
+
+from lexis.operators import cluster as KM  # noqa: E402
+
+SQDIST = "round(list_sum(list_transform(list_zip({x}, {c}), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6)"
+
+EMB_INIT = f"""e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+init AS (
+  SELECT CAST(row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) - 1 AS INTEGER) AS cluster_id,
+         v AS center
+  FROM (SELECT * FROM e ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT {KM.N_CLUSTERS})
+),
+asg AS (
+  SELECT vec_id, arg_min(cluster_id, (d, cluster_id)) AS cluster_id FROM (
+    SELECT e.vec_id, i.cluster_id, {SQDIST.format(x='e.v', c='i.center')} AS d FROM e, init i)
+  GROUP BY vec_id
+)"""
+
+ORACLE["kmeans_init"] = f"""WITH {EMB_INIT}
+SELECT cluster_id, dim, round(value, 6) AS value FROM (
+  SELECT cluster_id, CAST(unnest(range(len(center))) AS BIGINT) AS dim, unnest(center) AS value FROM init)"""
+
+ORACLE["cluster_assign"] = f"WITH {EMB_INIT}\nSELECT vec_id, cluster_id FROM asg"
+
+ORACLE["kmeans_update"] = f"""WITH {EMB_INIT},
+pts AS (
+  SELECT a.cluster_id, CAST(unnest(range(len(e.v))) AS BIGINT) AS dim, unnest(e.v) AS x
+  FROM e JOIN asg a USING (vec_id)
+),
+sums AS (SELECT cluster_id, dim, sum(x) AS s, count(*) AS m FROM pts GROUP BY ALL),
+cents AS (
+  SELECT cluster_id, CAST(unnest(range(len(center))) AS BIGINT) AS dim, unnest(center) AS c FROM init
+)
+SELECT c.cluster_id, CAST(coalesce(s.m, 0) AS BIGINT) AS weight, c.dim,
+  round(CASE WHEN s.m IS NULL THEN c.c ELSE s.s / s.m END, 6) AS value
+FROM cents c LEFT JOIN sums s USING (cluster_id, dim)"""
+
+ORACLE["rank_in_cluster"] = f"""WITH {EMB_INIT},
+lm AS (
+  SELECT label, dim, avg(x) AS value FROM (
+    SELECT label, CAST(unnest(range(len(v))) AS BIGINT) AS dim, unnest(v) AS x FROM e) GROUP BY ALL
+),
+qs AS (SELECT CAST(label AS BIGINT) AS query_id, list(value ORDER BY dim) AS q FROM lm GROUP BY label),
+qc AS (
+  SELECT query_id, q, arg_min(cluster_id, (d, cluster_id)) AS cluster_id FROM (
+    SELECT qs.query_id, qs.q, i.cluster_id, {SQDIST.format(x='qs.q', c='i.center')} AS d FROM qs, init i)
+  GROUP BY query_id, q
+),
+sc AS (
+  SELECT qc.query_id, e.vec_id, {dense_cos('qc.q', 'e.v')} AS similarity
+  FROM qc JOIN asg USING (cluster_id) JOIN e USING (vec_id)
+)
+SELECT query_id, CAST(rnk AS BIGINT) AS rank, vec_id, similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rnk FROM sc)
+WHERE rnk <= 5"""

@@ -381,3 +381,47 @@ def q_page_documents(spark, sf_dir):
 @register("crawl_report")
 def q_crawl_report(spark, sf_dir):
     return W.crawl_report(_t(spark, sf_dir, "pages"))
+
+
+# ---------------------------------------------------------------------------
+# Clustering (K1-K5) on the 64-d embeddings
+# ---------------------------------------------------------------------------
+
+from lexis.operators import cluster as K  # noqa: E402
+
+
+def _emb(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "embeddings")
+
+
+@register("kmeans_init")
+def q_kmeans_init(spark, sf_dir):
+    return K.to_long(K.init_centroids(_emb(spark, sf_dir), "vec_id", "embedding"))
+
+
+@register("cluster_assign")
+def q_cluster_assign(spark, sf_dir):
+    emb = _emb(spark, sf_dir)
+    model = K.model_literal(K.init_centroids(emb, "vec_id", "embedding"))
+    return K.assign(emb, "vec_id", "embedding", model)
+
+
+@register("kmeans_update")
+def q_kmeans_update(spark, sf_dir):
+    emb = _emb(spark, sf_dir)
+    init = K.init_centroids(emb, "vec_id", "embedding")
+    return K.to_long(K.update(emb, "vec_id", "embedding", init))
+
+
+@register("kmeans_batch")
+def q_kmeans_batch(spark, sf_dir):
+    return K.batch_kmeans(_emb(spark, sf_dir), "vec_id", "embedding", k=K.N_CLUSTERS)
+
+
+@register("rank_in_cluster")
+def q_rank_in_cluster(spark, sf_dir):
+    """Per-label mean vectors as questions, answered inside their cluster."""
+    emb = _emb(spark, sf_dir)
+    model = K.model_literal(K.init_centroids(emb, "vec_id", "embedding"))
+    return K.rank_in_cluster(K.label_means(emb, "label", "embedding"), emb, "vec_id",
+                             "embedding", model)
