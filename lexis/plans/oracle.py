@@ -423,3 +423,106 @@ sc AS (
 SELECT query_id, CAST(rnk AS BIGINT) AS rank, vec_id, similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rnk FROM sc)
 WHERE rnk <= 5"""
+
+
+# --------------------------------------------------------------------------
+# Normalisation, store ids, lifecycle
+# --------------------------------------------------------------------------
+
+from lexis.operators import lifecycle as LC  # noqa: E402
+from lexis.operators import normalize as NZ  # noqa: E402
+
+
+def _values(rows, cols) -> str:
+    vals = ", ".join("(" + ", ".join(S.q(v) for v in r) + ")" for r in rows)
+    return f"(VALUES {vals}) AS t({', '.join(cols)})"
+
+
+STOP = f"stop AS (SELECT * FROM {_values([(w.lower(),) for w in NZ.PORTUGUESE_STOP_WORDS], ['token'])})"
+LEX = f"lex AS (SELECT * FROM {_values(NZ.DEFAULT_LEXICON, ['surface', 'lemma'])})"
+
+
+def _normalize_sql(src: str, key: str, use_stop: bool, use_lex: bool) -> str:
+    toks = f"""toks AS (
+  SELECT {key}, pos, token FROM (
+    SELECT {key}, CAST(unnest(range(len(parts))) AS BIGINT) AS pos, unnest(parts) AS token
+    FROM (SELECT {key}, string_split_regex(text, {S.q(T.WS_RUN)}) AS parts FROM {src}))
+  WHERE regexp_matches(token, {S.q(T.ALPHA_TOKEN)})
+)"""
+    filt = "toks2 AS (SELECT * FROM toks" + (
+        " WHERE lower(token) NOT IN (SELECT token FROM stop)" if use_stop else "") + ")"
+    lem = ("toks3 AS (SELECT t.*, lower(coalesce(l.lemma, lower(t.token))) AS lemma "
+           "FROM toks2 t LEFT JOIN lex l ON l.surface = lower(t.token))") if use_lex else \
+          "toks3 AS (SELECT *, lower(token) AS lemma FROM toks2)"
+    return f"""{toks},
+{filt},
+{lem},
+agg AS (SELECT {key}, string_agg(lemma, ' ' ORDER BY pos) AS text FROM toks3 GROUP BY {key})
+SELECT d.{key}, coalesce(a.text, '') AS text FROM {src} d LEFT JOIN agg a USING ({key})"""
+
+
+CLEANED = f"cleaned AS (SELECT doc_id, {S.clean_text('text')} AS text FROM documents)"
+
+ORACLE["remove_stopwords"] = f"WITH {STOP}, {LEX}, {CLEANED},\n" + _normalize_sql("cleaned", "doc_id", True, False)
+ORACLE["lemmatize"] = f"WITH {STOP}, {LEX}, {CLEANED},\n" + _normalize_sql("cleaned", "doc_id", False, True)
+ORACLE["normalize_text"] = f"WITH {STOP}, {LEX}, {CLEANED},\n" + _normalize_sql("cleaned", "doc_id", True, True)
+
+ROUTED = f"""f AS (
+  SELECT source || '/' || CAST(doc_id AS VARCHAR) || {_ext_case('lang')} AS path, text FROM documents
+), n AS (
+  SELECT path, text, string_split(path, '/')[-1] AS name FROM f
+), k AS (
+  SELECT path, text, name, CASE WHEN suffix(name, '.pdf') THEN 'pdf'
+                                WHEN suffix(name, '.txt') THEN 'txt' END AS kind FROM n
+), routed AS (
+  SELECT CASE WHEN kind = 'pdf' THEN {S.q(SF.PROCESSED_PREFIX)} || regexp_replace(name, '\\.[^.]*$', '') || '.txt'
+              ELSE {S.q(SF.PROCESSED_PREFIX)} || name END AS output_filename,
+         CASE WHEN kind = 'pdf' THEN array_to_string(list_transform({S.split_lines('text')}, lambda p: p || chr(10)), '')
+              ELSE text END AS text
+  FROM k WHERE kind IS NOT NULL
+), cleaned AS (SELECT output_filename, {S.clean_text('text')} AS text FROM routed)"""
+
+ORACLE["preprocess_files"] = f"WITH {STOP}, {LEX}, {ROUTED},\n" + _normalize_sql("cleaned", "output_filename", True, True)
+
+ORACLE["document_store"] = f"""WITH {LINES},\n{STORE}
+SELECT CAST(row_number() OVER (ORDER BY doc_id, line_no) AS BIGINT) AS id, doc_id, line_no, content FROM store"""
+
+ORACLE["training_outcome"] = f"""WITH {LINES},\n{STORE}
+SELECT 'completed' AS result, (SELECT CAST(count(*) AS BIGINT) FROM store) AS documents_processed,
+  (SELECT CAST(sum(len({S.split_lines('text', T.UNIVERSAL_NEWLINE)})) AS BIGINT) FROM documents) AS total_documents"""
+
+ORACLE["training_progress"] = """WITH b AS (
+  SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS batch_id, count(*) AS n,
+         min(epoch(ts)) AS started, max(epoch(ts)) AS ended FROM events GROUP BY 1
+), r AS (
+  SELECT batch_id, n, CAST(sum(n) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS processed,
+         CAST(sum(n) OVER () AS BIGINT) AS total, ended - min(started) OVER () AS elapsed FROM b
+), s AS (
+  SELECT *, CASE WHEN elapsed > 0 THEN processed / elapsed ELSE 0.0 END AS rate FROM r
+)
+SELECT batch_id, CAST(n AS BIGINT) AS n, processed, total,
+  round(CASE WHEN total > 0 THEN processed * 100.0 / total ELSE 0.0 END, 6) AS percent,
+  round(rate, 6) AS docs_per_second,
+  round(CASE WHEN rate > 0 THEN greatest(0.0, total / rate - elapsed) ELSE 0.0 END, 6) AS remaining_seconds
+FROM s"""
+
+MANIFEST = """days AS (
+  SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS e,
+         count(*) FILTER (WHERE event_type = 'click') AS c FROM events GROUP BY 1
+), manifest AS (
+  SELECT CAST(row_number() OVER (ORDER BY day) AS BIGINT) AS version,
+         CAST(sum(n) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS processed,
+         e <= c AS valid FROM days
+)"""
+
+ORACLE["latest_snapshot"] = f"""WITH {MANIFEST}
+SELECT count(*) > 0 AS found, CAST(max(version) AS BIGINT) AS version,
+       CAST(arg_max(processed, version) AS BIGINT) AS processed FROM manifest WHERE valid"""
+
+ORACLE["snapshot_retention"] = f"""WITH {MANIFEST}
+SELECT version, row_number() OVER (ORDER BY version DESC) <= {LC.MAX_CHECKPOINTS} AS keep FROM manifest"""
+
+ORACLE["model_summary"] = f"""WITH {LINES},\n{STORE}
+SELECT count(*) > 0 AS trained, CAST(count(*) AS BIGINT) AS documents_processed,
+  {S.q(LC.SUMMARY_PREFIX)} || CASE WHEN count(*) > 0 THEN {S.q(LC.TRAINED)} ELSE {S.q(LC.NOT_TRAINED)} END
+  || {S.q(LC.SUMMARY_COUNT)} || CAST(count(*) AS VARCHAR) AS summary FROM store"""

@@ -425,3 +425,114 @@ def q_rank_in_cluster(spark, sf_dir):
     model = K.model_literal(K.init_centroids(emb, "vec_id", "embedding"))
     return K.rank_in_cluster(K.label_means(emb, "label", "embedding"), emb, "vec_id",
                              "embedding", model)
+
+
+# ---------------------------------------------------------------------------
+# Normalisation (T5-T9), store ids (S10), catalog (S1)
+# ---------------------------------------------------------------------------
+
+from lexis.operators import lifecycle as L  # noqa: E402
+from lexis.operators import normalize as NZ  # noqa: E402
+from lexis.operators.store import assign_ids  # noqa: E402
+
+
+def _cleaned_documents(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", TX.clean_text("text").alias("text"))
+
+
+@register("remove_stopwords")
+def q_remove_stopwords(spark, sf_dir):
+    return NZ.normalize_text(_cleaned_documents(spark, sf_dir), "doc_id", "text",
+                             NZ.stop_words_df(spark), None)
+
+
+@register("lemmatize")
+def q_lemmatize(spark, sf_dir):
+    return NZ.normalize_text(_cleaned_documents(spark, sf_dir), "doc_id", "text",
+                             None, NZ.lexicon_df(spark))
+
+
+@register("normalize_text")
+def q_normalize_text(spark, sf_dir):
+    return NZ.normalize_text(_cleaned_documents(spark, sf_dir), "doc_id", "text",
+                             NZ.stop_words_df(spark), NZ.lexicon_df(spark))
+
+
+def _routed_files(spark, sf_dir) -> DataFrame:
+    """Documents as a folder of .txt/.pdf/other files; a .pdf's pages are its lines."""
+    docs = _t(spark, sf_dir, "documents")
+    files = SF.route_files(SF.as_text_files(docs, SF.EXT_BY_LANG)).join(
+        SF.as_text_files(docs, SF.EXT_BY_LANG).select("path", "text"), "path")
+    paged = F.array_join(F.transform(TX.split_lines("text"), lambda p: F.concat(p, F.lit("\n"))), "")
+    return files.withColumn("text", F.when(F.col("kind") == "pdf", paged).otherwise(F.col("text")))
+
+
+@register("preprocess_files")
+def q_preprocess_files(spark, sf_dir):
+    return NZ.preprocess_files(_routed_files(spark, sf_dir), NZ.stop_words_df(spark),
+                               NZ.lexicon_df(spark))
+
+
+@register("document_store")
+def q_document_store(spark, sf_dir):
+    """The store with ids 1..N in insert order (document, then line)."""
+    return assign_ids(_store(spark, sf_dir), ["doc_id", "line_no"]) \
+        .select("id", "doc_id", "line_no", "content")
+
+
+@register("dataset_catalog")
+def q_dataset_catalog(spark, sf_dir):
+    return SF.dataset_catalog(spark, sf_dir, ".parquet").select("path", "length")
+
+
+# ---------------------------------------------------------------------------
+# Lifecycle metrics (L5, L6, L8-L10)
+# ---------------------------------------------------------------------------
+
+
+@register("training_outcome")
+def q_training_outcome(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    return L.training_outcome(_store(spark, sf_dir), docs.select(TX.count_lines("text").alias("n")))
+
+
+def _hour_batches(spark, sf_dir) -> DataFrame:
+    ev = _t(spark, sf_dir, "events")
+    micros = L.epoch_micros("ts")
+    return (ev.groupBy((F.floor(micros / 3_600_000_000) * 3600).cast("bigint").alias("batch_id"))
+              .agg(F.count(F.lit(1)).alias("n"), F.min(micros / 1e6).alias("started"),
+                   F.max(micros / 1e6).alias("ended")))
+
+
+@register("training_progress")
+def q_training_progress(spark, sf_dir):
+    return L.batch_progress(_hour_batches(spark, sf_dir))
+
+
+def _day_manifest(spark, sf_dir) -> DataFrame:
+    """One snapshot per day of events; a day with more errors than clicks
+    stands for a snapshot that failed verification."""
+    ev = _t(spark, sf_dir, "events")
+    days = ev.groupBy(F.to_date("ts").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("_e"),
+        F.count_if(F.col("event_type") == "click").alias("_c"))
+    from pyspark.sql import Window
+    run = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    return days.select(F.row_number().over(Window.orderBy("day")).cast("bigint").alias("version"),
+                       F.sum("n").over(run).cast("bigint").alias("processed"),
+                       (F.col("_e") <= F.col("_c")).alias("valid"))
+
+
+@register("latest_snapshot")
+def q_latest_snapshot(spark, sf_dir):
+    return L.latest_snapshot(_day_manifest(spark, sf_dir))
+
+
+@register("snapshot_retention")
+def q_snapshot_retention(spark, sf_dir):
+    return L.snapshot_retention(_day_manifest(spark, sf_dir))
+
+
+@register("model_summary")
+def q_model_summary(spark, sf_dir):
+    return L.model_summary(_store(spark, sf_dir))
