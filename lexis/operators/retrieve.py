@@ -102,7 +102,7 @@ def score_candidates(queries: DataFrame, store: DataFrame, keys: Sequence[str],
 
 def rank_content(queries: DataFrame, store: DataFrame, keys: Sequence[str] = ("doc_id", "line_no"),
                  k: int = TOP_K, candidates: int | None = None,
-                 num_features: int = NUM_FEATURES) -> DataFrame:
+                 num_features: int = NUM_FEATURES, doc_vectors: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, keys..., similarity): top-k documents per question.
 
     ``candidates=None`` ranks the whole store; ``candidates=n`` ranks a
@@ -110,11 +110,13 @@ def rank_content(queries: DataFrame, store: DataFrame, keys: Sequence[str] = ("d
     key order.  When fewer than k documents share a term with a question, the
     list is padded with the lowest-key documents at similarity 0.0 (as a
     sorted candidate list would be), never beyond the store size.
+    ``doc_vectors`` (keys..., feature, tf, norm) may be given when they were
+    computed at ingest (the store is then only read for padding keys).
     """
     keys = list(keys)
     if candidates is not None:
         return _top_k(score_candidates(queries, store, keys, candidates, num_features), keys, k)
-    dvec = vectors(store, keys, "content", num_features)
+    dvec = doc_vectors if doc_vectors is not None else vectors(store, keys, "content", num_features)
     hits = _top_k(_scores(question_vectors(queries, num_features), dvec, keys), keys, k)
     # Padding: the k lowest keys (a bounded sort-limit), paired with each question.
     pad_rows = store.select(*keys).orderBy(*keys).limit(k).collect()

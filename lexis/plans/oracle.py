@@ -526,3 +526,23 @@ ORACLE["model_summary"] = f"""WITH {LINES},\n{STORE}
 SELECT count(*) > 0 AS trained, CAST(count(*) AS BIGINT) AS documents_processed,
   {S.q(LC.SUMMARY_PREFIX)} || CASE WHEN count(*) > 0 THEN {S.q(LC.TRAINED)} ELSE {S.q(LC.NOT_TRAINED)} END
   || {S.q(LC.SUMMARY_COUNT)} || CAST(count(*) AS VARCHAR) AS summary FROM store"""
+
+
+# --------------------------------------------------------------------------
+# Streaming jobs (exact on their outcome counts / answers)
+# --------------------------------------------------------------------------
+
+ORACLE["train_corpus"] = f"""WITH {LINES},\n{STORE}
+SELECT 'completed' AS result, (SELECT CAST(count(*) AS BIGINT) FROM store) AS documents_processed,
+  (SELECT CAST(sum(len({S.split_lines('text', T.UNIVERSAL_NEWLINE)})) AS BIGINT) FROM documents) AS total_documents"""
+
+ORACLE["increment_corpus"] = f"""WITH {LINES},\n{STORE},
+s AS (SELECT s.*, d.lang FROM store s JOIN documents d USING (doc_id))
+SELECT 'completed' AS result,
+  (SELECT CAST(count(*) AS BIGINT) FROM s WHERE lang IN ('de', 'es')) AS new_documents_processed,
+  (SELECT CAST(count(*) AS BIGINT) FROM s) AS documents_processed"""
+
+_QS_CONV = "qs AS (SELECT conv_id * 1000000 + turn AS query_id, text AS query FROM conversations WHERE role = 'user')"
+ORACLE["answer_stream"] = (f"WITH {LINES},\n{STORE},\n{DVEC},\n"
+                           + QVEC.replace("qs AS (SELECT item_id AS query_id, text AS query FROM benchmark)", _QS_CONV)
+                           + f",\n{SCORES},\n{RANKED},\n" + answer_sql("ranked"))

@@ -536,3 +536,61 @@ def q_snapshot_retention(spark, sf_dir):
 @register("model_summary")
 def q_model_summary(spark, sf_dir):
     return L.model_summary(_store(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Streaming (L1-L4, L7, R7).  Inputs are written by Spark from the fixture
+# tables into a fresh folder under the shared checkpoint root.
+# ---------------------------------------------------------------------------
+
+import uuid as _uuid  # noqa: E402
+
+
+def _scratch(spark, label: str) -> str:
+    return f"{checkpoint_root(spark).rstrip('/')}/{label}-{_uuid.uuid4().hex[:10]}"
+
+
+def _corpus_files(spark, sf_dir, folder: str, langs=None) -> str:
+    """documents.text written as text files, one file per source."""
+    docs = _t(spark, sf_dir, "documents")
+    if langs is not None:
+        docs = docs.filter(F.col("lang").isin(*langs))
+    docs.select("source", "text").write.partitionBy("source").text(folder)
+    return folder
+
+
+@register("train_corpus")
+def q_train_corpus(spark, sf_dir):
+    from lexis.streaming.train import CorpusTrainer
+    root = _scratch(spark, "train")
+    files = _corpus_files(spark, sf_dir, f"{root}/in")
+    trainer = CorpusTrainer(spark, f"{root}/state", max_files_per_trigger=8)
+    return trainer.train(files).select("result", "documents_processed", "total_documents")
+
+
+@register("increment_corpus")
+def q_increment_corpus(spark, sf_dir):
+    """Train on English/French documents, then increment with German/Spanish."""
+    from lexis.streaming.train import CorpusTrainer
+    root = _scratch(spark, "increment")
+    trainer = CorpusTrainer(spark, f"{root}/state", max_files_per_trigger=8)
+    trainer.train(_corpus_files(spark, sf_dir, f"{root}/a", ["en", "fr"]), "a")
+    out = trainer.train(_corpus_files(spark, sf_dir, f"{root}/b", ["de", "es"]), "b")
+    return out.select("result", "new_documents_processed", "documents_processed")
+
+
+@register("answer_stream")
+def q_answer_stream(spark, sf_dir):
+    """User turns of the conversations, streamed as questions."""
+    from lexis.streaming.answer import prepare_store_tables, start_answer_stream
+    root = _scratch(spark, "answers")
+    store_t, vec_t = prepare_store_tables(spark, _t(spark, sf_dir, "documents"), f"{root}/tables")
+    conv = _t(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    qs = conv.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("query_id"),
+                     F.col("text").alias("query"))
+    qs.repartition(4).write.parquet(f"{root}/questions")
+    q = start_answer_stream(spark, f"{root}/questions", "query_id bigint, query string",
+                            store_t, vec_t, f"{root}/sink", f"{root}/_ckpt",
+                            max_files_per_trigger=1)
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/sink").select("query_id", "answer")
