@@ -42,15 +42,24 @@ WS_RUN = rf"[{WS}]+"
 # boundaries matter, because tokens that are not purely alphanumeric are
 # dropped afterwards.  (pattern, replacement), applied in order.
 TOKENIZE_RULES: list[tuple[str, str]] = [
-    (r"[;@#$%&?!*\"“”«»‘’„`(){}<>\[\]]", " "),
-    (r"--", " "),
-    (r"\.{2,}", " "),
+    # punctuation marks, double dashes and ellipses become separators
+    # (independent replacements, so one alternation pass is exact)
+    (r"[;@#$%&?!*\"“”«»‘’„`(){}<>\[\]]|--|\.{2,}", " "),
     (r"([:,])([^0-9])", " $2"),
     (r"[:,]\z", " "),
     (rf"([^.])\.(['{WS}]|\z)", "$1 $2"),
     (rf"(?i)([^' ])('s|'m|'d|'ll|'re|'ve|n't|')([{WS}]|\z)", "$1 $2 $3"),
 ]
 ALNUM_TOKEN = r"^[\p{L}\p{N}]+$"
+# Whitespace other than the ASCII space.
+OTHER_WS = (r"[\t-\r\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}"
+            r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+# The tokenizer rules once all whitespace is a plain space (same matches).
+SPACE_TOKENIZE_RULES = [(p.replace(WS, " "), r) for p, r in TOKENIZE_RULES]
+# A space-delimited token holding a character that is not a letter or number,
+# matched with the space before it: a match can only start at a token
+# boundary and the alphanumeric prefix never backtracks far (linear time).
+SPACE_NON_ALNUM_TOKEN = r"(\A| )[\p{L}\p{N}]*[^\p{L}\p{N} ][^ ]*"
 ALPHA_TOKEN = r"^\p{L}+$"
 # Vectoriser token pattern: maximal runs of two or more word characters.
 TERM = rf"[{WORD}]{{2,}}"
@@ -143,14 +152,39 @@ def word_tokens(col) -> Column:
     return F.transform(toks, lambda t: F.lower(t))
 
 
+def to_spaces(col) -> Column:
+    """Every Python whitespace character -> one ASCII space (1:1, so all
+    positions are kept).  Later patterns can then use a literal space, which
+    Java matches far faster than the full whitespace class."""
+    return F.regexp_replace(_c(col), OTHER_WS, " ")
+
+
 def preprocess_text(col) -> Column:
-    """Tokenise, keep all-alphanumeric tokens, lower-case, join by one space."""
-    return F.array_join(word_tokens(col), " ")
+    """Tokenise, keep all-alphanumeric tokens, lower-case, join by one space.
+
+    Same result as ``array_join(word_tokens(col), ' ')`` but as whole-string
+    passes (no per-token lambdas): whitespace -> space, punctuation rules,
+    drop every token holding a non-alphanumeric character, squeeze spaces,
+    lower-case once.
+    """
+    c = to_spaces(col)
+    for pattern, repl in SPACE_TOKENIZE_RULES:
+        c = F.regexp_replace(c, pattern, repl)
+    c = F.regexp_replace(c, SPACE_NON_ALNUM_TOKEN, "$1")
+    return F.lower(F.trim(F.regexp_replace(c, " {2,}", " ")))
+
+
+def non_blank(col) -> Column:
+    """True when the text has a non-whitespace character (str.strip() != '')."""
+    return _c(col).rlike(f"[^{WS}]")
 
 
-def term_tokens(col) -> Column:
-    """Vectoriser tokens: lower-case, runs of >= 2 word characters."""
-    return F.regexp_extract_all(F.lower(_c(col)), F.lit(TERM), F.lit(0))
+def term_tokens(col, lowercase: bool = True) -> Column:
+    """Vectoriser tokens: lower-case, runs of >= 2 word characters.
+    ``lowercase=False`` skips the lower-casing pass for text that is already
+    lower case (the store's preprocessed content)."""
+    c = F.lower(_c(col)) if lowercase else _c(col)
+    return F.regexp_extract_all(c, F.lit(TERM), F.lit(0))
 
 
 def alpha_tokens(col) -> Column:

@@ -12,6 +12,7 @@ Plan shape (whole-store mode)::
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lexis.functions.text import preprocess_text
 from lexis.operators.vectorize import NUM_FEATURES, cosine_from_dot, vectors
-from lexis.session import checked_broadcast
+from lexis.session import checked_broadcast, checkpoint_root
 
 # Answer texts of the reference, verbatim.
 NOT_TRAINED = ("O modelo ainda não foi treinado. Por favor, conclua o treinamento "
@@ -48,7 +49,7 @@ def candidate_sample(store: DataFrame, keys: Sequence[str], n: int = SAMPLE_SIZE
 def question_vectors(queries: DataFrame, num_features: int = NUM_FEATURES) -> DataFrame:
     """(query_id, feature, tf, norm) of the preprocessed question text."""
     q = queries.select("query_id", preprocess_text("query").alias("_pq"))
-    return vectors(q, ["query_id"], "_pq", num_features) \
+    return vectors(q, ["query_id"], "_pq", num_features, lowercase=False) \
         .withColumnRenamed("tf", "qtf").withColumnRenamed("norm", "qnorm")
 
 
@@ -71,9 +72,10 @@ def _top_k(scored: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
 
 
 def _keys_literal(rows, keys: Sequence[str]) -> Column:
-    """A bounded list of key tuples as an array<struct> literal."""
-    return F.array(*[F.struct(*[F.lit(r[k]).alias(k) for k in keys]) for r in rows]) \
-        if rows else F.array().cast(f"array<struct<{','.join(k + ':bigint' for k in keys)}>>")
+    """A bounded list of key tuples as one constant-folded array<struct> literal."""
+    schema = f"array<struct<{','.join(k + ':bigint' for k in keys)}>>"
+    payload = json.dumps([{k: int(r[k]) for k in keys} for r in rows])
+    return F.from_json(F.lit(payload), schema)
 
 
 def _pair_with(queries: DataFrame, rows, keys: Sequence[str]) -> DataFrame:
@@ -94,7 +96,7 @@ def score_candidates(queries: DataFrame, store: DataFrame, keys: Sequence[str],
     sample = candidate_sample(store, keys, n)
     rows = sample.select(*keys).collect()  # <= n rows by construction
     dvec = vectors(store.join(F.broadcast(sample.select(*keys)), keys, "left_semi"),
-                   keys, "content", num_features)
+                   keys, "content", num_features, lowercase=False)
     pos = _scores(question_vectors(queries, num_features), dvec, keys)
     return (_pair_with(queries, rows, keys).join(pos, ["query_id", *keys], "left")
                  .withColumn("similarity", F.coalesce("similarity", F.lit(0.0))))
@@ -116,11 +118,20 @@ def rank_content(queries: DataFrame, store: DataFrame, keys: Sequence[str] = ("d
     keys = list(keys)
     if candidates is not None:
         return _top_k(score_candidates(queries, store, keys, candidates, num_features), keys, k)
-    dvec = doc_vectors if doc_vectors is not None else vectors(store, keys, "content", num_features)
+    dvec = doc_vectors if doc_vectors is not None else vectors(store, keys, "content", num_features,
+                                                                    lowercase=False)
     hits = _top_k(_scores(question_vectors(queries, num_features), dvec, keys), keys, k)
-    # Padding: the k lowest keys (a bounded sort-limit), paired with each question.
+    # The ranking pass runs once: its (questions x k) result is cut from its
+    # lineage with a reliable checkpoint in the shared checkpoint folder.
+    checkpoint_root(queries.sparkSession)
+    hits = hits.checkpoint(eager=True)
+    full = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k)
+    short = queries.select("query_id").join(full, "query_id", "left_anti")
+    if short.limit(1).count() == 0:
+        return hits
+    # Padding (rare): the k lowest keys (a bounded sort-limit) at similarity 0.
     pad_rows = store.select(*keys).orderBy(*keys).limit(k).collect()
-    pad = _pair_with(queries, pad_rows, keys).withColumn("similarity", F.lit(0.0))
+    pad = _pair_with(short, pad_rows, keys).withColumn("similarity", F.lit(0.0))
     merged = (hits.drop("rank").unionByName(pad)
                   .groupBy("query_id", *keys).agg(F.max("similarity").alias("similarity")))
     return _top_k(merged, keys, k)

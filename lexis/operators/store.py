@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexis.functions.text import preprocess_text, py_strip, split_lines
+from lexis.functions.text import non_blank, preprocess_text, split_lines
 
 DOC_KEYS = ("doc_id", "line_no")
 
@@ -23,10 +23,11 @@ def line_documents(documents: DataFrame, id_col: str = "doc_id",
 def process_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """Strip, drop blank lines, tokenise: the store's ``content``.
 
-    A line of pure punctuation is kept as an empty document.
+    A line of pure punctuation is kept as an empty document.  (Stripping
+    before tokenising cannot change the tokens, so only blankness is tested.)
     """
-    stripped = lines.withColumn("_s", py_strip(line_col)).filter(F.col("_s") != "")
-    return stripped.withColumn("content", preprocess_text("_s")).drop("_s", line_col)
+    return lines.filter(non_blank(line_col)) \
+                .withColumn("content", preprocess_text(line_col)).drop(line_col)
 
 
 def build_store(documents: DataFrame, id_col: str = "doc_id",

@@ -45,9 +45,9 @@ def term_frequency(df: DataFrame, keys: Sequence[str], text_col: str) -> DataFra
 
 
 def hashed_tf(df: DataFrame, keys: Sequence[str], text_col: str,
-              num_features: int = NUM_FEATURES) -> DataFrame:
+              num_features: int = NUM_FEATURES, lowercase: bool = True) -> DataFrame:
     """(keys..., feature, tf): hashed term counts, collisions add up."""
-    return (df.select(*keys, F.explode(term_tokens(text_col)).alias("term"))
+    return (df.select(*keys, F.explode(term_tokens(text_col, lowercase)).alias("term"))
               .select(*keys, feature_bucket("term", num_features).alias("feature"))
               .groupBy(*keys, "feature").agg(F.count(F.lit(1)).cast("double").alias("tf")))
 
@@ -60,9 +60,9 @@ def with_norm(tf: DataFrame, keys: Sequence[str], value: str = "tf",
 
 
 def vectors(df: DataFrame, keys: Sequence[str], text_col: str,
-            num_features: int = NUM_FEATURES) -> DataFrame:
+            num_features: int = NUM_FEATURES, lowercase: bool = True) -> DataFrame:
     """(keys..., feature, tf, norm)."""
-    return with_norm(hashed_tf(df, keys, text_col, num_features), keys)
+    return with_norm(hashed_tf(df, keys, text_col, num_features, lowercase), keys)
 
 
 def l2_normalize(vec: DataFrame) -> DataFrame:
@@ -90,12 +90,12 @@ def dense_cosine(a, b, digits: int = 6) -> Column:
 
 
 def adjacent_cosine(store: DataFrame, doc: str, line: str, text: str,
-                    num_features: int = NUM_FEATURES) -> DataFrame:
+                    num_features: int = NUM_FEATURES, lowercase: bool = True) -> DataFrame:
     """(doc, line, next_line, similarity): cosine of each line with the next
     stored line of the same document.  Every join and window is keyed by the
     document, so a store hash-partitioned by ``doc`` needs no further shuffle.
     """
-    vec = vectors(store.select(doc, line, text), [doc, line], text, num_features)
+    vec = vectors(store.select(doc, line, text), [doc, line], text, num_features, lowercase)
     w = Window.partitionBy(doc).orderBy(line)
     pairs = (store.select(doc, line, F.lead(line).over(w).alias("next_line"))
                   .filter(F.col("next_line").isNotNull()))

@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexis.functions.text import WS as TX_WS
 from lexis.operators import retrieve as R
 from lexis.operators.store import DOC_KEYS, build_store
-from lexis.session import read_table
+from lexis.session import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -26,8 +27,11 @@ def register(name: str):
     return deco
 
 
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, sf_dir, name)
+def _t(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
+    """A fixture table; ``wide=True`` for row-local text work that should use
+    every core even when the scan has few splits (see ``spread``)."""
+    df = read_table(spark, sf_dir, name)
+    return spread(df) if wide else df
 
 
 # ---------------------------------------------------------------------------
@@ -85,7 +89,9 @@ def q_generate_response(spark, sf_dir):
 def answer_queries_df(spark, sf_dir) -> DataFrame:
     questions = _questions(spark, sf_dir)
     store = _store(spark, sf_dir)
-    if store.limit(1).count() == 0:
+    # trained <=> the store is not empty <=> some document has a non-blank line
+    docs = _t(spark, sf_dir, "documents")
+    if docs.filter(F.col("text").rlike(f"[^{TX_WS}]")).limit(1).count() == 0:
         return questions.select("query_id", F.lit(R.NOT_TRAINED).alias("answer"))
     ranked = R.rank_content(questions, store, DOC_KEYS)
     info = R.attach_content(ranked, _content_store(spark, sf_dir, ranked), DOC_KEYS)
@@ -107,7 +113,7 @@ from lexis.sources import files as SF  # noqa: E402
 
 @register("line_documents")
 def q_line_documents(spark, sf_dir):
-    return line_documents(_t(spark, sf_dir, "documents"))
+    return line_documents(_t(spark, sf_dir, "documents", wide=True))
 
 
 @register("total_documents")
@@ -145,7 +151,7 @@ INJECT_LINE = "\x07\x08"                   # a line that cleans to nothing
 
 
 def _dirty_documents(spark, sf_dir) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents")
+    docs = _t(spark, sf_dir, "documents", wide=True)
     return docs.select("doc_id", "lang", F.concat(
         F.lit(INJECT_HEAD), F.regexp_replace("text", "\n", F.lit(INJECT_TAIL + "\n")),
         F.lit("\n" + INJECT_LINE)).alias("text"))
@@ -193,7 +199,7 @@ def q_strip_page_numbers(spark, sf_dir):
 
 
 def _with_headers(spark, sf_dir) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents")
+    docs = _t(spark, sf_dir, "documents", wide=True)
     return docs.select("doc_id", F.concat(
         F.lit(TX.CHAPTER_MARKER + " "), F.col("doc_id").cast("string"), F.lit("\n"),
         F.regexp_replace("text", "\n", F.lit("\nx " + TX.CHAPTER_MARKER + " y\n")),
@@ -206,9 +212,9 @@ def q_strip_headers(spark, sf_dir):
 
 
 def _with_urls(spark, sf_dir) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").select(F.lit("doc").alias("src"),
+    docs = _t(spark, sf_dir, "documents", wide=True).select(F.lit("doc").alias("src"),
                                                   F.col("doc_id").alias("id"), "text")
-    pages = _t(spark, sf_dir, "pages").select(
+    pages = _t(spark, sf_dir, "pages", wide=True).select(
         F.lit("page").alias("src"), F.col("page_id").alias("id"),
         F.concat(F.lit("see "), F.col("url"), F.lit(" and "), F.col("url"),
                  F.lit("\tdone")).alias("text"))
@@ -222,17 +228,17 @@ def q_strip_urls(spark, sf_dir):
 
 @register("strip_symbols")
 def q_strip_symbols(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", TX.strip_symbols("text").alias("text"))
+    return _t(spark, sf_dir, "documents", wide=True).select("doc_id", TX.strip_symbols("text").alias("text"))
 
 
 @register("collapse_ws")
 def q_collapse_ws(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", TX.collapse_ws("text").alias("text"))
+    return _t(spark, sf_dir, "documents", wide=True).select("doc_id", TX.collapse_ws("text").alias("text"))
 
 
 def _messy_documents(spark, sf_dir) -> DataFrame:
     """Headers, page numbers and URLs injected around every document."""
-    docs = _t(spark, sf_dir, "documents")
+    docs = _t(spark, sf_dir, "documents", wide=True)
     return docs.select("doc_id", F.concat(
         F.lit(TX.CHAPTER_MARKER + " "), F.col("doc_id").cast("string"), F.lit("\n"),
         F.regexp_replace("text", "\n", F.lit("\n7\n")),
@@ -254,7 +260,7 @@ from lexis.operators import vectorize as V  # noqa: E402
 
 @register("preprocess_text")
 def q_preprocess_text(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", TX.preprocess_text("text").alias("text"))
+    return _t(spark, sf_dir, "documents", wide=True).select("doc_id", TX.preprocess_text("text").alias("text"))
 
 
 @register("process_batch")
@@ -264,7 +270,7 @@ def q_process_batch(spark, sf_dir):
 
 @register("term_tokens")
 def q_term_tokens(spark, sf_dir):
-    return V.explode_terms(_t(spark, sf_dir, "documents"), ["doc_id"], "text")
+    return V.explode_terms(_t(spark, sf_dir, "documents", wide=True), ["doc_id"], "text")
 
 
 @register("term_frequency")
@@ -290,7 +296,7 @@ def q_tf_l2(spark, sf_dir):
 def q_cosine_terms(spark, sf_dir):
     """Cosine between each stored line and the next line of its document."""
     store = _store(spark, sf_dir)
-    return V.adjacent_cosine(store, "doc_id", "line_no", "content")
+    return V.adjacent_cosine(store, "doc_id", "line_no", "content", lowercase=False)
 
 
 @register("cosine_dense")
@@ -311,12 +317,12 @@ from lexis.session import checkpoint_root  # noqa: E402
 
 @register("page_text")
 def q_page_text(spark, sf_dir):
-    return W.page_text(_t(spark, sf_dir, "pages"))
+    return W.page_text(_t(spark, sf_dir, "pages", wide=True))
 
 
 def _pages_some_without_body(spark, sf_dir) -> DataFrame:
     """Plain-http pages lose their <body> tags (so they have no body)."""
-    pages = _t(spark, sf_dir, "pages")
+    pages = _t(spark, sf_dir, "pages", wide=True)
     stripped = F.regexp_replace("html", r"(?i)</?body[^>]*>", "")
     return pages.select("page_id", "url", F.when(F.col("url").startswith("http://"), stripped)
                         .otherwise(F.col("html")).alias("html"))
@@ -329,27 +335,27 @@ def q_pages_without_body(spark, sf_dir):
 
 @register("page_title")
 def q_page_title(spark, sf_dir):
-    return W.page_titles(_t(spark, sf_dir, "pages")).select("page_id", "title")
+    return W.page_titles(_t(spark, sf_dir, "pages", wide=True)).select("page_id", "title")
 
 
 @register("page_filename")
 def q_page_filename(spark, sf_dir):
-    return W.page_titles(_t(spark, sf_dir, "pages")).select("page_id", "file_name")
+    return W.page_titles(_t(spark, sf_dir, "pages", wide=True)).select("page_id", "file_name")
 
 
 @register("page_links")
 def q_page_links(spark, sf_dir):
-    return W.page_links(_t(spark, sf_dir, "pages"))
+    return W.page_links(_t(spark, sf_dir, "pages", wide=True))
 
 
 @register("page_links_by_page")
 def q_page_links_by_page(spark, sf_dir):
-    return W.page_links(_t(spark, sf_dir, "pages"), base=None)
+    return W.page_links(_t(spark, sf_dir, "pages", wide=True), base=None)
 
 
 @register("internal_links")
 def q_internal_links(spark, sf_dir):
-    return W.internal_links(_t(spark, sf_dir, "pages"), base=None)
+    return W.internal_links(_t(spark, sf_dir, "pages", wide=True), base=None)
 
 
 @register("visitable_urls")
@@ -359,7 +365,7 @@ def q_visitable_urls(spark, sf_dir):
 
 @register("crawl_frontier")
 def q_crawl_frontier(spark, sf_dir):
-    return W.crawl_frontier(_t(spark, sf_dir, "pages"), base=None)
+    return W.crawl_frontier(_t(spark, sf_dir, "pages", wide=True), base=None)
 
 
 @register("crawl_reachable")
@@ -375,12 +381,12 @@ def q_crawl_reachable(spark, sf_dir):
 
 @register("page_documents")
 def q_page_documents(spark, sf_dir):
-    return W.page_documents(_t(spark, sf_dir, "pages"))
+    return W.page_documents(_t(spark, sf_dir, "pages", wide=True))
 
 
 @register("crawl_report")
 def q_crawl_report(spark, sf_dir):
-    return W.crawl_report(_t(spark, sf_dir, "pages"))
+    return W.crawl_report(_t(spark, sf_dir, "pages", wide=True))
 
 
 # ---------------------------------------------------------------------------
