@@ -86,10 +86,16 @@ def lemmatize(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def normalize_text(docs: DataFrame, key: str, text_col: str, stop: DataFrame | None,
-                   lexicon: DataFrame | None) -> DataFrame:
+                   lexicon: DataFrame | None, text_fn=None) -> DataFrame:
     """(key, text): alphabetic tokens, stop words removed, lemmatised, lower
-    case, joined by single spaces in original order."""
+    case, joined by single spaces in original order.
+
+    ``text_fn`` (Column -> Column, e.g. clean_text) is applied after the
+    shuffle by key, so it runs on every core and the shuffle moves raw text.
+    """
     docs = docs.select(key, text_col).repartition(key)
+    if text_fn is not None:
+        docs = docs.select(key, text_fn(F.col(text_col)).alias(text_col))
     toks = alpha_token_rows(docs, key, text_col)
     if stop is not None:
         toks = remove_stopwords(toks, stop)
@@ -103,5 +109,5 @@ def normalize_text(docs: DataFrame, key: str, text_col: str, stop: DataFrame | N
 def preprocess_files(files: DataFrame, stop: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Folder job over routed files (path, kind, output_filename, text):
     clean_text then normalise; one output row per file."""
-    cleaned = files.select("output_filename", clean_text("text").alias("text"))
-    return normalize_text(cleaned, "output_filename", "text", stop, lexicon)
+    return normalize_text(files.select("output_filename", "text"), "output_filename", "text",
+                          stop, lexicon, text_fn=clean_text)

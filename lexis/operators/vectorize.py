@@ -92,27 +92,37 @@ def dense_cosine(a, b, digits: int = 6) -> Column:
 def adjacent_cosine(store: DataFrame, doc: str, line: str, text: str,
                     num_features: int = NUM_FEATURES, lowercase: bool = True) -> DataFrame:
     """(doc, line, next_line, similarity): cosine of each line with the next
-    stored line of the same document.  Every join and window is keyed by the
-    document, so a store hash-partitioned by ``doc`` needs no further shuffle.
+    stored line of the same document.
+
+    One pass: a window by document attaches the next line's text to each
+    line, both texts' hashed terms are counted side by side per (line,
+    feature), and one more group-by gives dot product and norms.  Every key
+    contains the document, so a store hash-partitioned by ``doc`` is never
+    shuffled again.
     """
-    vec = vectors(store.select(doc, line, text), [doc, line], text, num_features, lowercase)
     w = Window.partitionBy(doc).orderBy(line)
-    pairs = (store.select(doc, line, F.lead(line).over(w).alias("next_line"))
+    pairs = (store.select(doc, line, text, F.lead(line).over(w).alias("next_line"),
+                          F.lead(text).over(w).alias("_next"))
                   .filter(F.col("next_line").isNotNull()))
-    a = vec.select(doc, line, "feature", F.col("tf").alias("_ta"))
-    b = vec.select(doc, F.col(line).alias("next_line"), "feature", F.col("tf").alias("_tb"))
-    shared = (pairs.join(a, [doc, line]).join(b, [doc, "next_line", "feature"])
-                   .groupBy(doc, line, "next_line")
-                   .agg(F.sum(F.col("_ta") * F.col("_tb")).alias("_dot")))
-    norms = vec.groupBy(doc, line).agg(F.max("norm").alias("_n"))
-    nb = norms.select(doc, F.col(line).alias("next_line"), F.col("_n").alias("_nb"))
-    na = norms.select(doc, line, F.col("_n").alias("_na"))
-    out = (pairs.join(shared, [doc, line, "next_line"], "left")
-                .join(na, [doc, line], "left").join(nb, [doc, "next_line"], "left"))
-    return out.select(doc, line, "next_line",
-                      cosine_from_dot(F.coalesce("_dot", F.lit(0.0)),
-                                      F.coalesce("_na", F.lit(0.0)),
-                                      F.coalesce("_nb", F.lit(0.0))).alias("similarity"))
+    tagged = F.concat(
+        F.transform(term_tokens(text, lowercase), lambda t: F.struct(t.alias("t"), F.lit(1).alias("a"),
+                                                                    F.lit(0).alias("b"))),
+        F.transform(term_tokens("_next", lowercase), lambda t: F.struct(t.alias("t"), F.lit(0).alias("a"),
+                                                                       F.lit(1).alias("b"))))
+    terms = pairs.select(doc, line, "next_line", F.explode_outer(tagged).alias("_e"))
+    per_feature = (terms.select(doc, line, "next_line",
+                                feature_bucket(F.col("_e.t"), num_features).alias("feature"),
+                                F.coalesce(F.col("_e.a"), F.lit(0)).alias("a"),
+                                F.coalesce(F.col("_e.b"), F.lit(0)).alias("b"))
+                        .groupBy(doc, line, "next_line", "feature")
+                        .agg(F.sum("a").cast("double").alias("_ta"),
+                             F.sum("b").cast("double").alias("_tb")))
+    sums = per_feature.groupBy(doc, line, "next_line").agg(
+        F.sum(F.col("_ta") * F.col("_tb")).alias("_dot"),
+        F.sqrt(F.sum(F.col("_ta") * F.col("_ta"))).alias("_na"),
+        F.sqrt(F.sum(F.col("_tb") * F.col("_tb"))).alias("_nb"))
+    return sums.select(doc, line, "next_line",
+                       cosine_from_dot(F.col("_dot"), F.col("_na"), F.col("_nb")).alias("similarity"))
 
 
 def next_row_dense_cosine(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:

@@ -265,7 +265,7 @@ def q_preprocess_text(spark, sf_dir):
 
 @register("process_batch")
 def q_process_batch(spark, sf_dir):
-    return process_lines(line_documents(_t(spark, sf_dir, "documents")))
+    return _store(spark, sf_dir)
 
 
 @register("term_tokens")
@@ -397,7 +397,7 @@ from lexis.operators import cluster as K  # noqa: E402
 
 
 def _emb(spark, sf_dir) -> DataFrame:
-    return _t(spark, sf_dir, "embeddings")
+    return _t(spark, sf_dir, "embeddings", wide=True)
 
 
 @register("kmeans_init")
@@ -408,8 +408,7 @@ def q_kmeans_init(spark, sf_dir):
 @register("cluster_assign")
 def q_cluster_assign(spark, sf_dir):
     emb = _emb(spark, sf_dir)
-    model = K.model_literal(K.init_centroids(emb, "vec_id", "embedding"))
-    return K.assign(emb, "vec_id", "embedding", model)
+    return K.assign_points(emb, "vec_id", "embedding", K.init_centroids(emb, "vec_id", "embedding"))
 
 
 @register("kmeans_update")
@@ -428,9 +427,8 @@ def q_kmeans_batch(spark, sf_dir):
 def q_rank_in_cluster(spark, sf_dir):
     """Per-label mean vectors as questions, answered inside their cluster."""
     emb = _emb(spark, sf_dir)
-    model = K.model_literal(K.init_centroids(emb, "vec_id", "embedding"))
     return K.rank_in_cluster(K.label_means(emb, "label", "embedding"), emb, "vec_id",
-                             "embedding", model)
+                             "embedding", K.init_centroids(emb, "vec_id", "embedding"))
 
 
 # ---------------------------------------------------------------------------
@@ -442,26 +440,24 @@ from lexis.operators import normalize as NZ  # noqa: E402
 from lexis.operators.store import assign_ids  # noqa: E402
 
 
-def _cleaned_documents(spark, sf_dir) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", TX.clean_text("text").alias("text"))
+def _cleaned_normalized(spark, sf_dir, stop, lexicon) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    return NZ.normalize_text(docs, "doc_id", "text", stop, lexicon, text_fn=TX.clean_text)
 
 
 @register("remove_stopwords")
 def q_remove_stopwords(spark, sf_dir):
-    return NZ.normalize_text(_cleaned_documents(spark, sf_dir), "doc_id", "text",
-                             NZ.stop_words_df(spark), None)
+    return _cleaned_normalized(spark, sf_dir, NZ.stop_words_df(spark), None)
 
 
 @register("lemmatize")
 def q_lemmatize(spark, sf_dir):
-    return NZ.normalize_text(_cleaned_documents(spark, sf_dir), "doc_id", "text",
-                             None, NZ.lexicon_df(spark))
+    return _cleaned_normalized(spark, sf_dir, None, NZ.lexicon_df(spark))
 
 
 @register("normalize_text")
 def q_normalize_text(spark, sf_dir):
-    return NZ.normalize_text(_cleaned_documents(spark, sf_dir), "doc_id", "text",
-                             NZ.stop_words_df(spark), NZ.lexicon_df(spark))
+    return _cleaned_normalized(spark, sf_dir, NZ.stop_words_df(spark), NZ.lexicon_df(spark))
 
 
 def _routed_files(spark, sf_dir) -> DataFrame:
