@@ -31,15 +31,17 @@ def process_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
 
 def build_store(documents: DataFrame, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, content), hash-partitioned by doc_id.
+                text_col: str = "text", ordered: bool = False) -> DataFrame:
+    """(doc_id, line_no, content), partitioned by doc_id.
 
     The only shuffle moves raw document rows; every later per-line or
     per-(line, term) aggregation is partition-local because its keys contain
-    doc_id.
+    doc_id.  ``ordered=True`` range-partitions instead of hashing, so the
+    partitions follow doc_id order and store ids can be assigned without a
+    second shuffle (see ``assign_ids(partitioned=True)``).
     """
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) \
-                    .repartition("doc_id")
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.repartitionByRange("doc_id") if ordered else docs.repartition("doc_id")
     return process_lines(line_documents(docs))
 
 
@@ -52,15 +54,17 @@ _LOCAL_BITS = 33  # monotonically_increasing_id(): partition index << 33 | row
 
 
 def assign_ids(df: DataFrame, order_cols: Sequence[str], start=0,
-               id_col: str = "id") -> DataFrame:
+               id_col: str = "id", partitioned: bool = False) -> DataFrame:
     """Consecutive ids ``start + 1 ..`` following ``order_cols`` (must be unique).
 
+    ``partitioned=True`` when ``df`` is already range-partitioned by a prefix
+    of ``order_cols`` (e.g. ``build_store(ordered=True)``): no shuffle then.
     The per-partition count table has one row per partition, so the offset
     window runs over (#partitions) rows, never over the data.
     """
-    ordered = (df.repartitionByRange(*order_cols)
-                 .sortWithinPartitions(*order_cols)
-                 .withColumn("_mid", F.monotonically_increasing_id()))
+    src = df if partitioned else df.repartitionByRange(*order_cols)
+    ordered = (src.sortWithinPartitions(*order_cols)
+                  .withColumn("_mid", F.monotonically_increasing_id()))
     ordered = ordered.withColumn("_part", F.shiftright("_mid", _LOCAL_BITS)) \
                      .withColumn("_pos", F.col("_mid") - F.shiftleft("_part", _LOCAL_BITS))
     counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))

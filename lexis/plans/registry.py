@@ -478,7 +478,8 @@ def q_preprocess_files(spark, sf_dir):
 @register("document_store")
 def q_document_store(spark, sf_dir):
     """The store with ids 1..N in insert order (document, then line)."""
-    return assign_ids(_store(spark, sf_dir), ["doc_id", "line_no"]) \
+    store = build_store(_t(spark, sf_dir, "documents"), ordered=True)
+    return assign_ids(store, ["doc_id", "line_no"], partitioned=True) \
         .select("id", "doc_id", "line_no", "content")
 
 
