@@ -55,21 +55,22 @@ def lexicon_df(spark: SparkSession, pairs=None) -> DataFrame:
 
 
 def alpha_token_rows(docs: DataFrame, key: str, text_col: str) -> DataFrame:
-    """(key, pos, token): whitespace tokens made only of letters, with the
-    position among all whitespace tokens."""
-    toks = docs.select(key, F.posexplode(F.split(F.col(text_col), WS_RUN, -1)).alias("pos", "token"))
-    return toks.filter(F.col("token").rlike(ALPHA_TOKEN)) \
+    """(key, pos, token): whitespace tokens made only of letters, with their
+    position (from 1).  Every document also keeps one sentinel row (pos 0,
+    token NULL) so that a document left without tokens still has a row and
+    the re-assembly needs no join back to the documents."""
+    toks = F.concat(F.array(F.lit(None).cast("string")), F.split(F.col(text_col), WS_RUN, -1))
+    rows = docs.select(key, F.posexplode(toks).alias("pos", "token"))
+    return rows.filter((F.col("pos") == 0) | F.col("token").rlike(ALPHA_TOKEN)) \
                .withColumn("pos", F.col("pos").cast("bigint"))
 
 
-def reassemble(docs: DataFrame, tokens: DataFrame, key: str, value: str) -> DataFrame:
-    """Join tokens back into one space-separated string per document, in
-    position order; documents left without tokens get ''."""
-    per_doc = tokens.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", value))).alias("_t"))
-    out = docs.select(key).join(per_doc, key, "left")
-    return out.select(key, F.coalesce(F.array_join(F.transform("_t", lambda s: s[value]), " "),
-                                      F.lit("")).alias("text"))
+def reassemble(tokens: DataFrame, key: str, value: str) -> DataFrame:
+    """One space-separated string per document, in position order ('' when
+    only the sentinel is left).  A group is one document: bounded."""
+    per_doc = tokens.groupBy(key).agg(F.array_sort(F.collect_list(
+        F.when(F.col("pos") > 0, F.struct("pos", value)))).alias("_t"))
+    return per_doc.select(key, F.array_join(F.transform("_t", lambda s: s[value]), " ").alias("text"))
 
 
 def remove_stopwords(tokens: DataFrame, stop: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def normalize_text(docs: DataFrame, key: str, text_col: str, stop: DataFrame | N
         toks = lemmatize(toks, lexicon)
     else:
         toks = toks.withColumn("lemma", F.lower("token"))
-    return reassemble(docs, toks, key, "lemma")
+    return reassemble(toks, key, "lemma")
 
 
 def preprocess_files(files: DataFrame, stop: DataFrame, lexicon: DataFrame) -> DataFrame:

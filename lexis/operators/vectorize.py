@@ -131,3 +131,23 @@ def next_row_dense_cosine(df: DataFrame, id_col: str, vec_col: str) -> DataFrame
     b = df.select((F.col(id_col) - 1).alias(id_col), F.col(id_col).alias("next_id"),
                   F.col(vec_col).alias("_b"))
     return a.join(b, id_col).select(id_col, "next_id", dense_cosine("_a", "_b").alias("similarity"))
+
+
+_ML_VECTOR = "struct<v:struct<type:int,size:int,indices:array<int>,values:array<double>>>"
+
+
+def ml_hashed_tf(df: DataFrame, keys: Sequence[str], text_col: str,
+                 num_features: int = NUM_FEATURES) -> DataFrame:
+    """(keys..., feature, tf) from Spark ML's HashingTF (murmur3 buckets).
+
+    The ML sparse vector is unpacked JVM-side through its struct form, so the
+    long-form rows stay in the engine's format.
+    """
+    from pyspark.ml.feature import HashingTF
+    toks = df.select(*keys, term_tokens(text_col).alias("_toks"))
+    vec = HashingTF(inputCol="_toks", outputCol="_v", numFeatures=num_features).transform(toks)
+    parsed = vec.select(*keys, F.from_json(F.to_json(F.struct(F.col("_v").alias("v"))),
+                                           _ML_VECTOR)["v"].alias("_s"))
+    return (parsed.select(*keys, F.explode(F.arrays_zip(F.col("_s.indices").alias("feature"),
+                                                        F.col("_s.values").alias("tf"))).alias("_e"))
+                  .select(*keys, F.col("_e.feature").alias("feature"), F.col("_e.tf").alias("tf")))

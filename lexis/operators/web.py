@@ -95,15 +95,22 @@ def crawl_reachable(edges: DataFrame, seeds: DataFrame, checkpoint=None,
     return reached
 
 
+def saved_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, url, file_name, text) of pages the crawler saves: those with
+    a body and a usable title.  One projection over one scan."""
+    return (pages.filter(H.has_body("html"))
+                 .select("page_id", "url", H.page_title("html").alias("title"),
+                         H.page_filename("html").alias("file_name"), H.body_text("html").alias("text"))
+                 .filter(F.col("title").isNotNull()).drop("title"))
+
+
 def page_documents(pages: DataFrame) -> DataFrame:
     """(file_name, url, content): saved file per title; when titles collide the
     last visited page (highest page_id) wins.  max_by is a partial
     aggregate, so a hot file name is combined map-side, not in one task."""
-    docs = (page_text(pages).join(page_titles(pages), "page_id")
-            .filter(F.col("title").isNotNull())
-            .select("page_id", "file_name", "url",
-                    F.concat(F.lit(PAGE_DOC_PREFIX), F.col("url"), F.lit("\n\n"), F.col("text"))
-                    .alias("content")))
+    docs = saved_pages(pages).select(
+        "page_id", "file_name", "url",
+        F.concat(F.lit(PAGE_DOC_PREFIX), F.col("url"), F.lit("\n\n"), F.col("text")).alias("content"))
     win = docs.groupBy("file_name").agg(
         F.max_by(F.struct("url", "content"), F.col("page_id")).alias("_w"))
     return win.select("file_name", F.col("_w.url").alias("url"), F.col("_w.content").alias("content"))
@@ -112,6 +119,5 @@ def page_documents(pages: DataFrame) -> DataFrame:
 def crawl_report(pages: DataFrame) -> DataFrame:
     """(file_name, pages_written): the saved files and how many visited pages
     wrote each; the row count is the number of files."""
-    docs = (page_text(pages).join(page_titles(pages), "page_id")
-            .filter(F.col("title").isNotNull()))
-    return docs.groupBy("file_name").agg(F.count(F.lit(1)).cast("bigint").alias("pages_written"))
+    return saved_pages(pages).groupBy("file_name").agg(
+        F.count(F.lit(1)).cast("bigint").alias("pages_written"))

@@ -285,6 +285,13 @@ def q_hashed_tf(spark, sf_dir):
     return V.hashed_tf(docs, ["doc_id"], "text")
 
 
+@register("hashing_tf_ml")
+def q_hashing_tf_ml(spark, sf_dir):
+    """V3 with the built-in ML transformer (murmur3 buckets; rows-only check)."""
+    docs = _t(spark, sf_dir, "documents", wide=True).select("doc_id", "text")
+    return V.ml_hashed_tf(docs, ["doc_id"], "text")
+
+
 @register("tf_l2")
 def q_tf_l2(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
@@ -414,7 +421,7 @@ def q_cluster_assign(spark, sf_dir):
 @register("kmeans_update")
 def q_kmeans_update(spark, sf_dir):
     emb = _emb(spark, sf_dir)
-    init = K.init_centroids(emb, "vec_id", "embedding")
+    init = K.init_centroids(_t(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return K.to_long(K.update(emb, "vec_id", "embedding", init))
 
 
