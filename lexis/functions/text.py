@@ -130,8 +130,16 @@ def collapse_ws(col) -> Column:
 
 
 def clean_text(col, marker: str = CHAPTER_MARKER) -> Column:
-    """Page numbers -> headers -> URLs -> symbols -> whitespace."""
-    return collapse_ws(strip_symbols(strip_urls(strip_headers(strip_page_numbers(col), marker))))
+    """Page numbers -> headers -> URLs -> symbols -> whitespace.
+
+    After the two line-sensitive steps every whitespace character is mapped
+    to a space (1:1); the remaining steps treat all whitespace alike, so the
+    result is the same while the patterns become plain-space ones.
+    """
+    c = to_spaces(strip_headers(strip_page_numbers(col), marker))
+    c = F.regexp_replace(c, "http[^ ]+", "")
+    c = F.regexp_replace(c, rf"[^{WORD} ]", " ")
+    return F.trim(F.regexp_replace(c, " {2,}", " "))
 
 
 # ---------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexis.functions.text import ALPHA_TOKEN, WS_RUN, clean_text
+from lexis.functions.text import ALPHA_TOKEN, clean_text, to_spaces
 from lexis.session import checked_broadcast
 
 # Default Portuguese stop list (function words), lower case.
@@ -59,7 +59,7 @@ def alpha_token_rows(docs: DataFrame, key: str, text_col: str) -> DataFrame:
     position (from 1).  Every document also keeps one sentinel row (pos 0,
     token NULL) so that a document left without tokens still has a row and
     the re-assembly needs no join back to the documents."""
-    toks = F.concat(F.array(F.lit(None).cast("string")), F.split(F.col(text_col), WS_RUN, -1))
+    toks = F.concat(F.array(F.lit(None).cast("string")), F.split(to_spaces(text_col), " ", -1))
     rows = docs.select(key, F.posexplode(toks).alias("pos", "token"))
     return rows.filter((F.col("pos") == 0) | F.col("token").rlike(ALPHA_TOKEN)) \
                .withColumn("pos", F.col("pos").cast("bigint"))
