@@ -44,7 +44,7 @@ def read_line_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): one row per file, UTF-8 (S6)."""
-    return (spark.read.option("wholetext", "true").text(path)
+    return (spark.read.text(path, wholetext=True)
             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 
