@@ -78,6 +78,20 @@ def _keys_literal(rows, keys: Sequence[str]) -> Column:
     return F.from_json(F.lit(payload), schema)
 
 
+def _key_filter(rows, keys: Sequence[str]) -> Column:
+    """Predicate selecting a bounded key list.  The first key's IN-list is
+    pushed through projections down to the scan (Parquet row-group and
+    record filtering); the exact tuple test runs before any tokenising."""
+    if not rows:
+        return F.lit(False)
+    first = F.col(keys[0]).isin(sorted({r[keys[0]] for r in rows}))
+    if len(keys) == 1:
+        return first
+    tuples = F.struct(*[F.col(k) for k in keys]).isin(
+        [F.struct(*[F.lit(r[k]).alias(k) for k in keys]) for r in rows])
+    return first & tuples
+
+
 def _pair_with(queries: DataFrame, rows, keys: Sequence[str]) -> DataFrame:
     """Each question with each of a bounded list of documents (explode, no join)."""
     return (queries.select("query_id", F.explode(_keys_literal(rows, keys)).alias("_d"))
@@ -95,8 +109,8 @@ def score_candidates(queries: DataFrame, store: DataFrame, keys: Sequence[str],
     keys = list(keys)
     sample = candidate_sample(store, keys, n)
     rows = sample.select(*keys).collect()  # <= n rows by construction
-    dvec = vectors(store.join(F.broadcast(sample.select(*keys)), keys, "left_semi"),
-                   keys, "content", num_features, lowercase=False)
+    dvec = vectors(store.filter(_key_filter(rows, keys)), keys, "content", num_features,
+                   lowercase=False)
     pos = _scores(question_vectors(queries, num_features), dvec, keys)
     return (_pair_with(queries, rows, keys).join(pos, ["query_id", *keys], "left")
                  .withColumn("similarity", F.coalesce("similarity", F.lit(0.0))))
