@@ -78,18 +78,20 @@ def _keys_literal(rows, keys: Sequence[str]) -> Column:
     return F.from_json(F.lit(payload), schema)
 
 
+def _key_hash(keys: Sequence[str]) -> Column:
+    return F.xxhash64(*[F.col(k) for k in keys])
+
+
 def _key_filter(rows, keys: Sequence[str]) -> Column:
-    """Predicate selecting a bounded key list.  The first key's IN-list is
-    pushed through projections down to the scan (Parquet row-group and
-    record filtering); the exact tuple test runs before any tokenising."""
+    """Predicate pre-selecting a bounded key list (rows carry ``_h``, the
+    key hash).  The first key's IN-list is pushed down to the scan (Parquet
+    filtering); the 64-bit key-hash IN-set is a hash lookup evaluated before
+    any tokenising.  Callers follow it with an exact semi join, so a hash
+    collision can never add a row."""
     if not rows:
         return F.lit(False)
     first = F.col(keys[0]).isin(sorted({r[keys[0]] for r in rows}))
-    if len(keys) == 1:
-        return first
-    tuples = F.struct(*[F.col(k) for k in keys]).isin(
-        [F.struct(*[F.lit(r[k]).alias(k) for k in keys]) for r in rows])
-    return first & tuples
+    return first & _key_hash(keys).isin(sorted({r["_h"] for r in rows}))
 
 
 def _pair_with(queries: DataFrame, rows, keys: Sequence[str]) -> DataFrame:
@@ -108,9 +110,11 @@ def score_candidates(queries: DataFrame, store: DataFrame, keys: Sequence[str],
     """
     keys = list(keys)
     sample = candidate_sample(store, keys, n)
-    rows = sample.select(*keys).collect()  # <= n rows by construction
-    dvec = vectors(store.filter(_key_filter(rows, keys)), keys, "content", num_features,
-                   lowercase=False)
+    rows = sample.select(*keys, _key_hash(keys).alias("_h")).collect()  # <= n rows
+    exact = F.broadcast(store.sparkSession.createDataFrame(
+        [tuple(r[k] for k in keys) for r in rows], sample.select(*keys).schema))
+    chosen = store.filter(_key_filter(rows, keys)).join(exact, keys, "left_semi")
+    dvec = vectors(chosen, keys, "content", num_features, lowercase=False)
     pos = _scores(question_vectors(queries, num_features), dvec, keys)
     return (_pair_with(queries, rows, keys).join(pos, ["query_id", *keys], "left")
                  .withColumn("similarity", F.coalesce("similarity", F.lit(0.0))))
