@@ -74,3 +74,14 @@ def test_whole_store_top_k_matches_brute_force(spark):
         scores = sorted(((-cos(vec(text), vec(d)), i) for i, d in enumerate(docs)))[:5]
         got = sorted(((-r["similarity"], r["doc_id"]) for r in ranked if r["query_id"] == qid))
         assert got == scores
+
+
+def test_vectorized_scorer_equals_join(spark):
+    from tests.conftest import SF001
+    from lexis.plans import registry as REG
+    q = REG._questions(spark, SF001)
+    st = REG._store(spark, SF001)
+    a = R.rank_content(q, st).collect()
+    b = R.rank_content(q, st, scorer="vectorized").collect()
+    key = lambda r: (r["query_id"], r["rank"], r["doc_id"], r["line_no"], r["similarity"])
+    assert sorted(map(key, a)) == sorted(map(key, b)) and len(a) == 5 * q.count()
