@@ -67,10 +67,11 @@ def alpha_token_rows(docs: DataFrame, key: str, text_col: str) -> DataFrame:
 
 def reassemble(tokens: DataFrame, key: str, value: str) -> DataFrame:
     """One space-separated string per document, in position order ('' when
-    only the sentinel is left).  A group is one document: bounded."""
-    per_doc = tokens.groupBy(key).agg(F.array_sort(F.collect_list(
-        F.when(F.col("pos") > 0, F.struct("pos", value)))).alias("_t"))
-    return per_doc.select(key, F.array_join(F.transform("_t", lambda s: s[value]), " ").alias("text"))
+    only the sentinel is left).  Two-level concatenation (see
+    ``ordered_concat``), so one huge document is not gathered by one task
+    before its last step."""
+    from lexis.sources.files import ordered_concat
+    return ordered_concat(tokens, key, "pos", F.col(value), " ")
 
 
 def remove_stopwords(tokens: DataFrame, stop: DataFrame) -> DataFrame:

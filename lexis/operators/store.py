@@ -32,17 +32,21 @@ def process_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
 def build_store(documents: DataFrame, id_col: str = "doc_id",
                 text_col: str = "text", ordered: bool = False) -> DataFrame:
-    """(doc_id, line_no, content), partitioned by doc_id.
-
-    The only shuffle moves raw document rows; every later per-line or
-    per-(line, term) aggregation is partition-local because its keys contain
-    doc_id.  ``ordered=True`` range-partitions instead of hashing, so the
-    partitions follow doc_id order and store ids can be assigned without a
-    second shuffle (see ``assign_ids(partitioned=True)``).
+    """(doc_id, line_no, content), partitioned by the line key.
+
+    Lines are split where the documents are read; the one shuffle moves raw
+    line text, hash-partitioned by (doc_id, line_no), so a huge document is
+    spread over many tasks.  Every later per-line, per-(line, term) or
+    per-(question, line) aggregation is partition-local because its keys
+    contain the line key.  ``ordered=True`` range-partitions by the line key
+    instead, so partitions follow store order and ids can be assigned
+    without a second shuffle (see ``assign_ids(partitioned=True)``).
     """
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    docs = docs.repartitionByRange("doc_id") if ordered else docs.repartition("doc_id")
-    return process_lines(line_documents(docs))
+    lines = line_documents(docs)
+    lines = (lines.repartitionByRange("doc_id", "line_no") if ordered
+             else lines.repartition("doc_id", "line_no"))
+    return process_lines(lines)
 
 
 # ---------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexis.operators.store import line_documents
@@ -60,15 +60,24 @@ def as_text_files(documents: DataFrame, ext_by_lang: dict | None = None) -> Data
                             F.length("text").cast("bigint").alias("n_chars"))
 
 
-def assemble_pages(pages: DataFrame, sep: str = "\n") -> DataFrame:
-    """(doc, page, text) -> (doc, text): pages in order, ``sep`` after each.
+def ordered_concat(df: DataFrame, key: str, order_col: str, value: Column, sep: str = "",
+                   chunk: int = 4096) -> DataFrame:
+    """(key, text): ``value`` strings of each key joined in ``order_col``
+    order.  Two levels: first per (key, order // chunk), then per key, so a
+    key holding a large share of all rows is concatenated by many tasks and
+    the last step sorts only (rows / chunk) pieces."""
+    part = (df.select(key, F.col(order_col).alias("_o"), value.alias("_v"))
+              .groupBy(key, F.floor(F.col("_o") / chunk).alias("_c"))
+              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_v"))),
+                                            lambda s: s["_v"]), sep).alias("_p")))
+    whole = part.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_c", "_p"))).alias("_ps"))
+    pieces = F.filter(F.transform("_ps", lambda s: s["_p"]), lambda p: p != "")
+    return whole.select(key, F.array_join(pieces, sep).alias("text"))
 
-    A group is one document's pages, bounded by the document's size.
-    """
-    agg = pages.groupBy("doc").agg(
-        F.array_sort(F.collect_list(F.struct("page", "text"))).alias("_p"))
-    return agg.select("doc", F.array_join(
-        F.transform("_p", lambda p: F.concat(p["text"], F.lit(sep))), "").alias("text"))
+
+def assemble_pages(pages: DataFrame, sep: str = "\n") -> DataFrame:
+    """(doc, page, text) -> (doc, text): pages in order, ``sep`` after each."""
+    return ordered_concat(pages, "doc", "page", F.concat(F.col("text"), F.lit(sep)))
 
 
 def route_files(files: DataFrame, path_col: str = "path") -> DataFrame:

@@ -58,3 +58,11 @@ def test_stream_progress(spark, scratch):
     rows = stream_progress(spark, q).collect()
     assert rows and rows[-1]["processed"] == rows[-1]["total"] == 4
     assert rows[-1]["percent"] == 100.0
+
+
+def test_ordered_concat_many_chunks(spark):
+    from pyspark.sql import functions as F
+    rows = [(1, i, f"w{i}") for i in range(1, 30)] + [(2, 0, None)]
+    df = spark.createDataFrame(rows, "k long, pos long, v string")
+    got = {r["k"]: r["text"] for r in SF.ordered_concat(df, "k", "pos", F.col("v"), " ", chunk=4).collect()}
+    assert got == {1: " ".join(f"w{i}" for i in range(1, 30)), 2: ""}
