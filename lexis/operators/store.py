@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexis.functions.text import non_blank, preprocess_text, split_lines
+from lexis.session import spread
 
 DOC_KEYS = ("doc_id", "line_no")
 
@@ -42,7 +43,7 @@ def build_store(documents: DataFrame, id_col: str = "doc_id",
     instead, so partitions follow store order and ids can be assigned
     without a second shuffle (see ``assign_ids(partitioned=True)``).
     """
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = spread(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     lines = line_documents(docs)
     lines = (lines.repartitionByRange("doc_id", "line_no") if ordered
              else lines.repartition("doc_id", "line_no"))
