@@ -44,7 +44,7 @@ def _questions(spark, sf_dir) -> DataFrame:
 
 
 def _store(spark, sf_dir) -> DataFrame:
-    return build_store(_t(spark, sf_dir, "documents"))
+    return build_store(_t(spark, sf_dir, "documents", wide=True))
 
 
 def _content_store(spark, sf_dir, ranked: DataFrame) -> DataFrame:
@@ -485,7 +485,7 @@ def q_preprocess_files(spark, sf_dir):
 @register("document_store")
 def q_document_store(spark, sf_dir):
     """The store with ids 1..N in insert order (document, then line)."""
-    store = build_store(_t(spark, sf_dir, "documents"), ordered=True)
+    store = build_store(_t(spark, sf_dir, "documents", wide=True), ordered=True)
     return assign_ids(store, ["doc_id", "line_no"], partitioned=True) \
         .select("id", "doc_id", "line_no", "content")
 

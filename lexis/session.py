@@ -73,7 +73,9 @@ def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin a DataFrame whose scan yields fewer partitions than the
     cluster has cores (e.g. one large row group), so row-local CPU work runs
-    in parallel.  At scale the scan already has many splits: no shuffle."""
+    in parallel.  At scale the scan already has many splits: no shuffle.
+    Apply it to table scans only: asking a plan with exchanges for its
+    partition count makes adaptive execution run those stages."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
