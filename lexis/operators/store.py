@@ -44,7 +44,7 @@ def build_store(documents: DataFrame, id_col: str = "doc_id",
     """
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     lines = line_documents(docs)
-    lines = (lines.repartitionByRange("doc_id", "line_no") if ordered
+    lines = (lines.repartitionByRange(id_partitions(documents), "doc_id", "line_no") if ordered
              else lines.repartition("doc_id", "line_no"))
     return process_lines(lines)
 
@@ -57,18 +57,29 @@ def build_store(documents: DataFrame, id_col: str = "doc_id",
 _LOCAL_BITS = 33  # monotonically_increasing_id(): partition index << 33 | row
 
 
+def id_partitions(df: DataFrame) -> int:
+    """Partition count for the range shuffle of id assignment."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def assign_ids(df: DataFrame, order_cols: Sequence[str], start=0,
                id_col: str = "id", partitioned: bool = False) -> DataFrame:
     """Consecutive ids ``start + 1 ..`` following ``order_cols`` (must be unique).
 
-    ``partitioned=True`` when ``df`` is already range-partitioned by a prefix
-    of ``order_cols`` (e.g. ``build_store(ordered=True)``): no shuffle then.
+    ``partitioned=True`` when ``df`` is already range-partitioned by
+    ``order_cols`` (e.g. ``build_store(ordered=True)``): no shuffle then.
     The per-partition count table has one row per partition, so the offset
     window runs over (#partitions) rows, never over the data.
     """
-    src = df if partitioned else df.repartitionByRange(*order_cols)
+    from lexis.session import checkpoint_root
+    src = df if partitioned else df.repartitionByRange(id_partitions(df), *order_cols)
     ordered = (src.sortWithinPartitions(*order_cols)
                   .withColumn("_mid", F.monotonically_increasing_id()))
+    # The rows are needed twice (per-partition counts, then the rows): they
+    # are materialised once in the shared checkpoint folder, so both uses
+    # see the very same partitions even if a stage is recomputed.
+    checkpoint_root(df.sparkSession)
+    ordered = ordered.checkpoint(eager=True)
     ordered = ordered.withColumn("_part", F.shiftright("_mid", _LOCAL_BITS)) \
                      .withColumn("_pos", F.col("_mid") - F.shiftleft("_part", _LOCAL_BITS))
     counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))

@@ -76,3 +76,16 @@ def test_progress_zero_total(spark):
     b = spark.createDataFrame([(1, 0, 5.0, 5.0)], "batch_id long, n long, started double, ended double")
     r = L.batch_progress(b).first()
     assert (r["percent"], r["docs_per_second"], r["remaining_seconds"]) == (0.0, 0.0, 0.0)
+
+
+def test_store_ids_follow_order_with_spread_scan(spark):
+    """Ids must be 1..N in (doc_id, line_no) order even when the scan is
+    round-robin spread and columns are pruned differently per branch."""
+    from lexis.operators.store import build_store
+    from lexis.session import spread
+    from tests.conftest import SF01
+    docs = spread(spark.read.parquet(f"{SF01}/documents.parquet"), 8)
+    rows = assign_ids(build_store(docs, ordered=True), ["doc_id", "line_no"], partitioned=True) \
+        .select("id", "doc_id", "line_no").collect()
+    by_key = sorted(rows, key=lambda r: (r["doc_id"], r["line_no"]))
+    assert [r["id"] for r in by_key] == list(range(1, len(rows) + 1))
