@@ -89,3 +89,23 @@ def test_store_ids_follow_order_with_spread_scan(spark):
         .select("id", "doc_id", "line_no").collect()
     by_key = sorted(rows, key=lambda r: (r["doc_id"], r["line_no"]))
     assert [r["id"] for r in by_key] == list(range(1, len(rows) + 1))
+
+
+def test_append_documents_continues_ids(spark, scratch):
+    import os
+    from lexis.operators.store import append_documents
+    path = os.path.join(scratch, "store")
+    first = spark.createDataFrame([(1, 0, "a b"), (1, 1, "c"), (2, 0, "d")],
+                                  "doc_id long, line_no long, content string")
+    second = spark.createDataFrame([(3, 0, "e"), (3, 1, "f")], "doc_id long, line_no long, content string")
+    assert append_documents(spark, path, first, ["doc_id", "line_no"]) == 3
+    assert append_documents(spark, path, second, ["doc_id", "line_no"]) == 5
+    got = sorted((r["id"], r["content"]) for r in spark.read.parquet(path).collect())
+    assert got == [(1, "a b"), (2, "c"), (3, "d"), (4, "e"), (5, "f")]
+    # a replayed micro-batch overwrites its own partition instead of duplicating
+    bpath = os.path.join(scratch, "bstore")
+    append_documents(spark, bpath, first, ["doc_id", "line_no"], batch_id=0)
+    append_documents(spark, bpath, second, ["doc_id", "line_no"], batch_id=1)
+    append_documents(spark, bpath, second, ["doc_id", "line_no"], batch_id=1)
+    ids = sorted(r["id"] for r in spark.read.parquet(bpath).collect())
+    assert ids == [1, 2, 3, 4, 5]
