@@ -31,7 +31,8 @@ def process_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
 
 def build_store(documents: DataFrame, id_col: str = "doc_id",
-                text_col: str = "text", ordered: bool = False) -> DataFrame:
+                text_col: str = "text", ordered: bool = False,
+                by_document: bool = False) -> DataFrame:
     """(doc_id, line_no, content), partitioned by the line key.
 
     Lines are split where the documents are read; the one shuffle moves raw
@@ -41,11 +42,17 @@ def build_store(documents: DataFrame, id_col: str = "doc_id",
     contain the line key.  ``ordered=True`` range-partitions by the line key
     instead, so partitions follow store order and ids can be assigned
     without a second shuffle (see ``assign_ids(partitioned=True)``).
+    ``by_document=True`` hash-partitions by doc_id alone, for consumers that
+    need whole documents together (windows over a document's lines).
     """
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     lines = line_documents(docs)
-    lines = (lines.repartitionByRange(id_partitions(documents), "doc_id", "line_no") if ordered
-             else lines.repartition("doc_id", "line_no"))
+    if ordered:
+        lines = lines.repartitionByRange(id_partitions(documents), "doc_id", "line_no")
+    elif by_document:
+        lines = lines.repartition("doc_id")
+    else:
+        lines = lines.repartition("doc_id", "line_no")
     return process_lines(lines)
 
 

@@ -302,7 +302,7 @@ def q_tf_l2(spark, sf_dir):
 @register("cosine_terms")
 def q_cosine_terms(spark, sf_dir):
     """Cosine between each stored line and the next line of its document."""
-    store = _store(spark, sf_dir)
+    store = build_store(_t(spark, sf_dir, "documents", wide=True), by_document=True)
     return V.adjacent_cosine(store, "doc_id", "line_no", "content", lowercase=False)
 
 
