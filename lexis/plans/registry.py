@@ -470,8 +470,7 @@ def q_normalize_text(spark, sf_dir):
 def _routed_files(spark, sf_dir) -> DataFrame:
     """Documents as a folder of .txt/.pdf/other files; a .pdf's pages are its lines."""
     docs = _t(spark, sf_dir, "documents")
-    files = SF.route_files(SF.as_text_files(docs, SF.EXT_BY_LANG)).join(
-        SF.as_text_files(docs, SF.EXT_BY_LANG).select("path", "text"), "path")
+    files = SF.route_files(SF.as_text_files(docs, SF.EXT_BY_LANG), carry=["text"])
     paged = F.array_join(F.transform(TX.split_lines("text"), lambda p: F.concat(p, F.lit("\n"))), "")
     return files.withColumn("text", F.when(F.col("kind") == "pdf", paged).otherwise(F.col("text")))
 

@@ -80,14 +80,17 @@ def assemble_pages(pages: DataFrame, sep: str = "\n") -> DataFrame:
     return ordered_concat(pages, "doc", "page", F.concat(F.col("text"), F.lit(sep)))
 
 
-def route_files(files: DataFrame, path_col: str = "path") -> DataFrame:
-    """(path, name, kind, output_filename): .pdf -> paged, .txt -> text, rest skipped."""
+def route_files(files: DataFrame, path_col: str = "path", carry=()) -> DataFrame:
+    """(path, name, kind, output_filename, *carry): .pdf -> paged, .txt ->
+    text, anything else skipped.  ``carry`` columns (e.g. the text) ride
+    along, so routing never needs a join back to the files."""
     name = F.element_at(F.split(F.col(path_col), "/"), -1)
     kind = (F.when(name.endswith(".pdf"), F.lit("pdf"))
              .when(name.endswith(".txt"), F.lit("txt")))
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
     out = F.when(kind == "pdf", F.concat(F.lit(PROCESSED_PREFIX), stem, F.lit(".txt"))) \
            .otherwise(F.concat(F.lit(PROCESSED_PREFIX), name))
-    return (files.select(F.col(path_col).alias("path"), name.alias("name"), kind.alias("kind"))
+    return (files.select(F.col(path_col).alias("path"), name.alias("name"), kind.alias("kind"),
+                         *carry)
                  .filter(F.col("kind").isNotNull())
-                 .withColumn("output_filename", out.alias("output_filename")))
+                 .withColumn("output_filename", out))
