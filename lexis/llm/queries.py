@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from lexis.llm.mixing import op8_mixing
+from lexis.llm.ngram_join import op10_ngram_join
 from lexis.llm.packing import op1_packing
+from lexis.llm.quality import op4_quality
+from lexis.llm.span_dedup import op3_span_dedup
 from lexis.llm.token_orc import op5_token_orc
+from lexis.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_toxicity": op2_toxicity,
+    "op3_span_dedup": op3_span_dedup,
+    "op4_quality": op4_quality,
     "op5_token_orc": op5_token_orc,
+    "op8_mixing": op8_mixing,
+    "op10_ngram_join": op10_ngram_join,
 }
 ORACLE: dict[str, str] = {}
