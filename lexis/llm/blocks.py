@@ -38,34 +38,33 @@ def tiles(rows: DataFrame, block: int = BLOCK) -> DataFrame:
                     (first == second).alias("own"), "member"))
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Consecutive rows with equal keys, as tables; holds one batch and one run."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy() for k in keys]
+        if held and any(held[-1].column(k)[-1].as_py() != c[0] for k, c in zip(keys, cols)):
+            yield pa.Table.from_batches(held)
+            held = []
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in cols:
+            change |= c[1:] != c[:-1]
+        lo = 0
+        for hi in np.flatnonzero(change) + 1:
+            yield pa.Table.from_batches([*held, batch.slice(lo, hi - lo)])
+            held, lo = [], hi
+        held.append(batch.slice(lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def per_tile(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Run ``work`` on the rows of each (key, tile).  A task streams through its
-    sorted partition and holds one batch and one tile at a time."""
+    """Run ``work`` on the rows of each (key, tile) of two rows or more."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, tile = batch.column("key").to_numpy(), batch.column("tile").to_numpy()
-            if held:
-                last = held[-1]
-                same = last.column("key")[-1].as_py() == key[0] and last.column("tile")[-1].as_py() == tile[0]
-                if not same:
-                    yield from done(held)
-                    held = []
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1
-            lo = 0
-            for hi in cuts:
-                yield from done([*held, batch.slice(lo, hi - lo)])
-                held, lo = [], hi
-            held.append(batch.slice(lo))
-        if held:
-            yield from done(held)
-
-    def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(parts)
-        if table.num_rows > 1:
-            out = work(table)
+        for table in runs(batches, ["key", "tile"]):
+            out = work(table) if table.num_rows > 1 else None
             if out is not None and out.num_rows:
                 yield out
 

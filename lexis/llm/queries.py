@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from lexis.llm.embedding_dedup import OP6_SQL, op6_embedding_dedup
+from lexis.llm.maxscore import OP7_SQL, op7_maxscore
 from lexis.llm.mixing import op8_mixing
 from lexis.llm.ngram_join import op10_ngram_join
 from lexis.llm.packing import op1_packing
+from lexis.llm.ppm import op9_ppm
 from lexis.llm.quality import op4_quality
 from lexis.llm.span_dedup import op3_span_dedup
 from lexis.llm.token_orc import op5_token_orc
@@ -16,7 +19,13 @@ QUERIES = {
     "op3_span_dedup": op3_span_dedup,
     "op4_quality": op4_quality,
     "op5_token_orc": op5_token_orc,
+    "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_maxscore": op7_maxscore,
     "op8_mixing": op8_mixing,
+    "op9_ppm": op9_ppm,
     "op10_ngram_join": op10_ngram_join,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_embedding_dedup": OP6_SQL,
+    "op7_maxscore": OP7_SQL,
+}
