@@ -266,7 +266,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("member"), pa.array(sets, pa.binary())], names=["member", "set"])
 
     texts = docs.withColumn("h", doc_hash()).join(
-        wanted.select(F.col("doc_id").alias("wanted_id"), F.col("h").alias("wanted_h"), "member"),
+        wanted.select(F.col("doc_id").alias("wanted_id"), F.col("h").alias("wanted_h"), "member").hint("merge"),
         F.col("h").eqNullSafe(F.col("wanted_h")) & F.col("doc_id").eqNullSafe(F.col("wanted_id")))
     # rows equal in id and text are copies: one is enough
     return texts.groupBy("member").agg(F.first("text").alias("text")).mapInArrow(task, "member binary, set binary")

@@ -34,12 +34,18 @@ BLOCK = 1 << 16  # bytes convolved at a time; a multiple of HALF
 
 def layout(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All documents' bytes, each zero-padded to whole halves (by WIDTH - 1 bytes
-    at least, so that no window sees two documents), and each one's number of halves."""
+    at least, so that no window from its bytes sees the next), and each one's
+    number of halves."""
     halves = np.array([(len(r) + WIDTH - 1 + HALF - 1) // HALF for r in raw], np.int64)
     flat = b"".join(r.ljust(h * HALF, b"\0") for r, h in zip(raw, halves))
     return np.frombuffer(flat, np.uint8), halves
 
 
+def crossing(halves: np.ndarray) -> np.ndarray:
+    """Places in the padding whose windows would see the next document; they don't count."""
+    return (np.cumsum(halves)[:, None] * HALF - 1 - np.arange(WIDTH - 1)).ravel()
+
+
 def chunk_features(peaks: np.ndarray, halves: np.ndarray):
     """Mean, largest and smallest chunk response of each document, from the peaks
     of its halves.  Also what the gradient needs: which half made each."""
@@ -76,11 +82,12 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 5, rate: float = 0.01, se
          "w2": rng.normal(0, 0.3, HIDDEN), "b2": np.array([float(np.log(y.mean() / (1 - y.mean())))])}
     adam = Adam(p, rate)
 
-    def peaks_of(flat):
+    def peaks_of(flat, halves):
         table = np.einsum("bd,jdk->jbk", p["emb"], p["filters"]).astype(np.float32)
         z = np.zeros((len(flat), FILTERS), np.float32) + p["fb"].astype(np.float32)
         for j in range(WIDTH):
             z[:len(flat) - j] += table[j][flat[j:]]
+        z[crossing(halves)] = -np.inf
         z = z.reshape(-1, HALF, FILTERS)
         at = z.argmax(axis=1)
         return np.take_along_axis(z, at[:, None], axis=1)[:, 0].astype(np.float64), at + np.arange(len(z))[:, None] * HALF
@@ -94,7 +101,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 5, rate: float = 0.01, se
         docs = docs[np.cumsum([len(raw[d]) for d in docs]) <= max(most_bytes, len(raw[docs[0]]))]
         for part in np.array_split(docs, max(1, len(docs) // 16)):
             flat, halves = layout([raw[d] for d in part])
-            peaks, where = peaks_of(flat)
+            peaks, where = peaks_of(flat, halves)
             feat, (keep, nxt, inner, at, count, act, top, low) = chunk_features(peaks, halves)
             hid, logit = head(feat)
             g = (sigmoid(logit) - y[part]) / len(part)
@@ -124,7 +131,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 5, rate: float = 0.01, se
     out = []
     for part in np.array_split(held, max(1, len(held) // 64)):
         flat, halves = layout([raw[d] for d in part])
-        out.append(head(chunk_features(peaks_of(flat)[0], halves)[0])[1])
+        out.append(head(chunk_features(peaks_of(flat, halves)[0], halves)[0])[1])
     cut = best_cut(np.concatenate(out), y[held])
     table = np.einsum("bd,jdk->jbk", p["emb"], p["filters"])
     pairs = (table[0::2, :, None] + table[1::2, None, :]).reshape(WIDTH // 2, 1 << 16, FILTERS)
@@ -139,8 +146,10 @@ class Scorer:
     def __init__(self, model: dict):
         self.m = model
 
-    def _peaks(self, flat: np.ndarray) -> np.ndarray:
+    def _peaks(self, flat: np.ndarray, halves: np.ndarray) -> np.ndarray:
         out = np.empty((len(flat) // HALF, FILTERS), np.float32)
+        skip = np.zeros(len(flat), bool)
+        skip[crossing(halves)] = True
         wide = np.concatenate([flat, np.zeros(WIDTH, np.uint8)]).astype(np.int32)
         pair = (wide[:-1] << 8) + wide[1:]
         for lo in range(0, len(flat), BLOCK):
@@ -148,6 +157,7 @@ class Scorer:
             z = np.take(self.m["pairs"][0], pair[lo:hi], axis=0)
             for j in range(1, WIDTH // 2):
                 z += np.take(self.m["pairs"][j], pair[lo + 2 * j:hi + 2 * j], axis=0)
+            z[skip[lo:hi]] = -np.inf
             out[lo // HALF:hi // HALF] = z.reshape(-1, HALF, FILTERS).max(axis=1)
         return out + self.m["fb"]
 
@@ -157,7 +167,7 @@ class Scorer:
         score = np.empty(len(texts))
         for lo, hi in slices(texts, 1_000_000):
             flat, halves = layout([(t or "").encode("utf-8", "surrogatepass") for t in texts[lo:hi]])
-            feat, _ = chunk_features(self._peaks(flat).astype(np.float64), halves)
+            feat, _ = chunk_features(self._peaks(flat, halves).astype(np.float64), halves)
             score[lo:hi] = sigmoid(np.tanh(feat @ self.m["w1"] + self.m["b1"]) @ self.m["w2"] + self.m["b2"])
         return score
 
