@@ -43,7 +43,7 @@ from lexis.llm.labelled import fold
 
 ORDER = 4
 BITS, END, START, SYMBOLS = 9, 256, 257, 257
-BLOCK_BYTES, SLICE_BYTES = 24_000_000, 4_000_000
+BLOCK_BYTES, SLICE_BYTES = 16_000_000, 1_000_000
 
 
 def codes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
