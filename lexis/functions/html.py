@@ -1,9 +1,9 @@
 """Web-page extraction as regex column expressions (no DOM parser).
 
-Approximations of an HTML parser, documented: tags are ``<...>`` without
-``>`` inside attribute values; comments, scripts and styles are removed
-before text is split into nodes; a small fixed set of named entities plus
-``&amp;`` (decoded last) is understood.
+Approximations of an HTML parser, documented: comments, scripts and styles
+are removed before anything else is looked for; a tag ends at the first ``>``
+outside quotes; numeric character references and a small fixed set of named
+entities are decoded, each once (``&amp;`` last).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ COMMENT = r"(?s)<!--.*?-->"
 BODY_OPEN = r"(?is)<body(?:[ \t\n\r\f][^>]*)?>"
 BODY = r"(?is)<body(?:[ \t\n\r\f][^>]*)?>(.*)"
 BODY_CLOSE_REST = r"(?is)</body[ \t\n\r\f]*>.*"
-TAG = r"<[^>]*>"
+TAG = r"""<(?:[^<>"']|"[^"]*"|'[^']*')*>|<[^<>]*>"""
 TITLE = r"(?is)<title(?:[ \t\n\r\f][^>]*)?>(.*?)</title[ \t\n\r\f]*>"
 TITLE_OPEN = r"(?is)<title(?:[ \t\n\r\f][^>]*)?>"
 ANCHOR = r"(?is)<a(?:[ \t\n\r\f][^>]*)?>"
@@ -41,8 +41,10 @@ ENTITIES = [
     ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
     ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"),
     ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"),
-    ("&amp;", "&"),
 ]
+AMP = r"&(?:amp|#0*38|#[xX]0*26);"
+# Numeric references but those of the ampersand, which is decoded last.
+NUMERIC = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 
 
 def _c(col) -> Column:
@@ -53,7 +55,23 @@ def decode_entities(col) -> Column:
     c = _c(col)
     for ent, ch in ENTITIES:
         c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    c = F.when(F.contains(c, F.lit("&#")), decode_numeric(c)).otherwise(c)
+    return F.regexp_replace(c, AMP, "&")
+
+
+def decode_numeric(c: Column) -> Column:
+    """Numeric references replaced by their characters (each distinct one once);
+    those that name no character stay."""
+    def put(text, ref):
+        hexa = ref.rlike("^[xX]")
+        code = F.conv(F.regexp_replace(ref, "^[xX]", ""), 10, 16)
+        code = F.when(hexa, F.regexp_replace(ref, "^[xX]", "")).otherwise(code)
+        number = F.conv(code, 16, 10).cast("bigint")
+        good = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF) & (number != 38)
+        char = F.decode(F.unhex(F.lpad(F.when(good, code).otherwise("20"), 8, "0")), "UTF-32")
+        return F.when(good, F.replace(text, F.concat(F.lit("&#"), ref, F.lit(";")), char)).otherwise(text)
+    refs = F.array_distinct(F.regexp_extract_all(c, F.lit(NUMERIC), F.lit(1)))
+    return F.aggregate(refs, c, put)
 
 
 def drop_script_style(html) -> Column:
@@ -63,7 +81,8 @@ def drop_script_style(html) -> Column:
 
 
 def has_body(html) -> Column:
-    return _c(html).rlike(BODY_OPEN)
+    """A <body> outside comments, scripts and styles."""
+    return drop_script_style(html).rlike(BODY_OPEN)
 
 
 def body_html(html) -> Column:
@@ -83,7 +102,7 @@ def body_text(html) -> Column:
 def page_title(html, default: str = DEFAULT_TITLE) -> Column:
     """Title text; the default when the page has no <title>; NULL when the
     title is empty (the page cannot be named)."""
-    h = _c(html)
+    h = drop_script_style(html)
     t = decode_entities(F.regexp_extract(h, TITLE, 1))
     return F.when(~h.rlike(TITLE_OPEN), F.lit(default)).when(t == "", F.lit(None)).otherwise(t)
 

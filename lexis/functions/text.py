@@ -26,8 +26,10 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 UNIVERSAL_NEWLINE = r"\r\n|[\n\r]"
 
 # Non-printable, non-space characters removed by the line cleaner:
-# Cc except whitespace, Cf, Co.  (Cs cannot occur in valid strings.)
-NON_PRINTABLE = r"[\p{Cf}\p{Co}\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f]"
+# Cc except whitespace, Cf, Co, and unassigned code points (Cn).  (Cs cannot
+# occur in valid strings.)  RE2 knows no Cn, so the oracle's pattern leaves it out.
+NON_PRINTABLE_RE2 = r"[\p{Cf}\p{Co}\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f]"
+NON_PRINTABLE = NON_PRINTABLE_RE2[:-1] + r"\p{Cn}]"
 
 STRIP = rf"\A[{WS}]+|[{WS}]+\z"
 
@@ -50,6 +52,17 @@ TOKENIZE_RULES: list[tuple[str, str]] = [
     (rf"([^.])\.(['{WS}]|\z)", "$1 $2"),
     (rf"(?i)([^' ])('s|'m|'d|'ll|'re|'ve|n't|')([{WS}]|\z)", "$1 $2 $3"),
 ]
+# Words that are two tokens (and the apostrophe forms d'ye,
+# more'n, 'tis, 'twas).  A boundary character is consumed, so a rule runs twice to
+# catch neighbours; texts without any of the words skip the passes.
+CONTRACTED = r"(?i)cannot|gimme|gonna|gotta|lemme|wanna|d'ye|more'n|'tis|'twas"
+CONTRACTION_RULES: list[tuple[str, str]] = 2 * [
+    (rf"(?i)(\A|[^{WORD}])(?:(can)(not)|(gim)(me)|(gon)(na))([^{WORD}]|\z)", "$1$2$4$6 $3$5$7$8"),
+    (rf"(?i)(\A|[^{WORD}])(?:(got)(ta)|(lem)(me))([^{WORD}]|\z)", "$1$2$4 $3$5$6"),
+    (rf"(?i)(\A|[^{WORD}])(?:(d)('ye)|(more)('n))([^{WORD}]|\z)", "$1$2$4 $3$5$6"),
+    (rf"(?i)(\A|[^{WORD}])(wan)(na)([{WS}]|\z)", "$1$2 $3$4"),
+    (rf"(?i)(\A|[{WS}])('t)(is|was)([^{WORD}]|\z)", "$1$2 $3$4"),
+]
 ALNUM_TOKEN = r"^[\p{L}\p{N}]+$"
 # Whitespace other than the ASCII space.
 OTHER_WS = (r"[\t-\r\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}"
@@ -149,7 +162,7 @@ def clean_text(col, marker: str = CHAPTER_MARKER) -> Column:
 def word_split(col) -> Column:
     """Apply the punctuation rules and split on whitespace (array<string>)."""
     c = _c(col)
-    for pattern, repl in TOKENIZE_RULES:
+    for pattern, repl in TOKENIZE_RULES + CONTRACTION_RULES:
         c = F.regexp_replace(c, pattern, repl)
     return F.split(c, WS_RUN, -1)
 
@@ -178,6 +191,10 @@ def preprocess_text(col) -> Column:
     c = to_spaces(col)
     for pattern, repl in SPACE_TOKENIZE_RULES:
         c = F.regexp_replace(c, pattern, repl)
+    two = c
+    for pattern, repl in CONTRACTION_RULES:
+        two = F.regexp_replace(two, pattern.replace(WS, " "), repl)
+    c = F.when(_c(col).rlike(CONTRACTED), two).otherwise(c)
     c = F.regexp_replace(c, SPACE_NON_ALNUM_TOKEN, "$1")
     return F.lower(F.trim(F.regexp_replace(c, " {2,}", " ")))
 
@@ -193,9 +210,3 @@ def term_tokens(col, lowercase: bool = True) -> Column:
     lower case (the store's preprocessed content)."""
     c = F.lower(_c(col)) if lowercase else _c(col)
     return F.regexp_extract_all(c, F.lit(TERM), F.lit(0))
-
-
-def alpha_tokens(col) -> Column:
-    """Whitespace tokens made only of letters (punctuation/numbers dropped)."""
-    toks = F.split(_c(col), WS_RUN, -1)
-    return F.filter(toks, lambda t: t.rlike(ALPHA_TOKEN))

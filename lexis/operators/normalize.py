@@ -1,19 +1,18 @@
 """Linguistic normalisation (T5-T9): alphabetic filter, stop words, lexicon
 lemmas, and the folder job that chains routing, cleaning and normalisation.
 
-Tokens are exploded with their positions, filtered, joined to the stop list
-and lexicon (both broadcast behind a size check), and re-assembled per
-document.  Callers pass documents hash-partitioned by their key so the
-re-assembly group-by needs no shuffle.
+Everything is array work inside a row, with the stop list and the lexicon as
+constants of the expression; a lexicon that is a large table is joined.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexis.functions.text import ALPHA_TOKEN, clean_text, to_spaces
-from lexis.session import checked_broadcast
 
 # Default Portuguese stop list (function words), lower case.
 PORTUGUESE_STOP_WORDS = """
@@ -26,90 +25,92 @@ quando que quem se seja sem ser seu seus só sua suas também te tem têm tinha
 um uma umas uns você vocês vos
 """.split()
 
-# A small default lexicon (surface form -> lemma) used when no
-# lexicon table is given; deployments pass their own table.
+# A small default lexicon (language, surface form, lemma) used
+# when no lexicon is given; deployments pass their own.
 DEFAULT_LEXICON = [
-    ("são", "ser"), ("é", "ser"), ("foi", "ser"), ("era", "ser"),
-    ("tem", "ter"), ("tinha", "ter"), ("teve", "ter"),
-    ("est", "être"), ("sont", "être"), ("était", "être"),
-    ("is", "be"), ("are", "be"), ("was", "be"), ("were", "be"),
-    ("has", "have"), ("had", "have"),
-    ("ist", "sein"), ("sind", "sein"), ("war", "sein"),
-    ("es", "ser"), ("son", "ser"), ("fue", "ser"),
-    ("les", "le"), ("la", "le"), ("des", "de"), ("du", "de"),
-    ("die", "der"), ("das", "der"), ("den", "der"), ("dem", "der"),
-    ("los", "el"), ("las", "el"),
+    ("pt", "são", "ser"), ("pt", "é", "ser"), ("pt", "foi", "ser"), ("pt", "era", "ser"),
+    ("pt", "tem", "ter"), ("pt", "tinha", "ter"), ("pt", "teve", "ter"),
+    ("fr", "est", "être"), ("fr", "sont", "être"), ("fr", "était", "être"),
+    ("fr", "les", "le"), ("fr", "la", "le"), ("fr", "des", "de"), ("fr", "du", "de"),
+    ("en", "is", "be"), ("en", "are", "be"), ("en", "was", "be"), ("en", "were", "be"),
+    ("en", "has", "have"), ("en", "had", "have"),
+    ("de", "ist", "sein"), ("de", "sind", "sein"), ("de", "war", "sein"),
+    ("de", "die", "der"), ("de", "das", "der"), ("de", "den", "der"), ("de", "dem", "der"),
+    ("es", "es", "ser"), ("es", "son", "ser"), ("es", "fue", "ser"),
+    ("es", "los", "el"), ("es", "las", "el"),
 ]
 
-MAX_BROADCAST_WORDS = 5_000_000
-
-
-def stop_words_df(spark: SparkSession, words=None) -> DataFrame:
-    words = PORTUGUESE_STOP_WORDS if words is None else words
-    return spark.createDataFrame([(w.lower(),) for w in words], "token string")
-
 
-def lexicon_df(spark: SparkSession, pairs=None) -> DataFrame:
-    pairs = DEFAULT_LEXICON if pairs is None else pairs
-    return spark.createDataFrame(pairs, "surface string, lemma string")
+def alpha_tokens(text: Column) -> Column:
+    """Whitespace tokens made only of letters, in order."""
+    return F.filter(F.split(to_spaces(text), " ", -1), lambda t: t.rlike(ALPHA_TOKEN))
 
 
-def alpha_token_rows(docs: DataFrame, key: str, text_col: str) -> DataFrame:
-    """(key, pos, token): whitespace tokens made only of letters, with their
-    position (from 1).  Every document also keeps one sentinel row (pos 0,
-    token NULL) so that a document left without tokens still has a row and
-    the re-assembly needs no join back to the documents."""
-    toks = F.concat(F.array(F.lit(None).cast("string")), F.split(to_spaces(text_col), " ", -1))
-    rows = docs.select(key, F.posexplode(toks).alias("pos", "token"))
-    return rows.filter((F.col("pos") == 0) | F.col("token").rlike(ALPHA_TOKEN)) \
-               .withColumn("pos", F.col("pos").cast("bigint"))
+def drop_stopwords(tokens: Column, stop: Sequence[str]) -> Column:
+    words = sorted({w.lower() for w in stop})
+    return F.filter(tokens, lambda t: ~F.lower(t).isin(words)) if words else tokens
 
 
-def reassemble(tokens: DataFrame, key: str, value: str) -> DataFrame:
-    """One space-separated string per document, in position order ('' when
-    only the sentinel is left).  Two-level concatenation (see
-    ``ordered_concat``), so one huge document is not gathered by one task
-    before its last step."""
-    from lexis.sources.files import ordered_concat
-    return ordered_concat(tokens, key, "pos", F.col(value), " ")
+def one_lemma(lexicon: Iterable[tuple[str, str, str]]) -> dict[tuple[str, str], str]:
+    """A lexicon with one lemma a (language, surface): the first in order."""
+    out: dict[tuple[str, str], str] = {}
+    for lang, surface, lemma in sorted(lexicon):
+        out.setdefault((lang, surface), lemma)
+    return out
 
 
-def remove_stopwords(tokens: DataFrame, stop: DataFrame) -> DataFrame:
-    stop = checked_broadcast(stop.select(F.col("token").alias("_stop")), MAX_BROADCAST_WORDS)
-    return tokens.join(stop, F.lower(tokens["token"]) == stop["_stop"], "left_anti")
+def lemmatize(tokens: Column, lexicon: Iterable[tuple[str, str, str]], lang: Column) -> Column:
+    """Lower-cased lemmas; a token without an entry in its language is itself."""
+    pairs = one_lemma(lexicon)
+    if not pairs:
+        return F.transform(tokens, lambda t: F.lower(t))
+    table = F.create_map(*[F.lit(x) for (la, s), v in pairs.items() for x in (f"{la} {s}", v.lower())])
+    return F.transform(tokens, lambda t: F.coalesce(
+        F.element_at(table, F.concat(lang, F.lit(" "), F.lower(t))), F.lower(t)))
 
 
-def lemmatize(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    lex = checked_broadcast(lexicon.select(F.col("surface").alias("_surface"),
-                                           F.col("lemma").alias("_lemma")), MAX_BROADCAST_WORDS)
-    j = tokens.join(lex, F.lower(tokens["token"]) == lex["_surface"], "left")
-    return j.withColumn("lemma", F.lower(F.coalesce("_lemma", F.lower("token")))) \
-            .drop("_surface", "_lemma")
-
-
-def normalize_text(docs: DataFrame, key: str, text_col: str, stop: DataFrame | None,
-                   lexicon: DataFrame | None, text_fn=None) -> DataFrame:
-    """(key, text): alphabetic tokens, stop words removed, lemmatised, lower
-    case, joined by single spaces in original order.
-
-    ``text_fn`` (Column -> Column, e.g. clean_text) is applied after the
-    shuffle by key, so it runs on every core and the shuffle moves raw text.
-    """
-    docs = docs.select(key, text_col).repartition(key)
-    if text_fn is not None:
-        docs = docs.select(key, text_fn(F.col(text_col)).alias(text_col))
-    toks = alpha_token_rows(docs, key, text_col)
+def normalize(text: Column, stop: Sequence[str] | None, lexicon, lang: Column) -> Column:
+    """Alphabetic tokens, stop words removed, lemmatised, lower case, joined by
+    single spaces in original order.  Row-local: no shuffle, one document a row."""
+    tokens = alpha_tokens(text)
+    if stop is not None:
+        tokens = drop_stopwords(tokens, stop)
+    return F.array_join(lemmatize(tokens, lexicon or (), F.coalesce(lang, F.lit(""))), " ")
+
+
+def normalize_text(docs: DataFrame, key: str, text_col: str, stop: Sequence[str] | None,
+                   lexicon, lang_col: str | None = None, text_fn=None) -> DataFrame:
+    """(key, text).  ``lexicon`` is a list of (language, surface, lemma), looked
+    up in each row's language; ``text_fn`` (e.g. clean_text) is applied first."""
+    text = F.col(text_col) if text_fn is None else text_fn(F.col(text_col))
+    lang = F.col(lang_col) if lang_col else F.lit("")
+    return docs.select(key, normalize(text, stop, lexicon, lang).alias("text"))
+
+
+def normalize_with_table(docs: DataFrame, key: str, text_col: str, stop: Sequence[str] | None,
+                         lexicon: DataFrame, lang_col: str) -> DataFrame:
+    """``normalize_text`` for a lexicon too large for an expression: a table
+    (lang, surface, lemma), reduced to one lemma (the smallest) a surface, joined to
+    the distinct words of each document, whose lemmas come back as a map."""
+    table = lexicon.groupBy("lang", "surface").agg(F.min("lemma").alias("lemma"))
+    tokens = alpha_tokens(F.col(text_col))
     if stop is not None:
-        toks = remove_stopwords(toks, stop)
-    if lexicon is not None:
-        toks = lemmatize(toks, lexicon)
-    else:
-        toks = toks.withColumn("lemma", F.lower("token"))
-    return reassemble(toks, key, "lemma")
-
-
-def preprocess_files(files: DataFrame, stop: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Folder job over routed files (path, kind, output_filename, text):
-    clean_text then normalise; one output row per file."""
-    return normalize_text(files.select("output_filename", "text"), "output_filename", "text",
-                          stop, lexicon, text_fn=clean_text)
+        tokens = drop_stopwords(tokens, stop)
+    rows = docs.select(F.col(key).alias("_key"), F.col(lang_col).alias("lang"), tokens.alias("_tokens"))
+    words = rows.select("_key", "lang", F.explode(F.array_distinct(F.transform("_tokens", lambda t: F.lower(t)))).alias("surface"))
+    known = words.join(table, ["lang", "surface"]).groupBy("_key").agg(
+        F.map_from_entries(F.collect_list(F.struct("surface", F.lower("lemma")))).alias("_map"))
+    lemma = lambda t: F.coalesce(F.element_at("_map", F.lower(t)), F.lower(t))
+    return rows.join(known, "_key", "left").select(
+        F.col("_key").alias(key), F.array_join(F.transform("_tokens", lemma), " ").alias("text"))
+
+
+def preprocess_files(files: DataFrame, stop: Sequence[str], lexicon) -> DataFrame:
+    """Folder job over routed files (path, output_filename, text, lang):
+    (output_filename, path, text), each file cleaned and normalised by itself.
+    Where several files have one output name the greatest path's stays, as the
+    last file written would; only that choice is a shuffle (pre-aggregated)."""
+    done = files.select("output_filename", "path", normalize(
+        clean_text(F.col("text")), stop, lexicon, F.col("lang")).alias("text"))
+    last = done.groupBy("output_filename").agg(F.max_by(F.struct("path", "text"), "path").alias("_f"))
+    return last.select("output_filename", F.col("_f.path").alias("path"), F.col("_f.text").alias("text"))

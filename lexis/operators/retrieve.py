@@ -3,8 +3,9 @@ content fetch and answer formatting, for a whole table of questions at once.
 
 Plan shape (whole-store mode)::
 
-    store (partitioned by doc_id) -> hashed tf + norm   (partition-local)
-        JOIN broadcast(question tf)  ON feature           (no shuffle of the store)
+    store (partitioned by line) -> hashed tf + norm      (partition-local)
+        JOIN question tf (written once)  ON feature        (Spark broadcasts it while
+                                                            it is small)
         GROUP BY question, doc line                        (partition-local)
         row_number() <= k per question                     (partial limit before
                                                             the only shuffle)
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lexis.functions.text import preprocess_text
 from lexis.operators.vectorize import NUM_FEATURES, cosine_from_dot, vectors
-from lexis.session import checked_broadcast, checkpoint_root
+from lexis.session import once
 
 # Answer texts of the reference, verbatim.
 NOT_TRAINED = ("O modelo ainda não foi treinado. Por favor, conclua o treinamento "
@@ -32,7 +33,6 @@ HIT_PREFIX = "- "
 
 TOP_K = 5            # hits per answer
 SAMPLE_SIZE = 1000   # candidates per question in sampling mode
-MAX_BROADCAST_QUERY_TERMS = 5_000_000
 
 
 def sample_order(keys: Sequence[str]) -> list[Column]:
@@ -55,7 +55,7 @@ def question_vectors(queries: DataFrame, num_features: int = NUM_FEATURES) -> Da
 
 def _scores(qvec: DataFrame, dvec: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Positive cosine scores for every (question, document) sharing a feature."""
-    joined = dvec.join(checked_broadcast(qvec, MAX_BROADCAST_QUERY_TERMS), "feature")
+    joined = dvec.join(once(qvec, "questions"), "feature")
     return (joined.groupBy("query_id", *keys)
                   .agg(F.sum(F.col("tf") * F.col("qtf")).alias("_dot"),
                        F.max("norm").alias("_dn"), F.max("qnorm").alias("_qn"))
@@ -78,22 +78,6 @@ def _keys_literal(rows, keys: Sequence[str]) -> Column:
     return F.from_json(F.lit(payload), schema)
 
 
-def _key_hash(keys: Sequence[str]) -> Column:
-    return F.xxhash64(*[F.col(k) for k in keys])
-
-
-def _key_filter(rows, keys: Sequence[str]) -> Column:
-    """Predicate pre-selecting a bounded key list (rows carry ``_h``, the
-    key hash).  The first key's IN-list is pushed down to the scan (Parquet
-    filtering); the 64-bit key-hash IN-set is a hash lookup evaluated before
-    any tokenising.  Callers follow it with an exact semi join, so a hash
-    collision can never add a row."""
-    if not rows:
-        return F.lit(False)
-    first = F.col(keys[0]).isin(sorted({r[keys[0]] for r in rows}))
-    return first & _key_hash(keys).isin(sorted({r["_h"] for r in rows}))
-
-
 def _pair_with(queries: DataFrame, rows, keys: Sequence[str]) -> DataFrame:
     """Each question with each of a bounded list of documents (explode, no join)."""
     return (queries.select("query_id", F.explode(_keys_literal(rows, keys)).alias("_d"))
@@ -109,12 +93,14 @@ def score_candidates(queries: DataFrame, store: DataFrame, keys: Sequence[str],
     shipped to the questions as a literal.
     """
     keys = list(keys)
-    sample = candidate_sample(store, keys, n)
-    rows = sample.select(*keys, _key_hash(keys).alias("_h")).collect()  # <= n rows
-    exact = F.broadcast(store.sparkSession.createDataFrame(
-        [tuple(r[k] for k in keys) for r in rows], sample.select(*keys).schema))
-    chosen = store.filter(_key_filter(rows, keys)).join(exact, keys, "left_semi")
-    dvec = vectors(chosen, keys, "content", num_features, lowercase=False)
+    sample = once(candidate_sample(store, keys, n), "sample")  # n rows, with their content
+    return _score_sample(queries, sample, keys, num_features)
+
+
+def _score_sample(queries: DataFrame, sample: DataFrame, keys: Sequence[str],
+                  num_features: int = NUM_FEATURES) -> DataFrame:
+    rows = sample.select(*keys).collect()  # n rows at most
+    dvec = vectors(sample, keys, "content", num_features, lowercase=False)
     pos = _scores(question_vectors(queries, num_features), dvec, keys)
     return (_pair_with(queries, rows, keys).join(pos, ["query_id", *keys], "left")
                  .withColumn("similarity", F.coalesce("similarity", F.lit(0.0))))
@@ -122,8 +108,7 @@ def score_candidates(queries: DataFrame, store: DataFrame, keys: Sequence[str],
 
 def rank_content(queries: DataFrame, store: DataFrame, keys: Sequence[str] = ("doc_id", "line_no"),
                  k: int = TOP_K, candidates: int | None = None,
-                 num_features: int = NUM_FEATURES, doc_vectors: DataFrame | None = None,
-                 scorer: str = "join") -> DataFrame:
+                 num_features: int = NUM_FEATURES, doc_vectors: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, keys..., similarity): top-k documents per question.
 
     ``candidates=None`` ranks the whole store; ``candidates=n`` ranks a
@@ -133,25 +118,17 @@ def rank_content(queries: DataFrame, store: DataFrame, keys: Sequence[str] = ("d
     sorted candidate list would be), never beyond the store size.
     ``doc_vectors`` (keys..., feature, tf, norm) may be given when they were
     computed at ingest (the store is then only read for padding keys).
-    ``scorer="vectorized"`` computes each Arrow batch's question x line
-    products with numpy instead of the broadcast join + aggregate (same
-    results; pays off for large question batches).
+    Similarities are unrounded, and ranked so.
     """
     keys = list(keys)
     if candidates is not None:
-        return _top_k(score_candidates(queries, store, keys, candidates, num_features), keys, k)
+        return once(_top_k(score_candidates(queries, store, keys, candidates, num_features), keys, k), "hits")
     qvec = question_vectors(queries, num_features)
-    if scorer == "vectorized":
-        hits = _top_k(_vectorized_candidates(qvec, line_vectors(store, keys, num_features), keys, k),
-                      keys, k)
-    else:
-        dvec = doc_vectors if doc_vectors is not None else vectors(store, keys, "content", num_features,
-                                                                        lowercase=False)
-        hits = _top_k(_scores(qvec, dvec, keys), keys, k)
-    # The ranking pass runs once: its (questions x k) result is cut from its
-    # lineage with a reliable checkpoint in the shared checkpoint folder.
-    checkpoint_root(queries.sparkSession)
-    hits = hits.checkpoint(eager=True)
+    dvec = doc_vectors if doc_vectors is not None else vectors(store, keys, "content", num_features,
+                                                               lowercase=False)
+    # The ranking pass runs once: its (questions x k) result is written to the
+    # shared folder and read back.
+    hits = once(_top_k(_scores(qvec, dvec, keys), keys, k), "hits")
     full = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k)
     short = queries.select("query_id").join(full, "query_id", "left_anti")
     if short.limit(1).count() == 0:
@@ -166,7 +143,7 @@ def rank_content(queries: DataFrame, store: DataFrame, keys: Sequence[str] = ("d
 
 def attach_content(ranked: DataFrame, store: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(query_id, rank, content) in rank order; ids missing from the store drop."""
-    hits = checked_broadcast(ranked.select("query_id", "rank", *keys), MAX_BROADCAST_QUERY_TERMS)
+    hits = ranked.select("query_id", "rank", *keys)
     return store.select(*keys, "content").join(hits, list(keys)) \
                 .select("query_id", "rank", "content")
 
@@ -201,95 +178,3 @@ def answer_queries(queries: DataFrame, store: DataFrame, keys: Sequence[str] = (
     ranked = rank_content(queries, store, keys, k, candidates, num_features)
     info = attach_content(ranked, content_store if content_store is not None else store, keys)
     return generate_response(queries, info)
-
-
-# ---------------------------------------------------------------------------
-# Vectorised scorer: the (question x line) products of one Arrow batch are a
-# sparse matrix product done with numpy; each batch returns a tie-safe top-k
-# superset per question.  Spark then applies the exact cosine expression,
-# rounding and final ranking, so results equal the join path.
-# ---------------------------------------------------------------------------
-
-MAX_QUESTION_TERMS = 5_000_000
-TIE_MARGIN = 1e-6  # keeps every line that could tie the k-th after rounding
-
-
-def line_vectors(store: DataFrame, keys: Sequence[str], num_features: int = NUM_FEATURES) -> DataFrame:
-    """(keys..., features array<int>, tfs array<double>, norm): one row per
-    line; both aggregations are keyed by the line, so a store partitioned
-    by its document needs no shuffle."""
-    from lexis.operators.vectorize import hashed_tf
-    tf = hashed_tf(store, keys, "content", num_features, lowercase=False)
-    agg = tf.groupBy(*keys).agg(F.collect_list(F.struct("feature", "tf")).alias("_v"),
-                                F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    return agg.select(*keys, F.col("_v.feature").alias("features"), F.col("_v.tf").alias("tfs"), "norm")
-
-
-def _vectorized_candidates(qvec: DataFrame, lines: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-    rows = qvec.select("query_id", "feature", "qtf", "qnorm").limit(MAX_QUESTION_TERMS + 1).collect()
-    if len(rows) > MAX_QUESTION_TERMS:
-        raise ValueError("question batch too large for the vectorised scorer; use scorer='join'")
-    qids = sorted({r["query_id"] for r in rows})
-    qpos = {q: i for i, q in enumerate(qids)}
-    qnorm = np.zeros(len(qids))
-    for r in rows:
-        qnorm[qpos[r["query_id"]]] = r["qnorm"]
-    order = sorted(rows, key=lambda r: r["feature"])
-    qf = np.array([r["feature"] for r in order], dtype=np.int64)
-    qq = np.array([qpos[r["query_id"]] for r in order], dtype=np.int64)
-    qt = np.array([r["qtf"] for r in order], dtype=np.float64)
-    qid_arr = np.array(qids, dtype=np.int64)
-    nq = len(qids)
-    keys = list(keys)
-
-    def run(batches):
-        for pdf in batches:
-            if len(pdf) == 0 or nq == 0:
-                continue
-            lens = pdf["features"].map(len).to_numpy()
-            if lens.sum() == 0:
-                continue
-            f = np.concatenate(pdf["features"].to_numpy()).astype(np.int64)
-            t = np.concatenate(pdf["tfs"].to_numpy()).astype(np.float64)
-            line = np.repeat(np.arange(len(pdf)), lens)
-            lo = np.searchsorted(qf, f, "left")
-            cnt = np.searchsorted(qf, f, "right") - lo
-            total = int(cnt.sum())
-            if total == 0:
-                continue
-            rep = np.repeat(np.arange(len(f)), cnt)
-            start = np.repeat(np.cumsum(cnt) - cnt, cnt)
-            qi = lo[rep] + (np.arange(total) - start)
-            pair = line[rep] * nq + qq[qi]
-            uniq, inv = np.unique(pair, return_inverse=True)
-            dot = np.bincount(inv, weights=t[rep] * qt[qi])
-            li, q = uniq // nq, uniq % nq
-            dn = pdf["norm"].to_numpy()[li]
-            sim = dot / (dn * qnorm[q])
-            o = np.lexsort((-sim, q))
-            q_s, sim_s = q[o], sim[o]
-            first = np.searchsorted(q_s, np.arange(nq), "left")
-            last = np.searchsorted(q_s, np.arange(nq), "right")
-            keep = np.zeros(len(o), dtype=bool)
-            for j in range(nq):
-                a, b = first[j], last[j]
-                if a == b:
-                    continue
-                cut = sim_s[min(a + k, b) - 1] - TIE_MARGIN
-                keep[a:b] = sim_s[a:b] >= cut
-            sel = o[keep]
-            out = {"query_id": qid_arr[q[sel]]}
-            for c in keys:
-                out[c] = pdf[c].to_numpy()[li[sel]]
-            out["_dot"] = dot[sel]
-            out["_dn"] = dn[sel]
-            out["_qn"] = qnorm[q[sel]]
-            yield pd.DataFrame(out)
-
-    schema = "query_id bigint, " + ", ".join(f"{c} bigint" for c in keys) + \
-             ", _dot double, _dn double, _qn double"
-    cand = lines.mapInPandas(run, schema)
-    return cand.select("query_id", *keys,
-                       cosine_from_dot(F.col("_dot"), F.col("_qn"), F.col("_dn")).alias("similarity"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexis.functions.text import non_blank, preprocess_text, split_lines
+from lexis.session import checkpoint_root, read_if_written
 
 DOC_KEYS = ("doc_id", "line_no")
 
@@ -20,6 +21,17 @@ def line_documents(documents: DataFrame, id_col: str = "doc_id",
                      .withColumn("line_no", F.col("line_no").cast("bigint")))
 
 
+def line_pairs(documents: DataFrame) -> DataFrame:
+    """(doc_id, line_no, content, next_line, _next): each stored line with the one
+    after it, paired inside the document's row."""
+    from lexis.operators.vectorize import next_lines
+    numbered = F.transform(split_lines("text"), lambda line, i: F.struct(
+        i.cast("bigint").alias("line_no"), line.alias("line")))
+    kept = documents.select("doc_id", F.filter(numbered, lambda s: non_blank(s["line"])).alias("lines"))
+    return next_lines(kept, "doc_id", "line_no", "line").select(
+        "doc_id", "line_no", preprocess_text("line").alias("content"), "next_line", preprocess_text("_next").alias("_next"))
+
+
 def process_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """Strip, drop blank lines, tokenise: the store's ``content``.
 
@@ -31,8 +43,7 @@ def process_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
 
 def build_store(documents: DataFrame, id_col: str = "doc_id",
-                text_col: str = "text", ordered: bool = False,
-                by_document: bool = False) -> DataFrame:
+                text_col: str = "text", ordered: bool = False) -> DataFrame:
     """(doc_id, line_no, content), partitioned by the line key.
 
     Lines are split where the documents are read; the one shuffle moves raw
@@ -42,15 +53,11 @@ def build_store(documents: DataFrame, id_col: str = "doc_id",
     contain the line key.  ``ordered=True`` range-partitions by the line key
     instead, so partitions follow store order and ids can be assigned
     without a second shuffle (see ``assign_ids(partitioned=True)``).
-    ``by_document=True`` hash-partitions by doc_id alone, for consumers that
-    need whole documents together (windows over a document's lines).
     """
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     lines = line_documents(docs)
     if ordered:
         lines = lines.repartitionByRange(id_partitions(documents), "doc_id", "line_no")
-    elif by_document:
-        lines = lines.repartition("doc_id")
     else:
         lines = lines.repartition("doc_id", "line_no")
     return process_lines(lines)
@@ -78,7 +85,6 @@ def assign_ids(df: DataFrame, order_cols: Sequence[str], start=0,
     The per-partition count table has one row per partition, so the offset
     window runs over (#partitions) rows, never over the data.
     """
-    from lexis.session import checkpoint_root
     src = df if partitioned else df.repartitionByRange(id_partitions(df), *order_cols)
     ordered = (src.sortWithinPartitions(*order_cols)
                   .withColumn("_mid", F.monotonically_increasing_id()))
@@ -114,12 +120,9 @@ def append_documents(spark: SparkSession, store_path: str, new_docs: DataFrame,
     With ``batch_id`` the rows land in partition ``batch=<id>`` written with
     dynamic partition overwrite, so a replayed micro-batch replaces itself.
     """
-    try:
-        store = spark.read.parquet(store_path)
-        if batch_id is not None and "batch" in store.columns:
-            store = store.filter(F.col("batch") != batch_id)
-    except Exception:  # noqa: BLE001 - store does not exist yet
-        store = None
+    store = read_if_written(spark, store_path)
+    if store is not None and batch_id is not None and "batch" in store.columns:
+        store = store.filter(F.col("batch") != batch_id)
     if store is None:
         out = assign_ids(new_docs, order_cols)
     else:
@@ -135,6 +138,7 @@ def append_documents(spark: SparkSession, store_path: str, new_docs: DataFrame,
 
 
 def write_per_file(df: DataFrame, path: str, name_col: str, text_col: str) -> None:
-    """One output folder per file name (S9), overwrite; text is UTF-8."""
-    (df.select(name_col, text_col).repartition(name_col)
+    """One output folder per file name (S9), overwrite; text is UTF-8.  Rows are
+    written where they are: no shuffle by name."""
+    (df.select(name_col, text_col)
        .write.mode("overwrite").partitionBy(name_col).text(path))

@@ -71,13 +71,14 @@ def l2_normalize(vec: DataFrame) -> DataFrame:
                                      .otherwise(F.lit(0.0)))
 
 
-def cosine_from_dot(dot: Column, norm_a: Column, norm_b: Column, digits: int = 6) -> Column:
-    """dot / (|a| |b|), 0.0 when either vector is empty, rounded for ranking."""
+def cosine_from_dot(dot: Column, norm_a: Column, norm_b: Column) -> Column:
+    """dot / (|a| |b|), 0.0 when either vector is empty.  Unrounded: rank on
+    this value and round only what is shown."""
     denom = norm_a * norm_b
-    return F.round(F.when(denom > 0, dot / denom).otherwise(F.lit(0.0)), digits)
+    return F.when(denom > 0, dot / denom).otherwise(F.lit(0.0))
 
 
-def dense_cosine(a, b, digits: int = 6) -> Column:
+def dense_cosine(a, b) -> Column:
     """Cosine of two equally long numeric arrays, computed element-wise."""
     a = F.col(a) if isinstance(a, str) else a
     b = F.col(b) if isinstance(b, str) else b
@@ -86,24 +87,30 @@ def dense_cosine(a, b, digits: int = 6) -> Column:
     dot = F.aggregate(F.zip_with(ad, bd, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     na = F.sqrt(F.aggregate(ad, F.lit(0.0), lambda s, x: s + x * x))
     nb = F.sqrt(F.aggregate(bd, F.lit(0.0), lambda s, x: s + x * x))
-    return cosine_from_dot(dot, na, nb, digits)
+    return cosine_from_dot(dot, na, nb)
 
 
-def adjacent_cosine(store: DataFrame, doc: str, line: str, text: str,
+def next_lines(lines: DataFrame, doc: str, line: str, text: str) -> DataFrame:
+    """(doc, lines) with a document's lines as one sorted array, to
+    (doc, line, next_line, text, next): each line beside the one after it."""
+    at = F.posexplode(F.slice("lines", 1, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("_i", "_l")
+    paired = lines.select(doc, "lines", at)
+    after = F.element_at("lines", F.col("_i") + 2)
+    return paired.select(doc, F.col("_l")[line].alias(line), F.col("_l")[text].alias(text),
+                         after[line].alias("next_line"), after[text].alias("_next"))
+
+
+def adjacent_cosine(pairs: DataFrame, doc: str, line: str, text: str,
                     num_features: int = NUM_FEATURES, lowercase: bool = True) -> DataFrame:
     """(doc, line, next_line, similarity): cosine of each line with the next
     stored line of the same document.
 
-    One pass: a window by document attaches the next line's text to each
-    line, both texts' hashed terms are counted side by side per (line,
-    feature), and one more group-by gives dot product and norms.  Every key
-    contains the document, so a store hash-partitioned by ``doc`` is never
-    shuffled again.
+    ``pairs`` holds both texts of a pair in one row (``next_lines``).  Their
+    hashed terms are counted side by side per (line, feature), and one more
+    group-by gives dot product and norms; both are keyed by the line, so one
+    shuffle by the line's key serves both and a long document is spread.
     """
-    w = Window.partitionBy(doc).orderBy(line)
-    pairs = (store.select(doc, line, text, F.lead(line).over(w).alias("next_line"),
-                          F.lead(text).over(w).alias("_next"))
-                  .filter(F.col("next_line").isNotNull()))
+    pairs = pairs.repartition(doc, line)
     tagged = F.concat(
         F.transform(term_tokens(text, lowercase), lambda t: F.struct(t.alias("t"), F.lit(1).alias("a"),
                                                                     F.lit(0).alias("b"))),
@@ -122,7 +129,7 @@ def adjacent_cosine(store: DataFrame, doc: str, line: str, text: str,
         F.sqrt(F.sum(F.col("_ta") * F.col("_ta"))).alias("_na"),
         F.sqrt(F.sum(F.col("_tb") * F.col("_tb"))).alias("_nb"))
     return sums.select(doc, line, "next_line",
-                       cosine_from_dot(F.col("_dot"), F.col("_na"), F.col("_nb")).alias("similarity"))
+                       F.round(cosine_from_dot(F.col("_dot"), F.col("_na"), F.col("_nb")), 6).alias("similarity"))
 
 
 def next_row_dense_cosine(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -130,7 +137,7 @@ def next_row_dense_cosine(df: DataFrame, id_col: str, vec_col: str) -> DataFrame
     a = df.select(F.col(id_col), F.col(vec_col).alias("_a"))
     b = df.select((F.col(id_col) - 1).alias(id_col), F.col(id_col).alias("next_id"),
                   F.col(vec_col).alias("_b"))
-    return a.join(b, id_col).select(id_col, "next_id", dense_cosine("_a", "_b").alias("similarity"))
+    return a.join(b, id_col).select(id_col, "next_id", F.round(dense_cosine("_a", "_b"), 6).alias("similarity"))
 
 
 _ML_VECTOR = "struct<v:struct<type:int,size:int,indices:array<int>,values:array<double>>>"

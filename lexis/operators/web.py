@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexis.functions import html as H
+from lexis.session import once, scratch_path
 
 # Fixed value: saved page layout.
 PAGE_DOC_PREFIX = "URL: "
@@ -30,22 +31,27 @@ def page_links(pages: DataFrame, base: str | Column | None = H.BASE_URL) -> Data
     """(page_id, pos, href, link): every body anchor in order, resolved
     against ``base`` (a fixed URL as in the reference) or, with
     ``base=None``, against the page's own URL."""
+    return _links(pages, base).drop("url")
+
+
+def _links(pages: DataFrame, base: str | Column | None) -> DataFrame:
+    """``page_links`` with the page's URL."""
     b = F.col("url") if base is None else (F.lit(base) if isinstance(base, str) else base)
     src = pages.filter(H.has_body("html")).select("page_id", "url", H.anchor_hrefs("html").alias("_h"),
                                                   b.alias("_base"))
-    return (src.select("page_id", "_base", F.posexplode("_h").alias("pos", "href"))
-               .select("page_id", F.col("pos").cast("bigint").alias("pos"), "href",
+    return (src.select("page_id", "url", "_base", F.posexplode("_h").alias("pos", "href"))
+               .select("page_id", "url", F.col("pos").cast("bigint").alias("pos"), "href",
                        H.resolve_url(F.col("_base"), F.col("href")).alias("link")))
 
 
 def internal_links(pages: DataFrame, base: str | None = H.BASE_URL) -> DataFrame:
     """Links that stay inside the crawl base (the page's site when base=None)."""
-    links = page_links(pages, base)
-    if base is None:
-        roots = pages.select("page_id", H.site_root("url").alias("_root"))
-        links = links.join(roots, "page_id")
-        return links.filter(F.col("link").startswith(F.col("_root"))).drop("_root")
-    return links.filter(F.col("link").startswith(F.lit(base)))
+    return _internal(pages, base).drop("url")
+
+
+def _internal(pages: DataFrame, base: str | None) -> DataFrame:
+    root = H.site_root("url") if base is None else F.lit(base)
+    return _links(pages, base).filter(F.col("link").startswith(root))
 
 
 def visitable_urls(urls: DataFrame, url_col: str = "url") -> DataFrame:
@@ -62,43 +68,41 @@ def crawl_frontier(pages: DataFrame, base: str | None = None) -> DataFrame:
 
 def link_edges(pages: DataFrame, base: str | None = None) -> DataFrame:
     """(src, dst) internal, fragment-free edges between URLs."""
-    links = internal_links(pages, base).filter(~H.has_fragment("link"))
-    return (links.join(pages.select("page_id", F.col("url").alias("src")), "page_id")
-                 .select("src", F.col("link").alias("dst")).distinct())
+    links = _internal(pages, base).filter(~H.has_fragment("link"))
+    return links.select(F.col("url").alias("src"), F.col("link").alias("dst")).distinct()
 
 
-def crawl_reachable(edges: DataFrame, seeds: DataFrame, checkpoint=None,
-                    max_rounds: int = 10_000) -> DataFrame:
-    """(url, depth): closure of ``edges`` from ``seeds`` (breadth-first).
+def crawl_reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(url, depth): closure of ``edges`` from ``seeds`` (breadth-first), until
+    a round finds nothing new.
 
-    Each round is one join of the frontier with the edges and an anti join
-    with what was reached; the loop runs on the driver over rounds only (one
-    count per round).  ``checkpoint`` (a function DataFrame -> DataFrame,
-    e.g. reliable ``DataFrame.checkpoint``) cuts lineage per round.
+    The edges are written once.  A round joins the last round's URLs with the
+    edges, drops what was reached, and appends the rest to one table in the shared
+    folder; nothing reached earlier is rewritten.
     """
-    reached = seeds.select(F.col("url"), F.lit(0).cast("bigint").alias("depth")).distinct()
-    frontier = reached.select("url")
+    spark = edges.sparkSession
+    edges = once(edges.select("src", "dst"), "edges")
+    path = scratch_path(spark, "reached")
+    (seeds.select(F.col("url"), F.lit(0).cast("bigint").alias("depth")).distinct().write.parquet(path))
     depth = 0
-    while depth < max_rounds:
+    while True:
+        reached = spark.read.schema("url string, depth bigint").parquet(path)
+        new = (reached.where(F.col("depth") == depth).join(edges, F.col("url") == F.col("src"))
+               .select(F.col("dst").alias("url")).distinct().join(reached.select("url"), "url", "left_anti"))
+        new = once(new.withColumn("depth", F.lit(depth + 1).cast("bigint")), "frontier")
+        if not new.take(1):
+            return reached
+        new.write.mode("append").parquet(path)
         depth += 1
-        nxt = (frontier.join(edges, frontier["url"] == edges["src"])
-                       .select(F.col("dst").alias("url")).distinct()
-                       .join(reached.select("url"), "url", "left_anti"))
-        if checkpoint is not None:
-            nxt = checkpoint(nxt)
-        if nxt.limit(1).count() == 0:
-            break
-        reached = reached.unionByName(nxt.withColumn("depth", F.lit(depth).cast("bigint")))
-        if checkpoint is not None:
-            reached = checkpoint(reached)
-        frontier = nxt
-    return reached
 
 
 def saved_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, file_name, text) of pages the crawler saves: those with
-    a body and a usable title.  One projection over one scan."""
-    return (pages.filter(H.has_body("html"))
+    """(page_id, url, file_name, text) of pages the crawler saves: those it
+    visits (no fragment in the URL, and each URL once, at its first page) that
+    have a body and a usable title."""
+    visited = pages.filter(~H.has_fragment("url"))
+    first = visited.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    return (visited.join(first, ["page_id", "url"], "left_semi").filter(H.has_body("html"))
                  .select("page_id", "url", H.page_title("html").alias("title"),
                          H.page_filename("html").alias("file_name"), H.body_text("html").alias("text"))
                  .filter(F.col("title").isNotNull()).drop("title"))

@@ -38,7 +38,7 @@ qvec AS (SELECT *, sqrt(sum(qtf * qtf) OVER (PARTITION BY query_id)) AS qnorm FR
 
 SCORES = f"""scores AS (
   SELECT query_id, doc_id, line_no,
-         {S.cosine('sum(tf * qtf)', 'max(qnorm)', 'max(norm)')} AS similarity
+         {S.raw_cosine('sum(tf * qtf)', 'max(qnorm)', 'max(norm)')} AS similarity
   FROM dvec JOIN qvec USING (feature) GROUP BY ALL
 )"""
 
@@ -70,7 +70,7 @@ SAMPLE = """sample AS (
 SAMPLE_SCORES = f"""sdvec AS (SELECT d.* FROM dvec d JOIN sample USING (doc_id, line_no)),
 spos AS (
   SELECT query_id, doc_id, line_no,
-         {S.cosine('sum(tf * qtf)', 'max(qnorm)', 'max(norm)')} AS similarity
+         {S.raw_cosine('sum(tf * qtf)', 'max(qnorm)', 'max(norm)')} AS similarity
   FROM sdvec JOIN qvec USING (feature) GROUP BY ALL
 ),
 cand AS (
@@ -99,10 +99,10 @@ FROM qs LEFT JOIN agg USING (query_id)"""
 ORACLE["candidate_sample"] = f"WITH {LINES},\n{STORE},\n{SAMPLE}\nSELECT * FROM sample"
 
 ORACLE["score_candidates"] = (f"WITH {LINES},\n{STORE},\n{DVEC},\n{QVEC},\n{SAMPLE},\n{SAMPLE_SCORES}\n"
-                              "SELECT query_id, doc_id, line_no, similarity FROM cand")
+                              "SELECT query_id, doc_id, line_no, round(similarity, 6) AS similarity FROM cand")
 
 ORACLE["rank_content"] = (f"WITH {LINES},\n{STORE},\n{DVEC},\n{QVEC},\n{SCORES},\n{RANKED}\n"
-                          "SELECT query_id, rank, doc_id, line_no, similarity FROM ranked")
+                          "SELECT query_id, rank, doc_id, line_no, round(similarity, 6) AS similarity FROM ranked")
 
 ORACLE["extract_relevant_info"] = (
     f"WITH {LINES},\n{STORE},\n{DVEC},\n{QVEC},\n{SCORES},\n{RANKED}\n"
@@ -207,7 +207,18 @@ rawl AS (
 SELECT true AS success, CAST(count(*) AS BIGINT) AS total_lines,
   CAST(count(*) FILTER (WHERE lang = 'de' AND contains(line, chr(65533))) AS BIGINT) AS problematic_lines,
   CAST(count(*) FILTER (WHERE {S.clean_line('line')} <> '') AS BIGINT) AS cleaned_lines,
-  'documents.txt.clean' AS output_file, CAST(NULL AS VARCHAR) AS error
+  CASE WHEN count(*) FILTER (WHERE lang = 'de' AND contains(line, chr(65533))) = 0 THEN 'documents.txt'
+       ELSE 'documents.txt.clean' END AS output_file, CAST(NULL AS VARCHAR) AS error
+FROM rawl"""
+
+ORACLE["verify_outcome"] = f"""WITH {DIRTY},
+rawl AS (
+  SELECT doc_id, lang, unnest({S.split_lines("CASE WHEN lang = 'de' THEN text || chr(65533) ELSE text END",
+                                            T.UNIVERSAL_NEWLINE)}) AS line FROM dirty
+)
+SELECT true AS success, CAST(count(*) AS BIGINT) AS total_lines,
+  CAST(count(*) FILTER (WHERE lang = 'de' AND contains(line, chr(65533))) AS BIGINT) AS problematic_lines,
+  CAST(0 AS BIGINT) AS cleaned_lines, 'documents.txt.clean' AS output_file, CAST(NULL AS VARCHAR) AS error
 FROM rawl"""
 
 CONV_PAGES = """cpages AS (
@@ -250,6 +261,10 @@ SELECT doc_id, {S.clean_text('text')} AS text FROM m"""
 
 ORACLE["preprocess_text"] = f"SELECT doc_id, {S.preprocess_text('text')} AS text FROM documents"
 
+# expected values by hand: what the appended words must become
+ORACLE["contractions"] = f"""SELECT doc_id, ltrim({S.preprocess_text('text')} || {S.q(' ' + REG.EXPANDED)}) AS text
+FROM documents"""
+
 ORACLE["process_batch"] = f"WITH {LINES},\n{STORE}\nSELECT doc_id, line_no, content FROM store"
 
 ORACLE["term_tokens"] = f"""SELECT doc_id, CAST(unnest(range(len(toks))) AS BIGINT) AS pos, unnest(toks) AS term
@@ -292,10 +307,10 @@ def dense_cos(a: str, b: str) -> str:
     na = f"sqrt(list_sum(list_transform({a}, lambda x: x * x)))"
     nb = f"sqrt(list_sum(list_transform({b}, lambda x: x * x)))"
     dot = f"list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2]))"
-    return f"round(CASE WHEN {na} * {nb} > 0 THEN {dot} / ({na} * {nb}) ELSE 0.0 END, 6)"
+    return f"(CASE WHEN {na} * {nb} > 0 THEN {dot} / ({na} * {nb}) ELSE 0.0 END)"
 
 
-DENSE_COS = dense_cos("a", "b")
+DENSE_COS = f"round({dense_cos('a', 'b')}, 6)"
 
 ORACLE["cosine_dense"] = f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 p AS (SELECT x.vec_id, y.vec_id AS next_id, x.v AS a, y.v AS b FROM e x JOIN e y ON y.vec_id = x.vec_id + 1)
@@ -344,9 +359,13 @@ SELECT DISTINCT link AS url FROM internal
 WHERE NOT {S.has_fragment('link')} AND link NOT IN (SELECT url FROM pages)"""
 
 ORACLE["crawl_reachable"] = f"""WITH RECURSIVE {INTERNAL},
-edges AS (SELECT DISTINCT url AS src, link AS dst FROM internal WHERE NOT {S.has_fragment('link')}),
+vis AS (SELECT page_id, url, page_id // {REG.GROUP} AS g FROM pages WHERE NOT {S.has_fragment('url')}),
+ring AS (SELECT url AS src, coalesce(lead(url) OVER w, first_value(url) OVER w) AS dst FROM vis
+         WINDOW w AS (PARTITION BY g ORDER BY page_id)),
+edges AS (SELECT url AS src, link AS dst FROM internal WHERE NOT {S.has_fragment('link')}
+          UNION SELECT src, dst FROM ring),
 reach(url) AS (
-  SELECT url FROM pages WHERE NOT {S.has_fragment('url')}
+  SELECT arg_min(url, page_id) FROM vis GROUP BY g
   UNION
   SELECT e.dst FROM reach r JOIN edges e ON e.src = r.url
 )
@@ -355,9 +374,15 @@ SELECT url FROM reach"""
 PAGE_DOCS = f"""pd AS (
   SELECT page_id, url, {S.page_filename('html')} AS file_name, {S.page_title('html')} AS title,
          {S.q('URL: ')} || url || chr(10) || chr(10) || {S.body_text('html')} AS content
-  FROM pages WHERE {S.has_body('html')}
+  FROM (SELECT * FROM pages WHERE NOT {S.has_fragment('url')}
+        QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1) WHERE {S.has_body('html')}
 )"""
 
+# expected values by hand: what the injected markup must show, before the page's own text
+ORACLE["page_markup"] = f"""SELECT page_id, {S.page_title('html')} AS title,
+  {S.q(REG.MARKUP_TEXT)} || CASE WHEN t <> '' THEN chr(10) || t ELSE '' END AS text
+FROM (SELECT *, {S.body_text('html')} AS t FROM pages WHERE {S.has_body('html')})"""
+
 ORACLE["page_documents"] = f"""WITH {PAGE_DOCS}
 SELECT file_name, arg_max(url, page_id) AS url, arg_max(content, page_id) AS content
 FROM pd WHERE title IS NOT NULL GROUP BY file_name"""
@@ -372,7 +397,7 @@ SELECT file_name, CAST(count(*) AS BIGINT) AS pages_written FROM pd WHERE title
 
 from lexis.operators import cluster as KM  # noqa: E402
 
-SQDIST = "round(list_sum(list_transform(list_zip({x}, {c}), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6)"
+SQDIST = "list_sum(list_transform(list_zip({x}, {c}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
 
 EMB_INIT = f"""e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 init AS (
@@ -420,11 +445,43 @@ sc AS (
   SELECT qc.query_id, e.vec_id, {dense_cos('qc.q', 'e.v')} AS similarity
   FROM qc JOIN asg USING (cluster_id) JOIN e USING (vec_id)
 )
-SELECT query_id, CAST(rnk AS BIGINT) AS rank, vec_id, similarity FROM (
+SELECT query_id, CAST(rnk AS BIGINT) AS rank, vec_id, round(similarity, 6) AS similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rnk FROM sc)
 WHERE rnk <= 5"""
 
 
+TEXT_MODEL = f"""{HASHED},
+w AS (SELECT doc_id, feature, tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)) AS weight FROM h),
+first AS (
+  SELECT doc_id, CAST(row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS INTEGER) AS cluster_id
+  FROM (SELECT DISTINCT doc_id FROM w) ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT {KM.N_CLUSTERS}
+),
+cents AS (SELECT cluster_id, feature, weight AS value FROM w JOIN first USING (doc_id))"""
+
+TEXT_ASSIGN = """wf AS (SELECT doc_id, feature, CAST(round(weight * 1073741824) AS BIGINT) AS x FROM w),
+cf AS (SELECT cluster_id, feature, CAST(round(value * 1073741824) AS BIGINT) AS c FROM cents),
+cn AS (SELECT cluster_id, sum(c::HUGEINT * c) AS c2 FROM cf GROUP BY cluster_id),
+dots AS (SELECT doc_id, cluster_id, sum(x::HUGEINT * c) AS dot FROM wf JOIN cf USING (feature) GROUP BY ALL),
+dist AS (
+  SELECT doc_id, cluster_id, c2 - 2 * dot AS d FROM dots JOIN cn USING (cluster_id)
+  UNION ALL
+  SELECT doc_id, cluster_id, c2 FROM documents, (SELECT cluster_id, c2 FROM cn ORDER BY c2, cluster_id LIMIT 1)
+),
+asg AS (SELECT doc_id, cluster_id FROM dist QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d, cluster_id) = 1)"""
+
+ORACLE["text_kmeans_init"] = f"WITH {TEXT_MODEL}\nSELECT cluster_id, feature, round(value, 6) AS value FROM cents"
+ORACLE["text_cluster_assign"] = f"WITH {TEXT_MODEL},\n{TEXT_ASSIGN}\nSELECT doc_id, cluster_id FROM asg"
+ORACLE["text_kmeans_update"] = f"""WITH {TEXT_MODEL},\n{TEXT_ASSIGN},
+m AS (SELECT cluster_id, count(*) AS m FROM asg GROUP BY cluster_id),
+made AS (
+  SELECT cluster_id, m AS weight, feature, sum(weight) / m AS value FROM w JOIN asg USING (doc_id) JOIN m USING (cluster_id)
+  GROUP BY cluster_id, m, feature
+  UNION ALL
+  SELECT cluster_id, 0, feature, value FROM cents WHERE cluster_id NOT IN (SELECT cluster_id FROM m)
+)
+SELECT cluster_id, CAST(weight AS BIGINT) AS weight, feature, round(value, 6) AS value FROM made"""
+
+
 # --------------------------------------------------------------------------
 # Normalisation, store ids, lifecycle
 # --------------------------------------------------------------------------
@@ -439,20 +496,25 @@ def _values(rows, cols) -> str:
 
 
 STOP = f"stop AS (SELECT * FROM {_values([(w.lower(),) for w in NZ.PORTUGUESE_STOP_WORDS], ['token'])})"
-LEX = f"lex AS (SELECT * FROM {_values(NZ.DEFAULT_LEXICON, ['surface', 'lemma'])})"
+def _lex(rows) -> str:
+    return (f"lex AS (SELECT lang, surface, min(lemma) AS lemma FROM {_values(rows, ['lang', 'surface', 'lemma'])} "
+            "GROUP BY lang, surface)")
+
+
+LEX = _lex(NZ.DEFAULT_LEXICON)
 
 
 def _normalize_sql(src: str, key: str, use_stop: bool, use_lex: bool) -> str:
     toks = f"""toks AS (
-  SELECT {key}, pos, token FROM (
-    SELECT {key}, CAST(unnest(range(len(parts))) AS BIGINT) AS pos, unnest(parts) AS token
-    FROM (SELECT {key}, string_split_regex(text, {S.q(T.WS_RUN)}) AS parts FROM {src}))
+  SELECT {key}, lang, pos, token FROM (
+    SELECT {key}, lang, CAST(unnest(range(len(parts))) AS BIGINT) AS pos, unnest(parts) AS token
+    FROM (SELECT {key}, lang, string_split_regex(text, {S.q(T.WS_RUN)}) AS parts FROM {src}))
   WHERE regexp_matches(token, {S.q(T.ALPHA_TOKEN)})
 )"""
     filt = "toks2 AS (SELECT * FROM toks" + (
         " WHERE lower(token) NOT IN (SELECT token FROM stop)" if use_stop else "") + ")"
     lem = ("toks3 AS (SELECT t.*, lower(coalesce(l.lemma, lower(t.token))) AS lemma "
-           "FROM toks2 t LEFT JOIN lex l ON l.surface = lower(t.token))") if use_lex else \
+           "FROM toks2 t LEFT JOIN lex l ON l.surface = lower(t.token) AND l.lang = t.lang)") if use_lex else \
           "toks3 AS (SELECT *, lower(token) AS lemma FROM toks2)"
     return f"""{toks},
 {filt},
@@ -461,67 +523,33 @@ agg AS (SELECT {key}, string_agg(lemma, ' ' ORDER BY pos) AS text FROM toks3 GRO
 SELECT d.{key}, coalesce(a.text, '') AS text FROM {src} d LEFT JOIN agg a USING ({key})"""
 
 
-CLEANED = f"cleaned AS (SELECT doc_id, {S.clean_text('text')} AS text FROM documents)"
+CLEANED = f"cleaned AS (SELECT doc_id, lang, {S.clean_text('text')} AS text FROM documents)"
 
 ORACLE["remove_stopwords"] = f"WITH {STOP}, {LEX}, {CLEANED},\n" + _normalize_sql("cleaned", "doc_id", True, False)
-ORACLE["lemmatize"] = f"WITH {STOP}, {LEX}, {CLEANED},\n" + _normalize_sql("cleaned", "doc_id", False, True)
+ORACLE["lemmatize"] = (f"WITH {STOP}, {_lex(NZ.DEFAULT_LEXICON + REG.TWO_LEMMAS)}, {CLEANED},\n"
+                       + _normalize_sql("cleaned", "doc_id", False, True))
+ORACLE["lemmatize_with_table"] = ORACLE["lemmatize"]
 ORACLE["normalize_text"] = f"WITH {STOP}, {LEX}, {CLEANED},\n" + _normalize_sql("cleaned", "doc_id", True, True)
 
 ROUTED = f"""f AS (
-  SELECT source || '/' || CAST(doc_id AS VARCHAR) || {_ext_case('lang')} AS path, text FROM documents
-), n AS (
-  SELECT path, text, string_split(path, '/')[-1] AS name FROM f
-), k AS (
-  SELECT path, text, name, CASE WHEN suffix(name, '.pdf') THEN 'pdf'
-                                WHEN suffix(name, '.txt') THEN 'txt' END AS kind FROM n
+  SELECT source || '/' || doc_id || '/' || (doc_id - doc_id % 2) || CASE WHEN lang = 'fr' THEN '.pdf' ELSE '.txt' END AS path,
+         text, lang FROM documents
 ), routed AS (
-  SELECT CASE WHEN kind = 'pdf' THEN {S.q(SF.PROCESSED_PREFIX)} || regexp_replace(name, '\\.[^.]*$', '') || '.txt'
-              ELSE {S.q(SF.PROCESSED_PREFIX)} || name END AS output_filename,
-         CASE WHEN kind = 'pdf' THEN array_to_string(list_transform({S.split_lines('text')}, lambda p: p || chr(10)), '')
-              ELSE text END AS text
-  FROM k WHERE kind IS NOT NULL
-), cleaned AS (SELECT output_filename, {S.clean_text('text')} AS text FROM routed)"""
-
-ORACLE["preprocess_files"] = f"WITH {STOP}, {LEX}, {ROUTED},\n" + _normalize_sql("cleaned", "output_filename", True, True)
+  SELECT *, {S.q(SF.PROCESSED_PREFIX)} || regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '') || '.txt' AS output_filename,
+         suffix(path, '.pdf') AS paged FROM f
+), last AS (
+  SELECT * FROM routed QUALIFY row_number() OVER (PARTITION BY output_filename ORDER BY path DESC) = 1
+), cleaned AS (
+  SELECT path, output_filename, lang, {S.clean_text("CASE WHEN paged THEN array_to_string(list_transform(" + S.split_lines('text') + ", lambda p: p || chr(10)), '') ELSE text END")} AS text
+  FROM last)"""
+
+ORACLE["preprocess_files"] = (f"WITH {STOP}, {LEX}, {ROUTED},\nnormal AS ("
+                              + "SELECT * FROM (" + "WITH " + _normalize_sql("cleaned", "path", True, True) + "))\n"
+                              + "SELECT c.output_filename, c.path, n.text FROM cleaned c JOIN normal n USING (path)")
 
 ORACLE["document_store"] = f"""WITH {LINES},\n{STORE}
 SELECT CAST(row_number() OVER (ORDER BY doc_id, line_no) AS BIGINT) AS id, doc_id, line_no, content FROM store"""
 
-ORACLE["training_outcome"] = f"""WITH {LINES},\n{STORE}
-SELECT 'completed' AS result, (SELECT CAST(count(*) AS BIGINT) FROM store) AS documents_processed,
-  (SELECT CAST(sum(len({S.split_lines('text', T.UNIVERSAL_NEWLINE)})) AS BIGINT) FROM documents) AS total_documents"""
-
-ORACLE["training_progress"] = """WITH b AS (
-  SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS batch_id, count(*) AS n,
-         min(epoch(ts)) AS started, max(epoch(ts)) AS ended FROM events GROUP BY 1
-), r AS (
-  SELECT batch_id, n, CAST(sum(n) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS processed,
-         CAST(sum(n) OVER () AS BIGINT) AS total, ended - min(started) OVER () AS elapsed FROM b
-), s AS (
-  SELECT *, CASE WHEN elapsed > 0 THEN processed / elapsed ELSE 0.0 END AS rate FROM r
-)
-SELECT batch_id, CAST(n AS BIGINT) AS n, processed, total,
-  round(CASE WHEN total > 0 THEN processed * 100.0 / total ELSE 0.0 END, 6) AS percent,
-  round(rate, 6) AS docs_per_second,
-  round(CASE WHEN rate > 0 THEN greatest(0.0, total / rate - elapsed) ELSE 0.0 END, 6) AS remaining_seconds
-FROM s"""
-
-MANIFEST = """days AS (
-  SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS e,
-         count(*) FILTER (WHERE event_type = 'click') AS c FROM events GROUP BY 1
-), manifest AS (
-  SELECT CAST(row_number() OVER (ORDER BY day) AS BIGINT) AS version,
-         CAST(sum(n) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS processed,
-         e <= c AS valid FROM days
-)"""
-
-ORACLE["latest_snapshot"] = f"""WITH {MANIFEST}
-SELECT count(*) > 0 AS found, CAST(max(version) AS BIGINT) AS version,
-       CAST(arg_max(processed, version) AS BIGINT) AS processed FROM manifest WHERE valid"""
-
-ORACLE["snapshot_retention"] = f"""WITH {MANIFEST}
-SELECT version, row_number() OVER (ORDER BY version DESC) <= {LC.MAX_CHECKPOINTS} AS keep FROM manifest"""
-
 ORACLE["model_summary"] = f"""WITH {LINES},\n{STORE}
 SELECT count(*) > 0 AS trained, CAST(count(*) AS BIGINT) AS documents_processed,
   {S.q(LC.SUMMARY_PREFIX)} || CASE WHEN count(*) > 0 THEN {S.q(LC.TRAINED)} ELSE {S.q(LC.NOT_TRAINED)} END
@@ -532,15 +560,15 @@ SELECT count(*) > 0 AS trained, CAST(count(*) AS BIGINT) AS documents_processed,
 # Streaming jobs (exact on their outcome counts / answers)
 # --------------------------------------------------------------------------
 
-ORACLE["train_corpus"] = f"""WITH {LINES},\n{STORE}
-SELECT 'completed' AS result, (SELECT CAST(count(*) AS BIGINT) FROM store) AS documents_processed,
-  (SELECT CAST(sum(len({S.split_lines('text', T.UNIVERSAL_NEWLINE)})) AS BIGINT) FROM documents) AS total_documents"""
+ORACLE["train_corpus"] = f"WITH {LINES},\n{STORE}\nSELECT content, count(*) AS copies FROM store GROUP BY content"
+
+# increments are cleaned, the first training is not
+ORACLE["increment_corpus"] = f"""WITH {LINES},
+made AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN line ELSE {S.clean_line('line')} END AS line FROM lines),
+store AS (SELECT {S.preprocess_text('s')} AS content FROM (SELECT {S.strip('line')} AS s FROM made) WHERE s <> '')
+SELECT content, count(*) AS copies FROM store GROUP BY content"""
 
-ORACLE["increment_corpus"] = f"""WITH {LINES},\n{STORE},
-s AS (SELECT s.*, d.lang FROM store s JOIN documents d USING (doc_id))
-SELECT 'completed' AS result,
-  (SELECT CAST(count(*) AS BIGINT) FROM s WHERE lang IN ('de', 'es')) AS new_documents_processed,
-  (SELECT CAST(count(*) AS BIGINT) FROM s) AS documents_processed"""
+ORACLE["train_then_answer"] = ORACLE["answer_queries"]
 
 _QS_CONV = "qs AS (SELECT conv_id * 1000000 + turn AS query_id, text AS query FROM conversations WHERE role = 'user')"
 ORACLE["answer_stream"] = (f"WITH {LINES},\n{STORE},\n{DVEC},\n"

@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexis.functions.text import WS as TX_WS
+from lexis.functions import text as TX
 from lexis.operators import retrieve as R
-from lexis.operators.store import DOC_KEYS, build_store
-from lexis.session import read_table, spread
+from lexis.operators.store import DOC_KEYS, build_store, line_documents, line_pairs, process_lines
+from lexis.session import delete_path, once, read_table, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -27,11 +27,8 @@ def register(name: str):
     return deco
 
 
-def _t(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
-    """A fixture table; ``wide=True`` for row-local text work that should use
-    every core even when the scan has few splits (see ``spread``)."""
-    df = read_table(spark, sf_dir, name)
-    return spread(df) if wide else df
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return read_table(spark, sf_dir, name)
 
 
 # ---------------------------------------------------------------------------
@@ -44,58 +41,49 @@ def _questions(spark, sf_dir) -> DataFrame:
 
 
 def _store(spark, sf_dir) -> DataFrame:
-    return build_store(_t(spark, sf_dir, "documents", wide=True))
+    return build_store(_t(spark, sf_dir, "documents"))
 
 
-def _content_store(spark, sf_dir, ranked: DataFrame) -> DataFrame:
-    """The store restricted (before tokenising) to documents that hold a hit."""
-    docs = _t(spark, sf_dir, "documents")
-    hit_docs = F.broadcast(ranked.select("doc_id").distinct())
-    return build_store(docs.join(hit_docs, "doc_id", "left_semi"))
+def _sample(spark, sf_dir) -> DataFrame:
+    """The n sampled lines with their content: drawn before tokenising, kept once."""
+    lines = line_documents(_t(spark, sf_dir, "documents")).filter(TX.non_blank("line"))
+    return once(process_lines(R.candidate_sample(lines, DOC_KEYS)), "sample")
 
 
 @register("candidate_sample")
 def q_candidate_sample(spark, sf_dir):
-    return R.candidate_sample(_store(spark, sf_dir), DOC_KEYS).select(*DOC_KEYS, "content")
+    return _sample(spark, sf_dir).select(*DOC_KEYS, "content")
 
 
 @register("score_candidates")
 def q_score_candidates(spark, sf_dir):
-    return R.score_candidates(_questions(spark, sf_dir), _store(spark, sf_dir), DOC_KEYS)
+    scored = R.score_candidates(_questions(spark, sf_dir), _sample(spark, sf_dir), DOC_KEYS)
+    return scored.withColumn("similarity", F.round("similarity", 6))
 
 
 @register("rank_content")
 def q_rank_content(spark, sf_dir):
     ranked = R.rank_content(_questions(spark, sf_dir), _store(spark, sf_dir), DOC_KEYS)
-    return ranked.select("query_id", "rank", *DOC_KEYS, "similarity")
+    return ranked.select("query_id", "rank", *DOC_KEYS, F.round("similarity", 6).alias("similarity"))
 
 
 @register("extract_relevant_info")
 def q_extract_relevant_info(spark, sf_dir):
-    ranked = R.rank_content(_questions(spark, sf_dir), _store(spark, sf_dir), DOC_KEYS)
-    return R.attach_content(ranked, _content_store(spark, sf_dir, ranked), DOC_KEYS)
+    store = once(_store(spark, sf_dir), "store")
+    return R.attach_content(R.rank_content(_questions(spark, sf_dir), store, DOC_KEYS), store, DOC_KEYS)
 
 
 @register("generate_response")
 def q_generate_response(spark, sf_dir):
     """Reference mode: each question ranked against a 1000-document sample."""
-    questions = _questions(spark, sf_dir)
-    ranked = R.rank_content(questions, _store(spark, sf_dir), DOC_KEYS,
-                            candidates=R.SAMPLE_SIZE)
-    info = R.attach_content(ranked, _content_store(spark, sf_dir, ranked), DOC_KEYS)
-    return R.generate_response(questions, info)
+    questions, sample = _questions(spark, sf_dir), _sample(spark, sf_dir)
+    ranked = R.rank_content(questions, sample, DOC_KEYS, candidates=R.SAMPLE_SIZE)
+    return R.generate_response(questions, R.attach_content(ranked, sample, DOC_KEYS))
 
 
 def answer_queries_df(spark, sf_dir) -> DataFrame:
-    questions = _questions(spark, sf_dir)
-    store = _store(spark, sf_dir)
-    # trained <=> the store is not empty <=> some document has a non-blank line
-    docs = _t(spark, sf_dir, "documents")
-    if docs.filter(F.col("text").rlike(f"[^{TX_WS}]")).limit(1).count() == 0:
-        return questions.select("query_id", F.lit(R.NOT_TRAINED).alias("answer"))
-    ranked = R.rank_content(questions, store, DOC_KEYS)
-    info = R.attach_content(ranked, _content_store(spark, sf_dir, ranked), DOC_KEYS)
-    return R.generate_response(questions, info)
+    """The store is tokenised and written once; vectors and contents are read from it."""
+    return R.answer_queries(_questions(spark, sf_dir), once(_store(spark, sf_dir), "store"), DOC_KEYS)
 
 
 register("answer_queries")(answer_queries_df)
@@ -105,15 +93,13 @@ register("answer_queries")(answer_queries_df)
 # Sources (S4-S8)
 # ---------------------------------------------------------------------------
 
-from lexis.functions import text as TX  # noqa: E402
 from lexis.operators import cleaning as C  # noqa: E402
-from lexis.operators.store import line_documents, process_lines  # noqa: E402
 from lexis.sources import files as SF  # noqa: E402
 
 
 @register("line_documents")
 def q_line_documents(spark, sf_dir):
-    return line_documents(_t(spark, sf_dir, "documents", wide=True))
+    return line_documents(_t(spark, sf_dir, "documents"))
 
 
 @register("total_documents")
@@ -151,7 +137,7 @@ INJECT_LINE = "\x07\x08"                   # a line that cleans to nothing
 
 
 def _dirty_documents(spark, sf_dir) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents", wide=True)
+    docs = _t(spark, sf_dir, "documents")
     return docs.select("doc_id", "lang", F.concat(
         F.lit(INJECT_HEAD), F.regexp_replace("text", "\n", F.lit(INJECT_TAIL + "\n")),
         F.lit("\n" + INJECT_LINE)).alias("text"))
@@ -180,7 +166,14 @@ def q_clean_lines(spark, sf_dir):
 @register("cleaning_outcome")
 def q_cleaning_outcome(spark, sf_dir):
     lines = C.raw_lines(_raw_documents(spark, sf_dir), "doc_id", "raw")
-    return C.cleaning_outcome(lines, "documents.txt.clean")
+    return C.cleaning_outcome(lines, "documents.txt")
+
+
+@register("verify_outcome")
+def q_verify_outcome(spark, sf_dir):
+    """The verify-only pass: nothing is cleaned, the copy goes beside the input."""
+    lines = C.raw_lines(_raw_documents(spark, sf_dir), "doc_id", "raw")
+    return C.cleaning_outcome(lines, "documents.txt", clean=False)
 
 
 def _conversation_pages(spark, sf_dir) -> DataFrame:
@@ -199,7 +192,7 @@ def q_strip_page_numbers(spark, sf_dir):
 
 
 def _with_headers(spark, sf_dir) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents", wide=True)
+    docs = _t(spark, sf_dir, "documents")
     return docs.select("doc_id", F.concat(
         F.lit(TX.CHAPTER_MARKER + " "), F.col("doc_id").cast("string"), F.lit("\n"),
         F.regexp_replace("text", "\n", F.lit("\nx " + TX.CHAPTER_MARKER + " y\n")),
@@ -212,9 +205,9 @@ def q_strip_headers(spark, sf_dir):
 
 
 def _with_urls(spark, sf_dir) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents", wide=True).select(F.lit("doc").alias("src"),
+    docs = _t(spark, sf_dir, "documents").select(F.lit("doc").alias("src"),
                                                   F.col("doc_id").alias("id"), "text")
-    pages = _t(spark, sf_dir, "pages", wide=True).select(
+    pages = _t(spark, sf_dir, "pages").select(
         F.lit("page").alias("src"), F.col("page_id").alias("id"),
         F.concat(F.lit("see "), F.col("url"), F.lit(" and "), F.col("url"),
                  F.lit("\tdone")).alias("text"))
@@ -228,17 +221,17 @@ def q_strip_urls(spark, sf_dir):
 
 @register("strip_symbols")
 def q_strip_symbols(spark, sf_dir):
-    return _t(spark, sf_dir, "documents", wide=True).select("doc_id", TX.strip_symbols("text").alias("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", TX.strip_symbols("text").alias("text"))
 
 
 @register("collapse_ws")
 def q_collapse_ws(spark, sf_dir):
-    return _t(spark, sf_dir, "documents", wide=True).select("doc_id", TX.collapse_ws("text").alias("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", TX.collapse_ws("text").alias("text"))
 
 
 def _messy_documents(spark, sf_dir) -> DataFrame:
     """Headers, page numbers and URLs injected around every document."""
-    docs = _t(spark, sf_dir, "documents", wide=True)
+    docs = _t(spark, sf_dir, "documents")
     return docs.select("doc_id", F.concat(
         F.lit(TX.CHAPTER_MARKER + " "), F.col("doc_id").cast("string"), F.lit("\n"),
         F.regexp_replace("text", "\n", F.lit("\n7\n")),
@@ -260,7 +253,18 @@ from lexis.operators import vectorize as V  # noqa: E402
 
 @register("preprocess_text")
 def q_preprocess_text(spark, sf_dir):
-    return _t(spark, sf_dir, "documents", wide=True).select("doc_id", TX.preprocess_text("text").alias("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", TX.preprocess_text("text").alias("text"))
+
+
+#: Appended to every document by ``contractions``, and what it must become.
+CONTRACTED = " I cannot, gonna wanna GIMME lemme gotta 'tis d'ye more'n cannot cannot Ñcannot"
+EXPANDED = "i can not gon na wan na gim me lem me got ta is d more can not can not ñcannot"
+
+
+@register("contractions")
+def q_contractions(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    return docs.select("doc_id", TX.preprocess_text(F.concat("text", F.lit(CONTRACTED))).alias("text"))
 
 
 @register("process_batch")
@@ -270,31 +274,31 @@ def q_process_batch(spark, sf_dir):
 
 @register("term_tokens")
 def q_term_tokens(spark, sf_dir):
-    return V.explode_terms(_t(spark, sf_dir, "documents", wide=True), ["doc_id"], "text")
+    return V.explode_terms(_t(spark, sf_dir, "documents"), ["doc_id"], "text")
 
 
 @register("term_frequency")
 def q_term_frequency(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
     return V.term_frequency(docs, ["doc_id"], "text")
 
 
 @register("hashed_tf")
 def q_hashed_tf(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
     return V.hashed_tf(docs, ["doc_id"], "text")
 
 
 @register("hashing_tf_ml")
 def q_hashing_tf_ml(spark, sf_dir):
     """V3 with the built-in ML transformer (murmur3 buckets; rows-only check)."""
-    docs = _t(spark, sf_dir, "documents", wide=True).select("doc_id", "text")
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
     return V.ml_hashed_tf(docs, ["doc_id"], "text")
 
 
 @register("tf_l2")
 def q_tf_l2(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
     vec = V.l2_normalize(V.vectors(docs, ["doc_id"], "text"))
     return vec.select("doc_id", "feature", F.round("weight", 6).alias("weight"))
 
@@ -302,8 +306,8 @@ def q_tf_l2(spark, sf_dir):
 @register("cosine_terms")
 def q_cosine_terms(spark, sf_dir):
     """Cosine between each stored line and the next line of its document."""
-    store = build_store(_t(spark, sf_dir, "documents", wide=True), by_document=True)
-    return V.adjacent_cosine(store, "doc_id", "line_no", "content", lowercase=False)
+    pairs = line_pairs(_t(spark, sf_dir, "documents"))
+    return V.adjacent_cosine(pairs, "doc_id", "line_no", "content", lowercase=False)
 
 
 @register("cosine_dense")
@@ -319,17 +323,16 @@ def q_cosine_dense(spark, sf_dir):
 
 from lexis.functions import html as HT  # noqa: E402
 from lexis.operators import web as W  # noqa: E402
-from lexis.session import checkpoint_root  # noqa: E402
 
 
 @register("page_text")
 def q_page_text(spark, sf_dir):
-    return W.page_text(_t(spark, sf_dir, "pages", wide=True))
+    return W.page_text(_t(spark, sf_dir, "pages"))
 
 
 def _pages_some_without_body(spark, sf_dir) -> DataFrame:
     """Plain-http pages lose their <body> tags (so they have no body)."""
-    pages = _t(spark, sf_dir, "pages", wide=True)
+    pages = _t(spark, sf_dir, "pages")
     stripped = F.regexp_replace("html", r"(?i)</?body[^>]*>", "")
     return pages.select("page_id", "url", F.when(F.col("url").startswith("http://"), stripped)
                         .otherwise(F.col("html")).alias("html"))
@@ -342,27 +345,27 @@ def q_pages_without_body(spark, sf_dir):
 
 @register("page_title")
 def q_page_title(spark, sf_dir):
-    return W.page_titles(_t(spark, sf_dir, "pages", wide=True)).select("page_id", "title")
+    return W.page_titles(_t(spark, sf_dir, "pages")).select("page_id", "title")
 
 
 @register("page_filename")
 def q_page_filename(spark, sf_dir):
-    return W.page_titles(_t(spark, sf_dir, "pages", wide=True)).select("page_id", "file_name")
+    return W.page_titles(_t(spark, sf_dir, "pages")).select("page_id", "file_name")
 
 
 @register("page_links")
 def q_page_links(spark, sf_dir):
-    return W.page_links(_t(spark, sf_dir, "pages", wide=True))
+    return W.page_links(_t(spark, sf_dir, "pages"))
 
 
 @register("page_links_by_page")
 def q_page_links_by_page(spark, sf_dir):
-    return W.page_links(_t(spark, sf_dir, "pages", wide=True), base=None)
+    return W.page_links(_t(spark, sf_dir, "pages"), base=None)
 
 
 @register("internal_links")
 def q_internal_links(spark, sf_dir):
-    return W.internal_links(_t(spark, sf_dir, "pages", wide=True), base=None)
+    return W.internal_links(_t(spark, sf_dir, "pages"), base=None)
 
 
 @register("visitable_urls")
@@ -372,28 +375,56 @@ def q_visitable_urls(spark, sf_dir):
 
 @register("crawl_frontier")
 def q_crawl_frontier(spark, sf_dir):
-    return W.crawl_frontier(_t(spark, sf_dir, "pages", wide=True), base=None)
+    return W.crawl_frontier(_t(spark, sf_dir, "pages"), base=None)
+
+
+GROUP = 8  # pages of a ring of derived edges
+
+
+def _rings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Edges and seeds: the fixture's links lead to no stored page, so every
+    GROUP consecutive pages are also linked in a ring (chains with a cycle), and
+    the crawl starts at each ring's first page."""
+    pages = _t(spark, sf_dir, "pages").filter(~HT.has_fragment("url"))
+    ring = (pages.groupBy(F.floor(F.col("page_id") / GROUP).alias("g"))
+            .agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("_p"))  # GROUP rows at most
+            .select(F.col("_p.url").alias("urls")))
+    at = ring.select("urls", F.posexplode("urls").alias("i", "src"))
+    edges = at.select("src", F.element_at("urls", (F.col("i") + 1) % F.size("urls") + 1).alias("dst"))
+    return edges, ring.select(F.element_at("urls", 1).alias("url"))
 
 
 @register("crawl_reachable")
 def q_crawl_reachable(spark, sf_dir):
-    """Closure over page -> link edges from every fragment-free stored page."""
-    pages = _t(spark, sf_dir, "pages")
-    checkpoint_root(spark)
-    seeds = W.visitable_urls(pages)
-    reached = W.crawl_reachable(W.link_edges(pages, base=None), seeds,
-                                checkpoint=lambda df: df.checkpoint(eager=True))
-    return reached.select("url")
+    """Closure over link and ring edges."""
+    ring, seeds = _rings(spark, sf_dir)
+    edges = W.link_edges(_t(spark, sf_dir, "pages"), base=None).unionByName(ring).distinct()
+    return W.crawl_reachable(edges, seeds).select("url")
+
+
+#: Put before every page, and behind its <body>; ``page_markup`` must not see
+#: the title and the bodies, and must show the paragraph as MARKUP_TEXT.
+MARKUP_HEAD = "<script>var t='<title>bad</title>';</script><!-- <body> <title>no</title> -->"
+MARKUP_BODY = "<body><p title='x>y'>caf&#233; &#x41;&amp;#66;&#0;</p>"
+MARKUP_TEXT = "café A&#66;&#0;"
+
+
+@register("page_markup")
+def q_page_markup(spark, sf_dir):
+    html = F.concat(F.lit(MARKUP_HEAD), F.regexp_replace("html", r"(?i)<body[^>]*>", F.lit(MARKUP_BODY)))
+    pages = _t(spark, sf_dir, "pages").withColumn("html", html)
+    return pages.filter(HT.has_body("html")).select(
+        "page_id", HT.page_title("html").alias("title"), HT.body_text("html").alias("text"))
 
 
 @register("page_documents")
 def q_page_documents(spark, sf_dir):
-    return W.page_documents(_t(spark, sf_dir, "pages", wide=True))
+    return W.page_documents(_t(spark, sf_dir, "pages"))
 
 
 @register("crawl_report")
 def q_crawl_report(spark, sf_dir):
-    return W.crawl_report(_t(spark, sf_dir, "pages", wide=True))
+    return W.crawl_report(_t(spark, sf_dir, "pages"))
 
 
 # ---------------------------------------------------------------------------
@@ -404,7 +435,7 @@ from lexis.operators import cluster as K  # noqa: E402
 
 
 def _emb(spark, sf_dir) -> DataFrame:
-    return _t(spark, sf_dir, "embeddings", wide=True)
+    return _t(spark, sf_dir, "embeddings")
 
 
 @register("kmeans_init")
@@ -415,13 +446,13 @@ def q_kmeans_init(spark, sf_dir):
 @register("cluster_assign")
 def q_cluster_assign(spark, sf_dir):
     emb = _emb(spark, sf_dir)
-    return K.assign_points(emb, "vec_id", "embedding", K.init_centroids(emb, "vec_id", "embedding"))
+    return K.assign_points(emb, "vec_id", "embedding", once(K.init_centroids(emb, "vec_id", "embedding")))
 
 
 @register("kmeans_update")
 def q_kmeans_update(spark, sf_dir):
     emb = _emb(spark, sf_dir)
-    init = K.init_centroids(_t(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    init = once(K.init_centroids(emb, "vec_id", "embedding"))
     return K.to_long(K.update(emb, "vec_id", "embedding", init))
 
 
@@ -430,6 +461,37 @@ def q_kmeans_batch(spark, sf_dir):
     return K.batch_kmeans(_emb(spark, sf_dir), "vec_id", "embedding", k=K.N_CLUSTERS)
 
 
+def _text_vectors(spark, sf_dir) -> DataFrame:
+    """(doc_id, feature, weight) of whole documents, kept once."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    return once(V.l2_normalize(V.vectors(docs, ["doc_id"], "text")).select("doc_id", "feature", "weight"), "vectors")
+
+
+def _text_model(spark, sf_dir):
+    wvec = _text_vectors(spark, sf_dir)
+    cents = once(K.sparse_init(wvec, ["doc_id"]), "model")
+    docs = _t(spark, sf_dir, "documents").select("doc_id")
+    return wvec, cents, K.sparse_assign(docs, wvec, ["doc_id"], cents)
+
+
+@register("text_kmeans_init")
+def q_text_kmeans_init(spark, sf_dir):
+    cents = K.sparse_init(_text_vectors(spark, sf_dir), ["doc_id"])
+    return cents.select("cluster_id", "feature", F.round("value", 6).alias("value"))
+
+
+@register("text_cluster_assign")
+def q_text_cluster_assign(spark, sf_dir):
+    return _text_model(spark, sf_dir)[2]
+
+
+@register("text_kmeans_update")
+def q_text_kmeans_update(spark, sf_dir):
+    wvec, cents, assignment = _text_model(spark, sf_dir)
+    new_c, new_w = K.sparse_update(wvec, once(assignment, "assignment"), ["doc_id"], cents, None)
+    return new_c.join(new_w, "cluster_id").select("cluster_id", "weight", "feature", F.round("value", 6).alias("value"))
+
+
 @register("rank_in_cluster")
 def q_rank_in_cluster(spark, sf_dir):
     """Per-label mean vectors as questions, answered inside their cluster."""
@@ -442,104 +504,74 @@ def q_rank_in_cluster(spark, sf_dir):
 # Normalisation (T5-T9), store ids (S10), catalog (S1)
 # ---------------------------------------------------------------------------
 
-from lexis.operators import lifecycle as L  # noqa: E402
 from lexis.operators import normalize as NZ  # noqa: E402
 from lexis.operators.store import assign_ids  # noqa: E402
 
 
+#: Surfaces with several lemmas: the first in order counts.
+TWO_LEMMAS = [("en", "the", "thou"), ("en", "the", "thee"), ("de", "der", "dir"), ("de", "der", "derer")]
+
+
 def _cleaned_normalized(spark, sf_dir, stop, lexicon) -> DataFrame:
     docs = _t(spark, sf_dir, "documents")
-    return NZ.normalize_text(docs, "doc_id", "text", stop, lexicon, text_fn=TX.clean_text)
+    return NZ.normalize_text(docs, "doc_id", "text", stop, lexicon, "lang", text_fn=TX.clean_text)
 
 
 @register("remove_stopwords")
 def q_remove_stopwords(spark, sf_dir):
-    return _cleaned_normalized(spark, sf_dir, NZ.stop_words_df(spark), None)
+    return _cleaned_normalized(spark, sf_dir, NZ.PORTUGUESE_STOP_WORDS, None)
 
 
 @register("lemmatize")
 def q_lemmatize(spark, sf_dir):
-    return _cleaned_normalized(spark, sf_dir, None, NZ.lexicon_df(spark))
+    return _cleaned_normalized(spark, sf_dir, None, NZ.DEFAULT_LEXICON + TWO_LEMMAS)
+
+
+@register("lemmatize_with_table")
+def q_lemmatize_with_table(spark, sf_dir):
+    """The same lemmas from a lexicon table, by a join."""
+    docs = _t(spark, sf_dir, "documents").withColumn("text", TX.clean_text("text"))
+    table = spark.createDataFrame(NZ.DEFAULT_LEXICON + TWO_LEMMAS, "lang string, surface string, lemma string")
+    return NZ.normalize_with_table(docs, "doc_id", "text", None, table, "lang")
 
 
 @register("normalize_text")
 def q_normalize_text(spark, sf_dir):
-    return _cleaned_normalized(spark, sf_dir, NZ.stop_words_df(spark), NZ.lexicon_df(spark))
+    return _cleaned_normalized(spark, sf_dir, NZ.PORTUGUESE_STOP_WORDS, NZ.DEFAULT_LEXICON)
 
 
 def _routed_files(spark, sf_dir) -> DataFrame:
-    """Documents as a folder of .txt/.pdf/other files; a .pdf's pages are its lines."""
-    docs = _t(spark, sf_dir, "documents")
-    files = SF.route_files(SF.as_text_files(docs, SF.EXT_BY_LANG), carry=["text"])
+    """All documents as files, French ones .pdf (its pages are its lines), the
+    rest .txt.  Each pair of neighbours shares a file stem, so pairs collide on
+    their output name."""
+    stem = (F.col("doc_id") - F.col("doc_id") % 2).cast("string")
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("/"), stem,
+                    F.when(F.col("lang") == "fr", ".pdf").otherwise(".txt"))
+    docs = _t(spark, sf_dir, "documents").select(path.alias("path"), "text", "lang")
+    files = SF.route_files(docs, carry=["text", "lang"])
     paged = F.array_join(F.transform(TX.split_lines("text"), lambda p: F.concat(p, F.lit("\n"))), "")
     return files.withColumn("text", F.when(F.col("kind") == "pdf", paged).otherwise(F.col("text")))
 
 
 @register("preprocess_files")
 def q_preprocess_files(spark, sf_dir):
-    return NZ.preprocess_files(_routed_files(spark, sf_dir), NZ.stop_words_df(spark),
-                               NZ.lexicon_df(spark))
+    return NZ.preprocess_files(_routed_files(spark, sf_dir), NZ.PORTUGUESE_STOP_WORDS, NZ.DEFAULT_LEXICON)
 
 
 @register("document_store")
 def q_document_store(spark, sf_dir):
     """The store with ids 1..N in insert order (document, then line)."""
-    store = build_store(_t(spark, sf_dir, "documents", wide=True), ordered=True)
+    store = build_store(_t(spark, sf_dir, "documents"), ordered=True)
     return assign_ids(store, ["doc_id", "line_no"], partitioned=True) \
         .select("id", "doc_id", "line_no", "content")
 
 
-@register("dataset_catalog")
-def q_dataset_catalog(spark, sf_dir):
-    return SF.dataset_catalog(spark, sf_dir, ".parquet").select("path", "length")
-
-
 # ---------------------------------------------------------------------------
-# Lifecycle metrics (L5, L6, L8-L10)
+# Lifecycle (L10; L5, L6, L8 and L9 read a trainer's own manifest, see tests)
 # ---------------------------------------------------------------------------
 
 
-@register("training_outcome")
-def q_training_outcome(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents")
-    return L.training_outcome(_store(spark, sf_dir), docs.select(TX.count_lines("text").alias("n")))
-
-
-def _hour_batches(spark, sf_dir) -> DataFrame:
-    ev = _t(spark, sf_dir, "events")
-    micros = L.epoch_micros("ts")
-    return (ev.groupBy((F.floor(micros / 3_600_000_000) * 3600).cast("bigint").alias("batch_id"))
-              .agg(F.count(F.lit(1)).alias("n"), F.min(micros / 1e6).alias("started"),
-                   F.max(micros / 1e6).alias("ended")))
-
-
-@register("training_progress")
-def q_training_progress(spark, sf_dir):
-    return L.batch_progress(_hour_batches(spark, sf_dir))
-
-
-def _day_manifest(spark, sf_dir) -> DataFrame:
-    """One snapshot per day of events; a day with more errors than clicks
-    stands for a snapshot that failed verification."""
-    ev = _t(spark, sf_dir, "events")
-    days = ev.groupBy(F.to_date("ts").alias("day")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("_e"),
-        F.count_if(F.col("event_type") == "click").alias("_c"))
-    from pyspark.sql import Window
-    run = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return days.select(F.row_number().over(Window.orderBy("day")).cast("bigint").alias("version"),
-                       F.sum("n").over(run).cast("bigint").alias("processed"),
-                       (F.col("_e") <= F.col("_c")).alias("valid"))
-
-
-@register("latest_snapshot")
-def q_latest_snapshot(spark, sf_dir):
-    return L.latest_snapshot(_day_manifest(spark, sf_dir))
-
-
-@register("snapshot_retention")
-def q_snapshot_retention(spark, sf_dir):
-    return L.snapshot_retention(_day_manifest(spark, sf_dir))
+from lexis.operators import lifecycle as L  # noqa: E402
 
 
 @register("model_summary")
@@ -552,47 +584,58 @@ def q_model_summary(spark, sf_dir):
 # tables into a fresh folder under the shared checkpoint root.
 # ---------------------------------------------------------------------------
 
-import uuid as _uuid  # noqa: E402
-
+def _corpus_files(docs: DataFrame, folder: str) -> str:
+    """The documents' text as text files whose names follow the document ids."""
+    (docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("text")
+         .write.mode("append").text(folder))
+    return folder
 
-def _scratch(spark, label: str) -> str:
-    return f"{checkpoint_root(spark).rstrip('/')}/{label}-{_uuid.uuid4().hex[:10]}"
 
-
-def _corpus_files(spark, sf_dir, folder: str, langs=None) -> str:
-    """documents.text written as text files, one file per source."""
-    docs = _t(spark, sf_dir, "documents")
-    if langs is not None:
-        docs = docs.filter(F.col("lang").isin(*langs))
-    docs.select("source", "text").write.partitionBy("source").text(folder)
-    return folder
+def _content_counts(store: DataFrame) -> DataFrame:
+    return store.groupBy("content").agg(F.count(F.lit(1)).alias("copies"))
 
 
 @register("train_corpus")
 def q_train_corpus(spark, sf_dir):
+    """The trained store, as its contents and how often each is stored."""
     from lexis.streaming.train import CorpusTrainer
-    root = _scratch(spark, "train")
-    files = _corpus_files(spark, sf_dir, f"{root}/in")
+    root = scratch_path(spark, "train")
     trainer = CorpusTrainer(spark, f"{root}/state", max_files_per_trigger=8)
-    return trainer.train(files).select("result", "documents_processed", "total_documents")
+    trainer.train(_corpus_files(_t(spark, sf_dir, "documents"), f"{root}/in"))
+    return _content_counts(trainer.store())
 
 
 @register("increment_corpus")
 def q_increment_corpus(spark, sf_dir):
-    """Train on English/French documents, then increment with German/Spanish."""
+    """Train corpus a, then b, then a with new files, then a again unchanged."""
     from lexis.streaming.train import CorpusTrainer
-    root = _scratch(spark, "increment")
-    trainer = CorpusTrainer(spark, f"{root}/state", max_files_per_trigger=8)
-    trainer.train(_corpus_files(spark, sf_dir, f"{root}/a", ["en", "fr"]), "a")
-    out = trainer.train(_corpus_files(spark, sf_dir, f"{root}/b", ["de", "es"]), "b")
-    return out.select("result", "new_documents_processed", "documents_processed")
+    root, docs = scratch_path(spark, "increment"), _t(spark, sf_dir, "documents")
+    part = [docs.filter(F.coalesce(F.col("doc_id") % 3, F.lit(0)) == i) for i in range(3)]
+    trainer = CorpusTrainer(spark, f"{root}/state")
+    trainer.train(_corpus_files(part[0], f"{root}/a"), "a")
+    trainer.increment(_corpus_files(part[1], f"{root}/b"), "b")
+    trainer.increment(_corpus_files(part[2], f"{root}/a"), "a")
+    trainer.increment(f"{root}/a", "a")
+    return _content_counts(trainer.store())
+
+
+@register("train_then_answer")
+def q_train_then_answer(spark, sf_dir):
+    """Questions answered from a trainer's store and the vectors kept at ingest."""
+    from lexis.streaming.train import CorpusTrainer
+    root, questions = scratch_path(spark, "ask"), _questions(spark, sf_dir)
+    trainer = CorpusTrainer(spark, f"{root}/state")
+    trainer.train(_corpus_files(_t(spark, sf_dir, "documents"), f"{root}/in"))
+    store = trainer.store()
+    ranked = R.rank_content(questions, store, ["id"], doc_vectors=trainer.vectors())
+    return R.generate_response(questions, R.attach_content(ranked, store, ["id"]))
 
 
 @register("answer_stream")
 def q_answer_stream(spark, sf_dir):
     """User turns of the conversations, streamed as questions."""
     from lexis.streaming.answer import prepare_store_tables, start_answer_stream
-    root = _scratch(spark, "answers")
+    root = scratch_path(spark, "answers")
     store_t, vec_t = prepare_store_tables(spark, _t(spark, sf_dir, "documents"), f"{root}/tables")
     conv = _t(spark, sf_dir, "conversations").filter(F.col("role") == "user")
     qs = conv.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("query_id"),
@@ -602,4 +645,8 @@ def q_answer_stream(spark, sf_dir):
                             store_t, vec_t, f"{root}/sink", f"{root}/_ckpt",
                             max_files_per_trigger=1)
     q.awaitTermination()
+    for table in (store_t, vec_t):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    for part in ("tables", "questions", "_ckpt"):
+        delete_path(spark, f"{root}/{part}")
     return spark.read.parquet(f"{root}/sink").select("query_id", "answer")

@@ -31,7 +31,7 @@ def strip(expr: str) -> str:
 
 
 def clean_line(expr: str) -> str:
-    return strip(rr(expr, T.NON_PRINTABLE, ""))
+    return strip(rr(expr, T.NON_PRINTABLE_RE2, ""))
 
 
 def split_lines(expr: str, boundary: str = T.LINE_BREAK) -> str:
@@ -68,6 +68,10 @@ def word_split(expr: str) -> str:
     e = expr
     for pattern, repl in T.TOKENIZE_RULES:
         e = rr(e, pattern, repl)
+    two = e
+    for pattern, repl in T.CONTRACTION_RULES:
+        two = rr(two, pattern, repl)
+    e = f"(CASE WHEN regexp_matches({expr}, {q(T.CONTRACTED)}) THEN {two} ELSE {e} END)"
     return f"string_split_regex({e}, {q(T.WS_RUN)})"
 
 
@@ -84,17 +88,16 @@ def term_tokens(expr: str) -> str:
     return f"regexp_extract_all(lower({expr}), {q(T.TERM)}, 0)"
 
 
-def alpha_tokens(expr: str) -> str:
-    toks = f"string_split_regex({expr}, {q(T.WS_RUN)})"
-    return f"list_filter({toks}, lambda t: regexp_matches(t, {q(T.ALPHA_TOKEN)}))"
-
-
 def feature_bucket(expr: str, num_features: int = 1 << 18) -> str:
     return f"CAST((('0x' || substr(md5({expr}), 1, 8))::BIGINT % {num_features}) AS INTEGER)"
 
 
+def raw_cosine(dot: str, na: str, nb: str) -> str:
+    return f"(CASE WHEN ({na}) * ({nb}) > 0 THEN ({dot}) / (({na}) * ({nb})) ELSE 0.0 END)"
+
+
 def cosine(dot: str, na: str, nb: str, digits: int = 6) -> str:
-    return f"round(CASE WHEN ({na}) * ({nb}) > 0 THEN ({dot}) / (({na}) * ({nb})) ELSE 0.0 END, {digits})"
+    return f"round({raw_cosine(dot, na, nb)}, {digits})"
 
 
 # ---------------------------------------------------------------------------
@@ -108,7 +111,13 @@ def decode_entities(expr: str) -> str:
     e = expr
     for ent, ch in H.ENTITIES:
         e = f"replace({e}, {q(ent)}, {q(ch)})"
-    return e
+    body = "substr(r, 2)"
+    code = (f"(CASE WHEN lower(r[1]) = 'x' THEN CAST('0x' || {body} AS BIGINT) ELSE CAST(r AS BIGINT) END)")
+    good = f"({code} > 0 AND {code} < 1114112 AND {code} NOT BETWEEN 55296 AND 57343 AND {code} <> 38)"
+    refs = f"list_distinct(regexp_extract_all({e}, {q(H.NUMERIC)}, 1))"
+    e = (f"list_reduce({refs}, lambda t, r: CASE WHEN {good} THEN replace(t, '&#' || r || ';', "
+         f"chr(CAST({code} AS INTEGER))) ELSE t END, {e})")
+    return rr(e, H.AMP, "&")
 
 
 def drop_script_style(expr: str) -> str:
@@ -116,7 +125,7 @@ def drop_script_style(expr: str) -> str:
 
 
 def has_body(expr: str) -> str:
-    return f"regexp_matches({expr}, {q(H.BODY_OPEN)})"
+    return f"regexp_matches({drop_script_style(expr)}, {q(H.BODY_OPEN)})"
 
 
 def body_html(expr: str) -> str:
@@ -131,8 +140,9 @@ def body_text(expr: str) -> str:
 
 
 def page_title(expr: str) -> str:
-    t = decode_entities(f"regexp_extract({expr}, {q(H.TITLE)}, 1)")
-    return (f"(CASE WHEN NOT regexp_matches({expr}, {q(H.TITLE_OPEN)}) THEN {q(H.DEFAULT_TITLE)} "
+    h = drop_script_style(expr)
+    t = decode_entities(f"regexp_extract({h}, {q(H.TITLE)}, 1)")
+    return (f"(CASE WHEN NOT regexp_matches({h}, {q(H.TITLE_OPEN)}) THEN {q(H.DEFAULT_TITLE)} "
             f"WHEN {t} = '' THEN NULL ELSE {t} END)")
 
 

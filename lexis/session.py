@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows above which a "small" side is not broadcast but left to a shuffle join.
-DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
 def get_spark(master: str | None = None, app: str = "lexis",
@@ -43,41 +39,49 @@ def get_spark(master: str | None = None, app: str = "lexis",
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts and model state.
+    """Shared folder for lineage cuts and model state: ``spark.checkpoint.dir``.
 
-    Uses ``spark.checkpoint.dir`` when the cluster names one; only when it is
-    unset (tests, local runs) a private folder under /tmp is chosen.
+    Only a single-machine run (``local[...]``, as in tests) may leave it unset;
+    a private temporary folder is then chosen.  On a cluster every executor
+    would write its own disk, so a missing setting is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = os.path.join("/tmp", f"lexis-ckpt-{uuid.uuid4().hex[:12]}")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="lexis-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path under the shared folder."""
+    return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
-    The check counts at most ``max_rows + 1`` rows, so it is bounded work even
-    when the side turns out to be large; beyond the bound the DataFrame is
-    returned unchanged and Catalyst/AQE pick a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a DataFrame whose scan yields fewer partitions than the
-    cluster has cores (e.g. one large row group), so row-local CPU work runs
-    in parallel.  At scale the scan already has many splits: no shuffle.
-    Apply it to table scans only: asking a plan with exchanges for its
-    partition count makes adaptive execution run those stages."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+def once(df: DataFrame, label: str = "once") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: it runs once, its
+    lineage is cut, and joins see its true size, so that Spark itself decides
+    whether to broadcast it."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_if_written(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None where nothing was written yet.  Any other
+    failure to read is raised."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexis.operators.store import line_documents
+from lexis.functions.text import split_lines
 
 # Output naming of the folder normaliser.
 PROCESSED_PREFIX = "processed_"
@@ -22,11 +22,10 @@ def dataset_catalog(spark: SparkSession, folder: str, suffix: str = ".txt") -> D
     folder yields an empty result, like the reference's empty list.
     """
     schema = "path string, length bigint, modified timestamp"
-    try:
-        df = (spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}")
-              .load(folder))
-    except Exception:  # noqa: BLE001 - missing folder
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], schema)
+    df = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder)
     return df.select("path", F.col("length").cast("bigint").alias("length"),
                      F.col("modificationTime").alias("modified"))
 
@@ -34,12 +33,14 @@ def dataset_catalog(spark: SparkSession, folder: str, suffix: str = ".txt") -> D
 def read_line_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Text files -> (path, line_no, line) with str.splitlines boundaries.
 
-    Each file is read whole (one row per file) so that line numbers are exact
-    and no line is ever cut; Spark splits work across files.
+    Files are read by split, so one large file is many tasks.  ``line_no``
+    ascends in reading order and is unique in the result; it is not a file's own
+    line number (read_whole_files and line_documents give that).
     """
-    files = read_whole_files(spark, path)
-    return (line_documents(files.withColumnRenamed("path", "doc_id"))
-            .withColumnRenamed("doc_id", "path"))
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    parts = F.when(F.col("value") == "", F.array(F.lit(""))).otherwise(split_lines("value"))
+    return (rows.select("path", F.explode(parts).alias("line"))
+            .select("path", F.monotonically_increasing_id().alias("line_no"), "line"))
 
 
 def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +66,8 @@ def ordered_concat(df: DataFrame, key: str, order_col: str, value: Column, sep:
     """(key, text): ``value`` strings of each key joined in ``order_col``
     order.  Two levels: first per (key, order // chunk), then per key, so a
     key holding a large share of all rows is concatenated by many tasks and
-    the last step sorts only (rows / chunk) pieces."""
+    the last step sorts only (rows / chunk) pieces.  That last step holds one
+    key's whole string in one task, as a string value must."""
     part = (df.select(key, F.col(order_col).alias("_o"), value.alias("_v"))
               .groupBy(key, F.floor(F.col("_o") / chunk).alias("_c"))
               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_v"))),

@@ -78,19 +78,25 @@ def test_progress_zero_total(spark):
     assert (r["percent"], r["docs_per_second"], r["remaining_seconds"]) == (0.0, 0.0, 0.0)
 
 
-def test_store_ids_follow_order_with_spread_scan(spark):
-    """Ids must be 1..N in (doc_id, line_no) order even when the scan is
-    round-robin spread and columns are pruned differently per branch."""
+def test_store_ids_follow_order(spark):
+    """Ids must be 1..N in (doc_id, line_no) order however the rows arrive."""
     from lexis.operators.store import build_store
-    from lexis.session import spread
     from tests.conftest import SF01
-    docs = spread(spark.read.parquet(f"{SF01}/documents.parquet"), 8)
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").repartition(8)
     rows = assign_ids(build_store(docs, ordered=True), ["doc_id", "line_no"], partitioned=True) \
         .select("id", "doc_id", "line_no").collect()
     by_key = sorted(rows, key=lambda r: (r["doc_id"], r["line_no"]))
     assert [r["id"] for r in by_key] == list(range(1, len(rows) + 1))
 
 
+def test_equal_centres_tie_to_the_lowest(spark):
+    x = [[0.1 * i, 0.3, -0.7 * i] for i in range(40)]
+    pts = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    cents = spark.createDataFrame([(c, x[c % 5]) for c in range(20)], "cluster_id int, center array<double>")
+    got = K.assign_points(pts, "vec_id", "embedding", cents).collect()
+    assert all(r["cluster_id"] < 5 for r in got)
+
+
 def test_append_documents_continues_ids(spark, scratch):
     import os
     from lexis.operators.store import append_documents

@@ -9,7 +9,8 @@ import __spark_entry__ as E
 from tests.conftest import SF001
 
 FAST = ["answer_queries", "clean_text", "process_batch", "hashed_tf", "page_text", "page_links",
-        "cluster_assign", "normalize_text", "document_store", "training_progress", "crawl_reachable"]
+        "cluster_assign", "normalize_text", "document_store", "crawl_reachable", "page_markup", "contractions",
+        "lemmatize", "text_cluster_assign", "preprocess_files"]
 
 
 def test_entry_runs(spark):

@@ -52,6 +52,30 @@ def test_links_in_order(spark):
     assert [r["link"] for r in rows] == ["https://s.example.org/x", "https://s.example.org/d/y?a=1&b=2"]
 
 
+def test_markup_by_hand(spark):
+    html = ("<script>t='<title>bad</title>'</script><!-- <body>no</body> --><title>A &amp; B</title>"
+            "<body><b title='x>L'>caf&#233;</b> &#x20AC;&amp;#65;&#0;&#38;lt;</body>")
+    rows = W.page_text(_pages(spark, [(1, "u", html), (2, "v", "<!-- <body>x</body> --><p>y</p>")])).collect()
+    assert [(r["page_id"], r["text"]) for r in rows] == [(1, "café\n€&#65;&#0;&lt;")]
+    titles = W.page_titles(_pages(spark, [(1, "u", html)])).first()
+    assert titles["title"] == "A & B"
+
+
+def test_saved_pages_skip_fragments_and_repeats(spark):
+    page = "<title>{0}</title><body>{0}</body>"
+    pages = _pages(spark, [(3, "u", page.format("late")), (1, "u", page.format("first")), (2, "u#x", page.format("part"))])
+    assert [(r["page_id"], r["text"]) for r in W.saved_pages(pages).collect()] == [(1, "first")]
+
+
+def test_registered_crawl_is_deep(spark):
+    from lexis.plans import registry as REG
+    from tests.conftest import SF001
+    ring, seeds = REG._rings(spark, SF001)
+    reached = W.crawl_reachable(ring, seeds)
+    assert reached.agg(F.max("depth")).first()[0] >= 4
+    assert reached.count() == reached.select("url").distinct().count()
+
+
 def test_crawl_closure(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "e")], "src string, dst string")
     seeds = spark.createDataFrame([("a",)], "url string")

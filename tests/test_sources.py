@@ -21,7 +21,7 @@ def test_whole_files_and_lines(spark, scratch):
         f.write("first\u2028second\n\nthird\n")
     whole = SF.read_whole_files(spark, scratch).collect()
     assert [r["text"] for r in whole] == ["first\u2028second\n\nthird\n"]
-    lines = SF.read_line_corpus(spark, scratch).orderBy("line_no").collect()
+    lines = SF.read_line_corpus(spark, scratch).orderBy("line_no").collect()  # line_no ascends in reading order
     assert [r["line"] for r in lines] == "first\u2028second\n\nthird\n".splitlines()
 
 

@@ -101,3 +101,48 @@ def test_preprocess_string_and_array_forms_agree(spark, texts):
 def test_term_tokens_two_or_more_word_chars(spark):
     got = _apply(spark, T.term_tokens, ["A bc d_e f1 Ünï x"])
     assert got == [["bc", "d_e", "f1", "ünï"]]
+
+
+def test_contractions_by_hand(spark):
+    cases = {"I cannot go": "i can not go", "gonna, gotta wanna": "gon na got ta wan na", "Lemme! gimme?": "lem me gim me",
+             "cannot cannot": "can not can not", "'Tis d'ye more'n": "is d more", "Ñcannot cannots": "ñcannot cannots",
+             "wannabe wanna": "wannabe wan na"}
+    assert _apply(spark, T.preprocess_text, list(cases)) == list(cases.values())
+
+
+def test_unassigned_code_points_go(spark):
+    assert _apply(spark, T.clean_line, ["a\u0378b\U000e0080c"]) == ["abc"]
+
+
+def test_outcome_of_a_failed_pass(spark):
+    lines = lambda: spark.read.text("/nonexistent/folder").withColumnRenamed("value", "line")
+    row = C.run_outcome(lines, spark, "in.txt").first()
+    assert row["success"] is False and "nonexistent" in row["error"] and row["output_file"] is None
+
+
+def test_outcome_files(spark):
+    ok = spark.createDataFrame([("a", False), ("", False)], "line string, repaired boolean")
+    row = C.cleaning_outcome(ok, "in.txt").first()
+    assert (row["output_file"], row["cleaned_lines"], row["total_lines"]) == ("in.txt", 1, 2)
+    assert C.cleaning_outcome(ok, "in.txt", clean=False).first()["output_file"] == "in.txt.clean"
+
+
+def test_folder_job_keeps_files_apart(spark):
+    from lexis.operators import normalize as NZ
+    files = spark.createDataFrame([("x/a.pdf", "processed_a.txt", "alpha one beta two", "en"),
+                                   ("y/a.txt", "processed_a.txt", "gamma three four", "en")],
+                                  "path string, output_filename string, text string, lang string")
+    rows = NZ.preprocess_files(files, [], []).collect()
+    assert [(r["path"], r["text"]) for r in rows] == [("y/a.txt", "gamma three four")]
+
+
+def test_one_lemma_a_surface(spark):
+    from lexis.operators import normalize as NZ
+    lex = [("pt", "casas", "casar"), ("pt", "casas", "casa"), ("es", "casas", "x")]
+    docs = spark.createDataFrame([(1, "Casas grandes", "pt"), (2, "Casas", "fr"), (3, "", "pt"), (4, None, "pt")],
+                                 "doc_id long, text string, lang string")
+    for out in (NZ.normalize_text(docs, "doc_id", "text", None, lex, "lang"),
+                NZ.normalize_with_table(docs, "doc_id", "text", None,
+                                        spark.createDataFrame(lex, "lang string, surface string, lemma string"), "lang")):
+        got = {r["doc_id"]: r["text"] for r in out.collect()}
+        assert (got[1], got[2], got[3]) == ("casa grandes", "casas", "")
