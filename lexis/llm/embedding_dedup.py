@@ -137,7 +137,7 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
            .join(group.select(F.col("id").alias("member"), "root"), "member", "left")
            .where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "member")))
     own = cut(own, "grouped")
-    heads = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    heads = cut(own.groupBy("root").agg(F.min("least").alias("component_id")), "heads")
     own = cut(own.join(heads, "root").select("member", "component_id",
                                              (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "own")
     out = base.select("vec_id", "member").join(own, "member", "left").select(

@@ -300,7 +300,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, reca
            .where("copies > 1 or root is not null")
            .withColumn("root", F.coalesce("root", "member")))
     own = cut(own, "grouped")
-    heads = own.groupBy("root").agg(F.min("first").alias("head"))
+    heads = cut(own.groupBy("root").agg(F.min("first").alias("head")), "heads")
     own = cut(own.join(heads, "root").select("member", F.col("head.doc_id").alias("class_id"), F.col("head.row").alias("head"),
                                              (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
               "own")
