@@ -245,7 +245,7 @@ def _exact(threshold: float):
         sets = [np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()]
         size = np.array([len(s) for s in sets], np.float64)
         both = overlap(sets)
-        linked = both >= threshold * (size[:, None] + size[None, :] - both)
+        linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
         linked &= pair_mask(t.column("late").to_numpy(), t.column("own")[0].as_py())
         if not linked.any():
             return None
@@ -322,3 +322,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "n_links", "kept")
+
+
+OP10_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM words),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM shared JOIN n na ON na.doc_id = x JOIN n nb ON nb.doc_id = y WHERE c >= 0.8 * (na.n + nb.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS class_id FROM reach GROUP BY x),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT d.doc_id, l.class_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, d.doc_id = l.class_id AS kept
+FROM documents d JOIN least l ON d.doc_id = l.x LEFT JOIN counts c ON d.doc_id = c.x
+"""

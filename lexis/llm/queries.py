@@ -5,11 +5,11 @@ from __future__ import annotations
 from lexis.llm.embedding_dedup import OP6_SQL, op6_embedding_dedup
 from lexis.llm.maxscore import OP7_SQL, op7_maxscore
 from lexis.llm.mixing import op8_mixing
-from lexis.llm.ngram_join import op10_ngram_join
+from lexis.llm.ngram_join import OP10_SQL, op10_ngram_join
 from lexis.llm.packing import op1_packing
 from lexis.llm.ppm import op9_ppm
 from lexis.llm.quality import op4_quality
-from lexis.llm.span_dedup import op3_span_dedup
+from lexis.llm.span_dedup import OP3_SQL, op3_span_dedup
 from lexis.llm.token_orc import op5_token_orc
 from lexis.llm.toxicity import op2_toxicity
 
@@ -26,6 +26,8 @@ QUERIES = {
     "op10_ngram_join": op10_ngram_join,
 }
 ORACLE: dict[str, str] = {
+    "op3_span_dedup": OP3_SQL,
     "op6_embedding_dedup": OP6_SQL,
     "op7_maxscore": OP7_SQL,
+    "op10_ngram_join": OP10_SQL,
 }

@@ -128,3 +128,26 @@ def dedup(docs: DataFrame, run: int = RUN, unit_words: int = UNIT_WORDS, min_wor
 def op3_span_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars")
     return dedup(docs)
+
+
+OP3_SQL = r"""
+WITH sentences AS (
+  SELECT doc_id, text, list_filter(regexp_extract_all(coalesce(text, ''), '[^.!?\n]*(?:[.!?\n]+[ \t\r\n]*|$)'), lambda s: s <> '') AS s
+  FROM documents),
+units AS (
+  SELECT doc_id, text, flatten(list_transform(s, lambda x:
+    CASE WHEN len(regexp_extract_all(x, '\S+')) <= 12 THEN [x] ELSE regexp_extract_all(x, '\s*(?:\S+\s*){1,12}') END)) AS u
+  FROM sentences),
+spans AS (
+  SELECT doc_id, i, list_transform(u[i:i + 2], lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS k
+  FROM (SELECT doc_id, u, unnest(range(1, len(u) - 1)) AS i FROM units)
+  WHERE len(regexp_extract_all(array_to_string(u[i:i + 2], ' '), '\S+')) >= 12),
+later AS (SELECT doc_id, i FROM spans QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+gone AS (SELECT doc_id, list(DISTINCT j) AS g FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM later) GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, text IS NULL AS missing,
+         array_to_string(list_filter(u, lambda x, i: g IS NULL OR NOT list_contains(g, i)), '') AS text
+  FROM units LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CASE WHEN NOT missing THEN text END AS text,
+       CAST(CASE WHEN NOT missing THEN length(text) END AS BIGINT) AS n_chars FROM kept
+"""
