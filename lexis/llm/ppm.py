@@ -10,7 +10,7 @@ the symbols never seen.  A text is preceded by ORDER start marks, so the
 probabilities of all texts sum to one.
 
 The trie is a distributed table, not an object: nodes are keyed by 9 bits a symbol.
-Texts are grouped in blocks of about BLOCK_BYTES in the order read.  A block
+Texts are grouped in blocks of bounded size in the order read.  A block
 names its distinct (context, symbol) pairs and words with their training counts;
 one shuffle adds the counts up, and each block gets back the values of what it
 holds, so a task needs its own block's share of the model only, and shuffled
@@ -33,7 +33,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,12 +42,28 @@ from lexis.llm.labelled import fold
 
 ORDER = 4
 BITS, END, START, SYMBOLS = 9, 256, 257, 257
-BLOCK_BYTES, SLICE_BYTES = 16_000_000, 1_000_000
+BLOCK_BITS, SLICE_BYTES, MOST_SLOTS = 13, 2_000_000, 1 << 26
 
 
-def codes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte and end of the texts, context and symbol as one integer;
-    and the number of symbols of each text."""
+def _dense(slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct slots in order, and each slot's place among them."""
+    if size > MOST_SLOTS:
+        return np.unique(slot, return_inverse=True)
+    seen = np.zeros(size, np.bool_)
+    seen[slot] = True
+    distinct = np.flatnonzero(seen)
+    place = np.empty(size, np.int32)
+    place[distinct] = np.arange(len(distinct), dtype=np.int32)
+    return distinct, place[slot]
+
+
+def trie(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Walk the texts down a trie of contexts, one symbol deeper at a time.
+
+    Gives for each byte and end of the texts the number of its leaf (context and
+    symbol), the leaves' codes (context and symbol as one integer), and
+    the number of symbols of each text.
+    """
     n = np.array([len(b) + 1 for b in bodies], np.int64)
     size = n + ORDER
     flat = np.full(int(size.sum()), START, np.int64)
@@ -58,29 +73,30 @@ def codes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         flat[at + ORDER:at + ORDER + len(b)] = np.frombuffer(b, np.uint8)
         flat[at + ORDER + len(b)] = END
         real[at:at + ORDER] = False
-    code = flat.copy()
-    for back in range(1, ORDER + 1):
-        code[back:] |= flat[:-back] << (BITS * back)
-    return code[real], n
+    code, symbol = _dense(flat, START + 1)
+    width, leaf, letters = len(code), symbol, code
+    for depth in range(1, ORDER + 1):
+        slot = leaf[:-1].astype(np.int64) * width + symbol[depth:]
+        if depth == ORDER:
+            slot = slot[real[depth:]]
+        distinct, leaf = _dense(slot, len(code) * width)
+        code = code[distinct // width] << BITS | letters[distinct % width]
+    return leaf, code, n
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
-    """(doc_id, held_out, block, body): lower-cased bytes, dealt into blocks."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+    """(doc_id, held_out, block, text), a block's rows side by side.  Texts of up
+    to 4 kB share a block with others among BLOCK_ROWS rows read in sequence, those up
+    to twice as long among half as many, and so on, so a block is bounded in bytes."""
+    long = F.length(F.coalesce(F.col(text_col), F.lit(""))) / 4096
+    halved = F.least(F.greatest(F.ceil(F.log2(F.greatest(long, F.lit(1.0)))), F.lit(0)), F.lit(BLOCK_BITS)).cast("int")
+    block = F.xxhash64(halved, F.call_function("shiftright", F.monotonically_increasing_id(), F.lit(BLOCK_BITS) - halved))
+    return (docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
+                        block.alias("block"), F.col(text_col).alias("text")).sortWithinPartitions("block"))
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, size = TaskContext.get().partitionId() << 32, 0
-        for b in batches:
-            bodies = [(t or "").encode("utf-8", "surrogatepass").lower() for t in b.column(2).to_pylist()]
-            upto = size + np.cumsum([len(x) for x in bodies], dtype=np.int64)
-            block = first + np.append(size, upto[:-1]) // BLOCK_BYTES if bodies else upto
-            size = int(upto[-1]) if bodies else size
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(block), pa.array(bodies, pa.binary())],
-                                             names=["doc_id", "held_out", "block", "body"])
 
-    flagged = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
-                          F.col(text_col).alias("text"))
-    return flagged.mapInArrow(task, f"doc_id {id_type}, held_out boolean, block long, body binary")
+def _bodies(column) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass").lower() for t in column.to_pylist()]
 
 
 def _slices(bodies: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -108,14 +124,14 @@ def _add(code: list[np.ndarray], count: list[np.ndarray]) -> tuple[np.ndarray, n
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A block's distinct pairs and words, with their counts in training texts."""
     for t in runs(batches, ["block"]):
-        block, bodies = t.column("block")[0].as_py(), t.column("body").to_pylist()
+        block, bodies = t.column("block")[0].as_py(), _bodies(t.column("text"))
         held = np.array(t.column("held_out").to_pylist(), bool)
         code, count, words, unseen = [], [], Counter(), set()
         for part, weight in (([b for b, h in zip(bodies, held) if not h], 1), ([b for b, h in zip(bodies, held) if h], 0)):
             for lo, hi in _slices(part):
-                c, n = np.unique(codes(part[lo:hi])[0], return_counts=True)
-                code.append(c)
-                count.append(n * weight)
+                leaf, found, _ = trie(part[lo:hi])
+                code.append(found)
+                count.append(np.bincount(leaf, minlength=len(found)) * weight)
             for b in part:
                 if weight:
                     words.update(b.split())
@@ -193,20 +209,20 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, value = pairs.column("code").to_numpy(), pairs.column("value").to_numpy()
         order = np.argsort(code, kind="stable")
         code, value = code[order], value[order]
-        number = {w: i for i, w in enumerate(words.column("body").to_pylist())}
+        number = {w: i for i, w in enumerate(words.column("word").to_pylist())}
         count = words.column("value").to_numpy()
         if len(number) < len(count):  # a block met in two batches names a word twice
             count = np.array([count[i] for i in number.values()])
             number = {w: i for i, w in enumerate(number)}
         log = np.log10(count + 0.1)
-        bodies = texts.column("body").to_pylist()
+        bodies = _bodies(texts.column("text"))
         model, base, n_words, known = [], [], [], []
         for lo, hi in _slices(bodies):
-            c, n = codes(bodies[lo:hi])
-            at = np.searchsorted(code, c)
-            if not np.array_equal(code[np.minimum(at, len(code) - 1)], c):
+            leaf, found, n = trie(bodies[lo:hi])
+            at = np.searchsorted(code, found)
+            if not np.array_equal(code[np.minimum(at, len(code) - 1)], found):
                 raise RuntimeError("a block's share of the model is incomplete")
-            model.append(np.add.reduceat(value[at], np.cumsum(n) - n))
+            model.append(np.add.reduceat(value[at][leaf], np.cumsum(n) - n))
         for b in bodies:
             w = b.split()
             i = np.fromiter(map(number.__getitem__, w), np.int64, len(w))
@@ -223,12 +239,12 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     texts = cut(_blocks(docs, id_col, text_col, held_out), "texts")
-    named = texts.select("block", "held_out", "body").mapInArrow(_named, "block long, word binary, code long, n long")
+    named = texts.select("block", "held_out", "text").mapInArrow(_named, "block long, word binary, code long, n long")
     named = cut(named, "named")
 
     # words: a group holds one row a block
-    by_word = Window.partitionBy("word")
-    words = cut(named.where("word is not null").select("block", "word", "n")
+    by_word = Window.partitionBy("h", "word")  # the hash goes first, as it sorts fast
+    words = cut(named.where("word is not null").select("block", F.xxhash64("word").alias("h"), "word", "n")
                 .withColumn("c", F.sum("n").over(by_word))
                 .withColumn("first", F.row_number().over(by_word.orderBy("block")) == 1)
                 .select("block", "word", "c", "first"), "words")
@@ -252,17 +268,19 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     log_z = float(np.log10(n_train + 0.1 * ((total["v"] or 0) + (train_docs > 0) + 1)))
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    no_id, no_held = F.lit(None).cast(id_type).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out")
-    no_body, no_code = F.lit(None).cast("binary").alias("body"), F.lit(None).cast("long").alias("code")
-    value = F.log10(F.col("c") / (F.col("n") + F.col("d"))).alias("value")
-    seen = pairs.where("c > 0").select("block", F.lit(0).alias("kind"), no_id, no_held, no_body, "code", value)
-    rare = (pairs.where("c = 0").select("block", "code").join(escaped, "code")
-            .select("block", F.lit(0).alias("kind"), no_id, no_held, no_body, "code", "value"))
-    known = words.select("block", F.lit(1).alias("kind"), no_id, no_held, F.col("word").alias("body"), no_code,
-                         F.col("c").cast("double").alias("value"))
-    body = texts.select("block", F.lit(2).alias("kind"), "doc_id", "held_out", "body", no_code,
-                        F.lit(None).cast("double").alias("value"))
-    together = seen.unionByName(rare).unionByName(known).unionByName(body).repartition("block").sortWithinPartitions("block")
+    shape = ["block", "kind", "doc_id", "held_out", "text", "word", "code", "value"]
+    kinds = {"doc_id": id_type, "held_out": "boolean", "text": "string", "word": "binary", "code": "long", "value": "double"}
+
+    def row(df: DataFrame, kind: int, *cols) -> DataFrame:
+        df = df.select("block", F.lit(kind).alias("kind"), *cols)
+        return df.select(*(c if c in df.columns else F.lit(None).cast(kinds[c]).alias(c) for c in shape))
+
+    log = F.log10(F.col("c") / (F.col("n") + F.col("d"))).alias("value")
+    together = (row(pairs.where("c > 0"), 0, "code", log)
+                .unionByName(row(pairs.where("c = 0").select("block", "code").join(escaped, "code"), 0, "code", "value"))
+                .unionByName(row(words, 1, "word", F.col("c").cast("double").alias("value")))
+                .unionByName(row(texts, 2, "doc_id", "held_out", "text"))
+                .repartition("block").sortWithinPartitions("block"))
     scored = together.mapInArrow(
         _scores, f"doc_id {id_type}, held_out boolean, words long, known long, base double, score double")
     end = float(np.log10(train_docs + 0.1))

@@ -102,6 +102,13 @@ def test_ppm_equals_a_trie(spark):
         assert g.base_score == pytest.approx(w[5]) and g.score == pytest.approx(w[6])
 
 
+def test_trie_without_a_table(monkeypatch):
+    bodies = [b"the cat", b"", b"at the hat" * 9]
+    want = ppm.trie(bodies)
+    monkeypatch.setattr(ppm, "MOST_SLOTS", 0)
+    assert all(np.array_equal(a, b) for a, b in zip(want, ppm.trie(bodies)))
+
+
 def test_ppm_without_training_or_rows(spark):
     df = spark.createDataFrame([(1, "ab"), (2, "")], "doc_id long, text string")
     got = {r.doc_id: r for r in ppm.score(df, F.lit(True)).collect()}
