@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexis.llm import mixing, ngram_join, packing, quality, span_dedup
-from lexis.llm.common import cut, doc_hash
+from lexis.llm.common import cut, doc_hash, importable
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+@importable
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte-level classifier accepts."""
     model = quality.model_for(docs, _labels(spark, sf_dir))
@@ -25,16 +26,19 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return scored.where(F.col("_quality_score") >= quality.THRESHOLD).drop("_quality_score")
 
 
+@importable
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     return ngram_join.keep_one(docs)
 
 
+@importable
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that occur earlier."""
     return span_dedup.dedup(docs)
 
 
+@importable
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say."""
     rates = mixing.mix(docs, _labels(spark, sf_dir)).select(
@@ -45,6 +49,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             .select(*docs.columns))
 
 
+@importable
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of token ids."""
     return packing.pack(docs)

@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def importable(run):
+    """Decorator for functions of (spark, ...): Python workers started for them
+    find this package where the driver does (on a cluster it is installed, or
+    shipped with the job)."""
+    home = str(Path(__file__).resolve().parents[2])
+
+    @functools.wraps(run)
+    def ready(spark: SparkSession, *args):
+        env = spark.sparkContext.environment
+        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if home not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([home, *paths])
+        return run(spark, *args)
+
+    return ready
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; only where that is unset (a
     single-machine run, as in tests) a new temporary folder is set as it."""

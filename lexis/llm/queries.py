@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexis.llm.common import importable
 from lexis.llm.embedding_dedup import OP6_SQL, op6_embedding_dedup
 from lexis.llm.maxscore import OP7_SQL, op7_maxscore
 from lexis.llm.mixing import op8_mixing
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_ppm": op9_ppm,
     "op10_ngram_join": op10_ngram_join,
 }
+QUERIES = {name: importable(query) for name, query in QUERIES.items()}
 ORACLE: dict[str, str] = {
     "op3_span_dedup": OP3_SQL,
     "op6_embedding_dedup": OP6_SQL,
