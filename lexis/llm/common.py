@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import tempfile
 import uuid
@@ -47,10 +48,10 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/llm/{tag}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
+def cut(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Cut lineage: write ``df`` as a table in the shared folder and reread it."""
     path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -65,6 +66,13 @@ def forget(*tables: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now; otherwise they
+    stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def slices(texts: list[str | None], most_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows holding about ``most_chars`` characters each (one row at least)."""
     lo = size = 0

@@ -37,12 +37,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexis.llm.blocks import runs
-from lexis.llm.common import cut, forget
+from lexis.llm.common import cut, forget, release
 from lexis.llm.labelled import fold
 
 ORDER = 4
 BITS, END, START, SYMBOLS = 9, 256, 257, 257
-BLOCK_BITS, SLICE_BYTES, MOST_SLOTS = 13, 2_000_000, 1 << 26
+BLOCK_CHARS, SLICE_BYTES, MOST_SLOTS = 32_000_000, 2_000_000, 1 << 26
 
 
 def _dense(slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,14 +85,17 @@ def trie(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
-    """(doc_id, held_out, block, text), a block's rows side by side.  Texts of up
-    to 4 kB share a block with others among BLOCK_ROWS rows read in sequence, those up
-    to twice as long among half as many, and so on, so a block is bounded in bytes."""
-    long = F.length(F.coalesce(F.col(text_col), F.lit(""))) / 4096
-    halved = F.least(F.greatest(F.ceil(F.log2(F.greatest(long, F.lit(1.0)))), F.lit(0)), F.lit(BLOCK_BITS)).cast("int")
-    block = F.xxhash64(halved, F.call_function("shiftright", F.monotonically_increasing_id(), F.lit(BLOCK_BITS) - halved))
-    return (docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
-                        block.alias("block"), F.col(text_col).alias("text")).sortWithinPartitions("block"))
+    """(doc_id, held_out, block, text), a block's rows side by side.  A scan
+    partition's rows are dealt at random into as many blocks as its text has BLOCK_CHARS,
+    so a block is bounded in bytes (a longer document fills one alone)."""
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
+                       F.col(text_col).alias("text"), F.spark_partition_id().alias("part"),
+                       F.monotonically_increasing_id().alias("row"))
+    # a row for each scan partition, as small as a file listing
+    sizes = slim.groupBy("part").agg(F.ceil(F.sum(F.length("text")) / BLOCK_CHARS).alias("many"))
+    block = F.shiftleft(F.col("part").cast("long"), 20) + F.pmod(F.xxhash64("row"), F.greatest(F.coalesce("many", F.lit(1)), F.lit(1)))
+    return (slim.join(F.broadcast(sizes), "part", "left").select("doc_id", "held_out", block.alias("block"), "text")
+            .sortWithinPartitions("block"))
 
 
 def _bodies(column) -> list[bytes]:
@@ -238,13 +241,14 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    texts = cut(_blocks(docs, id_col, text_col, held_out), "texts")
+    texts = cut(_blocks(docs, id_col, text_col, held_out), "texts", "zstd")
     named = texts.select("block", "held_out", "text").mapInArrow(_named, "block long, word binary, code long, n long")
     named = cut(named, "named")
 
     # words: a group holds one row a block
     by_word = Window.partitionBy("h", "word")  # the hash goes first, as it sorts fast
-    words = cut(named.where("word is not null").select("block", F.xxhash64("word").alias("h"), "word", "n")
+    words = cut(named.where("word is not null").select("block", "word", "n").repartition("word")
+                .withColumn("h", F.xxhash64("word"))
                 .withColumn("c", F.sum("n").over(by_word))
                 .withColumn("first", F.row_number().over(by_word.orderBy("block")) == 1)
                 .select("block", "word", "c", "first"), "words")
@@ -259,6 +263,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                 .withColumn("d", F.sum(once.cast("long")).over(by_context))
                 .select("block", "code", "c", "n", "d", "first"), "pairs")
     forget(named)
+    release(docs.sparkSession)
     escaped = cut(_escapes(pairs.where("c = 0 and first").select("code", "n", "d"),
                            pairs.where("c > 0 and first").select("code", "c")), "escaped")
 
