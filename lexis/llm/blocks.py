@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lexis.llm.common import cut
 
-BLOCK = 256
+BLOCK = 512
 
 
 def bucket_sizes(rows: DataFrame, tag: str) -> DataFrame:
