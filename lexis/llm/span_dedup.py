@@ -3,8 +3,9 @@
 A text is cut into units: sentences, which end at '.', '!', '?' or a line feed
 (with the white space that follows); a sentence of more than UNIT_WORDS words is
 cut further, every UNIT_WORDS words from its start, so that a passage without
-full stops has several units too.  Every run of RUN consecutive units that holds
-MIN_WORDS words or more is a span.  Spans are hashed (128 bits, white space at a
+full stops has several units too.  From every unit starts a span: RUN consecutive
+units, and as many more as it takes to hold MIN_WORDS words, so that passages of
+very short sentences have spans too.  Spans are hashed (128 bits, white space at a
 unit's ends left out) and joined globally; the first one in (doc_id, text hash,
 position) order stays, and every other occurrence marks its units.  Marked units
 are removed from the text; all else is kept to the byte.
@@ -30,6 +31,8 @@ from lexis.llm.common import cut, doc_hash
 RUN, UNIT_WORDS, MIN_WORDS = 3, 12, 12
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+[ \t\r\n]*|$)")
 _LONG: dict[int, re.Pattern] = {}
+_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_INVERSES = tuple(pow(f, -1, 1 << 64) for f in _FACTORS)
 
 
 def units(text: str | None, unit_words: int = UNIT_WORDS) -> tuple[list[str], list[int]]:
@@ -52,19 +55,26 @@ def units(text: str | None, unit_words: int = UNIT_WORDS) -> tuple[list[str], li
     return parts, words
 
 
+def span_ends(words: list[int], run: int, min_words: int) -> np.ndarray:
+    """For each unit the end of the span that starts there; past the last unit if the text ends before."""
+    w = np.cumsum([0, *words])
+    end = np.maximum(np.arange(len(words)) + run, np.searchsorted(w, w[:-1] + min_words))
+    return np.minimum(end, len(words) + 1)
+
+
 def span_hashes(parts: list[str], words: list[int], run: int, min_words: int):
     """First unit of each span and its hash, as two 64-bit integers."""
-    n = len(parts) - run + 1
-    if n < 1:
+    end = span_ends(words, run, min_words)
+    at = np.flatnonzero(end <= len(parts))
+    if not len(at):
         return np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
-    w = np.cumsum([0, *words])
-    at = np.flatnonzero(w[run:] - w[:-run] >= min_words)
     raw = b"".join(xxhash.xxh3_128_digest(p.strip().encode("utf-8", "surrogatepass")) for p in parts)
     one = np.frombuffer(raw, np.uint64).reshape(-1, 2)
-    total = np.zeros((n, 2), np.uint64)
-    for j in range(run):  # order matters: each place has its own odd factors
-        total = total * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64) + one[j:j + n]
-    return at.astype(np.int64), total[at].view(np.int64)
+    # order matters: counted from a span's end, each place has its own odd factors; sums from the text's
+    # start, with the factors' inverses, give a span of any length in one step
+    up, down = (np.cumprod(np.broadcast_to(np.array(f, np.uint64), one.shape), axis=0) for f in (_FACTORS, _INVERSES))
+    total = np.concatenate([np.zeros((1, 2), np.uint64), np.cumsum(one * down, axis=0, dtype=np.uint64)])
+    return at.astype(np.int64), ((total[end[at]] - total[at]) * up[end[at] - 1]).view(np.int64)
 
 
 def spans(docs: DataFrame, run: int = RUN, unit_words: int = UNIT_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
@@ -110,8 +120,10 @@ def dedup(docs: DataFrame, run: int = RUN, unit_words: int = UNIT_WORDS, min_wor
             out = []
             for text, starts in zip(b.column(text_col).to_pylist(), b.column("_pos").to_pylist()):
                 if starts:
-                    gone = {i + j for i in starts for j in range(run)}
-                    text = "".join(p for i, p in enumerate(units(text, unit_words)[0]) if i not in gone)
+                    parts, words = units(text, unit_words)
+                    end = span_ends(words, run, min_words)
+                    gone = {j for i in starts for j in range(i, end[i])}
+                    text = "".join(p for i, p in enumerate(parts) if i not in gone)
                 out.append(text)
             cols = [pa.array(out, pa.string()) if n == text_col else b.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(cols, names=names)
