@@ -2,8 +2,10 @@
 
 A text is cut into units: sentences, which end at '.', '!', '?' or a line feed
 (with the white space that follows); a sentence of more than UNIT_WORDS words is
-cut further, every UNIT_WORDS words from its start, so that a passage without
-full stops has several units too.  From every unit starts a span: RUN consecutive
+cut further, so that a passage without full stops has several units too.  These
+cuts are chosen by the words around them, so the same words are cut alike wherever
+they stand in a sentence; where content asks for none in UNIT_WORDS words, there
+is one after so many from the last cut.  From every unit starts a span: RUN consecutive
 units, and as many more as it takes to hold MIN_WORDS words, so that passages of
 very short sentences have spans too.  Spans are hashed (128 bits, white space at a
 unit's ends left out) and joined globally; the first one in (doc_id, text hash,
@@ -29,29 +31,77 @@ from pyspark.sql import functions as F
 from lexis.llm.common import cut, doc_hash
 
 RUN, UNIT_WORDS, MIN_WORDS = 3, 12, 12
+NEAR = 3  # words on either side that a cut inside a sentence looks at
+CACHE_WORDS = 200_000
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+[ \t\r\n]*|$)")
-_LONG: dict[int, re.Pattern] = {}
+_WORD = re.compile(r"\s*\S+\s*")
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _INVERSES = tuple(pow(f, -1, 1 << 64) for f in _FACTORS)
 
 
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) if word else 0
+        return h
+
+
+_hashes = _Hashes()
+
+
+def _inner_cuts(words: list[str]) -> list[int]:
+    """The places of the words after which the content asks for a cut: those whose hash, with both
+    neighbours', is the least of NEAR words on either side (ties count).  Empty words are no words."""
+    if len(_hashes) > CACHE_WORDS:
+        _hashes.clear()
+    raw = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    mixed = raw * np.uint64(_FACTORS[0])
+    mixed[1:] += raw[:-1]
+    mixed *= np.uint64(_FACTORS[1])
+    mixed[:-1] += raw[1:]
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(_FACTORS[0])
+    mixed[raw == 0] = np.iinfo(np.uint64).max
+    least = raw != 0
+    for j in range(1, NEAR + 1):
+        less = mixed[j:] <= mixed[:-j]
+        least[j:] &= less
+        least[:-j] &= ~less | (mixed[j:] == mixed[:-j])
+    return np.flatnonzero(least).tolist()
+
+
 def units(text: str | None, unit_words: int = UNIT_WORDS) -> tuple[list[str], list[int]]:
     """The units of a text, which joined give the text again, and their numbers of words."""
-    if unit_words not in _LONG:
-        _LONG[unit_words] = re.compile(r"\s*(?:\S+\s*){1,%d}" % unit_words)
-    parts, words = [], []
+    parts, words, apart = [], [], [""] * (NEAR + 1)
+    split, flat = [], list(apart)
     for s in _SENTENCE.findall(text or ""):
-        if not s:
-            continue
-        n = len(s.split())
+        if s:
+            w = s.split()
+            split.append((s, w, len(flat)))
+            if len(w) > unit_words:
+                flat += w
+                flat += apart
+    cuts = _inner_cuts(flat) if len(flat) > len(apart) else []
+    cuts.append(len(flat))
+    k = 0
+    for s, w, begin in split:
+        n = len(w)
         if n <= unit_words:
             parts.append(s)
             words.append(n)
-        else:
-            for p in _LONG[unit_words].findall(s):
-                parts.append(p)
-                words.append(min(unit_words, n))
-                n -= unit_words
+            continue
+        plain, lo = " ".join(w), 0
+        spaced = s.startswith(plain)  # single spaces, which is quicker
+        pieces = w if spaced else _WORD.findall(s)
+        while lo < n:
+            hi = cuts[k] + 1 - begin
+            end = min(lo + unit_words, hi, n)
+            k += end == hi
+            if spaced:
+                parts.append(" ".join(w[lo:end]) + (" " if end < n else s[len(plain):]))
+            else:
+                parts.append("".join(pieces[lo:end]))
+            words.append(end - lo)
+            lo = end
     return parts, words
 
 

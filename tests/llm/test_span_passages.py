@@ -71,3 +71,37 @@ def test_loop_of_short_sentences_keeps_one_round(spark):
 def test_units_without_words(spark):
     texts = ["\x0b\n" * 300 + "A. B. C.", "\x0b\n" * 3 + " ".join(f"{w}." for w in VOCAB[:20]), ". . .", "a. b."]
     assert removed(spark, texts) == restated(texts)
+
+
+def test_passage_at_every_offset_in_a_sentence(spark):
+    passage = " ".join(RND.sample(VOCAB, 60))
+    texts = []
+    for offset in range(12):
+        before, after = RND.sample(VOCAB, 20 + offset), RND.sample(VOCAB, 20)
+        texts.append(" ".join(["Start.", *before, passage, *after]) + ". End.")
+        texts.append(" ".join(before[:offset] + [passage] + after[:5]))
+    assert windows(texts)
+    got = removed(spark, texts)
+    assert got == restated(texts)
+    assert windows(got) == set()
+    assert sum(passage in t for t in got) == 1
+
+
+def test_passage_after_an_inserted_and_a_dropped_word(spark):
+    words = RND.sample(VOCAB, 200)
+    texts = [" ".join(words), " ".join([*words[:70], "inserted", *words[70:]]), " ".join(words[:65] + words[66:])]
+    assert windows(texts)
+    got = removed(spark, texts)
+    assert got == restated(texts)
+    assert windows(got) == set() and got[0] == texts[0]
+
+
+def test_cuts_follow_the_words():
+    words = RND.sample(VOCAB, 80)
+    whole = [p.strip() for p in span_dedup.units(" ".join(words))[0]]
+    for drop in range(1, 25):
+        rest = [p.strip() for p in span_dedup.units(" ".join(words[drop:]))[0]]
+        assert rest[-4:] == whole[-4:]
+    for text in ["na " * 500, "na na hey " * 200, "a  b\tc\n" * 3 + "d\x0be " * 40, " x y" * 30, "\u00a0x y" * 30]:
+        parts, count = span_dedup.units(text)
+        assert "".join(parts) == text and count == [len(p.split()) for p in parts] and max(count) <= 12
