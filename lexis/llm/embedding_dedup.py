@@ -33,7 +33,7 @@ from lexis.llm.common import cut
 from lexis.llm.components import components
 from lexis.llm.vectors import finite_rows, stacked
 
-THRESHOLD, RECALL, WINDOW, FAR_MEETS = 0.93, 0.98, 2.0, 0.05
+THRESHOLD, RECALL, WINDOW, FAR_MEETS = 0.93, 0.9999, 2.0, 0.05
 
 
 def meet_chance(distance: float, window: float = WINDOW) -> float:
