@@ -15,23 +15,37 @@ def fold(id_col, modulus: int):
     return F.crc32(F.col(id_col).cast("string")) % modulus
 
 
+def within_budget(docs: DataFrame, drawn: DataFrame, max_rows: int, max_chars: int) -> DataFrame:
+    """t, y of the documents (k, t) drawn (k, y): in order of a hash, each text whole if it
+    fits what is left of max_rows x max_chars characters, whatever its own length."""
+    found = (docs.where("t is not null").join(F.broadcast(drawn), "k")  # at most max_rows rows
+             .withColumn("th", F.xxhash64("t")))
+    sizes = (found.select("k", "th", F.length("t").alias("n")).distinct()
+             .orderBy(F.xxhash64("k"), "th").limit(max_rows).collect())
+    rest, kept = max_rows * max_chars, []
+    for r in sizes:
+        if r.n <= rest:
+            rest -= r.n
+            kept.append((r.k, r.th))
+    key = docs.schema["k"].dataType.simpleString()
+    chosen = docs.sparkSession.createDataFrame(kept, f"k {key}, th long")
+    return (found.join(F.broadcast(chosen), ["k", "th"]).dropDuplicates(["k", "th"])
+            .orderBy(F.xxhash64("k"), "th").limit(max_rows).select("t", "y"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, trainable, max_rows: int = MAX_ROWS,
            max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray]:
     """Texts and 0/1 labels of at most ``max_rows`` labelled documents.
 
     ``trainable`` is a condition on the id column.  The ids are drawn from the
-    label table in order of a hash; texts over ``max_chars`` characters are not
-    used for fitting, so at most max_rows x max_chars characters reach the
-    driver.  Null labels are ignored; of several labels for an id the largest counts.
+    label table in order of a hash; texts of any length are used whole, while at
+    most max_rows x max_chars characters in all reach the driver.  Null labels are ignored; of several labels for an id the largest counts.
     """
     drawn = (labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y"))
              .where(F.col("y").isNotNull() & F.col("k").isNotNull())
              .groupBy("k").agg(F.max("y").alias("y"))
              .where(trainable("k")).orderBy(F.xxhash64("k"), "k").limit(max_rows))
-    rows = (docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-            .where(F.col("t").isNotNull() & (F.length("t") <= max_chars))
-            .join(F.broadcast(drawn), "k")  # at most max_rows rows
-            .orderBy(F.xxhash64("k"), F.xxhash64("t")).limit(max_rows).toArrow())
+    rows = within_budget(docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")), drawn, max_rows, max_chars).toArrow()
     return rows.column("t").to_pylist(), np.array(rows.column("y").to_pylist(), np.float64)
 
 

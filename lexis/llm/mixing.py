@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from lexis.llm.common import cut, doc_hash, slices
-from lexis.llm.labelled import MAX_CHARS, MAX_ROWS, Adam
+from lexis.llm.labelled import MAX_CHARS, MAX_ROWS, Adam, within_budget
 
 _WORD = re.compile(r"\w+|[^\w\s]+")
 BUCKETS, CACHE_WORDS = 1 << 16, 300_000
@@ -198,10 +198,7 @@ def labelled_domains(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROW
     name = F.when(F.col("quality") == 0, "junk").when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean")
     drawn = (labels.select(F.col("doc_id").alias("k"), name.alias("y")).where("y is not null and k is not null")
              .groupBy("k").agg(F.min("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(max_rows))
-    rows = (docs.select(F.col("doc_id").alias("k"), F.col("text").alias("t"))
-            .where(F.col("t").isNotNull() & (F.length("t") <= max_chars))
-            .join(F.broadcast(drawn), "k")  # at most max_rows rows
-            .orderBy(F.xxhash64("k"), F.xxhash64("t")).limit(max_rows).toArrow())
+    rows = within_budget(docs.select(F.col("doc_id").alias("k"), F.col("text").alias("t")), drawn, max_rows, max_chars).toArrow()
     return rows.column("t").to_pylist(), rows.column("y").to_pylist()
 
 
