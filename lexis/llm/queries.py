@@ -7,6 +7,7 @@ from lexis.llm.embedding_dedup import OP6_SQL, op6_embedding_dedup
 from lexis.llm.maxscore import OP7_SQL, op7_maxscore
 from lexis.llm.mixing import op8_mixing
 from lexis.llm.ngram_join import OP10_SQL, op10_ngram_join
+from lexis.llm.outliers import op12_outliers
 from lexis.llm.packing import op1_packing
 from lexis.llm.ppm import op9_ppm
 from lexis.llm.quality import op4_quality
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_ppm": op9_ppm,
     "op10_ngram_join": op10_ngram_join,
+    "op12_outliers": op12_outliers,
 }
 QUERIES = {name: importable(query) for name, query in QUERIES.items()}
 ORACLE: dict[str, str] = {
