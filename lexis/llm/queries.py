@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lexis.llm.common import importable
 from lexis.llm.embedding_dedup import OP6_SQL, op6_embedding_dedup
+from lexis.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from lexis.llm.maxscore import OP7_SQL, op7_maxscore
 from lexis.llm.mixing import op8_mixing
 from lexis.llm.ngram_join import OP10_SQL, op10_ngram_join
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_ppm": op9_ppm,
     "op10_ngram_join": op10_ngram_join,
     "op12_outliers": op12_outliers,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 QUERIES = {name: importable(query) for name, query in QUERIES.items()}
 ORACLE: dict[str, str] = {
@@ -34,4 +36,5 @@ ORACLE: dict[str, str] = {
     "op6_embedding_dedup": OP6_SQL,
     "op7_maxscore": OP7_SQL,
     "op10_ngram_join": OP10_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
