@@ -13,6 +13,7 @@ from lexis.llm.packing import op1_packing
 from lexis.llm.ppm import op9_ppm
 from lexis.llm.quality import op4_quality
 from lexis.llm.span_dedup import OP3_SQL, op3_span_dedup
+from lexis.llm.token_alignment import op11_token_alignment
 from lexis.llm.token_orc import op5_token_orc
 from lexis.llm.toxicity import op2_toxicity
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_ppm": op9_ppm,
     "op10_ngram_join": op10_ngram_join,
+    "op11_token_alignment": op11_token_alignment,
     "op12_outliers": op12_outliers,
     "op13_hard_negatives": op13_hard_negatives,
 }
