@@ -1,9 +1,13 @@
-"""Web-page extraction as regex column expressions (no DOM parser).
+"""Web-page extraction as one regex scan and column expressions (no DOM parser).
 
-Approximations of an HTML parser, documented: comments, scripts and styles
-are removed before anything else is looked for; a tag ends at the first ``>``
-outside quotes; numeric character references and a small fixed set of named
-entities are decoded, each once (``&amp;`` last).
+``scan`` reads a page once, by ONE leftmost alternation over comments, script and style
+elements, declarations and tags (whose quoted attribute values may hold ``>``), and gives an array in which
+texts and tags take turns: a text, a tag, a text, ...  Comments, scripts and styles are empty tags; a ``<``
+that begins none of these is text.  Title, body text and links are read from that array.
+
+Approximations of an HTML parser, documented: an unclosed comment, script, style or tag runs to the end; a
+title that holds markup is no usable title; numeric character references and a small
+fixed set of named entities are decoded, each once (``&amp;`` last); U+0001 becomes U+FFFD.
 """
 
 from __future__ import annotations
@@ -11,22 +15,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexis.functions.text import STRIP, WS
-
-TAG_WS = r"[ \t\n\r\f]"
-SCRIPT_STYLE = r"(?is)<script(?:[ \t\n\r\f/][^>]*)?>.*?</script[^>]*>|<style(?:[ \t\n\r\f/][^>]*)?>.*?</style[^>]*>"
-COMMENT = r"(?s)<!--.*?-->"
-BODY_OPEN = r"(?is)<body(?:[ \t\n\r\f][^>]*)?>"
-BODY = r"(?is)<body(?:[ \t\n\r\f][^>]*)?>(.*)"
-BODY_CLOSE_REST = r"(?is)</body[ \t\n\r\f]*>.*"
-TAG = r"""<(?:[^<>"']|"[^"]*"|'[^']*')*>|<[^<>]*>"""
-TITLE = r"(?is)<title(?:[ \t\n\r\f][^>]*)?>(.*?)</title[ \t\n\r\f]*>"
-TITLE_OPEN = r"(?is)<title(?:[ \t\n\r\f][^>]*)?>"
-ANCHOR = r"(?is)<a(?:[ \t\n\r\f][^>]*)?>"
-HAS_HREF = r"(?is)[ \t\n\r\f]href[ \t\n\r\f]*="
-HREF_DQ = r"""(?is)[ \t\n\r\f]href[ \t\n\r\f]*=[ \t\n\r\f]*"([^"]*)\""""
-HREF_SQ = r"""(?is)[ \t\n\r\f]href[ \t\n\r\f]*=[ \t\n\r\f]*'([^']*)'"""
-HREF_UQ = r"""(?is)[ \t\n\r\f]href[ \t\n\r\f]*=[ \t\n\r\f]*([^ \t\n\r\f"'>]+)"""
+from lexis.functions.text import STRIP
+
+SPACE = r"[ \t\n\r\f]"
+_ATTRIBUTES = rf"""(?:[ \t\n\r\f/](?:[^>=]*+={SPACE}*+(?:"[^"]*"|'[^']*')?+)*+[^>=]*+)?+"""
+
+
+def _element(name: str) -> str:
+    return rf"<{name}{_ATTRIBUTES}>.*?(?:</{name}(?:[ \t\n\r\f/][^>]*)?>|\z)"
+
+
+#: Group 1 is a tag or declaration; comments, scripts and styles have none.  What is not closed
+#: runs to the end, so no place is tried twice; possessive quantifiers keep Java's matcher
+#: linear (the other engine's is so without them).
+SCAN = (rf"(?is)<!--(?:-?>|.*?(?:-->|\z))|{_element('script')}|{_element('style')}"
+        rf"|(<[!?][^>]*+(?:>|\z)|</?[a-z][^ \t\n\r\f/>]*+{_ATTRIBUTES}(?:>|\z))")
+MARK = "\u0001"
+
+
+def _tag(name: str) -> str:
+    return rf"(?i)^<{name}[ \t\n\r\f/>]"
+
+
+BODY_OPEN, BODY_CLOSE, TITLE_OPEN, TITLE_CLOSE, ANCHOR = map(_tag, ("body", "/body", "title", "/title", "a"))
+#: An attribute inside a tag, its name, and its value (quotes kept).
+ATTRIBUTE = rf"""[^ \t\n\r\f/>=]+(?:{SPACE}*={SPACE}*(?:"[^"]*"|'[^']*'|[^ \t\n\r\f>]*))?"""
+HREF = rf"(?i)^href(?:{SPACE}*=|$)"
+VALUE = rf"""(?s)^[^=]*={SPACE}*(.*)$"""
+QUOTED = r"""(?s)^(?:"(.*)"|'(.*)')$"""
 FILENAME_BAD = r'[\\/*?:"<>|]'
 FRAGMENT = r"#."
 
@@ -74,37 +90,53 @@ def decode_numeric(c: Column) -> Column:
     return F.aggregate(refs, c, put)
 
 
-def drop_script_style(html) -> Column:
-    """Remove script/style elements and comments; each leaves a tag so that
-    the text around it stays in separate nodes."""
-    return F.regexp_replace(F.regexp_replace(_c(html), SCRIPT_STYLE, "<x>"), COMMENT, "<x>")
+def scan(html) -> Column:
+    """array<string>: texts and tags of a page in turn, beginning and ending with a text."""
+    clean = F.translate(_c(html), MARK, "\ufffd")
+    return F.split(F.regexp_replace(clean, SCAN, f"{MARK}$1{MARK}"), MARK, -1)
+
+
+def _place(nodes: Column, tag: str) -> Column:
+    """Place (from 1) of the first tag of a kind; 0 without one."""
+    return F.array_position(F.transform(nodes, lambda n, i: (i % 2 == 1) & n.rlike(tag)), True)
 
 
-def has_body(html) -> Column:
-    """A <body> outside comments, scripts and styles."""
-    return drop_script_style(html).rlike(BODY_OPEN)
+def _after(nodes: Column, tag: str) -> Column:
+    """What follows the first tag of a kind; nothing without one."""
+    at = _place(nodes, tag)
+    return F.when(at > 0, F.slice(nodes, at.cast("int") + 1, F.size(nodes))).otherwise(F.array().cast("array<string>"))
 
 
-def body_html(html) -> Column:
-    """Inner HTML of the first <body> up to </body> (or the end)."""
-    inner = F.regexp_extract(drop_script_style(html), BODY, 1)
-    return F.regexp_replace(inner, BODY_CLOSE_REST, "")
+def has_body(nodes) -> Column:
+    return _place(_c(nodes), BODY_OPEN) > 0
 
 
-def body_text(html) -> Column:
+def body_nodes(nodes) -> Column:
+    """Texts and tags of the first <body> up to </body> (or the end)."""
+    inner = _after(_c(nodes), BODY_OPEN)
+    end = _place(inner, BODY_CLOSE)
+    return F.when(end > 0, F.slice(inner, 1, F.greatest(end.cast("int") - 1, F.lit(0)))).otherwise(inner)
+
+
+def body_text(nodes) -> Column:
     """Text nodes of the body, entity-decoded, stripped, empties dropped,
     joined by newlines."""
-    nodes = F.split(body_html(html), TAG, -1)
-    nodes = F.transform(nodes, lambda n: F.regexp_replace(decode_entities(n), STRIP, ""))
-    return F.array_join(F.filter(nodes, lambda n: n != ""), "\n")
+    texts = F.filter(body_nodes(nodes), lambda n, i: i % 2 == 0)
+    texts = F.transform(texts, lambda n: F.regexp_replace(decode_entities(n), STRIP, ""))
+    return F.array_join(F.filter(texts, lambda n: n != ""), "\n")
 
 
-def page_title(html, default: str = DEFAULT_TITLE) -> Column:
+def page_title(nodes, default: str = DEFAULT_TITLE) -> Column:
     """Title text; the default when the page has no <title>; NULL when the
-    title is empty (the page cannot be named)."""
-    h = drop_script_style(html)
-    t = decode_entities(F.regexp_extract(h, TITLE, 1))
-    return F.when(~h.rlike(TITLE_OPEN), F.lit(default)).when(t == "", F.lit(None)).otherwise(t)
+    title is empty, unclosed or holds markup (the page cannot be named)."""
+    rest = _after(_c(nodes), TITLE_OPEN)
+    text = decode_entities(F.get(rest, F.lit(0)))
+    return (F.when(~has_title(nodes), F.lit(default))
+             .when((text != "") & F.get(rest, F.lit(1)).rlike(TITLE_CLOSE), text))
+
+
+def has_title(nodes) -> Column:
+    return _place(_c(nodes), TITLE_OPEN) > 0
 
 
 def sanitize_filename(col) -> Column:
@@ -112,22 +144,21 @@ def sanitize_filename(col) -> Column:
     return F.regexp_replace(s, STRIP, "")
 
 
-def page_filename(html) -> Column:
-    return F.concat(sanitize_filename(page_title(html)), F.lit(".txt"))
+def page_filename(nodes) -> Column:
+    return F.concat(sanitize_filename(page_title(nodes)), F.lit(".txt"))
 
 
-def anchor_hrefs(html) -> Column:
-    """array<string>: href of every <a href> in the body, in order (entity-decoded)."""
-    tags = F.regexp_extract_all(body_html(html), F.lit(ANCHOR), F.lit(0))
-    with_href = F.filter(tags, lambda t: t.rlike(HAS_HREF))
+def anchor_hrefs(nodes) -> Column:
+    """array<string>: href of every <a href> in the body, in order (entity-decoded).
+    Of several href attributes the last counts; one without a value is empty."""
+    tags = F.filter(body_nodes(nodes), lambda n, i: (i % 2 == 1) & n.rlike(ANCHOR))
+    inside = F.transform(tags, lambda t: F.regexp_extract_all(F.substr(t, F.lit(3), F.length(t) - 3), F.lit(ATTRIBUTE), F.lit(0)))
+    hrefs = F.transform(inside, lambda a: F.filter(a, lambda x: x.rlike(HREF)))
 
-    def value(t):
-        dq = F.regexp_extract(t, HREF_DQ, 1)
-        sq = F.regexp_extract(t, HREF_SQ, 1)
-        uq = F.regexp_extract(t, HREF_UQ, 1)
-        v = (F.when(t.rlike(HREF_DQ), dq).when(t.rlike(HREF_SQ), sq).otherwise(uq))
-        return decode_entities(v)
-    return F.transform(with_href, value)
+    def value(found):
+        raw = F.regexp_extract(F.element_at(found, -1), VALUE, 1)
+        return decode_entities(F.when(raw.rlike(QUOTED), F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw))
+    return F.transform(F.filter(hrefs, lambda h: F.size(h) > 0), value)
 
 
 # ---------------------------------------------------------------------------

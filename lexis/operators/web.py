@@ -12,19 +12,26 @@ from lexis.session import once, scratch_path
 PAGE_DOC_PREFIX = "URL: "
 
 
+def scanned(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``nodes`` in place of their HTML.  The array comes out of a generator, so that filters
+    on it stay above it and every page is scanned once."""
+    rest = [c for c in pages.columns if c not in ("html", "nodes")]
+    return pages.select(*rest, F.explode(F.array(H.scan("html"))).alias("nodes"))
+
+
 def page_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for pages that have a <body>."""
-    return (pages.filter(H.has_body("html"))
-                 .select("page_id", "url", H.body_text("html").alias("text")))
+    return (scanned(pages).filter(H.has_body("nodes"))
+                 .select("page_id", "url", H.body_text("nodes").alias("text")))
 
 
 def pages_without_body(pages: DataFrame) -> DataFrame:
-    return pages.filter(~H.has_body("html")).select("page_id", "url")
+    return scanned(pages).filter(~H.has_body("nodes")).select("page_id", "url")
 
 
 def page_titles(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", H.page_title("html").alias("title"),
-                        H.page_filename("html").alias("file_name"))
+    return scanned(pages).select("page_id", H.page_title("nodes").alias("title"),
+                                 H.page_filename("nodes").alias("file_name"))
 
 
 def page_links(pages: DataFrame, base: str | Column | None = H.BASE_URL) -> DataFrame:
@@ -37,8 +44,8 @@ def page_links(pages: DataFrame, base: str | Column | None = H.BASE_URL) -> Data
 def _links(pages: DataFrame, base: str | Column | None) -> DataFrame:
     """``page_links`` with the page's URL."""
     b = F.col("url") if base is None else (F.lit(base) if isinstance(base, str) else base)
-    src = pages.filter(H.has_body("html")).select("page_id", "url", H.anchor_hrefs("html").alias("_h"),
-                                                  b.alias("_base"))
+    src = scanned(pages).filter(H.has_body("nodes")).select("page_id", "url", H.anchor_hrefs("nodes").alias("_h"),
+                                                            b.alias("_base"))
     return (src.select("page_id", "url", "_base", F.posexplode("_h").alias("pos", "href"))
                .select("page_id", "url", F.col("pos").cast("bigint").alias("pos"), "href",
                        H.resolve_url(F.col("_base"), F.col("href")).alias("link")))
@@ -102,9 +109,9 @@ def saved_pages(pages: DataFrame) -> DataFrame:
     have a body and a usable title."""
     visited = pages.filter(~H.has_fragment("url"))
     first = visited.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    return (visited.join(first, ["page_id", "url"], "left_semi").filter(H.has_body("html"))
-                 .select("page_id", "url", H.page_title("html").alias("title"),
-                         H.page_filename("html").alias("file_name"), H.body_text("html").alias("text"))
+    return (scanned(visited.join(first, ["page_id", "url"], "left_semi")).filter(H.has_body("nodes"))
+                 .select("page_id", "url", H.page_title("nodes").alias("title"),
+                         H.page_filename("nodes").alias("file_name"), H.body_text("nodes").alias("text"))
                  .filter(F.col("title").isNotNull()).drop("title"))
 
 

@@ -380,7 +380,7 @@ PAGE_DOCS = f"""pd AS (
 
 # expected values by hand: what the injected markup must show, before the page's own text
 ORACLE["page_markup"] = f"""SELECT page_id, {S.page_title('html')} AS title,
-  {S.q(REG.MARKUP_TEXT)} || CASE WHEN t <> '' THEN chr(10) || t ELSE '' END AS text
+  {S.q(REG.MARKUP_TEXT)} || CASE WHEN t <> '' THEN chr(10) || t ELSE '' END AS text, {S.q(REG.MARKUP_LINK)} AS first_link
 FROM (SELECT *, {S.body_text('html')} AS t FROM pages WHERE {S.has_body('html')})"""
 
 ORACLE["page_documents"] = f"""WITH {PAGE_DOCS}

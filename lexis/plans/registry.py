@@ -402,19 +402,22 @@ def q_crawl_reachable(spark, sf_dir):
     return W.crawl_reachable(edges, seeds).select("url")
 
 
-#: Put before every page, and behind its <body>; ``page_markup`` must not see
-#: the title and the bodies, and must show the paragraph as MARKUP_TEXT.
+#: Put before every page, and in place of its <body>; ``page_markup`` must not see the title
+#: and the bodies, and must show the rest as MARKUP_TEXT, with MARKUP_LINK as its first link.
 MARKUP_HEAD = "<script>var t='<title>bad</title>';</script><!-- <body> <title>no</title> -->"
-MARKUP_BODY = "<body><p title='x>y'>caf&#233; &#x41;&amp;#66;&#0;</p>"
-MARKUP_TEXT = "café A&#66;&#0;"
+MARKUP_BODY = ("<body data-x=\"a>b\"><!-- <script> --><p title='x>y'>caf&#233; &#x41;&amp;#66;&#0;</p><script>x</script>"
+               "<p>1 < 2 and 3 > 2</p><style media=\"a>b\">p{}</style><a title=\"x>y\" href=\"/lost\">there</a>")
+MARKUP_TEXT = "café A&#66;&#0;\n1 < 2 and 3 > 2\nthere"
+MARKUP_LINK = "/lost"
 
 
 @register("page_markup")
 def q_page_markup(spark, sf_dir):
     html = F.concat(F.lit(MARKUP_HEAD), F.regexp_replace("html", r"(?i)<body[^>]*>", F.lit(MARKUP_BODY)))
-    pages = _t(spark, sf_dir, "pages").withColumn("html", html)
-    return pages.filter(HT.has_body("html")).select(
-        "page_id", HT.page_title("html").alias("title"), HT.body_text("html").alias("text"))
+    pages = W.scanned(_t(spark, sf_dir, "pages").withColumn("html", html))
+    return pages.filter(HT.has_body("nodes")).select(
+        "page_id", HT.page_title("nodes").alias("title"), HT.body_text("nodes").alias("text"),
+        F.get(HT.anchor_hrefs("nodes"), F.lit(0)).alias("first_link"))
 
 
 @register("page_documents")

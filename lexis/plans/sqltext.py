@@ -120,30 +120,42 @@ def decode_entities(expr: str) -> str:
     return rr(e, H.AMP, "&")
 
 
-def drop_script_style(expr: str) -> str:
-    return rr(rr(expr, H.SCRIPT_STYLE, "<x>"), H.COMMENT, "<x>")
+def scan(expr: str) -> str:
+    pattern = H.SCAN.replace("*+", "*").replace("?+", "?")
+    clean = f"translate({expr}, chr(1), chr(65533))"
+    return f"string_split(regexp_replace({clean}, {q(pattern)}, chr(1) || {q(chr(92) + '1')} || chr(1), 'g'), chr(1))"
+
+
+def _place(nodes: str, tag: str) -> str:
+    return f"coalesce(list_position(list_transform({nodes}, lambda n, i: i % 2 = 0 AND regexp_matches(n, {q(tag)})), true), 0)"
+
+
+def _after(nodes: str, tag: str) -> str:
+    at = _place(nodes, tag)
+    return f"CASE WHEN {at} > 0 THEN ({nodes})[{at} + 1:] ELSE [] END"
 
 
 def has_body(expr: str) -> str:
-    return f"regexp_matches({drop_script_style(expr)}, {q(H.BODY_OPEN)})"
+    return f"({_place(scan(expr), H.BODY_OPEN)} > 0)"
 
 
-def body_html(expr: str) -> str:
-    inner = f"regexp_extract({drop_script_style(expr)}, {q(H.BODY)}, 1)"
-    return rr(inner, H.BODY_CLOSE_REST, "")
+def body_nodes(expr: str) -> str:
+    inner = f"({_after(scan(expr), H.BODY_OPEN)})"
+    end = _place(inner, H.BODY_CLOSE)
+    return f"(CASE WHEN {end} > 0 THEN {inner}[1:{end} - 1] ELSE {inner} END)"
 
 
 def body_text(expr: str) -> str:
-    nodes = f"string_split_regex({body_html(expr)}, {q(H.TAG)})"
-    nodes = f"list_transform({nodes}, lambda n: {rr(decode_entities('n'), T.STRIP, '')})"
-    return f"array_to_string(list_filter({nodes}, lambda n: n <> ''), chr(10))"
+    texts = f"list_filter({body_nodes(expr)}, lambda n, i: i % 2 = 1)"
+    texts = f"list_transform({texts}, lambda n: {rr(decode_entities('n'), T.STRIP, '')})"
+    return f"array_to_string(list_filter({texts}, lambda n: n <> ''), chr(10))"
 
 
 def page_title(expr: str) -> str:
-    h = drop_script_style(expr)
-    t = decode_entities(f"regexp_extract({h}, {q(H.TITLE)}, 1)")
-    return (f"(CASE WHEN NOT regexp_matches({h}, {q(H.TITLE_OPEN)}) THEN {q(H.DEFAULT_TITLE)} "
-            f"WHEN {t} = '' THEN NULL ELSE {t} END)")
+    rest = f"({_after(scan(expr), H.TITLE_OPEN)})"
+    t = decode_entities(f"{rest}[1]")
+    return (f"(CASE WHEN {_place(scan(expr), H.TITLE_OPEN)} = 0 THEN {q(H.DEFAULT_TITLE)} "
+            f"WHEN {t} <> '' AND regexp_matches({rest}[2], {q(H.TITLE_CLOSE)}) THEN {t} END)")
 
 
 def sanitize_filename(expr: str) -> str:
@@ -155,12 +167,12 @@ def page_filename(expr: str) -> str:
 
 
 def anchor_hrefs(expr: str) -> str:
-    tags = f"regexp_extract_all({body_html(expr)}, {q(H.ANCHOR)}, 0)"
-    tags = f"list_filter({tags}, lambda t: regexp_matches(t, {q(H.HAS_HREF)}))"
-    val = (f"CASE WHEN regexp_matches(t, {q(H.HREF_DQ)}) THEN regexp_extract(t, {q(H.HREF_DQ)}, 1) "
-           f"WHEN regexp_matches(t, {q(H.HREF_SQ)}) THEN regexp_extract(t, {q(H.HREF_SQ)}, 1) "
-           f"ELSE regexp_extract(t, {q(H.HREF_UQ)}, 1) END")
-    return f"list_transform({tags}, lambda t: {decode_entities(val)})"
+    tags = f"list_filter({body_nodes(expr)}, lambda n, i: i % 2 = 0 AND regexp_matches(n, {q(H.ANCHOR)}))"
+    inside = f"list_transform({tags}, lambda t: regexp_extract_all(t[3:length(t) - 1], {q(H.ATTRIBUTE)}, 0))"
+    hrefs = f"list_transform({inside}, lambda a: list_filter(a, lambda x: regexp_matches(x, {q(H.HREF)})))"
+    raw = f"regexp_extract(h[-1], {q(H.VALUE)}, 1)"
+    val = f"CASE WHEN regexp_matches({raw}, {q(H.QUOTED)}) THEN ({raw})[2:length({raw}) - 1] ELSE {raw} END"
+    return f"list_transform(list_filter({hrefs}, lambda h: len(h) > 0), lambda h: {decode_entities(f'({val})')})"
 
 
 def _remove_dots(segs: str) -> str:

@@ -88,3 +88,58 @@ def test_page_documents_last_visit_wins(spark):
     pages = _pages(spark, [(1, "u1", page.format("first")), (2, "u2", page.format("second"))])
     rows = W.page_documents(pages).collect()
     assert len(rows) == 1 and rows[0]["content"] == "URL: u2\n\nsecond"
+
+
+# one scan: comments, scripts, styles and quoted attributes, with values by hand
+CASES = [
+    ("<body><!-- <script> --><p>keep</p><script>x</script></body>", "keep", []),
+    ('<body><a title="x>y" href="/found">t</a></body>', "t", ["/found"]),
+    ('<body data-x="a>b">in</body>', "in", []),
+    ("<body>1 < 2 and 3 > 2</body>", "1 < 2 and 3 > 2", []),
+    ("<body><script src='a>b'>no</script><style title=\"c>d\">no</style>yes</body>", "yes", []),
+    ("<body><!--><p>a</p><!-- > -- --->b<!-- to the end <p>no</p>", "a\nb", []),
+    ("<body>a<script>never closed <p>no</p>", "a", []),
+    ("<body><scripted>a</scripted><styled>b</styled></body>out", "a\nb", []),
+    ("<body><script>'</scripty>'</script >a</body>", "a", []),
+    ("<BODY CLASS=a><A HREF=/up>x</A><a\nhref = '/q'>y</a><abbr href='/no'>z</abbr></BODY>", "x\ny\nz", ["/up", "/q"]),
+    ("<body><a data-href='/no' title=\" href='/no'\" href='/yes'>x</a><a>none</a><a href>empty</a></body>", "x\nnone\nempty", ["/yes", ""]),
+    ("<body><a href=/one href=/two>x</a><a href=\"a'b\">y</a><a href=a=b>z</a></body>", "x\ny\nz", ["/two", "a'b", "a=b"]),
+    ("<body><p it's>don't</p><p a=\"x>open</p></body>", "don't\nopen", []),
+    ("<body><?php x ?>a<!DOCTYPE b>c</></body>", "a\nc</>", []),
+    ("<!-- <body>no</body> --><body>a<b>b</b>\u0001</body><body>late</body>", "a\nb\n�", []),
+    ("<body></body>", "", []),
+]
+
+
+def test_scan_by_hand(spark):
+    pages = W.scanned(spark.createDataFrame([(i, h) for i, (h, _, _) in enumerate(CASES)], "page_id long, html string"))
+    rows = pages.where(H.has_body("nodes")).select("page_id", H.body_text("nodes").alias("t"), H.anchor_hrefs("nodes").alias("h")).orderBy("page_id").collect()
+    assert [(CASES[r["page_id"]][0], r["t"], r["h"]) for r in rows] == CASES
+
+
+TITLES = [("<title>a</title>", "a"), ("<title lang='x>y'>a &amp; b</title>", "a & b"), ("<title></title>", None),
+          ("<title>a<b>c</b></title>", None), ("<title>open", None), ("<p>x</p>", H.DEFAULT_TITLE), ("<titled>x</titled>", H.DEFAULT_TITLE),
+          ("<!-- <title>no</title> --><TITLE >yes</TITLE>", "yes"), (None, None)]
+
+
+def test_titles_by_hand(spark):
+    pages = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(TITLES)], "page_id long, html string")
+    got = {r["page_id"]: r["title"] for r in W.page_titles(pages).collect()}
+    assert {i: got.get(i) for i in range(len(TITLES))} == {i: t for i, (_, t) in enumerate(TITLES)}
+
+
+def test_scan_of_hostile_pages_ends(spark):
+    """No backtracking: long runs of half-open markup take a moment, not minutes, and no deep stack."""
+    import time
+    hostile = ["<body><a " + "x='y' " * 20_000, "<body>" + "<" * 200_000, "<body><a " + "=" * 200_000, "<body>" + "<!-" * 50_000,
+               "<body><p " + 'a="' * 50_000, "<body>" + "<script" * 2_000]
+    pages = W.scanned(spark.createDataFrame([(i, h) for i, h in enumerate(hostile)], "page_id long, html string"))
+    begin = time.time()
+    assert pages.select(F.size(H.anchor_hrefs("nodes")), H.body_text("nodes")).count() == len(hostile)
+    pages.select(F.size(H.anchor_hrefs("nodes")), F.length(H.body_text("nodes"))).collect()
+    assert time.time() - begin < 60
+
+
+def test_a_page_is_scanned_once(spark):
+    plan = W.page_text(_pages(spark, [(1, "u", "<body>x</body>")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(translate") == 1
