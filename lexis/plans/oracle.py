@@ -562,6 +562,8 @@ SELECT count(*) > 0 AS trained, CAST(count(*) AS BIGINT) AS documents_processed,
 
 ORACLE["train_corpus"] = f"WITH {LINES},\n{STORE}\nSELECT content, count(*) AS copies FROM store GROUP BY content"
 
+ORACLE["train_sliced"] = ORACLE["train_corpus"]
+
 # increments are cleaned, the first training is not
 ORACLE["increment_corpus"] = f"""WITH {LINES},
 made AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN line ELSE {S.clean_line('line')} END AS line FROM lines),

@@ -608,6 +608,23 @@ def q_train_corpus(spark, sf_dir):
     return _content_counts(trainer.store())
 
 
+@register("train_sliced")
+def q_train_sliced(spark, sf_dir):
+    """The same store from files that are cut: a file is many batches."""
+    from lexis.streaming.train import CorpusTrainer
+    root = scratch_path(spark, "sliced")
+    folder = _corpus_files(_t(spark, sf_dir, "documents"), f"{root}/in")
+    size = sum(f.getLen() for f in _files(spark, folder))
+    trainer = CorpusTrainer(spark, f"{root}/state", slice_bytes=-(-size // 4) or 1)
+    trainer.train(folder)
+    return _content_counts(trainer.store())
+
+
+def _files(spark, folder: str) -> list:
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return list(where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where))
+
+
 @register("increment_corpus")
 def q_increment_corpus(spark, sf_dir):
     """Train corpus a, then b, then a with new files, then a again unchanged."""
@@ -644,9 +661,9 @@ def q_answer_stream(spark, sf_dir):
     qs = conv.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("query_id"),
                      F.col("text").alias("query"))
     qs.repartition(4).write.parquet(f"{root}/questions")
+    # all questions that wait are one micro-batch, so one pass over the store serves them
     q = start_answer_stream(spark, f"{root}/questions", "query_id bigint, query string",
-                            store_t, vec_t, f"{root}/sink", f"{root}/_ckpt",
-                            max_files_per_trigger=1)
+                            store_t, vec_t, f"{root}/sink", f"{root}/_ckpt")
     q.awaitTermination()
     for table in (store_t, vec_t):
         spark.sql(f"DROP TABLE IF EXISTS {table}")

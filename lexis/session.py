@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,13 +46,13 @@ def get_spark(master: str | None = None, app: str = "lexis",
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and model state: ``spark.checkpoint.dir``.
 
-    Only a single-machine run (``local[...]``, as in tests) may leave it unset;
+    Only a single-machine run (``local[...]``, as in tests, but not ``local-cluster[...]``) may leave it unset;
     a private temporary folder is then chosen.  On a cluster every executor
     would write its own disk, so a missing setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="lexis-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -56,16 +61,44 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Python workers started from now on find this package where the driver does
+    (on a cluster it is installed, or shipped with the job)."""
+    home = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([home, *paths])
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+_scopes = threading.local()
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``once`` writes inside (in this thread) are deleted at the end.  For work
+    that writes its result itself: no plan made inside may be used after it."""
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            delete_path(spark, path)
+
+
 def once(df: DataFrame, label: str = "once") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: it runs once, its
     lineage is cut, and joins see its true size, so that Spark itself decides
-    whether to broadcast it."""
+    whether to broadcast it.  A ``scratch_scope`` deletes the table."""
     path = scratch_path(df.sparkSession, label)
+    if stack := _scopes.__dict__.get("stack"):
+        stack[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

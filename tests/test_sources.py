@@ -44,22 +44,6 @@ def test_assemble_pages_order(spark):
     assert got == {1: "one\ntwo\n", 2: "solo\n"}
 
 
-def test_stream_progress(spark, scratch):
-    from lexis.streaming.train import CorpusTrainer, stream_progress
-    inp = os.path.join(scratch, "in")
-    os.makedirs(inp)
-    for i in range(2):
-        with open(os.path.join(inp, f"f{i}.txt"), "w") as f:
-            f.write(f"alpha {i}\nbeta {i}\n")
-    src = spark.readStream.format("text").load(inp)
-    q = src.writeStream.format("noop").option("checkpointLocation", os.path.join(scratch, "ck")) \
-        .trigger(availableNow=True).start()
-    q.awaitTermination()
-    rows = stream_progress(spark, q).collect()
-    assert rows and rows[-1]["processed"] == rows[-1]["total"] == 4
-    assert rows[-1]["percent"] == 100.0
-
-
 def test_ordered_concat_many_chunks(spark):
     from pyspark.sql import functions as F
     rows = [(1, i, f"w{i}") for i in range(1, 30)] + [(2, 0, None)]
