@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def importable(run):
     """Decorator for functions of (spark, ...): Python workers started for them
     find this package where the driver does (on a cluster it is installed, or
-    shipped with the job)."""
+    shipped with the job), and are handed whole texts 8 MB at a time where the session has Spark's own 64 MB."""
     home = str(Path(__file__).resolve().parents[2])
 
     @functools.wraps(run)
@@ -26,6 +31,8 @@ def importable(run):
         paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
         if home not in paths:
             env["PYTHONPATH"] = os.pathsep.join([home, *paths])
+        if (spark.conf.get(_BATCH, None) or "").rstrip("bB") == str(64 << 20):  # not set by the user
+            spark.conf.set(_BATCH, str(8 << 20))
         return run(spark, *args)
 
     return ready
@@ -73,6 +80,33 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+_caches: dict[str, Callable[[], None]] = {}
+_entered = ""
+
+
+def keeps(operator: str, clear: Callable[[], None]) -> None:
+    """Register what frees an operator's caches in a Python worker."""
+    _caches[operator] = clear
+
+
+def entering(operator: str) -> None:
+    """Called as a task begins.  Workers are reused: a task of another operator frees what the last
+    one kept there, and gives the memory back to the system."""
+    global _entered
+    if operator == _entered:
+        return
+    for name, clear in _caches.items():
+        if name != operator:
+            clear()
+    _entered = operator
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
 def slices(texts: list[str | None], most_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows holding about ``most_chars`` characters each (one row at least)."""
     lo = size = 0

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from lexis.llm.common import cut, doc_hash, slices
+from lexis.llm.common import cut, doc_hash, entering, slices
 from lexis.llm.labelled import MAX_CHARS, MAX_ROWS, Adam, within_budget
 
 _WORD = re.compile(r"\w+|[^\w\s]+")
@@ -100,6 +100,7 @@ def posteriors(docs: DataFrame, model: dict, text_col: str = "text") -> DataFram
     rest = [c for c in docs.columns if c != text_col]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("mixing")
         m, known = shared.value, _Buckets()
         k = len(m["bias"])
         for b in batches:

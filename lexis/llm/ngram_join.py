@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexis.llm.blocks import bucket_sizes, link_rows, meets_first, pair_mask, per_tile, tiles
-from lexis.llm.common import cut, doc_hash, forget
+from lexis.llm.common import cut, doc_hash, entering, forget
 from lexis.llm.components import components
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -106,6 +106,7 @@ def _base(docs: DataFrame, width: int) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("ngram_join")
         known = _Hashes()
         for b in batches:
             if len(known) > CACHE_WORDS:

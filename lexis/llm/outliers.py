@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexis.llm.common import cut, forget, slices
+from lexis.llm.common import cut, entering, forget, slices
 
 MIN_WORDS, MOST_REPEATED = 50, 50  # words; percent of words in repeated windows
 MIN_ROWS, SUPPORT, TAIL, SETTLED = 64, 0.75, 1e-6, 1e-3
@@ -86,6 +86,7 @@ def statistics(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sourc
                        F.col(text_col).alias("text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("outliers")
         for b in batches:
             texts = b.column("text")
             for lo, hi in slices(texts.to_pylist()):

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexis.llm.common import slices
+from lexis.llm.common import entering, slices
 from lexis.llm.tokens import END_ID, encoder, public_path
 
 MAX_LEN = 2048
@@ -45,6 +45,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN,
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("tokens")
         enc = encoder(path)
         number = TaskContext.get().partitionId() << TASK_BITS
         for batch in batches:

@@ -12,10 +12,11 @@ probabilities of all texts sum to one.
 The trie is a distributed table, not an object: nodes are keyed by 9 bits a symbol.
 Texts are grouped in blocks of bounded size in the order read.  A block
 names its distinct (context, symbol) pairs and words with their training counts;
-one shuffle adds the counts up, and each block gets back the values of what it
-holds, so a task needs its own block's share of the model only, and shuffled
-rows are a block's distinct pairs, not its bytes.  Symbols that need an escape (a few) pass
-through one join for each order.
+counts are added up (map-side first) and written, and joined back to what the blocks hold, so that a
+word or context of every block is no group of one task, and the join can split it.  A task needs its own
+block's share of the model only, and shuffled
+rows are a block's distinct pairs, not its bytes.  A block's share comes first, then its texts, which are
+scored slice by slice.  Symbols that need an escape (a few) pass through one join for each order.
 
 Beside it the unigram word model of ``base_score``: log10((c + 0.1) / (N + 0.1 (V + 1)))
 over words and one end token, from the same blocks.
@@ -30,19 +31,19 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexis.llm.blocks import runs
-from lexis.llm.common import cut, forget, release
+from lexis.llm.common import cut, entering, forget, release
 from lexis.llm.labelled import fold
 
 ORDER = 4
 BITS, END, START, SYMBOLS = 9, 256, 257, 257
-BLOCK_CHARS, SLICE_BYTES, MOST_SLOTS = 32_000_000, 2_000_000, 1 << 26
+BLOCK_CHARS, SLICE_BYTES, MOST_SLOTS, MOST_PAIRS = 32_000_000, 1_000_000, 1 << 24, 2_000_000
 
 
 def _dense(slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,33 +125,70 @@ def _add(code: list[np.ndarray], count: list[np.ndarray]) -> tuple[np.ndarray, n
     return c[at], np.add.reduceat(n, at)
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where a key changes."""
+    for b in batches:
+        if b.num_rows:
+            cols = [b.column(k).to_numpy() for k in keys]
+            change = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+            for lo, hi in pairwise([0, *(np.flatnonzero(change) + 1).tolist(), b.num_rows]):
+                yield b.slice(lo, hi - lo)
+
+
+class _Names:
     """A block's distinct pairs and words, with their counts in training texts."""
-    for t in runs(batches, ["block"]):
-        block, bodies = t.column("block")[0].as_py(), _bodies(t.column("text"))
-        held = np.array(t.column("held_out").to_pylist(), bool)
-        code, count, words, unseen = [], [], Counter(), set()
+
+    def __init__(self, block: int):
+        self.block, self.words, self.unseen = block, Counter(), set()
+        self.code, self.count, self.rows_held = [], [], 0
+
+    def add(self, bodies: list[bytes], held: np.ndarray) -> None:
         for part, weight in (([b for b, h in zip(bodies, held) if not h], 1), ([b for b, h in zip(bodies, held) if h], 0)):
             for lo, hi in _slices(part):
                 leaf, found, _ = trie(part[lo:hi])
-                code.append(found)
-                count.append(np.bincount(leaf, minlength=len(found)) * weight)
+                self.code.append(found)
+                self.count.append(np.bincount(leaf, minlength=len(found)) * weight)
+                self.rows_held += len(found)
+                if self.rows_held > MOST_PAIRS:
+                    self._merge()
             for b in part:
                 if weight:
-                    words.update(b.split())
+                    self.words.update(b.split())
                 else:
-                    unseen.update(b.split())
-        code, count = _add(code, count)
-        unseen.difference_update(words)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(code), block)), pa.nulls(len(code), pa.binary()), pa.array(code), pa.array(count)],
-            names=["block", "word", "code", "n"])
-        keys = sorted(words) + sorted(unseen)
-        for lo in range(0, len(keys), 50_000):
-            some = keys[lo:lo + 50_000]
+                    self.unseen.update(b.split())
+
+    def _merge(self) -> None:
+        code, count = _add(self.code, self.count)
+        self.code, self.count, self.rows_held = [code], [count], 0  # counted from here, so merging stays rare
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        self._merge()
+        code, count = self.code[0], self.count[0]
+        self.unseen.difference_update(self.words)
+        for lo in range(0, len(code), 200_000):
+            k = len(code[lo:lo + 200_000])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(k, self.block)), pa.nulls(k, pa.binary()), pa.array(code[lo:lo + k]), pa.array(count[lo:lo + k])],
+                names=["block", "word", "code", "n"])
+        keys = chain(self.words, self.unseen)
+        while some := list(islice(keys, 50_000)):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(some), block)), pa.array(some, pa.binary()), pa.nulls(len(some), pa.int64()),
-                 pa.array([words.get(w, 0) for w in some], pa.int64())], names=["block", "word", "code", "n"])
+                [pa.array(np.full(len(some), self.block)), pa.array(some, pa.binary()), pa.nulls(len(some), pa.int64()),
+                 pa.array([self.words.get(w, 0) for w in some], pa.int64())], names=["block", "word", "code", "n"])
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    entering("ppm")
+    names = None
+    for t in _parts(batches, "block"):
+        block = t.column("block")[0].as_py()
+        if names is None or names.block != block:
+            if names is not None:
+                yield from names.rows()
+            names = _Names(block)
+        names.add(_bodies(t.column("text")), np.array(t.column("held_out").to_pylist(), bool))
+    if names is not None:
+        yield from names.rows()
 
 
 def _low(code: Column, symbols: int) -> Column:
@@ -202,41 +240,62 @@ def _escapes(unseen: DataFrame, seen: DataFrame) -> DataFrame:
     return left.select("code", (F.col("value") - F.when(F.col("found"), 0.0).otherwise(F.log10(never.cast("double")))).alias("value"))
 
 
-def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Score a block's texts with the block's share of the model."""
-    for t in runs(batches, ["block"]):
-        kind = t.column("kind").to_numpy()
-        pairs = t.filter(pa.array(kind == 0))
-        words = t.filter(pa.array(kind == 1))
-        texts = t.filter(pa.array(kind == 2))
-        code, value = pairs.column("code").to_numpy(), pairs.column("value").to_numpy()
-        order = np.argsort(code, kind="stable")
-        code, value = code[order], value[order]
-        number = {w: i for i, w in enumerate(words.column("word").to_pylist())}
-        count = words.column("value").to_numpy()
-        if len(number) < len(count):  # a block met in two batches names a word twice
-            count = np.array([count[i] for i in number.values()])
-            number = {w: i for i, w in enumerate(number)}
-        log = np.log10(count + 0.1)
-        bodies = _bodies(texts.column("text"))
+class _Share:
+    """A block's share of the model: its pairs' values, and its words' counts."""
+
+    def __init__(self):
+        self.code, self.value, self.number, self.count, self.ready = [], [], {}, [], False
+
+    def pairs(self, t: pa.RecordBatch) -> None:
+        self.code.append(t.column("code").to_numpy().copy())
+        self.value.append(t.column("value").to_numpy().copy())
+
+    def words(self, t: pa.RecordBatch) -> None:
+        for w, c in zip(t.column("word").to_pylist(), t.column("value").to_numpy()):
+            if self.number.setdefault(w, len(self.count)) == len(self.count):
+                self.count.append(c)
+
+    def whole(self) -> None:
+        if not self.ready:
+            code = np.concatenate([*self.code, np.zeros(0, np.int64)])
+            order = np.argsort(code, kind="stable")
+            self.code, self.value = code[order], np.concatenate([*self.value, np.zeros(0)])[order]
+            self.count, self.ready = np.array(self.count, np.float64), True
+            self.log = np.log10(self.count + 0.1)
+
+    def score(self, t: pa.RecordBatch) -> pa.RecordBatch:
+        self.whole()
+        bodies = _bodies(t.column("text"))
         model, base, n_words, known = [], [], [], []
         for lo, hi in _slices(bodies):
             leaf, found, n = trie(bodies[lo:hi])
-            at = np.searchsorted(code, found)
-            if not np.array_equal(code[np.minimum(at, len(code) - 1)], found):
+            at = np.searchsorted(self.code, found)
+            if not len(self.code) or not np.array_equal(self.code[np.minimum(at, len(self.code) - 1)], found):
                 raise RuntimeError("a block's share of the model is incomplete")
-            model.append(np.add.reduceat(value[at][leaf], np.cumsum(n) - n))
+            model.append(np.add.reduceat(self.value[at][leaf], np.cumsum(n) - n))
         for b in bodies:
             w = b.split()
-            i = np.fromiter(map(number.__getitem__, w), np.int64, len(w))
-            base.append(float(log[i].sum()))
-            known.append(int((count[i] > 0).sum()))
+            i = np.fromiter(map(self.number.__getitem__, w), np.int64, len(w))
+            base.append(float(self.log[i].sum()))
+            known.append(int((self.count[i] > 0).sum()))
             n_words.append(len(w))
-        if bodies:
-            yield pa.RecordBatch.from_arrays(
-                [texts.column("doc_id").combine_chunks(), texts.column("held_out").combine_chunks(),
-                 pa.array(n_words, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                 pa.array(np.concatenate(model))], names=["doc_id", "held_out", "words", "known", "base", "score"])
+        return pa.RecordBatch.from_arrays(
+            [t.column("doc_id"), t.column("held_out"), pa.array(n_words, pa.int64()), pa.array(known, pa.int64()),
+             pa.array(base, pa.float64()), pa.array(np.concatenate(model))], names=["doc_id", "held_out", "words", "known", "base", "score"])
+
+
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Score a block's texts, as they come, with the block's share of the model, which comes first."""
+    entering("ppm")
+    block, share = None, None
+    for t in _parts(batches, "block", "kind"):
+        now, kind = t.column("block")[0].as_py(), t.column("kind")[0].as_py()
+        if share is None or now != block:
+            block, share = now, _Share()
+        if kind == 2:
+            yield share.score(t)
+        else:
+            (share.words if kind else share.pairs)(t)
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,29 +304,20 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     named = texts.select("block", "held_out", "text").mapInArrow(_named, "block long, word binary, code long, n long")
     named = cut(named, "named")
 
-    # words: a group holds one row a block
-    by_word = Window.partitionBy("h", "word")  # the hash goes first, as it sorts fast
-    words = cut(named.where("word is not null").select("block", "word", "n").repartition("word")
-                .withColumn("h", F.xxhash64("word"))
-                .withColumn("c", F.sum("n").over(by_word))
-                .withColumn("first", F.row_number().over(by_word.orderBy("block")) == 1)
-                .select("block", "word", "c", "first"), "words")
-    # pairs, by context: a group holds 257 rows a block at most
+    held_words = named.where("word is not null").select("block", "word", "n")
+    held_pairs = named.where("code is not null").select("block", "code", "n")
+    words = cut(held_words.groupBy("word").agg(F.sum("n").alias("c")), "words")
     context = F.shiftrightunsigned("code", BITS)
-    pairs = named.where("code is not null").select("block", "code", "n").withColumn("ctx", context).repartition("ctx")
-    by_pair, by_context = Window.partitionBy("ctx", "code"), Window.partitionBy("ctx")
-    once = F.col("first") & (F.col("c") > 0)
-    pairs = cut(pairs.withColumn("c", F.sum("n").over(by_pair))
-                .withColumn("first", F.row_number().over(by_pair.orderBy("block")) == 1)
-                .withColumn("n", F.sum(F.when(once, F.col("c")).otherwise(0)).over(by_context))
-                .withColumn("d", F.sum(once.cast("long")).over(by_context))
-                .select("block", "code", "c", "n", "d", "first"), "pairs")
-    forget(named)
+    codes = cut(held_pairs.groupBy("code").agg(F.sum("n").alias("c")), "codes")
+    contexts = cut(codes.where("c > 0").groupBy(context.alias("ctx")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d")), "contexts")
+    full = codes.join(contexts, context == F.col("ctx"), "left")
+    escaped = _escapes(full.where("c = 0").select("code", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("d", F.lit(0)).alias("d")),
+                       codes.where("c > 0"))
+    log = F.log10(F.col("c") / (F.col("n") + F.col("d"))).alias("value")
+    values = cut(full.where("c > 0").select("code", log).unionByName(escaped), "values")
     release(docs.sparkSession)
-    escaped = cut(_escapes(pairs.where("c = 0 and first").select("code", "n", "d"),
-                           pairs.where("c > 0 and first").select("code", "c")), "escaped")
 
-    total = words.where("first").agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
+    total = words.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     train_docs = texts.where(~F.col("held_out")).count()
     n_train = (total["n"] or 0) + train_docs
     log_z = float(np.log10(n_train + 0.1 * ((total["v"] or 0) + (train_docs > 0) + 1)))
@@ -280,12 +330,10 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         df = df.select("block", F.lit(kind).alias("kind"), *cols)
         return df.select(*(c if c in df.columns else F.lit(None).cast(kinds[c]).alias(c) for c in shape))
 
-    log = F.log10(F.col("c") / (F.col("n") + F.col("d"))).alias("value")
-    together = (row(pairs.where("c > 0"), 0, "code", log)
-                .unionByName(row(pairs.where("c = 0").select("block", "code").join(escaped, "code"), 0, "code", "value"))
-                .unionByName(row(words, 1, "word", F.col("c").cast("double").alias("value")))
+    together = (row(held_pairs.select("block", "code").join(values, "code"), 0, "code", "value")
+                .unionByName(row(held_words.select("block", "word").join(words, "word"), 1, "word", F.col("c").cast("double").alias("value")))
                 .unionByName(row(texts, 2, "doc_id", "held_out", "text"))
-                .repartition("block").sortWithinPartitions("block"))
+                .repartition("block").sortWithinPartitions("block", "kind"))
     scored = together.mapInArrow(
         _scores, f"doc_id {id_type}, held_out boolean, words long, known long, base double, score double")
     end = float(np.log10(train_docs + 0.1))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lexis.llm.common import slices
+from lexis.llm.common import entering, slices
 from lexis.llm.labelled import MAX_CHARS, MAX_ROWS, Adam, best_cut, fold, sample, sigmoid
 
 HALF, WIDTH, DIM, FILTERS, HIDDEN = 128, 6, 8, 16, 16
@@ -178,6 +178,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str =
     at, names = docs.columns.index(text_col), [*docs.columns, score_col]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("quality")
         run = Scorer(shared.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(run(b.column(at).to_pylist()))], names=names)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexis.llm.common import cut, doc_hash
+from lexis.llm.common import cut, doc_hash, entering, keeps
 
 RUN, UNIT_WORDS, MIN_WORDS = 3, 12, 12
 NEAR = 3  # words on either side that a cut inside a sentence looks at
@@ -46,6 +46,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+keeps("span_dedup", _hashes.clear)
 
 
 def _inner_cuts(words: list[str]) -> list[int]:
@@ -132,6 +133,7 @@ def spans(docs: DataFrame, run: int = RUN, unit_words: int = UNIT_WORDS, min_wor
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("span_dedup")
         for b in batches:
             rows, pos, key = [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
@@ -166,6 +168,7 @@ def dedup(docs: DataFrame, run: int = RUN, unit_words: int = UNIT_WORDS, min_wor
     names = docs.columns
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("span_dedup")
         for b in batches:
             out = []
             for text, starts in zip(b.column(text_col).to_pylist(), b.column("_pos").to_pylist()):

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexis.llm.common import cut, forget, release, slices
+from lexis.llm.common import cut, entering, forget, keeps, release, slices
 from lexis.llm.tokens import Encoder, _Index, public_path
 
 SLICE_CHARS, SEGMENT_CHARS, BLOCK_CHARS = 1_000_000, 500_000, 16_000_000
@@ -146,6 +146,7 @@ class Aligner:
 
 
 _ALIGNERS: dict[tuple, Aligner] = {}
+keeps("token_alignment", _ALIGNERS.clear)
 
 
 def aligner(*paths: str) -> Aligner:
@@ -268,6 +269,7 @@ def align(docs: DataFrame, tokenizer_a: str | None = None, tokenizer_b: str | No
     id_type = slim.schema["doc_id"].dataType.simpleString()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("token_alignment")
         al, number = aligner(*paths), TaskContext.get().partitionId() << 24
         block = _Block(number)
         for batch in batches:

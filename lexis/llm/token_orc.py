@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexis.llm.common import doc_hash, scratch, slices
+from lexis.llm.common import doc_hash, entering, scratch, slices
 from lexis.llm.tokens import END_ID, encoder, public_path
 
 
@@ -36,6 +36,7 @@ def write_orc(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("tokens")
         enc, part, before = encoder(tokens), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(1).to_pylist()

@@ -17,6 +17,8 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from lexis.llm.common import keeps
+
 END_ID = 1
 #: Pieces a worker remembers; beyond it the cache starts afresh (results don't change).
 CACHE_PIECES = 1_000_000
@@ -165,6 +167,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+keeps("tokens", _ENCODERS.clear)
 
 
 def encoder(path: str) -> Encoder:
