@@ -119,6 +119,17 @@ def slices(texts: list[str | None], most_chars: int = 4_000_000) -> Iterator[tup
         yield lo, len(texts)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` doesn't have, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def doc_hash(text_col: str = "text"):
     """64 bits of a text (null counts as empty), to tell apart rows that share an id."""
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))

@@ -7,9 +7,10 @@
 2. With t_d tokens (words at white space, one at least) and posterior p_d, a
    document adds r_d t_d p_d to the domains' expected totals at rate r_d.  Rates minimise
    sum_k (total_k - target_k)^2 / target_k over r >= 0 by accelerated projected
-   gradient from r = 1, in the metric sum_d t_d r_d^2.  A round is one
-   distributed aggregation of K sums; the driver keeps the rounds' K residuals,
-   and tasks recompute a document's rate from them, so no rates are shuffled or collected.
+   gradient from r = 1, in the metric sum_d t_d r_d^2, with the acceleration begun anew where the sum rises.  A
+   round is one distributed aggregation of 2 K sums; the driver keeps the rounds' K residuals,
+   and tasks recompute a document's rate from them, so no rates are shuffled or collected.  Rounds
+   go on until every domain is within TOLERANCE of its own target, or the sum has come to rest.
 3. ``copies`` turns a rate into a whole number: its integer part, and one more
    if a hash of the document falls below the rest.
 
@@ -37,7 +38,7 @@ from lexis.llm.labelled import MAX_CHARS, MAX_ROWS, Adam, within_budget
 
 _WORD = re.compile(r"\w+|[^\w\s]+")
 BUCKETS, CACHE_WORDS = 1 << 16, 300_000
-ROUNDS, TOLERANCE = 60, 1e-4
+TOLERANCE, AT_REST = 1e-3, 1e-3  # of a domain's own target; fall of the sum in ten rounds
 
 
 class _Buckets(dict):
@@ -121,20 +122,23 @@ def posteriors(docs: DataFrame, model: dict, text_col: str = "text") -> DataFram
                                              StructField("tokens", LongType())]))
 
 
-def _rates(p: np.ndarray, history: list[np.ndarray], step: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the rounds so far, and the point at which the next residual is taken."""
+def _rates(p: np.ndarray, history: list[tuple[np.ndarray, bool]], step: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rates after the rounds so far, and the point ahead of them at which the next residual is taken,
+    unless the round starts the acceleration afresh from the rates."""
     r = y = np.ones(len(p))
     t = 1.0
-    for h in history:
+    for h, afresh in history:
+        if afresh:
+            y, t = r, 1.0
         new = np.maximum(0, y - step * (p @ h))
         nt = (1 + math.sqrt(1 + 4 * t * t)) / 2
         y, r, t = new + (t - 1) / nt * (new - r), new, nt
     return r, y
 
 
-def fit_rates(members: DataFrame, weights: list[float], budget: float | None = None,
-              rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``members`` (posterior, tokens, ...) with a ``rate`` for each row."""
+def fit_rates(members: DataFrame, weights: list[float], budget: float | None = None, tolerance: float = TOLERANCE,
+              report: list | None = None) -> DataFrame:
+    """``members`` (posterior, tokens, ...) with a ``rate`` for each row.  ``report`` receives the totals of each round."""
     w = np.array(weights, float) / sum(weights)
     k = len(w)
 
@@ -154,24 +158,36 @@ def fit_rates(members: DataFrame, weights: list[float], budget: float | None = N
     top = np.linalg.eigvalsh(gram * root[:, None] * root[None, :])[-1] if total else 1.0
     step, history = 1.0 / max(top, 1e-12), []
 
-    def totals(at_point: bool) -> np.ndarray:
+    def totals() -> np.ndarray:
+        """The domains' totals at the rates (first row) and at the point ahead."""
         shared = list(history)
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            s = np.zeros(k)
+            s = np.zeros((2, k))
             for b in batches:
-                post = b.column("posterior").flatten().to_numpy().reshape(-1, k)
-                s += post.T @ (_rates(post, shared, step)[int(at_point)] * b.column("tokens").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in s], names=[f"s{i}" for i in range(k)])
-
-        part = members.select("posterior", "tokens").mapInArrow(task, ", ".join(f"s{i} double" for i in range(k)))
-        return np.array([float(v or 0.0) for v in part.agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(k))).first()])
-
-    for _ in range(rounds if total else 0):
-        off = totals(True) - target
-        if np.abs(off).max() <= tolerance * max(target.max(), 1e-9):
+                post, tokens = b.column("posterior").flatten().to_numpy().reshape(-1, k), b.column("tokens").to_numpy()
+                s += np.stack([post.T @ (x * tokens) for x in _rates(post, shared, step)])
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in s.ravel()], names=[f"s{i}" for i in range(2 * k)])
+
+        part = members.select("posterior", "tokens").mapInArrow(task, ", ".join(f"s{i} double" for i in range(2 * k)))
+        row = part.agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(2 * k))).first()
+        return np.array([float(v or 0.0) for v in row]).reshape(2, k)
+
+    least, best = math.inf, []
+    close = lambda x, share: bool((np.abs(x) <= share * np.maximum(target, 1e-9)).all())
+    while total:
+        found = totals()
+        if report is not None:
+            report.append(found[0])
+        off, ahead = found - target
+        missed = float((off * off * scale).sum())
+        best.append(min([missed, *best[-1:]]))
+        # the second is for targets out of reach: the sum has come to rest
+        if close(off, tolerance) or len(best) > 10 and best[-11] - best[-1] <= AT_REST * best[-1]:
             break
-        history.append(off * scale)
+        afresh = missed > least  # it went past the valley: accelerate anew
+        history.append(((off if afresh else ahead) * scale, afresh))
+        least = math.inf if afresh else missed
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

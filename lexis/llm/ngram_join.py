@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexis.llm.blocks import bucket_sizes, link_rows, meets_first, pair_mask, per_tile, tiles
-from lexis.llm.common import cut, doc_hash, entering, forget
+from lexis.llm.common import cut, doc_hash, entering, forget, fresh
 from lexis.llm.components import components
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -314,11 +314,11 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, reca
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group, all columns.  Of rows equal in id
     and text any one stays."""
-    h, k = "_text_hash", "_kept_id"
+    own, h, k = fresh(docs, "text_hash", "kept_hash", "kept_id")
     kept = cut(join(docs, id_col=id_col, text_col=text_col, **options).where("kept")
                .select(F.col("doc_id").alias(k), F.col("h").alias(h)).distinct(), "kept")
-    return (docs.withColumn("_h", doc_hash(text_col)).dropDuplicates([id_col, "_h"])
-            .join(kept, F.col("_h").eqNullSafe(F.col(h)) & F.col(id_col).eqNullSafe(F.col(k)), "left_semi").drop("_h"))
+    return (docs.withColumn(own, doc_hash(text_col)).dropDuplicates([id_col, own])
+            .join(kept, F.col(own).eqNullSafe(F.col(h)) & F.col(id_col).eqNullSafe(F.col(k)), "left_semi").drop(own))
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -101,41 +101,47 @@ class Encoder:
         return " " + key if lead is None else lead + key[1:]
 
     # -- new pieces -------------------------------------------------------
+    def _odd(self, pieces: list[str]) -> np.ndarray:
+        """Pieces that can't stand between marks: blank ones, those with white space at an end or with a mark."""
+        if self.kind == "words":
+            joined = " ".join(pieces)
+            if self.mark not in joined and joined.split() == pieces:  # the usual case, at once
+                return np.zeros(len(pieces), bool)
+        return np.array([self.mark in p or not p.strip() or p[-1:].isspace() or p[:2].isspace() for p in pieces], bool)
+
+    def _keep(self, numbers: np.ndarray, flat: np.ndarray, count: np.ndarray) -> None:
+        """Store the ids of pieces, which stand in a row in ``flat``."""
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used:self.used + len(flat)] = flat
+        self.start[numbers] = self.used + np.cumsum(count) - count
+        self.count[numbers] = count
+        self.used += len(flat)
+
     def _learn(self) -> None:
         keys, self.index.queue = self.index.queue, []
         if not keys:
             return
-        first = len(self.index) - len(keys)
-        pieces = [self._text(k) for k in keys]
-        ids: list = [None] * len(pieces)
-        together, alone = [], []
-        for i, p in enumerate(pieces):
-            odd = self.mark in p or not p.strip() or p[-1:].isspace() or p[:2].isspace()
-            (alone if odd else together).append(i)
-        sep = self.mark if self.kind == "bytes" else f" {self.mark} "
-        for lo in range(0, len(together), 4096):
-            part = together[lo:lo + 4096]
-            got = np.array(self.tok.encode(sep.join(pieces[i] for i in part), add_special_tokens=False).ids, np.uint32)
-            at = np.flatnonzero(got == self.mark_ids[0])
-            cuts = np.concatenate([[-1], at, [len(got)]])
-            if len(cuts) != len(part) + 1:
-                alone += part
-                continue
-            for k, i in enumerate(part):
-                ids[i] = got[cuts[k] + 1:cuts[k + 1]]
-        for i, e in zip(alone, self.tok.encode_batch([pieces[i] for i in alone], add_special_tokens=False)):
-            ids[i] = np.array(e.ids, np.uint32)
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, need = int(count.sum()), len(self.index)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        need = len(self.index)
         while need > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        self.flat[self.used:self.used + total] = np.concatenate(ids) if total else []
-        self.start[first:need] = self.used + np.cumsum(count) - count
-        self.count[first:need] = count
-        self.used += total
+        pieces, first = [self._text(k) for k in keys], need - len(keys)
+        odd = self._odd(pieces)
+        alone, together = np.flatnonzero(odd).tolist(), np.flatnonzero(~odd)
+        sep = self.mark if self.kind == "bytes" else f" {self.mark} "
+        for lo in range(0, len(together), 4096):
+            part = together[lo:lo + 4096]
+            text = sep.join([pieces[i] for i in part])
+            got = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            marks = got == self.mark_ids[0]
+            cuts = np.concatenate([[-1], np.flatnonzero(marks), [len(got)]])
+            if len(cuts) == len(part) + 1:
+                self._keep(first + part, got[~marks], np.diff(cuts) - 1)
+            else:
+                alone += part.tolist()
+        ids = [e.ids for e in self.tok.encode_batch_fast([pieces[i] for i in alone], add_special_tokens=False)]
+        self._keep(first + np.array(alone, np.int64), np.array([x for i in ids for x in i], np.uint32), np.array([len(i) for i in ids], np.int64))
 
     # -- use --------------------------------------------------------------
     def encode(self, texts: Sequence[str | None], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,10 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from lexis.llm import labelled, mixing, quality, toxicity
+from tests.conftest import SF001
 
 RNG = np.random.default_rng(5)
 PLAIN = ["table", "river", "green", "walk", "music", "the", "and", "of", "stone", "paper", "light", "house"]
@@ -106,7 +109,7 @@ def test_mixing_meets_targets(spark):
     tokens = RNG.integers(1, 500, 400)
     rows = [(i, [float(v) for v in p], int(t)) for i, (p, t) in enumerate(zip(posterior, tokens))]
     members = spark.createDataFrame(rows, "doc_id long, posterior array<double>, tokens long")
-    out = mixing.fit_rates(members, [0.5, 0.3, 0.2], rounds=200).orderBy("doc_id").collect()
+    out = mixing.fit_rates(members, [0.5, 0.3, 0.2]).orderBy("doc_id").collect()
     r = np.array([x.rate for x in out])
     total = (r * tokens) @ posterior
     assert (r >= 0).all()
@@ -122,7 +125,7 @@ def test_mixing_meets_targets(spark):
 
 def test_mixing_target_out_of_reach(spark):
     members = spark.createDataFrame([(1, [1.0, 0.0], 10), (2, [0.9, 0.1], 20)], "doc_id long, posterior array<double>, tokens long")
-    out = {r.doc_id: r.rate for r in mixing.fit_rates(members, [0.0001, 0.9999], rounds=400).collect()}
+    out = {r.doc_id: r.rate for r in mixing.fit_rates(members, [0.0001, 0.9999]).collect()}
     w, target = np.array([[10.0, 0.0], [18.0, 2.0]]), np.array([0.003, 29.997])
     grid = min(((((np.array([a, b]) @ w - target) ** 2 / target).sum(), a, b)
                 for a in (0, 0.1, 1) for b in np.linspace(0, 3, 601)), key=lambda g: g[0])
@@ -138,3 +141,30 @@ def test_mixing_edges(spark):
     out = mixing.mix(docs, labels).collect()
     assert len(out) == 5 and all(r.rate >= 0 and r.copies >= 0 for r in out)
     assert sorted(r.tokens for r in out) == [1, 1, 1, 2, 2]
+
+
+def test_rare_domains_meet_their_own_targets(spark):
+    """A domain at a ten-thousandth of the tokens is served as closely as the others; a target out of reach ends too."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.dirichlet([8, 0.6, 0.05])], int(rng.integers(20, 900))) for i in range(600)]
+    members = spark.createDataFrame(rows, "doc_id long, posterior array<double>, tokens long").coalesce(1)
+    weights, report = [0.95, 0.0499, 0.0001], []
+    out = mixing.fit_rates(members, weights, report=report).collect()
+    got = np.sum([np.array(r.posterior) * r.rate * r.tokens for r in out], axis=0)
+    assert 5 < len(report) < 200 and all(r.rate >= 0 for r in out)
+    assert np.abs(got / (np.array(weights) * sum(r.tokens for r in out)) - 1).max() < 2e-3
+    impossible = spark.createDataFrame([(1, [1.0, 0.0], 100), (2, [1.0, 0.0], 50)], "doc_id long, posterior array<double>, tokens long")
+    out = mixing.fit_rates(impossible, [0.5, 0.5]).collect()
+    assert sum(r.rate * r.tokens for r in out) == pytest.approx(75, rel=1e-3)
+
+
+def test_pipeline_stages_with_clashing_columns(spark):
+    import corpus_pipeline as cp
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").limit(40)
+    more = ["_k", "_kh", "_copies", "_n", "_h", "text_hash", "copies", "copy", "rate_id", "kept_id", "kept_hash", "mark_id", "_text_hash", "quality_score", "TEXT_hash2"]
+    wide = docs.select("*", *(F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in more))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, wide, SF001)
+        assert out.columns == wide.columns, name
+        for r in out.collect():
+            assert all(r[c] == f"{c}-{r['doc_id']}" for c in more), name

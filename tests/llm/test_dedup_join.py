@@ -119,17 +119,22 @@ def test_units_join_to_the_text():
 
 
 def brute_spans(rows, run=3, least=12):
-    seen, gone = set(), {}
-    key = sorted({(i is not None, i or 0, h, t) for i, h, t in rows if t is not None})
-    for _, i, h, t in key:
+    """Spans from every unit, lengthened to ``least`` words, with plain loops."""
+    seen, out = set(), {}
+    for _, i, h, t in sorted({(i is not None, i or 0, h, t) for i, h, t in rows if t is not None}):
         parts, count = span_dedup.units(t)
-        for p in range(len(parts) - run + 1):
-            if sum(count[p:p + run]) >= least:
-                s = tuple(x.strip() for x in parts[p:p + run])
+        gone = set()
+        for p in range(len(parts)):
+            end = p + run
+            while end <= len(parts) and sum(count[p:end]) < least:
+                end += 1
+            if end <= len(parts):
+                s = tuple(x.strip() for x in parts[p:end])
                 if s in seen:
-                    gone.setdefault((i, h), set()).update(range(p, p + run))
+                    gone.update(range(p, end))
                 seen.add(s)
-    return {(i, h): "".join(x for n, x in enumerate(span_dedup.units(t)[0]) if n not in gone.get((i, h), ())) for _, i, h, t in key}
+        out[i, h] = "".join(x for n, x in enumerate(parts) if n not in gone)
+    return out
 
 
 def test_spans_equal_brute_force(spark):
@@ -144,6 +149,8 @@ def test_spans_equal_brute_force(spark):
             body.insert(RND.randrange(len(body) + 1), passage)
         if i % 4 == 0:
             body.insert(RND.randrange(len(body) + 1), unbroken + ".")
+        if i % 5 == 0:  # very short sentences, so spans are lengthened
+            body.insert(RND.randrange(len(body) + 1), "Oh. No! Yes? Well. So. And. Then. Go. On. Up. To. It. Now.")
         rows.append((i, " ".join(body), len(body), "h"))
     rows += [(50, None, 0, ""), (51, "", 0, ""), (3, rows[3][1], 0, ""), (None, rows[4][1], 0, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, h string")
@@ -198,3 +205,14 @@ def test_embedding_plan_reaches_recall():
         k, tables = embedding_dedup.plan(n, 0.93, 0.98)
         near = embedding_dedup.meet_chance((2 - 2 * 0.93) ** 0.5) ** k
         assert 1 - (1 - near) ** tables >= 0.98
+
+
+def test_spans_with_clashing_columns(spark):
+    passage = " ".join(words(70))
+    names = ["doc_id", "text", "k", "kh", "_pos", "_h", "mark_id", "gone", "h", "LO", "hi"]
+    rows = [(i, f"Own {i}. {passage}. End.", *range(9)) for i in range(4)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"{c} int" for c in names[2:])]))
+    out = span_dedup.dedup(df)
+    assert out.columns == names
+    got = sorted(map(tuple, out.collect()))
+    assert [passage in r[1] for r in got] == [True, False, False, False] and all(r[2:] == tuple(range(9)) for r in got)
