@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexis.llm import mixing, ngram_join, packing, quality, span_dedup
-from lexis.llm.common import cut, doc_hash, importable
+from lexis.llm.common import cut, doc_hash, fresh, importable
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +22,8 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte-level classifier accepts."""
     model = quality.model_for(docs, _labels(spark, sf_dir))
-    scored = quality.score(docs, model, score_col="_quality_score")
-    return scored.where(F.col("_quality_score") >= quality.THRESHOLD).drop("_quality_score")
+    (score,) = fresh(docs, "quality_score")
+    return quality.score(docs, model, score_col=score).where(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 @importable
@@ -41,11 +41,12 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 @importable
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say."""
+    h, k, kh, copies, n = fresh(docs, "text_hash", "rate_id", "rate_hash", "copies", "copy")
     rates = mixing.mix(docs, _labels(spark, sf_dir)).select(
-        F.col("doc_id").alias("_k"), F.col("h").alias("_kh"), F.col("copies").alias("_copies")).distinct()
-    return (docs.withColumn("_h", doc_hash())
-            .join(rates, F.col("_h").eqNullSafe(F.col("_kh")) & F.col("doc_id").eqNullSafe(F.col("_k")))
-            .where("_copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        F.col("doc_id").alias(k), F.col("h").alias(kh), F.col("copies").alias(copies)).distinct()
+    return (docs.withColumn(h, doc_hash())
+            .join(rates, F.col(h).eqNullSafe(F.col(kh)) & F.col("doc_id").eqNullSafe(F.col(k)))
+            .where(F.col(copies) > 0).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(copies))))
             .select(*docs.columns))
 
 
