@@ -43,7 +43,7 @@ SCALE, POSITIVES, NEGATIVES, LOW, HIGH = 256, 5, 3, 50, 95
 BLOCK, ANCHORS, CHUNK, PAGE, NEAREST = 512, 128, 32, 1024, 2
 CURVE, CURVE_BITS = 8, 7
 NO_ID = -(1 << 63)
-FLOOR, CEILING = -(1 << 62), 1 << 62  # a window without a lower or an upper end
+FLOOR, CEILING = -(1 << 63) + 1, (1 << 63) - 1  # a window without a lower or an upper end
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -398,7 +398,8 @@ def mine(vectors: DataFrame, is_anchor: Column, scale: int = SCALE, positives: i
     pos = best.select("anchor_id", "anchor_row", F.col("row").alias("of"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
     # whole numbers from low to high percent of the positive's score
     floor = lambda x: F.expr(f"({x} - pmod({x}, 100)) div 100")
-    ends = [(-floor(f"(-{low} * positive_score)")).alias("lo"), floor(f"({high} * positive_score)").alias("hi")]
+    score = "cast(positive_score as decimal(20, 0))"  # its percent may pass 64 bits
+    ends = [(-floor(f"(-{low} * {score})")).alias("lo"), floor(f"({high} * {score})").alias("hi")]
     windows = pos.select("anchor_row", "of", *ends).where("lo <= hi")
     found = search(anchors, windows, blocks, zones, negatives, False, nearest, report)
     blank = lambda c, name: F.when(F.col(c) != NO_ID, F.col(c)).alias(name)
