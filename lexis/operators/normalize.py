@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexis.functions.text import ALPHA_TOKEN, clean_text, to_spaces
+from lexis.session import once
 
 # Default Portuguese stop list (function words), lower case.
 PORTUGUESE_STOP_WORDS = """
@@ -90,18 +91,27 @@ def normalize_text(docs: DataFrame, key: str, text_col: str, stop: Sequence[str]
 def normalize_with_table(docs: DataFrame, key: str, text_col: str, stop: Sequence[str] | None,
                          lexicon: DataFrame, lang_col: str) -> DataFrame:
     """``normalize_text`` for a lexicon too large for an expression: a table
-    (lang, surface, lemma), reduced to one lemma (the smallest) a surface, joined to
-    the distinct words of each document, whose lemmas come back as a map."""
-    table = lexicon.groupBy("lang", "surface").agg(F.min("lemma").alias("lemma"))
+    (lang, surface, lemma), reduced to one lemma (the smallest) a surface.
+
+    The distinct words of all documents are joined to it first, which leaves the entries that occur and
+    change a word; these go to each row's distinct words, whose lemmas come back as a map.  Rows
+    are told apart by a number of their own, so ids may repeat or be null.
+    """
+    lower = lambda t: F.lower(t)
+    table = (lexicon.select(F.coalesce("lang", F.lit("")).alias("lang"), "surface", "lemma")
+             .groupBy("lang", "surface").agg(F.min("lemma").alias("lemma")))
     tokens = alpha_tokens(F.col(text_col))
     if stop is not None:
         tokens = drop_stopwords(tokens, stop)
-    rows = docs.select(F.col(key).alias("_key"), F.col(lang_col).alias("lang"), tokens.alias("_tokens"))
-    words = rows.select("_key", "lang", F.explode(F.array_distinct(F.transform("_tokens", lambda t: F.lower(t)))).alias("surface"))
-    known = words.join(table, ["lang", "surface"]).groupBy("_key").agg(
-        F.map_from_entries(F.collect_list(F.struct("surface", F.lower("lemma")))).alias("_map"))
+    rows = once(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"),
+                            F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), tokens.alias("_tokens")), "tokens")
+    words = rows.select("_row", "lang", F.explode(F.array_distinct(F.transform("_tokens", lower))).alias("surface"))
+    known = once(words.select("lang", "surface").distinct().join(table, ["lang", "surface"])
+                 .select("lang", "surface", F.lower("lemma").alias("lemma")).where("lemma <> surface"), "lemmas")
+    maps = words.join(known, ["lang", "surface"]).groupBy("_row").agg(
+        F.map_from_entries(F.collect_list(F.struct("surface", "lemma"))).alias("_map"))
     lemma = lambda t: F.coalesce(F.element_at("_map", F.lower(t)), F.lower(t))
-    return rows.join(known, "_key", "left").select(
+    return rows.join(maps, "_row", "left").select(
         F.col("_key").alias(key), F.array_join(F.transform("_tokens", lemma), " ").alias("text"))
 
 

@@ -1,4 +1,4 @@
-"""Line documents, the document store and its id assignment, file sinks."""
+"""Line documents, the document store and its id assignment."""
 
 from __future__ import annotations
 
@@ -21,15 +21,25 @@ def line_documents(documents: DataFrame, id_col: str = "doc_id",
                      .withColumn("line_no", F.col("line_no").cast("bigint")))
 
 
+PAIR_LINES = 64  # lines that a row of ``line_pairs`` moves together
+
+
 def line_pairs(documents: DataFrame) -> DataFrame:
-    """(doc_id, line_no, content, next_line, _next): each stored line with the one
-    after it, paired inside the document's row."""
-    from lexis.operators.vectorize import next_lines
+    """(doc_id, part, line_no, content, next_line, _next): each stored line with the one
+    after it.  Raw lines move in parts of PAIR_LINES and one more, so a long document is spread, and
+    are tokenised after that, once each; partitioned by (doc_id, part)."""
     numbered = F.transform(split_lines("text"), lambda line, i: F.struct(
         i.cast("bigint").alias("line_no"), line.alias("line")))
     kept = documents.select("doc_id", F.filter(numbered, lambda s: non_blank(s["line"])).alias("lines"))
-    return next_lines(kept, "doc_id", "line_no", "line").select(
-        "doc_id", "line_no", preprocess_text("line").alias("content"), "next_line", preprocess_text("_next").alias("_next"))
+    starts = F.when(F.size("lines") > 1, F.sequence(F.lit(1), F.size("lines") - 1, F.lit(PAIR_LINES)))
+    parts = (kept.select("doc_id", "lines", F.explode(starts).alias("part"))
+             .select("doc_id", "part", F.slice("lines", F.col("part"), PAIR_LINES + 1).alias("lines"))
+             .repartition("doc_id", "part"))
+    lines = (parts.select("doc_id", "part", F.explode("lines").alias("l"))
+             .select("doc_id", "part", F.col("l.line_no").alias("line_no"), preprocess_text("l.line").alias("content")))
+    after = Window.partitionBy("doc_id", "part").orderBy("line_no")
+    return lines.select("*", F.lead("line_no").over(after).alias("next_line"),
+                        F.lead("content").over(after).alias("_next")).where("next_line is not null")
 
 
 def process_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
@@ -135,10 +145,3 @@ def append_documents(spark: SparkSession, store_path: str, new_docs: DataFrame,
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch").parquet(store_path))
     return spark.read.parquet(store_path).count()
-
-
-def write_per_file(df: DataFrame, path: str, name_col: str, text_col: str) -> None:
-    """One output folder per file name (S9), overwrite; text is UTF-8.  Rows are
-    written where they are: no shuffle by name."""
-    (df.select(name_col, text_col)
-       .write.mode("overwrite").partitionBy(name_col).text(path))

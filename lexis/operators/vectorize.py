@@ -90,41 +90,29 @@ def dense_cosine(a, b) -> Column:
     return cosine_from_dot(dot, na, nb)
 
 
-def next_lines(lines: DataFrame, doc: str, line: str, text: str) -> DataFrame:
-    """(doc, lines) with a document's lines as one sorted array, to
-    (doc, line, next_line, text, next): each line beside the one after it."""
-    at = F.posexplode(F.slice("lines", 1, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("_i", "_l")
-    paired = lines.select(doc, "lines", at)
-    after = F.element_at("lines", F.col("_i") + 2)
-    return paired.select(doc, F.col("_l")[line].alias(line), F.col("_l")[text].alias(text),
-                         after[line].alias("next_line"), after[text].alias("_next"))
-
-
 def adjacent_cosine(pairs: DataFrame, doc: str, line: str, text: str,
                     num_features: int = NUM_FEATURES, lowercase: bool = True) -> DataFrame:
     """(doc, line, next_line, similarity): cosine of each line with the next
     stored line of the same document.
 
-    ``pairs`` holds both texts of a pair in one row (``next_lines``).  Their
-    hashed terms are counted side by side per (line, feature), and one more
-    group-by gives dot product and norms; both are keyed by the line, so one
-    shuffle by the line's key serves both and a long document is spread.
+    ``pairs`` holds both texts of a pair in one row and is partitioned by document and part
+    (``line_pairs``).  Their hashed terms are counted side by side per (line, feature), and one more
+    group-by gives dot product and norms; the part is among the keys of both, so neither shuffles.
     """
-    pairs = pairs.repartition(doc, line)
     tagged = F.concat(
         F.transform(term_tokens(text, lowercase), lambda t: F.struct(t.alias("t"), F.lit(1).alias("a"),
                                                                     F.lit(0).alias("b"))),
         F.transform(term_tokens("_next", lowercase), lambda t: F.struct(t.alias("t"), F.lit(0).alias("a"),
                                                                        F.lit(1).alias("b"))))
-    terms = pairs.select(doc, line, "next_line", F.explode_outer(tagged).alias("_e"))
-    per_feature = (terms.select(doc, line, "next_line",
+    terms = pairs.select(doc, "part", line, "next_line", F.explode_outer(tagged).alias("_e"))
+    per_feature = (terms.select(doc, "part", line, "next_line",
                                 feature_bucket(F.col("_e.t"), num_features).alias("feature"),
                                 F.coalesce(F.col("_e.a"), F.lit(0)).alias("a"),
                                 F.coalesce(F.col("_e.b"), F.lit(0)).alias("b"))
-                        .groupBy(doc, line, "next_line", "feature")
+                        .groupBy(doc, "part", line, "next_line", "feature")
                         .agg(F.sum("a").cast("double").alias("_ta"),
                              F.sum("b").cast("double").alias("_tb")))
-    sums = per_feature.groupBy(doc, line, "next_line").agg(
+    sums = per_feature.groupBy(doc, "part", line, "next_line").agg(
         F.sum(F.col("_ta") * F.col("_tb")).alias("_dot"),
         F.sqrt(F.sum(F.col("_ta") * F.col("_ta"))).alias("_na"),
         F.sqrt(F.sum(F.col("_tb") * F.col("_tb"))).alias("_nb"))

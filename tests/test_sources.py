@@ -3,7 +3,9 @@ progress from a live stream."""
 
 import os
 
-from lexis.operators.store import write_per_file
+import pytest
+
+from lexis.sources.named_files import write_per_file
 from lexis.sources import files as SF
 
 
@@ -33,8 +35,24 @@ def test_route_and_per_file_sink(spark, scratch):
     df = spark.createDataFrame([("processed_a.txt", "alpha"), ("processed_b.txt", "beta")],
                                "output_filename string, text string")
     write_per_file(df, out, "output_filename", "text")
-    back = {r["output_filename"]: r["value"] for r in spark.read.text(out).collect()}
-    assert back == {"processed_a.txt": "alpha", "processed_b.txt": "beta"}
+    assert {n: open(os.path.join(out, n)).read() for n in os.listdir(out)} == {"processed_a.txt": "alpha", "processed_b.txt": "beta"}
+
+
+def test_one_file_a_row(spark, scratch):
+    out = os.path.join(scratch, "out")
+    names = "name string, text string"
+    rows = [(f"d{i % 3}/f{i}.txt", f"täxt {i}\n" if i % 4 else None) for i in range(50)]
+    write_per_file(spark.createDataFrame(rows, names).repartition(7), out, "name", "text")
+    found = {os.path.relpath(os.path.join(d, f), out) for d, _, fs in os.walk(out) for f in fs}
+    assert found == {n for n, _ in rows} and not any(x.startswith("_") for x in os.listdir(out))
+    assert open(os.path.join(out, "d1/f1.txt"), encoding="utf-8").read() == "täxt 1\n" and os.path.getsize(os.path.join(out, "d1/f4.txt")) == 0
+    # written again: replaced; a failing task, two rows with a name, or a name outside leave nothing new
+    write_per_file(spark.createDataFrame([("d1/f1.txt", "new")], names), out, "name", "text")
+    assert open(os.path.join(out, "d1/f1.txt")).read() == "new"
+    for bad in ([("x.txt", "1"), ("y.txt", "1"), ("../z.txt", "2")], [("x.txt", "1"), ("y.txt", "2"), ("x.txt", "3")], [("x.txt", "1"), (None, "2")]):
+        with pytest.raises(Exception):
+            write_per_file(spark.createDataFrame(bad, names).repartition(3), out, "name", "text")
+        assert {os.path.relpath(os.path.join(d, f), out) for d, _, fs in os.walk(out) for f in fs} == found
 
 
 def test_assemble_pages_order(spark):

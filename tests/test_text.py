@@ -146,3 +146,13 @@ def test_one_lemma_a_surface(spark):
                                         spark.createDataFrame(lex, "lang string, surface string, lemma string"), "lang")):
         got = {r["doc_id"]: r["text"] for r in out.collect()}
         assert (got[1], got[2], got[3]) == ("casa grandes", "casas", "")
+
+
+def test_table_lexicon_with_repeated_ids(spark):
+    """Rows are told apart even where ids repeat or are null."""
+    from lexis.operators import normalize as NZ
+    lex = spark.createDataFrame([("pt", "casas", "casa"), ("es", "casas", "x"), ("", "dogs", "dog")], "lang string, surface string, lemma string")
+    docs = spark.createDataFrame([(1, "Casas casas", "pt"), (1, "casas dogs", "es"), (None, "dogs casas", None), (None, "dogs", None), (1, "Casas casas", "pt")],
+                                 "doc_id long, text string, lang string")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in NZ.normalize_with_table(docs, "doc_id", "text", None, lex, "lang").collect())
+    assert got == [(0, "dog"), (0, "dog casas"), (1, "casa casa"), (1, "casa casa"), (1, "x dogs")]
