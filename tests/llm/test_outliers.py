@@ -109,7 +109,7 @@ def _docs(spark, junk=0.1, n=1400, seed=2):
 def test_outliers_are_rejected_and_clean_texts_stay(spark):
     rows = _docs(spark)
     rows += [(9000, None, "en", "s1", None, "z"), (9001, "", "en", "s1", None, "z"), (9002, "short text", "en", "s1", None, "z"),
-             (9003, "so it goes on " * 40, "en", "s1", None, "z"), (None, rows[0][1], "xx", "alone", None, "z"), (5, rows[5][1], "en", "s2", None, "z")]
+             (9003, "so it goes on " * 40, "en", "s1", None, "z"), (None, next(r[1] for r in rows if not r[4]), "xx", "alone", None, "z"), (5, rows[5][1], "en", "s2", None, "z")]
     rows += [(2000 + i, rows[1][1], "en", "s1", False, "z") for i in range(300)]  # many copies in one group
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, g boolean, x string").repartition(4)
     out = O.rules(df).collect()
