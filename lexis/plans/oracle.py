@@ -482,6 +482,25 @@ made AS (
 SELECT cluster_id, CAST(weight AS BIGINT) AS weight, feature, round(value, 6) AS value FROM made"""
 
 
+
+def _lloyd_sql(rounds: int) -> str:
+    parts = ["x AS (SELECT doc_id, feature, CAST(round(weight * 1073741824) AS BIGINT) AS x FROM w)",
+             "c0 AS (SELECT cluster_id, feature, CAST(round(value * 1073741824) AS BIGINT) AS c FROM cents)"]
+    for n in range(rounds):
+        parts += [f"""n{n} AS MATERIALIZED (SELECT cluster_id, sum(c * c) AS c2 FROM c{n} GROUP BY cluster_id)""",
+                  f"""d{n} AS (
+  SELECT doc_id, cluster_id, c2 - 2 * coalesce(dot, 0) AS d FROM (SELECT DISTINCT doc_id FROM x) CROSS JOIN n{n}
+  LEFT JOIN (SELECT doc_id, cluster_id, sum(x * c) AS dot FROM x JOIN c{n} USING (feature) GROUP BY ALL) USING (doc_id, cluster_id))""",
+                  f"a{n} AS MATERIALIZED (SELECT doc_id, arg_min(cluster_id, (d, cluster_id)) AS cluster_id FROM d{n} GROUP BY doc_id)",
+                  f"""c{n + 1} AS MATERIALIZED (
+  SELECT cluster_id, feature, CAST(round(sum(x) / any_value(m)) AS BIGINT) AS c FROM x JOIN a{n} USING (doc_id)
+  JOIN (SELECT cluster_id, count(*) AS m FROM a{n} GROUP BY cluster_id) USING (cluster_id) GROUP BY cluster_id, feature
+  UNION ALL SELECT cluster_id, feature, c FROM c{n} WHERE cluster_id NOT IN (SELECT cluster_id FROM a{n}))"""]
+    return ",\n".join(parts)
+
+
+ORACLE["text_kmeans_batch"] = f"WITH {TEXT_MODEL},\n{_lloyd_sql(REG.BATCH_ROUNDS)}\nSELECT doc_id, cluster_id FROM a{REG.BATCH_ROUNDS - 1}"
+
 # --------------------------------------------------------------------------
 # Normalisation, store ids, lifecycle
 # --------------------------------------------------------------------------

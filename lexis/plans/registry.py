@@ -495,6 +495,16 @@ def q_text_kmeans_update(spark, sf_dir):
     return new_c.join(new_w, "cluster_id").select("cluster_id", "weight", "feature", F.round("value", 6).alias("value"))
 
 
+BATCH_ROUNDS = 3  # of the registered query; the operator goes on until no document moves
+
+
+@register("text_kmeans_batch")
+def q_text_kmeans_batch(spark, sf_dir):
+    """Lloyd's rounds over the documents' own vectors."""
+    wvec = _text_vectors(spark, sf_dir)
+    return K.lloyd(wvec, ["doc_id"], K.sparse_init(wvec, ["doc_id"]), BATCH_ROUNDS)[0]
+
+
 @register("rank_in_cluster")
 def q_rank_in_cluster(spark, sf_dir):
     """Per-label mean vectors as questions, answered inside their cluster."""

@@ -115,3 +115,43 @@ def test_append_documents_continues_ids(spark, scratch):
     append_documents(spark, bpath, second, ["doc_id", "line_no"], batch_id=1)
     ids = sorted(r["id"] for r in spark.read.parquet(bpath).collect())
     assert ids == [1, 2, 3, 4, 5]
+
+
+def test_lloyd_equals_plain_rounds(spark):
+    """Whole numbers throughout, so the plain version's clusters and centres are the very same."""
+    rng = np.random.default_rng(8)
+    topics = [rng.choice(40, 8, replace=False) for _ in range(6)]
+    docs = []
+    for i in range(240):
+        f = np.unique(np.concatenate([rng.choice(topics[i % 6], 5), rng.choice(40, 2)]))
+        w = rng.random(len(f)) + 0.1
+        docs.append(dict(zip(f.tolist(), (w / np.linalg.norm(w)).tolist())))
+    rows = [(i, f, w) for i, d in enumerate(docs) for f, w in d.items()]
+    wvec = spark.createDataFrame(rows, "doc long, feature int, weight double")
+    cents = K.sparse_init(wvec, ["doc"], k=9)
+    x = np.zeros((240, 40), object)
+    for i, f, w in rows:
+        x[i, f] = int(np.floor(w * (1 << 30) + 0.5))
+    c = np.zeros((9, 40), object)
+    for r in cents.collect():
+        c[r["cluster_id"], r["feature"]] = int(np.floor(r["value"] * (1 << 30) + 0.5))
+    for rounds in (1, 2, 4, 50):
+        want_c = c.copy()
+        for n in range(rounds):
+            d = (want_c * want_c).sum(axis=1)[None, :] - 2 * (x @ want_c.T)
+            near = np.array([min(range(9), key=lambda k: (d[i, k], k)) for i in range(240)])
+            before = want_c.copy()
+            for k in range(9):
+                own = x[near == k]
+                if len(own):
+                    want_c[k] = [int(np.floor(s / len(own) + 0.5)) for s in own.sum(axis=0)]
+            if (want_c == before).all():
+                break
+        report = []
+        got, centres = K.lloyd(wvec, ["doc"], cents, rounds, report)
+        assert {r["doc"]: r["cluster_id"] for r in got.collect()} == dict(enumerate(near.tolist()))
+        made = np.zeros((9, 40))
+        for r in centres.collect():
+            made[r["cluster_id"], r["feature"]] = r["value"]
+        assert np.allclose(made, want_c.astype(float) / (1 << 30), atol=1e-12)
+    assert report[0] == 240 and sum(report[1:]) < 0.8 * 240 * (len(report) - 1), report
