@@ -174,17 +174,22 @@ def dedup(docs: DataFrame, run: int = RUN, unit_words: int = UNIT_WORDS, min_wor
     slim = (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("h", doc_hash())
             .select("doc_id", "h", "text"))
     every = cut(spans(slim, run, unit_words, min_words), "spans")
+    # most spans occur once: half a hash, counted first, leaves the few that whole hashes are compared for
+    often = cut(every.groupBy("s1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s1"), "often")
+    release(docs.sparkSession)
+    # joins have plain shuffles on both sides, so a hot passage's rows can be split
+    some = cut(every.join(often, "s1", "left_semi"), "some")
+    forget(every, often)
+    release(docs.sparkSession)
     # pre-aggregated, so a passage that very many documents share is one row a task
     first = F.min(F.struct("doc_id", "h", "lo"))
-    repeated = cut(every.groupBy("s1", "s2").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+    repeated = cut(some.groupBy("s1", "s2").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
                    .where("n > 1").select("s1", "s2", "first"), "repeated")
-    release(docs.sparkSession)
-    # both sides are plain shuffles, so a hot passage's rows can be split
-    later = (every.join(repeated, ["s1", "s2"]).where(~F.struct("doc_id", "h", "lo").eqNullSafe(F.col("first")))
+    later = (some.join(repeated, ["s1", "s2"]).where(~F.struct("doc_id", "h", "lo").eqNullSafe(F.col("first")))
              .select("doc_id", "h", "lo", "hi"))
     k, kh, h, at = fresh(docs, "mark_id", "mark_hash", "text_hash", "gone")
     marks = cut(later.groupBy(F.col("doc_id").alias(k), F.col("h").alias(kh)).agg(F.collect_set(F.struct("lo", "hi")).alias(at)), "marks")
-    forget(every, repeated)
+    forget(some, repeated)
     release(docs.sparkSession)
 
     names = docs.columns
