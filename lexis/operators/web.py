@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexis.functions import html as H
-from lexis.session import once, scratch_path
+from lexis.session import scratch_path
 
 # Fixed value: saved page layout.
 PAGE_DOC_PREFIX = "URL: "
@@ -79,28 +81,47 @@ def link_edges(pages: DataFrame, base: str | None = None) -> DataFrame:
     return links.select(F.col("url").alias("src"), F.col("link").alias("dst")).distinct()
 
 
-def crawl_reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def crawl_reachable(edges: DataFrame, seeds: DataFrame, buckets: int | None = None) -> DataFrame:
     """(url, depth): closure of ``edges`` from ``seeds`` (breadth-first), until
     a round finds nothing new.
 
-    The edges are written once.  A round joins the last round's URLs with the
-    edges, drops what was reached, and appends the rest to one table in the shared
-    folder; nothing reached earlier is rewritten.
+    Edges are written once, bucketed by where they begin, and every round's URLs bucketed by themselves, so
+    a round shuffles what it finds, by URL, and neither the edges nor what was reached before: these are
+    read bucket by bucket.  Nothing reached earlier is rewritten.
     """
     spark = edges.sparkSession
-    edges = once(edges.select("src", "dst"), "edges")
-    path = scratch_path(spark, "reached")
-    (seeds.select(F.col("url"), F.lit(0).cast("bigint").alias("depth")).distinct().write.parquet(path))
-    depth = 0
+    tag, folder = uuid.uuid4().hex[:10], scratch_path(spark, "crawl")
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made: set[str] = set()
+
+    def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+        table = f"lexis_{name}_{tag}"
+        (df.write.mode("append").format("parquet").bucketBy(buckets, column).sortBy(column)
+           .option("path", f"{folder}/{name}").saveAsTable(table))
+        made.add(table)
+        return spark.table(table)
+
+    edges = bucketed(edges.select("src", "dst").repartition(buckets, "src"), "edges", "src")
+    found, depth = seeds.select("url").repartition(buckets, "url").distinct(), 0
     while True:
-        reached = spark.read.schema("url string, depth bigint").parquet(path)
-        new = (reached.where(F.col("depth") == depth).join(edges, F.col("url") == F.col("src"))
-               .select(F.col("dst").alias("url")).distinct().join(reached.select("url"), "url", "left_anti"))
-        new = once(new.withColumn("depth", F.lit(depth + 1).cast("bigint")), "frontier")
-        if not new.take(1):
-            return reached
-        new.write.mode("append").parquet(path)
-        depth += 1
+        fresh = bucketed(found, f"frontier_{depth}", "url")
+        if not fresh.take(1):
+            break
+        reached = bucketed(fresh.withColumn("depth", F.lit(depth).cast("bigint")), "reached", "url")
+        found, depth = crawl_round(edges, fresh, reached, buckets), depth + 1
+    for table in made:  # the files stay for the result
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    schema = "url string, depth bigint"
+    return spark.read.schema(schema).parquet(f"{folder}/reached") if depth else spark.createDataFrame([], schema)
+
+
+def crawl_round(edges: DataFrame, fresh: DataFrame, reached: DataFrame, buckets: int) -> DataFrame:
+    """The URLs one step from ``fresh`` that were not reached; only the steps' ends are shuffled."""
+    found = (fresh.hint("merge").join(edges, F.col("url") == F.col("src")).select(F.col("dst").alias("url"))
+             .repartition(buckets, "url").distinct())
+    # no anti join: that would be pushed below the step, to the side of the edges
+    known = reached.select(F.col("url").alias("known")).hint("merge")
+    return found.join(known, F.col("url") == F.col("known"), "left").where("known is null").select("url")
 
 
 def saved_pages(pages: DataFrame) -> DataFrame:

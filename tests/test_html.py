@@ -143,3 +143,19 @@ def test_scan_of_hostile_pages_ends(spark):
 def test_a_page_is_scanned_once(spark):
     plan = W.page_text(_pages(spark, [(1, "u", "<body>x</body>")]))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(translate") == 1
+
+
+def test_a_crawl_round_shuffles_its_frontier_only(spark, scratch):
+    """In the plan of a round the edges and what was reached come without an exchange."""
+    import os
+    tables = {}
+    for name, df, column in (("w_edges", spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string"), "src"),
+                             ("w_fresh", spark.createDataFrame([("a",)], "url string"), "url"), ("w_old", spark.createDataFrame([("c",)], "url string"), "url")):
+        df.write.bucketBy(4, column).sortBy(column).option("path", os.path.join(scratch, name)).mode("overwrite").saveAsTable(name)
+        tables[name] = spark.table(name)
+    found = W.crawl_round(tables["w_edges"], tables["w_fresh"], tables["w_old"], 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+    assert [r["url"] for r in found.collect()] == ["b"]
+    for name in tables:
+        spark.sql(f"DROP TABLE {name}")
