@@ -7,7 +7,7 @@ sign only lowers it.  A term's bound is the query's component times the largest
 in its postings.
 
 Candidates are dealt into shards of about SHARD_ROWS by a hash of the row, queries into
-blocks of about QUERY_ROWS, and every (shard, block) is one bounded task unit.  Within
+blocks of about QUERY_BYTES, and every (shard, block) is one bounded task unit.  Within
 it a query keeps its k best scores so far; the terms with the smallest bounds whose sum
 stays below the k-th best are non-essential.  Only candidates in an essential
 posting are looked at, and the non-essential terms are probed, largest bound
@@ -33,7 +33,7 @@ from lexis.llm.common import cut
 from lexis.llm.vectors import finite_rows, stacked
 
 SCALE, K = 1024, 10
-SHARD_ROWS, QUERY_ROWS, STEP, PROBE = 8192, 256, 1024, 8
+SHARD_ROWS, QUERY_BYTES, STEP, PROBE = 8192, 8 << 20, 1024, 8
 
 
 def _integers(vectors: DataFrame, scale: int) -> DataFrame:
@@ -53,7 +53,8 @@ def _integers(vectors: DataFrame, scale: int) -> DataFrame:
 class Shard:
     """Postings of one shard's candidates, as columns with each term's largest component."""
 
-    def __init__(self, matrix: np.ndarray, ids: np.ndarray, rows: np.ndarray):
+    def __init__(self, matrix: np.ndarray, ids: np.ndarray, rows: np.ndarray, step: int = STEP):
+        self.step, self.looked = step, 0  # candidates that a query has looked at so far
         order = np.lexsort((rows, ids))
         self.m, self.ids, self.rows = matrix[order], ids[order], rows[order]
         self.top = np.maximum(self.m.max(axis=0, initial=0), 0)
@@ -67,8 +68,8 @@ class Shard:
         terms, bound = terms[order], bound[order]
         upto = np.cumsum(bound)  # what the terms up to here can add at most
         best_at, best = np.zeros(0, np.int64), np.zeros(0, self.m.dtype)
-        for lo in range(0, len(self.m), STEP):
-            part = self.m[lo:lo + STEP]
+        for lo in range(0, len(self.m), self.step):
+            part = self.m[lo:lo + self.step]
             full = len(best) >= k
             line = best[-1] if full else None
             # candidates come in order of vec_id, so a later one must beat the line
@@ -81,6 +82,7 @@ class Shard:
                 at = np.flatnonzero(hit)
             else:
                 at = np.arange(len(part))
+            self.looked += len(at)
             score = part[at][:, essential] @ q[essential]
             hi = split
             while hi > 0 and len(at):
@@ -101,7 +103,7 @@ class Shard:
         return best_at, best
 
 
-def _search(k: int):
+def _search(k: int, step: int):
     def work(t: pa.Table) -> pa.RecordBatch | None:
         query = t.column("query").to_numpy(zero_copy_only=False)
         m = stacked(t.column("vec").to_pylist(), np.int64)
@@ -111,7 +113,7 @@ def _search(k: int):
         largest = np.abs(m.astype(np.float64))
         exact = largest[query].max(initial=0) * largest[~query].max(initial=0) * max(m.shape[1], 1) < 2.0 ** 53
         m = m.astype(np.float64) if exact else m.astype(object)
-        shard = Shard(m[~query], ids[~query], rows[~query])
+        shard = Shard(m[~query], ids[~query], rows[~query], step)
         out = [[], [], [], [], []]
         for i in np.flatnonzero(query):
             at, score = shard.best(m[i], rows[i], k)
@@ -124,22 +126,22 @@ def _search(k: int):
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, id_col: str = "vec_id",
-           vec_col: str = "embedding") -> DataFrame:
+           vec_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_bytes: int = QUERY_BYTES, step: int = STEP) -> DataFrame:
     """query_id, rank, vec_id, score: every query row's k best other rows.
     ``is_query`` is a condition on vec_id."""
     slim = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec"))
     rows = cut(_integers(slim, scale).withColumn("row", F.monotonically_increasing_id())
                .withColumn("is_query", F.coalesce(is_query, F.lit(False)))
                .withColumn("vec_id", F.coalesce("vec_id", F.lit(-(1 << 63)))), "vectors")
-    n = rows.agg(F.count(F.lit(1)), F.sum(F.col("is_query").cast("long"))).first()
-    shards, groups = -(-n[0] // SHARD_ROWS) or 1, -(-(n[1] or 0) // QUERY_ROWS) or 1
+    n = rows.agg(F.count(F.lit(1)), F.sum(F.when(F.col("is_query"), F.length("vec")).otherwise(0))).first()
+    shards, groups = -(-n[0] // shard_rows) or 1, -(-(n[1] or 0) // query_bytes) or 1
     deal = F.xxhash64("row")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>"))
     candidates = rows.select(F.pmod(deal, F.lit(shards)).alias("key"), every(groups).alias("tile"), "vec_id", "row", "vec",
                              F.lit(False).alias("query"))
     queries = rows.where("is_query").select(every(shards).alias("key"), F.pmod(deal, F.lit(groups)).alias("tile"),
                                             "vec_id", "row", "vec", F.lit(True).alias("query"))
-    found = per_tile(candidates.unionByName(queries), _search(k),
+    found = per_tile(candidates.unionByName(queries), _search(k, step),
                      "query_id long, query_row long, vec_id long, row long, score long")
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
     blank = lambda c: F.when(F.col(c) != -(1 << 63), F.col(c)).alias(c)

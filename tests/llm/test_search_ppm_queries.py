@@ -26,19 +26,36 @@ def brute_top(rows, k=10):
 
 
 @pytest.mark.parametrize("spread", [1.0, 30.0])
-def test_maxscore_equals_brute_force(spark, spread, monkeypatch):
+def test_maxscore_equals_brute_force(spark, spread):
     rng = np.random.default_rng(3)
-    monkeypatch.setattr(maxscore, "SHARD_ROWS", 300)
-    monkeypatch.setattr(maxscore, "QUERY_ROWS", 4)
-    monkeypatch.setattr(maxscore, "STEP", 64)
     rows = [(int(i), [float(x) for x in rng.normal(size=12) * spread * rng.choice([0, 1], 12)]) for i in range(900)]
     rows += [(1000 + i, rows[3][1]) for i in range(40)]  # ties
     rows += [(1100, None), (1200, [float("inf")] * 12), (1300, [None] + [1.0] * 11), (1400, []), (1500, [0.0] * 12), (1601, [1.0])]
     df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, row int")
-    got = {tuple(r) for r in maxscore.search(df, F.col("vec_id") % 100 == 0).collect()}
+    got = {tuple(r) for r in maxscore.search(df, F.col("vec_id") % 100 == 0, shard_rows=300, query_bytes=400, step=16).collect()}
     assert got == brute_top(rows)
 
 
+def test_maxscore_passes_candidates_over():
+    """Over many steps of one shard: sparse vectors whose best matches share rare, heavy terms."""
+    rng = np.random.default_rng(9)
+    m = np.zeros((4000, 40))
+    for i in range(4000):
+        m[i, rng.choice(40, 5, replace=False)] = rng.integers(1, 30, 5)
+    m[:60, 3] = 900
+    ids = rng.permutation(4000)
+    shard = maxscore.Shard(m, ids, np.arange(4000), step=100)
+    order = np.argsort(ids)
+    looked = 0
+    for q, few in ((m[5], True), (m[10], True), (m[3000], False), (-m[7], False), (np.zeros(40), False)):
+        before = shard.looked
+        at, score = shard.best(q, -1, 10)
+        want = np.lexsort((ids[order], -(m[order] @ q)))[:10]
+        assert score.tolist() == (m[order] @ q)[want].tolist() and shard.ids[at].tolist() == ids[order][want].tolist()
+        looked = shard.looked - before
+        assert not few or looked < 0.7 * 4000, looked
+
+
 def test_maxscore_edges(spark):
     schema = "vec_id long, embedding array<float>"
     assert maxscore.search(spark.createDataFrame([], schema), F.col("vec_id") % 100 == 0).collect() == []
