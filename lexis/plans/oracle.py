@@ -483,6 +483,33 @@ SELECT cluster_id, CAST(weight AS BIGINT) AS weight, feature, round(value, 6) AS
 
 
 
+def _seeds_sql(k: int, rounds: int) -> str:
+    key = "md5(CAST(doc_id AS VARCHAR)), doc_id"
+    parts = ["x AS MATERIALIZED (SELECT doc_id, feature, CAST(round(weight * 1073741824) AS BIGINT) AS x FROM w)",
+             "xs AS MATERIALIZED (SELECT doc_id, sum(x::HUGEINT * x) AS xx FROM x GROUP BY doc_id)",
+             f"k0 AS MATERIALIZED (SELECT doc_id, 0 AS cid FROM xs ORDER BY {key} LIMIT 1)"]
+    for n in range(rounds + 1):
+        parts.append(f"""s{n} AS MATERIALIZED (
+  SELECT a.doc_id, any_value(a.xx) AS xx, min({{'d': c.xx - 2 * coalesce(dot, 0), 'cid': k{n}.cid}}) AS best
+  FROM xs a CROSS JOIN k{n} JOIN xs c ON c.doc_id = k{n}.doc_id
+  LEFT JOIN (SELECT p.doc_id AS i, q.doc_id AS j, sum(p.x::HUGEINT * q.x) AS dot FROM x p JOIN x q USING (feature)
+             WHERE q.doc_id IN (SELECT doc_id FROM k{n}) GROUP BY ALL) ON i = a.doc_id AND j = k{n}.doc_id
+  GROUP BY a.doc_id)""")
+        if n < rounds:
+            away = "(greatest(xx + best.d, 0) >> 30)"
+            parts.append(f"""k{n + 1} AS MATERIALIZED (
+  SELECT doc_id, cid FROM k{n} UNION ALL
+  SELECT doc_id, (SELECT count(*) FROM k{n}) + row_number() OVER (ORDER BY {key}) - 1 FROM s{n}
+  WHERE CAST('0x' || substr(md5('{n + 1}:' || doc_id), 1, 8) AS HUGEINT) * (SELECT sum{away} FROM s{n}) < {away}::HUGEINT * {2 * k * (1 << 32)})""")
+    return ",\n".join(parts) + f"""
+SELECT doc_id, CAST(row_number() OVER (ORDER BY weight DESC, cid) - 1 AS INTEGER) AS cluster_id, weight
+FROM (SELECT best.cid AS cid, count(*) AS weight FROM s{rounds} GROUP BY best.cid) JOIN k{rounds} USING (cid)
+QUALIFY row_number() OVER (ORDER BY weight DESC, cid) <= {k}"""
+
+
+ORACLE["kmeans_parallel_init"] = f"WITH {TEXT_MODEL},\n{_seeds_sql(KM.N_CLUSTERS, KM.SEED_ROUNDS)}"
+
+
 def _lloyd_sql(rounds: int) -> str:
     parts = ["x AS (SELECT doc_id, feature, CAST(round(weight * 1073741824) AS BIGINT) AS x FROM w)",
              "c0 AS (SELECT cluster_id, feature, CAST(round(value * 1073741824) AS BIGINT) AS c FROM cents)"]

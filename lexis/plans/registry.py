@@ -495,6 +495,11 @@ def q_text_kmeans_update(spark, sf_dir):
     return new_c.join(new_w, "cluster_id").select("cluster_id", "weight", "feature", F.round("value", 6).alias("value"))
 
 
+@register("kmeans_parallel_init")
+def q_kmeans_parallel_init(spark, sf_dir):
+    return K.parallel_seeds(_text_vectors(spark, sf_dir), ["doc_id"])
+
+
 BATCH_ROUNDS = 3  # of the registered query; the operator goes on until no document moves
 
 

@@ -155,3 +155,23 @@ def test_lloyd_equals_plain_rounds(spark):
             made[r["cluster_id"], r["feature"]] = r["value"]
         assert np.allclose(made, want_c.astype(float) / (1 << 30), atol=1e-12)
     assert report[0] == 240 and sum(report[1:]) < 0.8 * 240 * (len(report) - 1), report
+
+
+def test_parallel_seeds(spark):
+    """Drawn by distance, the same however the rows are dealt; copies of a seed are never drawn."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(300):
+        group = i % 5 if i < 290 else 5  # the last ten are far from all others
+        f = [group * 10 + int(j) for j in rng.choice(10, 4, replace=False)]
+        rows += [(i, j, 0.5) for j in f]
+    rows += [(1000 + i, j, w) for i in range(50) for d, j, w in rows[:4]]  # copies of document 0
+    wvec = spark.createDataFrame(rows, "doc long, feature int, weight double")
+    got = [tuple(r) for r in K.parallel_seeds(wvec, ["doc"], k=12).orderBy("cluster_id").collect()]
+    assert got == [tuple(r) for r in K.parallel_seeds(wvec.repartition(5), ["doc"], k=12).orderBy("cluster_id").collect()]
+    assert [g[1] for g in got] == list(range(12)) and [g[2] for g in got] == sorted((g[2] for g in got), reverse=True)
+    assert len({g[0] for g in got}) == 12 and sum(g[0] >= 1000 or g[0] == 0 for g in got) <= 1
+    everyone = K.parallel_seeds(wvec, ["doc"], k=5000)
+    assert everyone.agg(F.sum("weight")).first()[0] == 350
+    assert K.seed_centres(wvec, ["doc"], everyone).select("cluster_id").distinct().count() == everyone.count()
+    assert K.parallel_seeds(wvec.limit(0), ["doc"], k=3).collect() == []
