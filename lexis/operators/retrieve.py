@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexis.functions.text import preprocess_text
-from lexis.operators.vectorize import NUM_FEATURES, cosine_from_dot, vectors
+from lexis.operators.cluster import sparse_assign
+from lexis.operators.vectorize import NUM_FEATURES, cosine_from_dot, l2_normalize, vectors
 from lexis.session import once
 
 # Answer texts of the reference, verbatim.
@@ -129,6 +130,11 @@ def rank_content(queries: DataFrame, store: DataFrame, keys: Sequence[str] = ("d
     # The ranking pass runs once: its (questions x k) result is written to the
     # shared folder and read back.
     hits = once(_top_k(_scores(qvec, dvec, keys), keys, k), "hits")
+    return _padded(hits, queries, store, keys, k)
+
+
+def _padded(hits: DataFrame, queries: DataFrame, store: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """``hits``, filled up to k with the documents of the lowest keys at similarity 0."""
     full = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k)
     short = queries.select("query_id").join(full, "query_id", "left_anti")
     if short.limit(1).count() == 0:
@@ -141,6 +147,65 @@ def rank_content(queries: DataFrame, store: DataFrame, keys: Sequence[str] = ("d
     return _top_k(merged, keys, k)
 
 
+# ---------------------------------------------------------------------------
+# Ranking by clusters (K5 on the text store): exact, whole clusters are passed over.
+# ---------------------------------------------------------------------------
+
+def cluster_cells(doc_vectors: DataFrame, keys: Sequence[str], centroids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a model says of a store's documents, to be kept with its version: members (keys..., cluster_id),
+    directions (cluster_id, feature, value: centres of length 1) and cells (cluster_id, least: the
+    least cosine of a member with its centre's direction)."""
+    keys = list(keys)
+    weights = once(l2_normalize(doc_vectors).select(*keys, "feature", "weight"), "weights")
+    members = once(sparse_assign(weights.select(*keys).distinct(), weights, keys, centroids), "members")
+    length = Window.partitionBy("cluster_id")
+    directions = once(centroids.withColumn("_n", F.sqrt(F.sum(F.col("value") * F.col("value")).over(length)))
+                      .where("_n > 0").select("cluster_id", "feature", (F.col("value") / F.col("_n")).alias("value")), "directions")
+    near = (weights.join(members, keys).join(directions, ["cluster_id", "feature"])
+            .groupBy(*keys, "cluster_id").agg(F.sum(F.col("weight") * F.col("value")).alias("cos")))
+    cells = (members.join(near, [*keys, "cluster_id"], "left").groupBy("cluster_id")
+             .agg(F.min(F.coalesce("cos", F.lit(0.0))).alias("least")))
+    return members, directions, once(cells, "cells")  # k rows
+
+
+def rank_by_clusters(queries: DataFrame, store: DataFrame, keys: Sequence[str], doc_vectors: DataFrame, members: DataFrame,
+                     directions: DataFrame, cells: DataFrame, k: int = TOP_K, num_features: int = NUM_FEATURES,
+                     report: list | None = None) -> DataFrame:
+    """The same hits as ``rank_content``.  Let a be the angle between a question and a cluster's direction, and r
+    the widest angle of a member: no member is nearer than a - r.  First the cluster with the best bound is
+    ranked for each question; then those whose bound reaches its k-th hit; the others are not looked
+    at.  ``report`` receives (question-cluster pairs ranked, all such pairs)."""
+    keys = list(keys)
+    qvec = once(question_vectors(queries, num_features), "questions")
+    angle = lambda c: F.acos(F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0)))
+    met = (qvec.join(directions, "feature").groupBy("query_id", "cluster_id").agg(
+        F.sum(F.col("qtf") * F.col("value") / F.col("qnorm")).alias("cos")))
+    ids = F.from_json(F.lit(json.dumps([r["cluster_id"] for r in cells.select("cluster_id").collect()])), "array<int>")  # k numbers
+    every = qvec.select("query_id").distinct().select("query_id", F.explode(ids).alias("cluster_id"))
+    apart = angle(F.coalesce("cos", F.lit(0.0))) - angle(F.col("least"))
+    bounds = once(every.join(cells, "cluster_id").join(met, ["query_id", "cluster_id"], "left").select(
+        "query_id", "cluster_id", F.cos(F.greatest(apart, F.lit(0.0))).alias("bound")), "bounds")
+    best = bounds.groupBy("query_id").agg(F.min(F.struct(-F.col("bound"), F.col("cluster_id").alias("cluster_id"))).alias("b")).select("query_id", "b.cluster_id")
+    vectors_of = doc_vectors.select(*keys, "feature", "tf", "norm").join(members, keys)
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        asked = once(qvec.join(pairs, "query_id"), "asked")
+        scored = (vectors_of.join(asked, ["cluster_id", "feature"]).groupBy("query_id", *keys)
+                  .agg(F.sum(F.col("tf") * F.col("qtf")).alias("_dot"), F.max("norm").alias("_dn"), F.max("qnorm").alias("_qn"))
+                  .select("query_id", *keys, cosine_from_dot(F.col("_dot"), F.col("_qn"), F.col("_dn")).alias("similarity")))
+        return once(_top_k(scored, keys, k), "hits")
+
+    first = ranked(best)
+    line = first.where(F.col("rank") == k).select("query_id", F.col("similarity").alias("line"))
+    # a little below the line, for rounding in the angles
+    rest = once(bounds.join(best, ["query_id", "cluster_id"], "left_anti").join(line, "query_id", "left")
+                .where(F.col("bound") >= F.coalesce("line", F.lit(0.0)) - 1e-9).select("query_id", "cluster_id"), "rest")
+    if report is not None:
+        report.append((best.count() + rest.count(), bounds.count()))
+    hits = once(_top_k(ranked(rest).unionByName(first).drop("rank"), keys, k), "hits")
+    return _padded(hits, queries, store, keys, k)
+
+
 def attach_content(ranked: DataFrame, store: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(query_id, rank, content) in rank order; ids missing from the store drop."""
     hits = ranked.select("query_id", "rank", *keys)

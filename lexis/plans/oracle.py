@@ -617,6 +617,7 @@ store AS (SELECT {S.preprocess_text('s')} AS content FROM (SELECT {S.strip('line
 SELECT content, count(*) AS copies FROM store GROUP BY content"""
 
 ORACLE["train_then_answer"] = ORACLE["answer_queries"]
+ORACLE["answer_by_clusters"] = ORACLE["answer_queries"]
 
 _QS_CONV = "qs AS (SELECT conv_id * 1000000 + turn AS query_id, text AS query FROM conversations WHERE role = 'user')"
 ORACLE["answer_stream"] = (f"WITH {LINES},\n{STORE},\n{DVEC},\n"

@@ -666,6 +666,19 @@ def q_train_then_answer(spark, sf_dir):
     return R.generate_response(questions, R.attach_content(ranked, store, ["id"]))
 
 
+@register("answer_by_clusters")
+def q_answer_by_clusters(spark, sf_dir):
+    """Questions answered cluster by cluster: the trainer's own model, its store and vectors."""
+    from lexis.streaming.train import CorpusTrainer
+    root, questions = scratch_path(spark, "cells"), _questions(spark, sf_dir)
+    trainer = CorpusTrainer(spark, f"{root}/state")
+    trainer.train(_corpus_files(_t(spark, sf_dir, "documents"), f"{root}/in"))
+    store, docs = trainer.store(), trainer.vectors()
+    cells = R.cluster_cells(docs, ["id"], trainer.model()[0])
+    ranked = R.rank_by_clusters(questions, store, ["id"], docs, *cells)
+    return R.generate_response(questions, R.attach_content(ranked, store, ["id"]))
+
+
 @register("answer_stream")
 def q_answer_stream(spark, sf_dir):
     """User turns of the conversations, streamed as questions."""

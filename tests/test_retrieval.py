@@ -82,3 +82,27 @@ def test_ranks_on_raw_values(spark):
     ranked = R.rank_content(_questions(spark, [(1, "aa")]), store).orderBy("rank").collect()
     assert [r["doc_id"] for r in ranked] == [2, 1]
     assert [round(r["similarity"], 6) for r in ranked] == [1.0, 1.0]
+
+
+def test_clusters_give_the_full_ranking(spark):
+    """Topics with words of their own: most clusters are passed over, and the hits are those of the whole store."""
+    import numpy as np
+
+    from lexis.operators import cluster as K
+    from lexis.operators.vectorize import l2_normalize, vectors
+    rng = np.random.default_rng(12)
+    words = [[f"t{t}w{i}" for i in range(12)] for t in range(10)]
+    lines = [(i, " ".join([*words[i % 10][:6], rng.choice(words[i % 10][6:]), "the"])) for i in range(300)] + [(900 + i, "") for i in range(3)]
+    store = spark.createDataFrame(lines, "id long, content string")
+    qs = [(t, " ".join([*rng.choice(words[t][:6], 4, replace=False), "the"])) for t in range(10)] + [(50, "the"), (51, "nothing known"), (52, ""), (53, "t1w1 t2w2 t3w3")]
+    questions = spark.createDataFrame(qs, "query_id long, query string")
+    docs = vectors(store, ["id"], "content", 1 << 18, lowercase=False)
+    weights = l2_normalize(docs).select("id", "feature", "weight")
+    centres = K.sparse_init(weights, ["id"], 40)
+    report = []
+    got = R.rank_by_clusters(questions, store, ["id"], docs, *R.cluster_cells(docs, ["id"], centres), report=report)
+    want = R.rank_content(questions, store, ["id"], doc_vectors=docs)
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["id"], round(r["similarity"], 9)) for r in df.collect())
+    assert rows(got) == rows(want)
+    ranked, every = report[0]
+    assert ranked < 0.7 * every, report
