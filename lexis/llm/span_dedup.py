@@ -135,7 +135,7 @@ def span_hashes(parts: list[str], words: list[int], run: int, min_words: int):
 
 
 def spans(docs: DataFrame, run: int = RUN, unit_words: int = UNIT_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, h, text) to (doc_id, h, lo, hi, s1, s2): all spans, from character lo to hi."""
+    """(doc_id, h, text) to (doc_id, h, at, s1, s2): all spans, ``at`` being first character << 32 | the one behind the last."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,19 +143,18 @@ def spans(docs: DataFrame, run: int = RUN, unit_words: int = UNIT_WORDS, min_wor
         for b in batches:
             texts = b.column("text").to_pylist()
             for first, last in slices(texts, 1_000_000):
-                rows, lo, hi, key = [], [], [], []
+                rows, at, key = [], [], []
                 for i in range(first, last):
                     begin, end, h = span_hashes(*units(texts[i], unit_words), run, min_words)
                     rows.append(np.full(len(begin), i))
-                    lo.append(begin)
-                    hi.append(end)
+                    at.append(begin.astype(np.int64) << 32 | end)
                     key.append(h)
                 take, key = pa.array(np.concatenate(rows)), np.concatenate(key)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(take), b.column("h").take(take), pa.array(np.concatenate(lo)), pa.array(np.concatenate(hi)),
-                     pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy())], names=["doc_id", "h", "lo", "hi", "s1", "s2"])
+                    [b.column("doc_id").take(take), b.column("h").take(take), pa.array(np.concatenate(at)),
+                     pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy())], names=["doc_id", "h", "at", "s1", "s2"])
 
-    return docs.mapInArrow(task, f"doc_id {id_type}, h long, lo int, hi int, s1 long, s2 long")
+    return docs.mapInArrow(task, f"doc_id {id_type}, h long, at long, s1 long, s2 long")
 
 
 def without(text: str, gone: list[dict]) -> str:
@@ -182,13 +181,13 @@ def dedup(docs: DataFrame, run: int = RUN, unit_words: int = UNIT_WORDS, min_wor
     forget(every, often)
     release(docs.sparkSession)
     # pre-aggregated, so a passage that very many documents share is one row a task
-    first = F.min(F.struct("doc_id", "h", "lo"))
+    first = F.min(F.struct("doc_id", "h", "at"))
     repeated = cut(some.groupBy("s1", "s2").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
                    .where("n > 1").select("s1", "s2", "first"), "repeated")
-    later = (some.join(repeated, ["s1", "s2"]).where(~F.struct("doc_id", "h", "lo").eqNullSafe(F.col("first")))
-             .select("doc_id", "h", "lo", "hi"))
+    later = (some.join(repeated, ["s1", "s2"]).where(~F.struct("doc_id", "h", "at").eqNullSafe(F.col("first")))
+             .select("doc_id", "h", "at"))
     k, kh, h, at = fresh(docs, "mark_id", "mark_hash", "text_hash", "gone")
-    marks = cut(later.groupBy(F.col("doc_id").alias(k), F.col("h").alias(kh)).agg(F.collect_set(F.struct("lo", "hi")).alias(at)), "marks")
+    marks = cut(later.groupBy(F.col("doc_id").alias(k), F.col("h").alias(kh)).agg(F.collect_set("at").alias(at)), "marks")
     forget(some, repeated)
     release(docs.sparkSession)
 
@@ -197,7 +196,8 @@ def dedup(docs: DataFrame, run: int = RUN, unit_words: int = UNIT_WORDS, min_wor
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entering("span_dedup")
         for b in batches:
-            out = [without(text, gone) if gone else text for text, gone in zip(b.column(text_col).to_pylist(), b.column(at).to_pylist())]
+            out = [without(text, [{"lo": x >> 32, "hi": x & 0xFFFFFFFF} for x in gone]) if gone else text
+                   for text, gone in zip(b.column(text_col).to_pylist(), b.column(at).to_pylist())]
             cols = [pa.array(out, pa.string()) if n == text_col else b.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
