@@ -135,7 +135,7 @@ def test_lloyd_equals_plain_rounds(spark):
     c = np.zeros((9, 40), object)
     for r in cents.collect():
         c[r["cluster_id"], r["feature"]] = int(np.floor(r["value"] * (1 << 30) + 0.5))
-    for rounds in (1, 2, 4, 50):
+    for rounds in (1, 3, 50):
         want_c = c.copy()
         for n in range(rounds):
             d = (want_c * want_c).sum(axis=1)[None, :] - 2 * (x @ want_c.T)
