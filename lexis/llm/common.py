@@ -100,6 +100,11 @@ def entering(operator: str) -> None:
             clear()
     _entered = operator
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that is free in this process to the system; called as a task that used much ends."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

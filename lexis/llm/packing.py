@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexis.llm.common import entering, slices
+from lexis.llm.common import entering, give_back, slices
 from lexis.llm.tokens import END_ID, encoder, public_path
 
 MAX_LEN = 2048
@@ -66,6 +66,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN,
                     pa.array(np.zeros(len(length), np.int64))],
                     names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
                 number += len(length)
+        give_back()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         task, f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

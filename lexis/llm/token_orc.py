@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexis.llm.common import doc_hash, entering, scratch, slices
+from lexis.llm.common import doc_hash, entering, give_back, scratch, slices
 from lexis.llm.tokens import END_ID, encoder, public_path
 
 
@@ -49,6 +49,7 @@ def write_orc(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
                     pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids.astype(np.int32)))],
                     names=["doc_id", "part", "local_start", "n_tokens", "ids"])
                 before += int(ends[-1])
+        give_back()
 
     spark = docs.sparkSession
     # the last key only splits a crowd of rows equal in id and text

@@ -21,7 +21,7 @@ from lexis.llm.common import keeps
 
 END_ID = 1
 #: Pieces a worker remembers; beyond it the cache starts afresh (results don't change).
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 400_000
 
 
 class _Index(dict):
