@@ -99,3 +99,28 @@ def test_orc_has_bloom_filters_and_empty_table(spark, scratch):
         assert "BLOOM_FILTER" in footer.toString()
     token_orc.write_orc(frame(spark, []), f"{scratch}/none")
     assert token_orc.read_orc(spark, f"{scratch}/none").collect() == []
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_seen_often_are_not_learned_again(name):
+    enc, learned = Encoder(public_path(name), cache_pieces=200), []
+    learn = enc._learn
+    enc._learn = lambda: (learned.extend(enc.index.queue), learn())
+    usual = " ".join(f"w{chr(97 + i)}x" for i in range(26))
+    for n in range(40):
+        text = f"{usual} " + " ".join(f"q{chr(97 + n % 26)}{chr(97 + n // 26)}{chr(97 + i)}" for i in range(26))
+        ids, ends = enc.encode([text, usual])
+        plain = enc.tok.encode_batch([text, usual], add_special_tokens=False)
+        assert ids.tolist() == [*plain[0].ids, 1, *plain[1].ids, 1] and int(ends[-1]) == len(ids)
+        assert len(enc.index) <= 200 + 60
+    assert max(learned.count(p) for p in set(learned)) == 1
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_plain_words_by_the_model_alone(name):
+    rnd = random.Random(5)
+    enc = Encoder(public_path(name))
+    assert enc.bare
+    for n in range(300):
+        text = " ".join("".join(rnd.choice("abdeilnorstABIN") for _ in range(rnd.randint(1, 12))) for _ in range(8))
+        assert enc.encode([text], None)[0].tolist() == enc.tok.encode(text, add_special_tokens=False).ids
