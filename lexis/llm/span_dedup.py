@@ -172,12 +172,12 @@ def dedup(docs: DataFrame, run: int = RUN, unit_words: int = UNIT_WORDS, min_wor
     """``docs`` with repeated spans removed from the texts."""
     slim = (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("h", doc_hash())
             .select("doc_id", "h", "text"))
-    every = cut(spans(slim, run, unit_words, min_words), "spans")
+    every = cut(spans(slim, run, unit_words, min_words), "spans", "zstd")
     # most spans occur once: half a hash, counted first, leaves the few that whole hashes are compared for
     often = cut(every.groupBy("s1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s1"), "often")
     release(docs.sparkSession)
     # joins have plain shuffles on both sides, so a hot passage's rows can be split
-    some = cut(every.join(often, "s1", "left_semi"), "some")
+    some = cut(every.join(often, "s1", "left_semi"), "some", "zstd")
     forget(every, often)
     release(docs.sparkSession)
     # pre-aggregated, so a passage that very many documents share is one row a task

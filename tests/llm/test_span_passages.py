@@ -105,3 +105,14 @@ def test_cuts_follow_the_words():
     for text in ["na " * 500, "na na hey " * 200, "a  b\tc\n" * 3 + "d\x0be " * 40, " x y" * 30, "\u00a0x y" * 30]:
         parts, count = span_dedup.units(text)
         assert "".join(parts) == text and count == [len(p.split()) for p in parts] and max(count) <= 12
+
+
+def test_spans_are_written_small(spark, monkeypatch):
+    """The tables that hold most spans take the stronger compression: they and a shuffle are on disk at once."""
+    from lexis.llm import span_dedup
+
+    codecs, cut = {}, span_dedup.cut
+    monkeypatch.setattr(span_dedup, "cut", lambda df, tag, codec="snappy": (codecs.setdefault(tag, codec), cut(df, tag, codec))[1])
+    docs = spark.createDataFrame([(1, "one two three four five six. " * 4), (2, "one two three four five six. " * 4)], "doc_id long, text string")
+    assert span_dedup.dedup(docs).count() == 2
+    assert codecs["spans"] == codecs["some"] == "zstd"
