@@ -216,3 +216,21 @@ def test_spans_with_clashing_columns(spark):
     assert out.columns == names
     got = sorted(map(tuple, out.collect()))
     assert [passage in r[1] for r in got] == [True, False, False, False] and all(r[2:] == tuple(range(9)) for r in got)
+
+
+def test_few_links_take_few_tasks(spark, monkeypatch):
+    from lexis.llm import components as module
+
+    parts, cut = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df, tag: (parts.append(df.rdd.getNumPartitions()), cut(df, tag))[1])
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.id: r.root for r in components(spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")).collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert set(got.values()) == {0} and len(got) == 31
+    assert max(parts[1:]) <= module.FEWEST
