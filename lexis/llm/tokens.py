@@ -13,9 +13,13 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from lexis.llm.common import keeps
 
@@ -66,18 +70,37 @@ class Encoder:
             return "words"
         return "plain"
 
-    def _bare(self, spec: dict):
-        """How the model alone is given a word of ASCII letters, or None where that might differ from the whole way."""
+    def _bare(self, spec: dict) -> Callable[[str], tuple[str, str] | None] | None:
+        """How the model alone is given a piece: as (a pre-token, one more or ""), or None for a piece where that might
+        differ from the whole way; None for all of them where it might."""
         model = spec.get("model") or {}
         if model.get("type") != "BPE" or model.get("dropout") or not all(t["special"] for t in spec.get("added_tokens") or []):
             return None
         if self.kind == "bytes":
-            return "\u0120".__add__
+            return lambda k: ("\u0120" + k, "") if k.isalpha() and k.isascii() else None
         steps = ((spec.get("normalizer") or {}).get("normalizers") or []) if self.kind == "words" else []
+        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex", "") if self.kind == "words" else ""
         if [(x.get("type"), x.get("pattern")) for x in steps] == [("NFC", None), ("Replace", {"Regex": r"\s+"}), ("Lowercase", None)] \
-                and "|[\\p{L}]+|" in spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex", "") \
+                and "|[\\p{L}]+|" in split and split.endswith(r"|[^\s\p{L}\p{N}]+") \
                 and [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"][1:]] == ["ByteLevel"]:
-            return str.lower
+            return self._word
+        return None
+
+    # A word of Latin letters is one pre-token, and so are the signs that end its piece (an apostrophe may begin another).
+    _SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+    _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+    #: Bytes as the byte-level alphabet writes them.
+    _LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+    @classmethod
+    def _word(cls, key: str) -> tuple[str, str] | None:
+        word = key.rstrip(cls._SIGNS)
+        if not word.isalpha():
+            return None
+        if word.isascii():
+            return word.lower(), key[len(word):]
+        if cls._LATIN.fullmatch(word):
+            return word.lower().encode().decode("latin-1").translate(cls._LETTERS), key[len(word):]
         return None
 
     def _reset(self) -> None:
@@ -117,8 +140,6 @@ class Encoder:
     _LEAD = {"\x01": "", "\x02": "\n", "\x03": ",", "\x05": "."}
 
     def _cut(self, text: str) -> list[str]:
-        if self.kind == "words":
-            return [p for p in text.replace("\n", " ").split(" ") if p]
         if self._UNSURE.search(text):
             return ["\x01" + p for p in self._PIECES.findall(text)]
         pieces = text.replace("\n", " \x02").replace(",", " \x03").replace(".", " \x05").split(" ")
@@ -162,17 +183,13 @@ class Encoder:
         if not keys:
             return
         self._grow()
-        pieces, first = [self._text(k) for k in keys], len(self.index) - len(keys)
-        # a word of ASCII letters is one pre-token, so it needs the model alone
-        plain = np.zeros(len(keys), bool)
+        first, plain = len(self.index) - len(keys), np.zeros(len(keys), bool)
         if self.bare:
-            plain[:] = [k.isalpha() and k.isascii() for k in keys]
-            one = self.tok.model.tokenize
-            got = [[t.id for t in one(self.bare(keys[i]))] for i in np.flatnonzero(plain)]
-            self._keep(first + np.flatnonzero(plain), np.array([x for ids in got for x in ids], np.uint32),
-                       np.array([len(ids) for ids in got], np.int64))
+            self._learn_bare(keys, first, plain)
+        numbers = first + np.flatnonzero(~plain)
+        pieces = [self._text(keys[i]) for i in (numbers - first).tolist()]
         odd = self._odd(pieces)
-        alone, together = np.flatnonzero(odd & ~plain).tolist(), np.flatnonzero(~odd & ~plain)
+        alone, together = np.flatnonzero(odd).tolist(), np.flatnonzero(~odd)
         sep = self.mark if self.kind == "bytes" else f" {self.mark} "
         for lo in range(0, len(together), 4096):
             part = together[lo:lo + 4096]
@@ -181,13 +198,45 @@ class Encoder:
             marks = got == self.mark_ids[0]
             cuts = np.concatenate([[-1], np.flatnonzero(marks), [len(got)]])
             if len(cuts) == len(part) + 1:
-                self._keep(first + part, got[~marks], np.diff(cuts) - 1)
+                self._keep(numbers[part], got[~marks], np.diff(cuts) - 1)
             else:
                 alone += part.tolist()
         ids = [e.ids for e in self.tok.encode_batch_fast([pieces[i] for i in alone], add_special_tokens=False)]
-        self._keep(first + np.array(alone, np.int64), np.array([x for i in ids for x in i], np.uint32), np.array([len(i) for i in ids], np.int64))
+        self._keep(numbers[np.array(alone, np.int64)], np.array([x for i in ids for x in i], np.uint32), np.array([len(i) for i in ids], np.int64))
+
+    def _learn_bare(self, keys: list[str], first: int, plain: np.ndarray) -> None:
+        """Hand pieces to the model alone where that gives the same ids, and mark them in ``plain``."""
+        one, bare, ends = self.tok.model.tokenize, self.bare, {"": []}
+        for lo in range(0, len(keys), 4096):
+            at, got = [], []
+            for i, k in enumerate(keys[lo:lo + 4096], lo):
+                parts = bare(k)
+                if parts is not None:
+                    word, end = parts
+                    if end not in ends:
+                        ends[end] = one(end)
+                    at.append(i)
+                    got.append(one(word) + ends[end] if end else one(word))
+            plain[at] = True
+            self._keep(first + np.array(at, np.int64), np.fromiter(map(attrgetter("id"), chain.from_iterable(got)), np.uint32),
+                       np.fromiter(map(len, got), np.int64, len(got)))
 
     # -- use --------------------------------------------------------------
+    def _numbers(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all pieces in a row, and how many a text has."""
+        look = self.index.__getitem__
+        if self.kind == "words":  # cut by Arrow, and a piece is looked up once; an empty one has no ids
+            lists = pc.split_pattern(pa.array([(t or "").replace("\n", " ") for t in texts], pa.large_string()), " ")
+            coded = lists.flatten().dictionary_encode()
+            known = np.fromiter(map(look, coded.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))
+            return known[coded.indices.to_numpy()], pc.list_value_length(lists).to_numpy()
+        numbers, pieces_of = [np.zeros(0, np.int64)], []
+        for text in texts:
+            cut = self._cut(text) if text else []
+            numbers.append(np.fromiter(map(look, cut), np.int64, len(cut)))
+            pieces_of.append(len(cut))
+        return np.concatenate(numbers), np.array(pieces_of, np.int64)
+
     def encode(self, texts: Sequence[str | None], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts in a row (uint32), and the places where each ends."""
         if self.kind == "plain":
@@ -197,20 +246,14 @@ class Encoder:
                     np.cumsum([len(r) for r in rows], dtype=np.int64))
         if len(self.index) > self.cache_pieces:
             self._forget()
-        look = self.index.__getitem__
-        numbers, pieces_of = [], []
-        for text in texts:
-            cut = self._cut(text) if text else []
-            numbers.append(np.fromiter(map(look, cut), np.int64, len(cut)))
-            pieces_of.append(len(cut))
+        numbers, pieces_of = self._numbers(texts)
         self._learn()
-        numbers = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
         self.seen[:len(self.index)] += np.bincount(numbers, minlength=len(self.index))
         count = self.count[numbers]
         upto = np.concatenate([[0], np.cumsum(count)])
         total = int(upto[-1])
         ids = self.flat[np.repeat(self.start[numbers] - upto[:-1], count) + np.arange(total)]
-        ends = upto[np.cumsum(pieces_of, dtype=np.int64)] if pieces_of else np.zeros(0, np.int64)
+        ends = upto[np.cumsum(pieces_of, dtype=np.int64)]
         if end_id is not None and len(ends):
             ids = np.insert(ids, ends, np.uint32(end_id))
             ends = ends + np.arange(1, len(ends) + 1)

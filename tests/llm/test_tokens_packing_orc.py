@@ -116,6 +116,21 @@ def test_pieces_seen_often_are_not_learned_again(name):
     assert max(learned.count(p) for p in set(learned)) == 1
 
 
+def test_words_with_signs_and_accents_by_the_model_alone():
+    rnd = random.Random(6)
+    enc = Encoder(public_path("word_bpe_49k.json"))
+    assert enc.bare("Cats,") == ("cats", ",") and enc.bare("\u00c9t\u00e9!?") == ("\u00c3\u00a9t\u00c3\u00a9", "!?") and enc.bare("don't") is None
+    assert enc.bare("a1") is None and enc.bare("e\u0301a") is None and enc.bare("\u0130") is None and enc.bare("...") is None
+    latin = [chr(c) for c in range(0xA0, 0x180)] + ["\u0301", "\u03a3", "\u4e2d"]
+    for n in range(600):
+        words = ["".join(rnd.choice("aeinstRE") if rnd.random() < 0.7 else rnd.choice(latin) for _ in range(rnd.randint(0, 9)))
+                 + "".join(rnd.choice("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~7") for _ in range(rnd.randint(0, 3))) for _ in range(8)]
+        text = rnd.choice((" ", "\n", "  ")).join(words) + rnd.choice(("", "<|endoftext|>", "\n\n", "\0", "\t"))
+        got, ends = enc.encode([text, None, "", text], None)
+        want = enc.tok.encode(text, add_special_tokens=False).ids
+        assert got.tolist() == want * 2 and ends.tolist() == [len(want)] * 3 + [2 * len(want)]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_plain_words_by_the_model_alone(name):
     rnd = random.Random(5)
