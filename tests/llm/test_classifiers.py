@@ -168,3 +168,24 @@ def test_pipeline_stages_with_clashing_columns(spark):
         assert out.columns == wide.columns, name
         for r in out.collect():
             assert all(r[c] == f"{c}-{r['doc_id']}" for c in more), name
+
+
+def test_toxicity_weights_see_every_training_text(monkeypatch):
+    """All labelled texts but those that set thresholds are trained on, and those only set thresholds."""
+    x, y = texts(200, 0.3, rude)
+    kept, trained, steps = [], set(), []
+    layout, step = toxicity._layout, toxicity.Adam.step
+
+    def seen(rows):
+        kept.append(rows)
+        return layout(rows)
+
+    def stepped(self, grads):
+        trained.update(id(r) for r in kept[-1])
+        steps.append(1)
+        step(self, grads)
+    monkeypatch.setattr(toxicity, "_layout", seen)
+    monkeypatch.setattr(toxicity.Adam, "step", stepped)
+    toxicity.fit(x, y)
+    everything = {id(r) for rows in kept for r in rows}
+    assert steps and len(everything) == 200 and len(trained) == 170
