@@ -106,3 +106,24 @@ def test_clusters_give_the_full_ranking(spark):
     assert rows(got) == rows(want)
     ranked, every = report[0]
     assert ranked < 0.7 * every, report
+
+
+def test_members_are_written_by_cluster_once(spark):
+    """A cluster's members lie side by side in every file, and ranking reads that table and writes no other one."""
+    import os
+
+    from lexis.operators import cluster as K
+    from lexis.operators import packed as P
+    from lexis.session import checkpoint_root
+    lines = [(i, f"cats and {['dogs', 'birds', 'fish'][i % 3]} number {i % 7}") for i in range(200)]
+    store = spark.createDataFrame(lines, "id long, content string").repartition(2)
+    docs = P.vector_table(store, ["id"], "content", lowercase=False)
+    cells = R.cluster_cells(docs, ["id"], K.sparse_init(docs, ["id"], 9))
+    for part in cells[0].select("cluster_id").rdd.glom().collect():
+        own = [r["cluster_id"] for r in part]
+        assert own == sorted(own)
+    tables = lambda: {f for f in os.listdir(checkpoint_root(spark)) if f.startswith("members-")}
+    before = tables()
+    questions = spark.createDataFrame([(1, "fish number 3"), (2, "birds")], "query_id long, query string")
+    got = R.rank_by_clusters(questions, store, ["id"], docs, *cells)
+    assert got.count() == 10 and tables() == before
